@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from popgraph.queries import base, networks, panels  # noqa: F401  the modules register on import
+
 
 def queries() -> dict:
-    return {}
+    return base.QUERIES
 
 
 def oracle_sql() -> dict:
-    return {}
+    return base.ORACLE_SQL
