@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from popgraph.queries import base, entities, networks, panels  # noqa: F401  the modules register on import
+from popgraph.queries import base, entities, networks, panels, quality  # noqa: F401  the modules register on import
 
 
 def queries() -> dict:
