@@ -92,14 +92,13 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def conductance(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Cut over the smaller volume per cluster, edges unweighted."""
+    """Edges that leave a cluster over its edge ends, unweighted."""
     l1 = labels.select(F.col("agent_id").alias("agent_1"), F.col("cluster_id").alias("c1"))
     l2 = labels.select(F.col("agent_id").alias("agent_2"), F.col("cluster_id").alias("c2"))
     e = edges.join(l1, "agent_1").join(l2, "agent_2")
     ends = e.select(F.explode(F.array(F.struct(F.col("c1").alias("c"), F.col("c2").alias("o")), F.struct(F.col("c2").alias("c"), F.col("c1").alias("o")))).alias("x")).select("x.c", "x.o")
     by = ends.groupBy("c").agg(F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") != F.col("o")).alias("cut"))
-    total = by.agg(F.sum("v").alias("t"))
-    return by.crossJoin(F.broadcast(total)).select(F.col("c").alias("cluster_id"), F.round(F.col("cut") / F.least("v", F.col("t") - F.col("v")), 6).alias("conductance"))
+    return by.select(F.col("c").alias("cluster_id"), F.round(F.col("cut") / F.col("v"), 6).alias("conductance"))
 
 
 def cluster_edge_matrix(edges: DataFrame, labels: DataFrame) -> DataFrame:

@@ -11,7 +11,11 @@ STATES = ("S", "E", "I", "R", "D")
 TRANSITIONS = (("S", "E"), ("E", "I"), ("I", "R"), ("I", "D"), ("R", "S"))
 #: A labelling of event types, for exercise only.
 EVENT_STATES = {"view": "S", "click": "E", "error": "I", "purchase": "R", "signup": "D"}
-BY_AGENT = W.partitionBy("agent_id").orderBy("day")
+
+
+def by_agent():
+    """Days of one entity in order."""
+    return W.partitionBy("agent_id").orderBy("day")
 
 
 def daily_states(events: DataFrame, origin: str = "2024-01-01") -> DataFrame:
@@ -21,21 +25,21 @@ def daily_states(events: DataFrame, origin: str = "2024-01-01") -> DataFrame:
     seen = events.groupBy(F.col("user_id").alias("agent_id"), day.alias("day")).agg(state.alias("_seen"))
     span = seen.agg(F.min("day").alias("_a"), F.max("day").alias("_b"))
     grid = seen.select("agent_id").distinct().crossJoin(F.broadcast(span)).select("agent_id", F.explode(F.sequence("_a", "_b")).alias("day"))
-    filled = F.coalesce(F.last("_seen", True).over(BY_AGENT.rowsBetween(W.unboundedPreceding, 0)), F.lit("S"))
+    filled = F.coalesce(F.last("_seen", True).over(by_agent().rowsBetween(W.unboundedPreceding, 0)), F.lit("S"))
     return grid.join(seen, ["agent_id", "day"], "left").select("agent_id", "day", filled.alias("state"))
 
 
 def days_in_state(panel: DataFrame) -> DataFrame:
     """``days_in_state``: days since the state last changed, 0 on the day of the change."""
-    new = F.when(F.col("state").eqNullSafe(F.lag("state").over(BY_AGENT)), 0).otherwise(1)
-    islands = panel.withColumn("_c", new).withColumn("_g", F.sum("_c").over(BY_AGENT))
+    new = F.when(F.col("state").eqNullSafe(F.lag("state").over(by_agent())), 0).otherwise(1)
+    islands = panel.withColumn("_c", new).withColumn("_g", F.sum("_c").over(by_agent()))
     run = F.row_number().over(W.partitionBy("agent_id", "_g").orderBy("day")) - 1
     return islands.withColumn("days_in_state", run).drop("_c", "_g")
 
 
 def transitions(panel: DataFrame) -> DataFrame:
     """(agent_id, day, from_state, to_state) of every change."""
-    p = panel.withColumn("from_state", F.lag("state").over(BY_AGENT))
+    p = panel.withColumn("from_state", F.lag("state").over(by_agent()))
     return p.where("from_state is not null and from_state <> state").select("agent_id", "day", "from_state", F.col("state").alias("to_state"))
 
 
@@ -60,7 +64,7 @@ def state_distribution(panel: DataFrame) -> DataFrame:
 
 def incidence(panel: DataFrame, keys: list[str]) -> DataFrame:
     """New E and new I per key."""
-    before = F.lag("state").over(BY_AGENT)
+    before = F.lag("state").over(by_agent())
     p = panel.withColumn("_b", before)
     new = lambda s: F.count_if((F.col("state") == s) & (F.col("_b").isNotNull()) & (F.col("_b") != s))
     return p.groupBy(*keys).agg(new("E").alias("new_exposed"), new("I").alias("new_infected"))
@@ -119,7 +123,7 @@ def phase_multipliers(phases: DataFrame) -> DataFrame:
 
 def transition_rates(panel: DataFrame, keys: list[str]) -> DataFrame:
     """Share of entities in a state that take each transition to the next day, per key."""
-    p = panel.withColumn("_next", F.lead("state").over(BY_AGENT)).where("_next is not null")
+    p = panel.withColumn("_next", F.lead("state").over(by_agent())).where("_next is not null")
     rate = lambda a, b: F.coalesce(F.round(F.count_if((F.col("state") == a) & (F.col("_next") == b)) / F.nullif(F.count_if(F.col("state") == a), F.lit(0)), 6), F.lit(0.0))
     return p.groupBy(*keys).agg(*[rate(a, b).alias(f"{a}_{b}".lower()) for a, b in TRANSITIONS])
 
@@ -140,7 +144,7 @@ def lookback(counts: DataFrame, keys: list[str], days: int = 7) -> DataFrame:
 
 def recent_states(panel: DataFrame, n: int = 7) -> DataFrame:
     """The last ``n`` states per entity and day, padded in front with the first."""
-    s = F.collect_list("state").over(BY_AGENT.rowsBetween(1 - n, 0))
+    s = F.collect_list("state").over(by_agent().rowsBetween(1 - n, 0))
     p = panel.select("agent_id", "day", s.alias("_s"))
     return p.select("agent_id", "day", F.array_join(F.concat(F.array_repeat(F.element_at("_s", 1), n - F.size("_s")), "_s"), "->").alias("recent"))
 

@@ -217,7 +217,7 @@ def i21_modularity(s, d):
     return K.modularity(edges(s, d), regions(s, d))
 
 
-@query(_LAB + ", en AS (SELECT c1 AS c, c2 AS o FROM e2 UNION ALL SELECT c2, c1 FROM e2), b AS (SELECT c, count(*) AS v, count(*) FILTER (c <> o) AS cut FROM en GROUP BY c) SELECT c AS cluster_id, round(cut / least(v, (SELECT sum(v) FROM b) - v), 6) AS conductance FROM b")
+@query(_LAB + ", en AS (SELECT c1 AS c, c2 AS o FROM e2 UNION ALL SELECT c2, c1 FROM e2), b AS (SELECT c, count(*) AS v, count(*) FILTER (c <> o) AS cut FROM en GROUP BY c) SELECT c AS cluster_id, round(cut / v, 6) AS conductance FROM b")
 def i22_conductance(s, d):
     return K.conductance(edges(s, d), regions(s, d))
 
@@ -287,7 +287,7 @@ def j4_brier_nll(s, d):
 
 @query(", x AS (SELECT state AS t, lead(state) OVER (PARTITION BY agent_id ORDER BY day) AS p FROM panel), y AS (SELECT * FROM x WHERE p IS NOT NULL), t AS (SELECT t AS c, count(*) AS t, count(*) FILTER (t = p) AS tp FROM y GROUP BY 1), p AS (SELECT p AS c, count(*) AS p FROM y GROUP BY 1) SELECT round(avg(2 * coalesce(tp, 0) / (coalesce(t, 0) + coalesce(p, 0))), 6) AS macro_f1 FROM t FULL JOIN p USING (c)")
 def j6_event_macro_f1(s, d):
-    p = panel(s, d).withColumn("p", F.lead("state").over(P.BY_AGENT)).where("p is not null")
+    p = panel(s, d).withColumn("p", F.lead("state").over(P.by_agent())).where("p is not null")
     return V.event_macro_f1(p, "p", "state")
 
 
