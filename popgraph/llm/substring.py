@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popgraph.llm.common import slices, with_group
+from popgraph.llm.common import SALTS, slices, with_group
 from popgraph.plans.stage import stage
 
 LENGTH = 35
@@ -103,10 +103,12 @@ def _words(length: int):
                     wh = word_hashes(words_of(t)).astype("<u8")
                     for w in wanted:
                         s, c = divmod(w["at"], 64)
-                        out.append((w["anchor"], w["seg"], w["n"], wh[s : s + c + length - 1].tobytes()))
+                        out.append((w["anchor"], w["salt"], w["seg"], w["n"], wh[s : s + c + length - 1].tobytes()))
                 if out:
-                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["anchor", "seg", "n", "words"])
+                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["anchor", "salt", "seg", "n", "words"]
+                    )
 
     return run
 
@@ -200,11 +202,11 @@ def _shards(length: int, heavy: int):
         anchor, held, over, out = None, [], False, []
         for whole in batches:
             for b in slices(whole):
-                for a, seg, n, w in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for a, salt, seg, n, w in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     if a != anchor:
                         if held:
                             out += (windows if over else resolve)(anchor, held)
-                        anchor, held, over = a, [], False
+                        anchor, held, over = a, [], salt >= 0
                     held.append((seg, n, w))
                     if over or len(held) > heavy:
                         out += windows(a, held)
@@ -269,10 +271,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     met = stage(rows.join(stat, "anchor"), "sub-met")
 
     one = met.where("mixed").groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "at")).alias("one"))
-    wanted = one.groupBy(F.col("one.key").alias("key")).agg(F.collect_list(F.struct("anchor", "seg", "n", F.col("one.at").alias("at"))).alias("wanted"))
+    one = stage(one, "sub-one")
+    crowded = one.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > heavy)
+    crowded = stage(crowded.select("anchor", F.lit(True).alias("crowded")), "sub-crowded")
+    # the segments of a crowded anchor are counted window by window, so they may be dealt apart
+    salt = F.when(F.col("crowded"), F.pmod("seg", F.lit(SALTS))).otherwise(F.lit(-1)).cast("long").alias("salt")
+    one = one.join(crowded, "anchor", "left").select("anchor", salt, "seg", "n", F.col("one.key").alias("key"), F.col("one.at").alias("at"))
+    wanted = one.groupBy("key").agg(F.collect_list(F.struct("anchor", "salt", "seg", "n", "at")).alias("wanted"))
     # rows of equal id and text send a segment twice, whose windows repeat anyway
-    held = source.select("key", "text").join(wanted, "key").select("text", "wanted").mapInArrow(_words(length), "anchor long, seg long, n long, words binary")
-    dealt = held.repartition("anchor").sortWithinPartitions("anchor")
+    held = source.select("key", "text").join(wanted, "key").select("text", "wanted").mapInArrow(_words(length), "anchor long, salt long, seg long, n long, words binary")
+    dealt = held.repartition("anchor", "salt").sortWithinPartitions("anchor")
     told = stage(dealt.mapInArrow(_shards(length, heavy), "kind long, anchor long, seg long, bits long, window long, n long"), "sub-told")
     large = with_group(told.where("kind = 1"), ["anchor", "window"], "seg", {"total": ("sum", "n")}).where("total > 1")
     large = large.groupBy("anchor", "seg").agg(F.expr("bit_or(shiftleft(1L, cast(bits as int)))").alias("bits"))
