@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from popgraph.llm.common import slices
+from popgraph.plans.stage import small_enough, stage
 
 #: Bins for n-grams of n = 1, 2, 3.
 BINS = (512, 4096, 16384)
@@ -26,6 +27,8 @@ WIDTH = sum(BINS)
 PER_LANGUAGE = 400
 AT_MOST = 4096
 LANDMARKS = 128
+#: Languages whose counts are broadcast; more are joined by a shuffle.
+BROADCAST_LANGUAGES = 10_000
 RIDGE = 1e-3
 SHARPNESS = 6.0
 _LETTER = regex.compile(r"\p{L}")
@@ -102,13 +105,18 @@ def fit(
 ) -> Model:
     """Learns from labelled rows that are not held out.
 
-    The sample is bounded: of each language the ``per_language`` rows whose ids hash
-    lowest, ``at_most`` in all. Only their packed n-gram sets reach the driver.
+    The sample is bounded: of each language about ``per_language`` rows, those whose ids
+    hash lowest, ``at_most`` in all. Only their packed n-gram sets reach the driver.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
     labelled = rows.where(F.col("_lang").isNotNull() & F.col("_text").isNotNull() & F.col("_id").isNotNull() & ~held_out("_id"))
+    # a draw below four times the share that is wanted: few rows reach the ranking, however many tasks read
+    counts = stage(labelled.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")).select(F.col("_lang").alias("_l"), "_n"), "language-counts")
+    counts = F.broadcast(counts) if small_enough(counts, BROADCAST_LANGUAGES) else counts
+    drawn = labelled.select("_id", "_lang", F.xxhash64("_id").alias("_draw")).join(counts, F.col("_lang") == F.col("_l"))
+    drawn = drawn.where(F.col("_draw") / 2.0**64 + 0.5 < 4.0 * per_language / F.col("_n"))
     rank = F.row_number().over(W.partitionBy("_lang").orderBy("_draw", "_id"))
-    ids = labelled.select("_id", "_lang", F.xxhash64("_id").alias("_draw")).withColumn("_rank", rank).where(F.col("_rank") <= per_language)
+    ids = drawn.withColumn("_rank", rank).where(F.col("_rank") <= per_language)
     ids = ids.orderBy("_rank", "_lang").limit(at_most).select("_id").distinct()
     sample = labelled.join(F.broadcast(ids), "_id", "left_semi").select("_lang", "_text")  # at most ``at_most`` ids
     got = sorted(tuple(r) for r in sample.mapInArrow(_features, "lang string, bits binary").limit(2 * at_most).collect())
