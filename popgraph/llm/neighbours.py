@@ -158,6 +158,7 @@ def build_index(vectors: DataFrame, per_vector: int, shard: int = SHARD, degree:
     nodes = stage(few.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "ann-nodes")
     shards = max(-(-nodes.count() // shard), 1)
     dealt = nodes.select(F.size("vec").alias("dim"), F.pmod(F.xxhash64("vec"), F.lit(shards)).cast("int").alias("shard"), "vec", "ids")
+    dealt = dealt.repartition(4 * shards, "dim", "shard")  # a task per shard, as far as hashes allow
     return stage(dealt.groupBy("dim", "shard").applyInPandas(_index(degree, beam, relax), INDEX), "ann-index")
 
 
