@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from popgraph.operators.retrieval import cosine, top_per_group
+from popgraph.plans.stage import stage
 
 
 def long_vectors(df: DataFrame, id_col: str, vec: str, *keep: str) -> DataFrame:
@@ -59,7 +60,8 @@ def ch_index(df: DataFrame, label: str, vec: str, id_col: str) -> DataFrame:
         F.sum(F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("w"), F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - F.col("m"), 2)).alias("b"), F.countDistinct(label).alias("k"),
         F.sum(F.when(F.col("pos") == 0, F.col("n"))).alias("n"),
     )
-    return t.select(F.round((F.col("b") / (F.col("k") - 1)) / (F.col("w") / (F.col("n") - F.col("k"))), 6).alias("calinski_harabasz"))
+    score = F.try_divide(F.try_divide(F.col("b"), F.col("k") - 1), F.try_divide(F.col("w"), F.col("n") - F.col("k")))  # null for one cluster or one row each
+    return t.select(F.round(score, 6).alias("calinski_harabasz"))
 
 
 def silhouette(df: DataFrame, label: str, vec: str, id_col: str) -> DataFrame:
@@ -155,3 +157,27 @@ def coarse_cluster(df: DataFrame, vec: str, id_col: str, k: int, seed: int = 7,
     v = StandardScaler(inputCol="_raw", outputCol="features", withMean=True).fit(v).transform(v)
     model = (BisectingKMeans if bisecting else KMeans)(k=k, seed=seed).fit(v)
     return model.transform(v).select(id_col, F.col("prediction").alias("cluster_id"))
+
+
+def compare_clusterings(df: DataFrame, vec: str, id_col: str, k: int) -> DataFrame:
+    """(method, clusters, silhouette, calinski_harabasz) of k-means and bisecting k-means."""
+    out = None
+    for method, bisecting in (("kmeans", False), ("bisecting", True)):
+        x = df.select(id_col, vec).join(coarse_cluster(df, vec, id_col, k, bisecting=bisecting), id_col)
+        scores = silhouette(x, "cluster_id", vec, id_col).agg(F.avg("silhouette_sq").alias("silhouette"), F.countDistinct("cluster_id").alias("clusters"))
+        row = scores.crossJoin(ch_index(x, "cluster_id", vec, id_col)).select(F.lit(method).alias("method"), "clusters", "silhouette", "calinski_harabasz")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def fit_clusters(df: DataFrame, vec: str, id_col: str, k: int, threshold: float, rounds: int = 3) -> DataFrame:
+    """(id, cluster_id, k, silhouette) of the best of ``rounds`` fits with k, k + 1, ..., ending early at ``threshold``."""
+    best = None
+    for at in range(k, k + rounds):
+        labels = stage(coarse_cluster(df, vec, id_col, at), "fit-clusters")
+        score = silhouette(df.select(id_col, vec).join(labels, id_col), "cluster_id", vec, id_col).agg(F.avg("silhouette_sq")).first()[0] or 0.0
+        if best is None or score > best[0]:
+            best = (score, at, labels)
+        if score >= threshold:
+            break
+    return best[2].withColumns({"k": F.lit(best[1]), "silhouette": F.lit(best[0])})

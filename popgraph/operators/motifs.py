@@ -139,3 +139,60 @@ def prediction_report(df: DataFrame, keys: list[str], p: str, y: str) -> DataFra
     both = [(p, "pred"), (y, "target")]
     stats = [f(c).alias(f"{n}_{name}") for c, n in both for name, f in (("mean", lambda c: F.round(F.avg(c), 6)), ("std", lambda c: F.round(F.stddev_pop(c), 6)), ("min", F.min), ("max", F.max))]
     return df.groupBy(*keys).agg(*stats, F.round(F.avg(F.when(F.col(y) > 0.001, 1.0).otherwise(0.0)), 6).alias("target_nonzero"), F.round(F.var_pop(y), 6).alias("target_variance"))
+
+
+def cluster_divergence(profile: DataFrame, clusters: DataFrame, key: str, label: str) -> DataFrame:
+    """(a, b, divergence): Jensen-Shannon divergence (nats) of the motif shares of every pair of clusters."""
+    s = profile.join(clusters.select(key, "cluster_id"), key).groupBy("cluster_id", label).agg(F.sum("share").alias("_s"))
+    p = s.join(s.groupBy("cluster_id").agg(F.sum("_s").alias("_t")), "cluster_id").select("cluster_id", F.struct(F.col(label).alias("m"), (F.col("_s") / F.col("_t")).alias("p")).alias("e"))
+    m = p.groupBy("cluster_id").agg(F.map_from_entries(F.collect_list("e")).alias("_m"))
+    a, b = m.select(F.col("cluster_id").alias("a"), F.col("_m").alias("_x")), m.select(F.col("cluster_id").alias("b"), F.col("_m").alias("_y"))
+    part = lambda own, other: F.aggregate(
+        F.map_entries(own), F.lit(0.0), lambda t, e: t + F.when(e["value"] > 0, e["value"] * F.log(2 * e["value"] / (e["value"] + F.coalesce(other[e["key"]], F.lit(0.0))))).otherwise(0.0)
+    )
+    d = (part(F.col("_x"), F.col("_y")) + part(F.col("_y"), F.col("_x"))) / 2
+    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(d, 9).alias("divergence"))
+
+
+def merge_clusters(clusters: DataFrame, divergence: DataFrame, key: str, theta: float) -> DataFrame:
+    """(key, cluster_id): clusters closer than ``theta`` joined, closest first, at least two kept, labels dense from 0.
+
+    Only pairs of clusters reach the driver: at most clusters squared, not entities.
+    """
+    ids = [r[0] for r in clusters.select("cluster_id").distinct().orderBy("cluster_id").collect()]
+    left, into = set(ids), {c: c for c in ids}
+    for a, b, _ in divergence.where(F.col("divergence") < theta).orderBy("divergence", "a", "b").collect():
+        if len(left) > 2 and a in left and b in left:
+            left.remove(b)
+            into = {c: a if t == b else t for c, t in into.items()}
+    dense = {c: i for i, c in enumerate(sorted(left))}
+    if not into:
+        return clusters.select(key, "cluster_id")
+    new = F.create_map(*[F.lit(x) for c, t in into.items() for x in (c, dense[t])])
+    return clusters.select(key, new[F.col("cluster_id")].alias("cluster_id"))
+
+
+def split_flags(profile: DataFrame, clusters: DataFrame, key: str, label: str, motifs: int, theta: float, variance: float = 0.1) -> DataFrame:
+    """(cluster_id, n, entropy, spread, split) with ``split`` for clusters of 6 or more, mixed and spread out."""
+    c = clusters.select(key, "cluster_id")
+    n = c.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    s = profile.join(c, key).groupBy("cluster_id", label).agg(F.sum("share").alias("_s"), F.sum(F.col("share") * F.col("share")).alias("_q")).join(n, "cluster_id")
+    total = s.groupBy("cluster_id").agg(F.sum("_s").alias("_t"))
+    p = F.col("_s") / F.col("_t")
+    var = F.col("_q") / F.col("n") - F.pow(F.col("_s") / F.col("n"), 2)
+    g = s.join(total, "cluster_id").groupBy("cluster_id", "n").agg((-F.sum(p * F.log(p)) / F.log(F.lit(float(motifs)))).alias("e"), (F.sum(var) / motifs).alias("v"))
+    return g.select("cluster_id", "n", F.round("e", 6).alias("entropy"), F.round("v", 6).alias("spread"), ((F.col("n") >= 6) & (F.col("e") > theta) & (F.col("v") > variance)).alias("split"))
+
+
+def reassign(df: DataFrame, nb: DataFrame, boundary: DataFrame, label: str, vec: str, motif: str, id_col: str) -> DataFrame:
+    """(id, label) of boundary rows after the pull 0.5 motif cosine + 0.3 exp(-distance) + 0.2 connectivity; ties to the smaller label."""
+    size = df.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_n"))
+    near = lambda c, name: centroid_arrays(df, label, c, id_col).select(F.col(label).alias("_label"), F.col("centroid").alias(name))
+    table = F.broadcast(size.join(near(vec, "_cv"), "_label").join(near(motif, "_cm"), "_label"))  # one row per cluster
+    rows = df.join(boundary.select(id_col), id_col, "left_semi").select(id_col, F.col(vec).cast("array<double>").alias("_v"), F.col(motif).cast("array<double>").alias("_w"))
+    ends = df.select(F.col(id_col).alias("_other"), F.col(label).alias("_label"))
+    links = nb.join(boundary.select(F.col(id_col).alias("agent_id")), "agent_id", "left_semi").join(ends, F.col("other_id") == F.col("_other"))
+    links = links.groupBy(F.col("agent_id").alias(id_col), "_label").agg(F.count(F.lit(1)).alias("_c"))
+    j = rows.crossJoin(table).join(links, [id_col, "_label"], "left")
+    pull = 0.5 * cosine("_w", "_cm") + 0.3 * F.exp(-distance("_v", "_cv")) + 0.2 * F.coalesce("_c", F.lit(0)) / F.col("_n")
+    return j.groupBy(id_col).agg(F.min_by("_label", F.struct(-F.round(pull, 9), "_label")).alias(label))

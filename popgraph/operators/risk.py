@@ -76,3 +76,60 @@ def fuse(symbolic: Column, neural: Column, conf_s: Column, conf_n: Column, multi
     total = conf_s + conf_n
     p = F.when(total > 0, (symbolic * conf_s + neural * conf_n) / total).otherwise((symbolic + neural) / 2)
     return F.least(p * multiplier, cap), F.when(total > 0, 2 * conf_s * conf_n / total).otherwise(0.0)
+
+
+#: Effect of no, one and two doses on exposure, progression, recovery and death; exposure by occupation.
+VACCINE_EFFECT = {"exposure": (1.0, 0.50, 0.30), "progression": (1.0, 0.85, 0.70), "recovery": (1.0, 1.2, 1.4), "death": (1.0, 0.3, 0.1)}
+OCCUPATION_RISK = {"healthcare_worker": 2.0, "retail_worker": 1.5, "teacher": 1.8, "office_worker": 1.0, "student": 1.2, "retired": 0.8}
+BETA_HOUSEHOLD, BETA_CONTACT, BETA_COMMUNITY, IMMUNITY_DAYS = 0.18, 0.035, 0.005, 180
+
+
+def risk_multipliers(household_infected: str = "household_infected", infected: str = "infected") -> dict[str, Column]:
+    """Multipliers of an entity's rates by transition, from its profile, day state and contact counts (null counts are zero)."""
+    age, sick, dose = F.col("age"), F.col("comorbidity_count"), F.col("vaccination_status")
+    days, home, near = F.col("days_in_state"), F.coalesce(F.col(household_infected), F.lit(0)), F.coalesce(F.col(infected), F.lit(0))
+    vacc = lambda what: F.when(dose == 0, VACCINE_EFFECT[what][0]).when(dose == 1, VACCINE_EFFECT[what][1]).otherwise(VACCINE_EFFECT[what][2])
+    by_age = lambda young, old: F.when(age < 18, young).when(age > 60, old).otherwise(1.0)
+    job = F.coalesce(F.create_map(*[F.lit(x) for kv in OCCUPATION_RISK.items() for x in kv])[F.col("occupation")], F.lit(1.0))
+    contact = 1 + F.when(home > 0, BETA_HOUSEHOLD * home).when(near > 0, BETA_CONTACT * near).otherwise(BETA_COMMUNITY)
+    place = F.when(F.col("quarantined"), 0.20).otherwise(1.0) * F.when(F.lower("cluster").contains("dorm"), 2.5).otherwise(1.0)
+    onset = F.when(days < 2, 0.0).when(days < 4, 0.5).otherwise(F.least(1 + 0.3 * (days - 4), F.lit(2.0)))
+    mend = F.when(days < 7, 0.0).when(days < 10, 0.4).otherwise(F.least(1 + 0.2 * (days - 10), F.lit(2.5)))
+    ifr = F.when(age < 20, 0.00002).when(age < 50, 0.0005).when(age < 70, 0.005).otherwise(0.07)
+    late = F.when(days < 7, 0.05).when(days <= 14, 1.5).otherwise(0.2)
+    return {
+        "s_e": vacc("exposure") * place * contact * by_age(0.7, 1.3) * (1 + 0.15 * sick) * job * (2 - F.col("compliance_score")),
+        "e_i": onset * vacc("progression") * by_age(0.9, 1.3) * (1 + 0.15 * sick),
+        "i_r": mend * vacc("recovery") * by_age(1.3, 0.7) * F.pow(F.lit(0.85), sick),
+        "i_d": ifr * 0.3 / 0.0015 * late * (1 + 0.5 * sick) * vacc("death"),
+        "r_s": F.when(days < IMMUNITY_DAYS, 0.0).otherwise(1.0),
+    }
+
+
+def state_analysis(agents: DataFrame, day_states: DataFrame, contacts: DataFrame, cluster: str) -> DataFrame:
+    """Per cluster: mean infected contacts of the susceptible who have any, days in E and I, overdue, elderly infected, waning."""
+    j = agents.join(day_states, "agent_id").join(contacts.select("agent_id", "infected"), "agent_id", "left")
+    at = lambda s, c: F.when(F.col("state") == s, c)
+    days = F.col("days_in_state")
+    mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6)
+    return j.groupBy(cluster).agg(
+        F.count(F.lit(1)).alias("size"), F.count_if(F.col("state").isin("E", "I")).alias("infected"), mean(at("S", F.when(F.col("infected") > 0, F.col("infected")))).alias("mean_infected_contacts"),
+        mean(at("E", days)).alias("avg_days_exposed"), F.count_if((F.col("state") == "E") & days.between(2, 5)).alias("peak_incubation"), mean(at("I", days)).alias("avg_days_infected"),
+        F.max(at("I", days)).alias("max_days_infected"), F.count_if((F.col("state") == "I") & (days >= 10)).alias("overdue"), F.count_if((F.col("state") == "I") & (F.col("age") >= 70)).alias("elderly_infected"),
+        mean(at("R", days)).alias("avg_days_recovered"),
+    )
+
+
+def calibrated(probability: dict[str, Column], dormitory: Column, quarantine: Column, phase: Column) -> dict[str, Column]:
+    """Cluster probabilities raised to floors by prevalence, contacts and mean days. Steps of the floors."""
+    prevalence = F.col("infected") / F.col("size")
+    push = F.when(dormitory & (prevalence > 0.05), 2.5).otherwise(1.0) * quarantine * phase
+    least = F.when(prevalence < 0.10, 0.020).when(prevalence < 0.30, 0.035).otherwise(0.050)
+    near = F.greatest(F.lit(0.3), F.least(F.lit(1.0), F.col("mean_infected_contacts") / 3.0))
+    e, i = F.col("avg_days_exposed"), F.col("avg_days_infected")
+    onset = F.when(e < 2, 0.0).when(e < 3, 0.05).when(e < 4, 0.15).when(e < 5, 0.25).when(e < 6, 0.30).otherwise(0.35)
+    mend = F.when(i < 7, 0.0).when(i < 10, 0.05 + 0.017 * (i - 7)).when(i < 14, 0.10 + 0.025 * (i - 10)).otherwise(0.20 + 0.02 * F.least(i - 14, F.lit(5.0)))
+    return {
+        "s_e": F.when(F.col("infected") > 0, F.greatest(probability["s_e"] * push, least * near * push)).otherwise(probability["s_e"]),
+        "e_i": F.greatest(probability["e_i"], onset), "i_r": F.greatest(probability["i_r"], F.least(mend, F.lit(0.35))),
+    }

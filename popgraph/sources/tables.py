@@ -28,12 +28,14 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     return raw.na.drop(subset=["case", "date", "age"]).orderBy("date", "case")
 
 
-def read_profiles(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PROFILE).json(path, multiLine=True)
+def read_profiles(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """One JSON array a file, or JSON lines, which Spark splits, without ``multi_line``."""
+    return spark.read.schema(PROFILE).json(path, multiLine=multi_line)
 
 
-def read_edges(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(EDGE).json(path, multiLine=True)
+def read_edges(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """One JSON array a file, or JSON lines, which Spark splits, without ``multi_line``."""
+    return spark.read.schema(EDGE).json(path, multiLine=multi_line)
 
 
 def read_embeddings(spark: SparkSession, path: str, size: int, vec: str = "embedding") -> DataFrame:
