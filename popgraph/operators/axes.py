@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,16 +76,16 @@ PLAIN_WORDS = ["young", "old", "middle", "aged", "teen", "senior", "student", "w
 
 
 def _any(text: Column, words: list[str]) -> Column:
-    return text.rlike("|".join(words))
+    return reduce(or_, (F.contains(text, F.lit(w)) for w in words))
 
 
 def _count(text: Column, words: list[str]) -> Column:
     return sum((F.contains(text, F.lit(w)).cast("int") for w in words), F.lit(0))
 
 
-def keyword_axes(text: Column) -> dict[str, Column]:
-    """One label per axis; a null text gets the labels of an empty one."""
-    t = F.lower(F.coalesce(text, F.lit("")))
+def keyword_axes(lowered: Column) -> dict[str, Column]:
+    """One label per axis of a lower-cased text column (a column of its own, so that it is lowered once); null counts as empty."""
+    t = F.coalesce(lowered, F.lit(""))
     out = {}
     for axis, (rules, default) in AXES.items():
         c = F

@@ -124,6 +124,17 @@ def fuse_embeddings(df: DataFrame, id_col: str, parts: dict[str, float], width:
     return f.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.round(F.coalesce(F.col("_f")[i], F.lit(0.0)), 5)).alias("fused"))
 
 
+def fusion_contribution(df: DataFrame, id_col: str, parts: dict[str, float]) -> DataFrame:
+    """(part, contribution, share): weight times the mean deviation of a part's dimensions."""
+    out = None
+    for name, weight in parts.items():
+        s = long_vectors(df, id_col, name).groupBy("pos").agg(F.stddev_pop("x").alias("_s"))
+        row = s.agg((F.avg("_s") * weight).alias("_c")).select(F.lit(name).alias("part"), "_c")
+        out = row if out is None else out.unionByName(row)
+    total = out.agg(F.sum("_c").alias("_t"))  # one row
+    return out.crossJoin(total).select("part", F.round("_c", 6).alias("contribution"), F.round(F.try_divide("_c", "_t"), 6).alias("share"))
+
+
 def shared_pca(df: DataFrame, id_col: str, vec: str) -> DataFrame:
     """(id, pc1, pc2) on one basis for all rows; the basis comes from a covariance of dimensions squared."""
     from pyspark.ml.feature import PCA

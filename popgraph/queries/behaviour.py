@@ -38,7 +38,8 @@ _AXES = _DOCS + ", ax AS (SELECT doc_id, " + ", ".join(f"{c} AS {a}" for a, c in
 
 
 def axes(s, d):
-    return said(s, d).select("doc_id", *[c.alias(a) for a, c in A.keyword_axes(F.col("t")).items()])
+    low = said(s, d).select("doc_id", F.lower("t").alias("l"))
+    return low.select("doc_id", *[c.alias(a) for a, c in A.keyword_axes(F.col("l")).items()])
 
 
 @query(_AXES + " SELECT * FROM ax")
@@ -167,6 +168,16 @@ def i18_reassign(s, d):
     return M.reassign(e, neighbors(s, d), M.boundary_entities(e, *_E), "label", "embedding", "motif", "vec_id")
 
 
+_PART = lambda n, src: f"SELECT '{n}' AS part, avg(s) AS s FROM (SELECT pos, stddev_pop(x) AS s FROM {src} GROUP BY pos)"
+
+
+@query(_EM + ", sq AS (SELECT pos, x * x AS x FROM lv WHERE pos < 16), pt AS (" + _PART("graph", "lv") + " UNION ALL " + _PART("motif", "sq") + "), cn AS (SELECT part, s * CASE part WHEN 'graph' THEN 0.6 ELSE 0.4 END::DOUBLE AS c FROM pt) SELECT part, round(c, 6) AS contribution, round(c / sum(c) OVER (), 6) AS share FROM cn")
+def i13_fusion_contribution(s, d):
+    v = F.col("embedding").cast("array<double>")
+    e = emb(s, d).select("vec_id", v.alias("graph"), F.transform(F.slice(v, 1, 16), lambda x: x * x).alias("motif"))
+    return M.fusion_contribution(e, "vec_id", {"graph": 0.6, "motif": 0.4})
+
+
 @query()
 def i35_compare_clusterings(s, d):
     return K.compare_clusterings(emb(s, d), "embedding", "vec_id", 8)
