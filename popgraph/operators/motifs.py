@@ -207,3 +207,23 @@ def reassign(df: DataFrame, nb: DataFrame, boundary: DataFrame, label: str, vec:
     j = rows.crossJoin(table).join(links, [id_col, "_label"], "left")
     pull = 0.5 * cosine("_w", "_cm") + 0.3 * F.exp(-distance("_v", "_cv")) + 0.2 * F.coalesce("_c", F.lit(0)) / F.col("_n")
     return j.groupBy(id_col).agg(F.min_by("_label", F.struct(-F.round(pull, 9), "_label")).alias(label))
+
+
+def split_clusters(df: DataFrame, flagged: DataFrame, label: str, vec: str, id_col: str, seed: int = 7) -> DataFrame:
+    """(id, label): each flagged cluster divided by 2-means, the second half under the next free label.
+
+    Labels (one row per cluster) reach the driver, entities do not; clusters of fewer
+    than two rows stay whole.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    top = sizes.agg(F.max(label)).first()[0]
+    chosen = [r[0] for r in sizes.where("_n > 1").join(flagged.select(label), label, "left_semi").orderBy(label).collect()]
+    out = df.where(~F.col(label).isin(chosen)).select(id_col, label) if chosen else df.select(id_col, label)
+    for at, c in enumerate(chosen, 1):
+        v = df.where(F.col(label) == c).select(id_col, label, array_to_vector(F.col(vec).cast("array<double>")).alias("features"))
+        halves = KMeans(k=2, seed=seed).fit(v).transform(v)
+        out = out.unionByName(halves.select(id_col, F.when(F.col("prediction") == 1, top + at).otherwise(F.col(label)).alias(label)))
+    return out

@@ -156,6 +156,13 @@ def i20_split_flags(s, d):
     return M.split_flags(p, tens(p), "user_id", "event_type", 5, 0.5, 0.001)
 
 
+@query()
+def i20_split_clusters(s, d):
+    wide = K.intra_distance(emb(s, d), *_E)
+    flagged = wide.crossJoin(wide.agg(F.avg("mean_distance").alias("_all"))).where("size >= 6 and mean_distance > _all")
+    return M.split_clusters(emb(s, d), flagged, *_E[:2], "vec_id")
+
+
 _PULL = _EM + """, mo AS (SELECT vec_id, label, [abs(x) FOR x IN v[1:8]] AS w FROM em), ml AS (SELECT label, unnest(w) AS x, unnest(range(8)) AS pos FROM mo), mc AS (SELECT label, list(m ORDER BY pos) AS m FROM (SELECT label, pos, avg(x) AS m FROM ml GROUP BY ALL) GROUP BY label),
 bd AS (SELECT vec_id FROM em, ca GROUP BY vec_id, em.label HAVING min(list_distance(v, c)) FILTER (ca.label = em.label) > 0.95 * min(list_distance(v, c)) FILTER (ca.label <> em.label)),
 sz AS (SELECT label, count(*) AS n FROM em GROUP BY label), lk AS (SELECT n.agent_id AS vec_id, e.label, count(*) AS k FROM nb n JOIN em e ON e.vec_id = n.other_id GROUP BY ALL),

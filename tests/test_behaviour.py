@@ -64,3 +64,13 @@ def test_pca_projects_on_the_long_axis(spark):
     rows = [(i, [float(i), 0.0, 0.001 * (i % 3)]) for i in range(30)]
     got = M.shared_pca(spark.createDataFrame(rows, "id int, v array<double>"), "id", "v").collect()
     assert all(abs(abs(r.pc1) - r.id) < 0.01 for r in got)
+
+
+def test_split_divides_only_flagged_clusters(spark):
+    rows = [(i, 0, [float(i % 2) * 9]) for i in range(10)] + [(i, 1, [float(i % 2) * 9]) for i in range(10, 20)] + [(20, 2, [1.0])]
+    df = spark.createDataFrame(rows, "id int, label int, v array<double>")
+    got = {r.id: r.label for r in M.split_clusters(df, spark.createDataFrame([(1,), (2,)], "label int"), "label", "v", "id").collect()}
+    assert len(got) == 21 and all(got[i] == 0 for i in range(10)) and got[20] == 2
+    assert {got[i] for i in range(10, 20, 2)} != {got[i] for i in range(11, 20, 2)} and {got[i] for i in range(10, 20)} == {1, 3}
+    same = {r.id: r.label for r in M.split_clusters(df, df.where("id < 0"), "label", "v", "id").collect()}
+    assert same == {r[0]: r[1] for r in rows}
