@@ -120,8 +120,12 @@ def state_analysis(agents: DataFrame, day_states: DataFrame, contacts: DataFrame
     )
 
 
-def calibrated(probability: dict[str, Column], dormitory: Column, quarantine: Column, phase: Column) -> dict[str, Column]:
-    """Cluster probabilities raised to floors by prevalence, contacts and mean days. Steps of the floors."""
+def calibrated(probability: dict[str, Column], dormitory: Column, quarantine: Column, phase: Column, death: Column | None = None) -> dict[str, Column]:
+    """Cluster probabilities raised to floors by prevalence, contacts and mean days. Steps of the floors.
+
+    With ``death``, the cluster's death factor, also i_d: none before day 7, a floor that
+    grows up to day 14 and none after it.
+    """
     prevalence = F.col("infected") / F.col("size")
     push = F.when(dormitory & (prevalence > 0.05), 2.5).otherwise(1.0) * quarantine * phase
     least = F.when(prevalence < 0.10, 0.020).when(prevalence < 0.30, 0.035).otherwise(0.050)
@@ -129,7 +133,11 @@ def calibrated(probability: dict[str, Column], dormitory: Column, quarantine: Co
     e, i = F.col("avg_days_exposed"), F.col("avg_days_infected")
     onset = F.when(e < 2, 0.0).when(e < 3, 0.05).when(e < 4, 0.15).when(e < 5, 0.25).when(e < 6, 0.30).otherwise(0.35)
     mend = F.when(i < 7, 0.0).when(i < 10, 0.05 + 0.017 * (i - 7)).when(i < 14, 0.10 + 0.025 * (i - 10)).otherwise(0.20 + 0.02 * F.least(i - 14, F.lit(5.0)))
-    return {
+    fatal = {}
+    if death is not None:
+        floor = F.when(i <= 14, 0.002 * 0.3 * death * (i - 7)).otherwise(0.0)
+        fatal["i_d"] = F.when(i < 7, 0.0).otherwise(F.greatest(probability["i_d"], floor))
+    return fatal | {
         "s_e": F.when(F.col("infected") > 0, F.greatest(probability["s_e"] * push, least * near * push)).otherwise(probability["s_e"]),
         "e_i": F.greatest(probability["e_i"], onset), "i_r": F.greatest(probability["i_r"], F.least(mend, F.lit(0.35))),
     }

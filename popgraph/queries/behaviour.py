@@ -117,14 +117,17 @@ def d14_state_analysis(s, d):
     return R.state_analysis(agents(s, d), _day(s, d), contacts(s, d), "cluster_id")
 
 
-@query(_SA + _AG + f""", df AS ({ORACLE_SQL['d12_dormitory_flag']}), qf AS ({ORACLE_SQL['d15_quarantine_factor']}), z AS (SELECT sa.*, infected / size AS prev, CASE WHEN is_dormitory AND infected / size > 0.05 THEN 2.5 ELSE 1.0 END::DOUBLE * factor * 1.5::DOUBLE AS push FROM sa JOIN df USING (cluster_id) JOIN qf USING (cluster_id))
+@query(_SA + _AG + f""", df AS ({ORACLE_SQL['d12_dormitory_flag']}), qf AS ({ORACLE_SQL['d15_quarantine_factor']}), xf AS (SELECT cluster_id, factor AS death FROM ({ORACLE_SQL['d16_death_factor']})), z AS (SELECT sa.*, death, infected / size AS prev, CASE WHEN is_dormitory AND infected / size > 0.05 THEN 2.5 ELSE 1.0 END::DOUBLE * factor * 1.5::DOUBLE AS push FROM sa JOIN df USING (cluster_id) JOIN qf USING (cluster_id) JOIN xf USING (cluster_id))
 SELECT cluster_id, round(CASE WHEN infected > 0 THEN greatest(0.03::DOUBLE * push, (CASE WHEN prev < 0.1 THEN 0.02 WHEN prev < 0.3 THEN 0.035 ELSE 0.05 END)::DOUBLE * greatest(0.3, least(1.0, mean_infected_contacts / 3.0)) * push) ELSE 0.03 END, 6) AS s_e,
  round(greatest(0.1::DOUBLE, CASE WHEN avg_days_exposed < 2 THEN 0.0 WHEN avg_days_exposed < 3 THEN 0.05 WHEN avg_days_exposed < 4 THEN 0.15 WHEN avg_days_exposed < 5 THEN 0.25 WHEN avg_days_exposed < 6 THEN 0.3 ELSE 0.35 END), 6) AS e_i,
- round(greatest(0.05::DOUBLE, least(0.35, CASE WHEN avg_days_infected < 7 THEN 0.0 WHEN avg_days_infected < 10 THEN 0.05 + 0.017::DOUBLE * (avg_days_infected - 7) WHEN avg_days_infected < 14 THEN 0.1 + 0.025::DOUBLE * (avg_days_infected - 10) ELSE 0.2 + 0.02::DOUBLE * least(avg_days_infected - 14, 5.0) END)), 6) AS i_r FROM z""")
+ round(greatest(0.05::DOUBLE, least(0.35, CASE WHEN avg_days_infected < 7 THEN 0.0 WHEN avg_days_infected < 10 THEN 0.05 + 0.017::DOUBLE * (avg_days_infected - 7) WHEN avg_days_infected < 14 THEN 0.1 + 0.025::DOUBLE * (avg_days_infected - 10) ELSE 0.2 + 0.02::DOUBLE * least(avg_days_infected - 14, 5.0) END)), 6) AS i_r,
+ round(CASE WHEN avg_days_infected < 7 THEN 0.0 WHEN avg_days_infected <= 14 THEN greatest(0.004::DOUBLE, 0.0006::DOUBLE * death * (avg_days_infected - 7)) ELSE 0.004 END, 6) AS i_d FROM z""")
 def h23_calibrate_cluster(s, d):
     a = profiles(s, d)
     j = R.state_analysis(a, _day(s, d), contacts(s, d), "cluster_id").join(X.dormitory_flags(a, "cluster_id"), "cluster_id").join(X.quarantine_factor(a, "cluster_id"), "cluster_id")
-    p = R.calibrated({"s_e": F.lit(0.03), "e_i": F.lit(0.1), "i_r": F.lit(0.05)}, F.col("is_dormitory"), F.col("factor"), F.lit(1.5))
+    j = j.join(X.death_factor(a, _day(s, d), "cluster_id").withColumnRenamed("factor", "death"), "cluster_id")
+    start = {"s_e": F.lit(0.03), "e_i": F.lit(0.1), "i_r": F.lit(0.05), "i_d": F.lit(0.004)}
+    p = R.calibrated(start, F.col("is_dormitory"), F.col("factor"), F.lit(1.5), F.col("death"))
     return j.select("cluster_id", *[F.round(c, 6).alias(n) for n, c in p.items()])
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from popgraph.queries import base, behaviour, entities, features, networks, panels, quality, streams  # noqa: F401  the modules register on import
+from popgraph.queries import base, behaviour, entities, features, networks, panels, quality, samples, streams  # noqa: F401  the modules register on import
 
 
 def queries() -> dict:
