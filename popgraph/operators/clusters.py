@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from popgraph.operators.retrieval import cosine, top_per_group
+from popgraph.functions.draws import uniform
 from popgraph.plans.stage import stage
 
 
@@ -159,11 +160,37 @@ def coarse_cluster(df: DataFrame, vec: str, id_col: str, k: int, seed: int = 7,
     return model.transform(v).select(id_col, F.col("prediction").alias("cluster_id"))
 
 
-def compare_clusterings(df: DataFrame, vec: str, id_col: str, k: int) -> DataFrame:
-    """(method, clusters, silhouette, calinski_harabasz) of k-means and bisecting k-means."""
+def power_iteration(df: DataFrame, links: DataFrame, vec: str, id_col: str, k: int, rounds: int = 20) -> DataFrame:
+    """(id, cluster_id) by power iteration over ``links`` (src, dst), each weighed by exp(-distance) of its ends.
+
+    Either direction of a link counts once, loops do not; entities without links get no
+    label. The start is random: from the degrees, groups of like structure end at one
+    value and can't be told apart. It is seeded by partition, so labels may change with
+    the partitioning.
+    """
+    from pyspark.ml.clustering import PowerIterationClustering
+
+    pairs = links.select(F.least("src", "dst").cast("long").alias("src"), F.greatest("src", "dst").cast("long").alias("dst")).where("src <> dst").distinct()
+    end = lambda name, v: df.select(F.col(id_col).cast("long").alias(name), F.col(vec).cast("array<double>").alias(v))
+    w = pairs.join(end("src", "_a"), "src").join(end("dst", "_b"), "dst").select("src", "dst", F.exp(-distance("_a", "_b")).alias("weight"))
+    w = stage(w, "power-iteration")
+    if w.isEmpty():
+        return df.select(id_col, F.lit(0).alias("cluster_id")).limit(0)
+    model = PowerIterationClustering(k=k, maxIter=rounds, initMode="random", srcCol="src", dstCol="dst", weightCol="weight")
+    return model.assignClusters(w).select(F.col("id").alias(id_col), F.col("cluster").alias("cluster_id"))
+
+
+def compare_clusterings(df: DataFrame, vec: str, id_col: str, k: int, links: DataFrame | None = None) -> DataFrame:
+    """(method, clusters, silhouette, calinski_harabasz) of k-means, bisecting k-means, random labels and, with ``links``, power iteration."""
+    labels = {
+        "kmeans": coarse_cluster(df, vec, id_col, k), "bisecting": coarse_cluster(df, vec, id_col, k, bisecting=True),
+        "random": df.select(id_col, F.floor(uniform(F.col(id_col), "labels") * k).cast("int").alias("cluster_id")),
+    }
+    if links is not None:
+        labels["power_iteration"] = power_iteration(df, links, vec, id_col, k)
     out = None
-    for method, bisecting in (("kmeans", False), ("bisecting", True)):
-        x = df.select(id_col, vec).join(coarse_cluster(df, vec, id_col, k, bisecting=bisecting), id_col)
+    for method, told in labels.items():
+        x = df.select(id_col, vec).join(told, id_col)
         scores = silhouette(x, "cluster_id", vec, id_col).agg(F.avg("silhouette_sq").alias("silhouette"), F.countDistinct("cluster_id").alias("clusters"))
         row = scores.crossJoin(ch_index(x, "cluster_id", vec, id_col)).select(F.lit(method).alias("method"), "clusters", "silhouette", "calinski_harabasz")
         out = row if out is None else out.unionByName(row)

@@ -190,7 +190,8 @@ def i13_fusion_contribution(s, d):
 
 @query()
 def i35_compare_clusterings(s, d):
-    return K.compare_clusterings(emb(s, d), "embedding", "vec_id", 8)
+    links = neighbors(s, d).select(F.col("agent_id").alias("src"), F.col("other_id").alias("dst"))
+    return K.compare_clusterings(emb(s, d), "embedding", "vec_id", 8, links)
 
 
 @query()

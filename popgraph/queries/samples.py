@@ -1,9 +1,10 @@
-"""Queries of training samples, scenario profiles and cluster descriptions."""
+"""Queries of training samples, scenario profiles, archetypes and cluster descriptions."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from popgraph.operators import archetypes as T
 from popgraph.operators import panel as P
 from popgraph.operators import samples as S
 from popgraph.operators import scenarios as C
@@ -142,3 +143,18 @@ def h27_describe_cluster(s, d):
         told = C.top_entries(df, "cluster_id", "name", "v").select(F.lit(style).alias("style"), "cluster_id", C.describe_cluster(F.col("top"), style).alias("description"))
         out = told if out is None else out.unionByName(told)
     return out
+
+
+def described(s, d):
+    ax = axes(s, d)
+    return ax.select("doc_id", F.concat_ws(" ", *[F.translate(F.col(a), "_", " ") for a in ax.columns if a != "doc_id"]).alias("description"))
+
+
+@query()
+def i7_archetypes(s, d):
+    return T.archetypes(described(s, d), "doc_id")[0]
+
+
+@query()
+def i7_archetype_catalogue(s, d):
+    return T.archetypes(described(s, d), "doc_id")[1]

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from popgraph.operators import archetypes as T
+from popgraph.operators import clusters as K
 from popgraph.operators import risk as R
 from popgraph.operators import samples as S
 from popgraph.operators import scenarios as C
@@ -96,3 +98,33 @@ def test_death_floor(spark):
     df = spark.createDataFrame(rows, "avg_days_infected double, death double").withColumns({"infected": F.lit(0), "size": F.lit(1), "mean_infected_contacts": F.lit(0.0), "avg_days_exposed": F.lit(0.0)})
     p = R.calibrated({k: F.lit(0.004) for k in ("s_e", "e_i", "i_r", "i_d")}, F.lit(False), F.lit(1.0), F.lit(1.0), F.col("death"))
     assert [round(r[0], 6) for r in df.select(p["i_d"]).collect()] == [0.0, 0.004, 0.018, 0.147, 0.004]
+
+
+def test_archetypes_join_like_descriptions(spark):
+    bird, fish = ["red bird flies", "red bird sings", "red bird eats"], ["blue fish swims", "blue fish dives", "blue fish sleeps"]
+    rows = [(i, 0, (bird + fish)[i % 6]) for i in range(60)] + [(60, 0, None), (61, 1, "blue fish dives"), (61, 0, "red bird sings"), (61, 0, "zebra")]
+    df = T.first_descriptions(spark.createDataFrame(rows, "e int, t int, text string"), "e", "t", "text")
+    entities, catalogue = T.archetypes(df, "e", k=2, terms=64, dims=3)
+    got = {r.e: r for r in entities.collect()}
+    assert sorted(got) == [*range(60), 61] and all(len(r.profile) == 3 and sum(r.one_hot) == 1 and r.one_hot[r.archetype] == 1 for r in got.values())
+    first = got[0].archetype
+    assert all((got[i].archetype == first) == (i % 6 < 3) for i in range(60)) and got[61].archetype == first
+    told = {r.archetype: r for r in catalogue.collect()}
+    assert told[first].entities == 31 and told[first].example == "red bird sings" and told[1 - first].descriptions == 3
+
+
+def test_archetypes_of_few_and_none(spark):
+    one = spark.createDataFrame([(1, "calm"), (2, "calm"), (3, "")], "e int, description string")
+    entities, catalogue = T.archetypes(one, "e")
+    assert entities.count() == 3 and {r.entities for r in catalogue.collect()} == {1, 2}
+    single = T.archetypes(one.where("e < 3"), "e")
+    assert {(r.e, r.archetype, tuple(r.one_hot)) for r in single[0].collect()} == {(1, 0, (1.0,)), (2, 0, (1.0,))}
+    assert [x.count() for x in T.archetypes(one.limit(0), "e")] == [0, 0]
+
+
+def test_power_iteration_parts_two_groups(spark):
+    df = spark.createDataFrame([(i, [float(i // 4) * 9, i % 4 * 0.1]) for i in range(8)] + [(8, [0.0, 0.0])], "id int, v array<double>")
+    links = spark.createDataFrame([(a, b) for g in (0, 4) for a in range(g, g + 4) for b in range(g, g + 4)] + [(3, 4)], "src int, dst int")
+    got = {r.id: r.cluster_id for r in K.power_iteration(df, links, "v", "id", 2).collect()}
+    assert sorted(got) == list(range(8)) and len({got[i] for i in range(4)}) == len({got[i] for i in range(4, 8)}) == 1 and got[0] != got[7]
+    assert K.power_iteration(df, links.limit(0), "v", "id", 2).count() == 0
