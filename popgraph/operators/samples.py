@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from popgraph.operators.clusters import long_vectors
 from popgraph.operators.features import dormitory_flags, flag
 from popgraph.operators.panel import STATES, by_agent, transition_rates
+from popgraph.plans.stage import stage
 
 #: Occupations of high exposure; days that count as long in a state.
 EXPOSED_JOBS = ("healthcare_worker", "teacher", "retail_worker")
@@ -27,8 +28,13 @@ def _is(state: str, *more: str) -> Column:
 
 
 def _population(agents: DataFrame, panel: DataFrame, cluster: str) -> tuple[DataFrame, DataFrame]:
-    """The panel without a cluster of its own, and the entities of it that have a profile and a cluster."""
-    return panel.drop(cluster), agents.where(F.col(cluster).isNotNull()).join(panel.select("agent_id").distinct(), "agent_id", "left_semi")
+    """The panel without a cluster of its own, and the entities of it that have a profile and a cluster.
+
+    The entities are written once: every part reads them. A panel that is not a table
+    yet is better written by the caller.
+    """
+    people = agents.where(F.col(cluster).isNotNull()).join(panel.select("agent_id").distinct(), "agent_id", "left_semi")
+    return panel.drop(cluster), stage(people, "samples-people")
 
 
 def profile_part(agents: DataFrame, cluster: str) -> DataFrame:
@@ -81,10 +87,13 @@ def cluster_tabular(agents: DataFrame, panel: DataFrame, neighbors: DataFrame, e
     count. Clusters without links, embeddings or entities in a state get zeros there; the
     trend is 0.5 until three days have passed.
     """
-    panel, people = _population(agents, panel, cluster)
+    return _tabular(*_population(agents, panel, cluster), neighbors, embeddings, cluster)
+
+
+def _tabular(panel: DataFrame, people: DataFrame, neighbors: DataFrame, embeddings: DataFrame, cluster: str) -> DataFrame:
     here = people.select("agent_id", F.col(cluster).alias("_own"), "household_id", "age")
     there = people.select(F.col("agent_id").alias("other_id"), F.col(cluster).alias("_other"), F.col("household_id").alias("_household"), F.col("age").alias("_age"))
-    links = neighbors.select("agent_id", "other_id").join(here, "agent_id").join(there, "other_id")
+    links = stage(neighbors.select("agent_id", "other_id").join(here, "agent_id").join(there, "other_id"), "samples-links")
     vectors = long_vectors(embeddings.join(people.select("agent_id", cluster), "agent_id"), "agent_id", "embedding", cluster)
     pooled = vectors.groupBy(cluster).agg(F.avg("x").alias("pooled"), F.stddev_pop("x").alias("pooled_std"))
     days = day_part(people, links, panel, cluster)
@@ -118,7 +127,10 @@ def cluster_sequence(agents: DataFrame, panel: DataFrame, cluster: str = "cluste
     Shares of the states, new E from S and new I from E, active share, contact rate (by
     dormitory) and policy stringency.
     """
-    panel, people = _population(agents, panel, cluster)
+    return _sequence(*_population(agents, panel, cluster), cluster, days)
+
+
+def _sequence(panel: DataFrame, people: DataFrame, cluster: str, days: int = 7) -> DataFrame:
     p = panel.withColumn("_b", F.lag("state").over(by_agent())).join(people.select("agent_id", cluster), "agent_id")
     new = lambda a, b: F.avg(flag(_is(b) & (F.col("_b") == a)))
     g = p.groupBy(cluster, "day").agg(*[F.avg(flag(_is(s))).alias(s) for s in STATES], new("S", "E").alias("new_e"), new("E", "I").alias("new_i"))
@@ -142,7 +154,7 @@ def training_samples(agents: DataFrame, panel: DataFrame, neighbors: DataFrame,
     panel, people = _population(agents, panel, cluster)
     rates = transition_rates(panel.join(people.select("agent_id", cluster), "agent_id"), keys)
     labels = rates.select(*keys, F.array(*[F.col(c) for c in rates.columns if c not in keys]).alias("labels"))
-    tabular = cluster_tabular(agents, panel, neighbors, embeddings, cluster).withColumnRenamed("features", "tabular")
-    temporal = cluster_sequence(agents, panel, cluster).withColumnRenamed("sequence", "temporal")
+    tabular = _tabular(panel, people, neighbors, embeddings, cluster).withColumnRenamed("features", "tabular")
+    temporal = _sequence(panel, people, cluster).withColumnRenamed("sequence", "temporal")
     graph = pooled_embedding(people, embeddings, cluster).withColumnRenamed("embedding", "graph")
     return labels.join(tabular, keys).join(temporal, keys).join(graph, cluster, "left").select(*keys, "tabular", "temporal", "graph", "labels")

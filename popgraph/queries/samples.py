@@ -8,6 +8,7 @@ from popgraph.operators import archetypes as T
 from popgraph.operators import panel as P
 from popgraph.operators import samples as S
 from popgraph.operators import scenarios as C
+from popgraph.plans.stage import stage
 from popgraph.queries.base import neighbors, query, read
 from popgraph.queries.behaviour import _AXES, axes
 from popgraph.queries.features import _AG, _flag, _vec, profiles
@@ -15,6 +16,11 @@ from popgraph.queries.panels import _NEXT, _RATE, panel
 from popgraph.queries.quality import _EM, _T5, emb
 
 
+def written_panel(s, d):
+    """The panel of the events as a table: its windows run once."""
+    return stage(panel(s, d), "panel")
+
+
 def vectors(s, d):
     return emb(s, d).select(F.col("vec_id").alias("agent_id"), "embedding")
 
@@ -43,7 +49,7 @@ tb AS (SELECT cluster_id, day, """ + _vec(
 
 @query(_TAB + " SELECT * FROM tb")
 def d17_cluster_tabular(s, d):
-    return S.cluster_tabular(profiles(s, d), panel(s, d), neighbors(s, d), vectors(s, d))
+    return S.cluster_tabular(profiles(s, d), written_panel(s, d), neighbors(s, d), vectors(s, d))
 
 
 _NEW = lambda a, b: f"avg((state = '{b}' AND coalesce(b, '') = '{a}')::INTEGER)"
@@ -56,14 +62,14 @@ sq AS (SELECT cluster_id, day, list_concat([0.0::DOUBLE FOR i IN range(10 * (8 -
 
 @query(_PEOPLE + _SEQ + " SELECT * FROM sq")
 def e7_cluster_sequence(s, d):
-    return S.cluster_sequence(profiles(s, d), panel(s, d)).withColumn("sequence", F.flatten("sequence"))
+    return S.cluster_sequence(profiles(s, d), written_panel(s, d)).withColumn("sequence", F.flatten("sequence"))
 
 
 @query(_TAB + _SEQ + _NEXT + f""", lb AS (SELECT cluster_id, day, {_RATE} FROM nx JOIN (SELECT agent_id FROM pe) USING (agent_id) WHERE n IS NOT NULL GROUP BY cluster_id, day),
 gm AS (SELECT cluster_id, pos, round(avg(x), 6) AS m FROM lv JOIN pe ON agent_id = vec_id GROUP BY ALL), gr AS (SELECT cluster_id, list(m ORDER BY pos) AS graph FROM gm GROUP BY cluster_id)
 SELECT cluster_id, day, features AS tabular, sequence AS temporal, graph, [{', '.join(_T5)}] AS labels FROM lb JOIN tb USING (cluster_id, day) JOIN sq USING (cluster_id, day) LEFT JOIN gr USING (cluster_id)""")
 def d20_training_samples(s, d):
-    return S.training_samples(profiles(s, d), panel(s, d), neighbors(s, d), vectors(s, d)).withColumn("temporal", F.flatten("temporal"))
+    return S.training_samples(profiles(s, d), written_panel(s, d), neighbors(s, d), vectors(s, d)).withColumn("temporal", F.flatten("temporal"))
 
 
 #: The scenario that an event type stands for; a day of a user is a trace.
