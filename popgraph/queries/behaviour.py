@@ -9,6 +9,7 @@ from popgraph.operators import clusters as K
 from popgraph.operators import features as X
 from popgraph.operators import motifs as M
 from popgraph.operators import risk as R
+from popgraph.operators import text as T
 from popgraph.plans.stage import new_path
 from popgraph.queries.base import ORACLE_SQL, agents, neighbors, query, read
 from popgraph.queries.entities import _DOCS, _NBS, _P15, _day, said
@@ -32,6 +33,11 @@ def _n(words):
     return "(" + " + ".join(f"contains(l, '{w}')::INTEGER" for w in words) + ")"
 
 
+@query(_DOCS + f", lo AS (SELECT doc_id, lower(coalesce(t, '')) AS l FROM tx) SELECT doc_id, CAST({_n(T.TOOLS)} AS BIGINT) AS tools FROM lo")
+def h6_tools_mentioned(s, d):
+    return said(s, d).select("doc_id", T.hits(F.lower(F.coalesce("t", F.lit(""))), T.TOOLS).cast("long").alias("tools"))
+
+
 _AX = {axis: "CASE " + " ".join(f"WHEN {_any(w)} THEN '{label}'" for label, w in rules) + f" ELSE '{default}' END" for axis, (rules, default) in A.AXES.items()}
 _AX["risk_posture"] = f"CASE WHEN {_any(A.IGNORING)} THEN 'risk_ignoring' WHEN {_n(A.AVERSE)} > {_n(A.MINIMIZING)} THEN 'risk_averse' WHEN {_n(A.MINIMIZING)} > {_n(A.AVERSE)} THEN 'risk_minimizing' WHEN {_any(A.WATCHING)} THEN 'risk_averse' ELSE 'risk_neutral' END"
 _AXES = _DOCS + ", ax AS (SELECT doc_id, " + ", ".join(f"{c} AS {a}" for a, c in _AX.items()) + " FROM (SELECT doc_id, lower(coalesce(t, '')) AS l FROM tx))"
