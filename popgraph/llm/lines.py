@@ -1,10 +1,12 @@
 """Line deduplication by pairwise alignment.
 
-Documents that share rare lines are paired: each document with the earliest one that
-holds the line. A pair is aligned by patience diff, and blocks of aligned lines go from
-the later document. A line is rare if at most ``max_df`` documents hold it; so that no
-document of a large group goes unpaired, its rarest shared lines count whatever their
-number. A line leads to one partner, so pairs grow with the lines, not their squares.
+Documents that share a run of ``min_lines`` lines are paired, however many hold it: each
+document with the earliest one that holds the run. A pair is aligned by patience diff, and
+blocks of aligned lines go from the later document. Every block holds such a run, and the
+run's earliest holder has it whole. Where that partner has the run in another order among
+its lines, single lines lead to more partners: those of at most ``max_df`` documents and
+the rarest of a document. A run or line leads to one partner, so pairs grow with the
+lines, not their squares.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -132,6 +134,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _marks(min_lines: int) -> Column:
+    """Distinct lines of a document (positive) and hashes of its runs of ``min_lines`` lines, blank ones aside (negative)."""
+    full = F.filter("lines", lambda x: x != 0)
+    starts = F.when(F.size(full) >= min_lines, F.sequence(F.lit(1), F.size(full) - (min_lines - 1))).otherwise(F.array().cast("array<int>"))
+    runs = F.transform(starts, lambda i: F.xxhash64(F.slice(full, i, min_lines)).bitwiseOR(F.lit(-(1 << 63))))
+    return F.array_distinct(F.concat(full, runs))
+
+
 def remove_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_df: int = MAX_DF, min_lines: int = MIN_LINES) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_text), one row per row of ``docs``.
 
@@ -153,12 +163,13 @@ def remove_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own = stage(rows.join(firsts, "key", "left_semi").groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("lines").alias("lines")), "lines-own")
     copies = rows.select("key").distinct().join(firsts, "key", "left_anti").select("key", F.lit(True).alias("copy"))
 
-    held = own.select("doc_id", "key", F.explode(F.array_distinct("lines")).alias("line")).where("line <> 0")
+    held = own.select("doc_id", "key", F.explode(_marks(min_lines)).alias("line"))
     shared = held.groupBy("line").agg(F.count(F.lit(1)).alias("df"), F.min(F.struct("doc_id", "key")).alias("holder")).where("df > 1")
     shared = stage(shared.select("line", "df", F.col("holder.key").alias("earlier")), "lines-shared")
     of_doc = W.partitionBy("key")
     led = held.select("key", "line").join(shared, "line").where("key <> earlier")
-    led = led.withColumn("rarest", F.min("df").over(of_doc)).where((F.col("df") <= max_df) | (F.col("df") == F.col("rarest")))
+    led = led.withColumn("rarest", F.min(F.when(F.col("line") > 0, F.col("df"))).over(of_doc))
+    led = led.where((F.col("line") < 0) | (F.col("df") <= max_df) | (F.col("df") == F.col("rarest")))
     pairs = stage(led.select("key", "earlier").distinct(), "lines-pairs")
     sides = stage(own.select("key", "lines"), "lines-sides")
     left = pairs.join(sides.select(F.col("key").alias("earlier"), F.col("lines").alias("before")), "earlier")

@@ -283,3 +283,32 @@ def test_neighbours(spark):
     assert hits / total >= 0.9 and u.shape == v.shape
     assert [i for _, i, _ in sorted(got[0])] == [1500, 1501, 1502, 1503, 1504]
     assert neighbours.nearest(df.limit(0), every=50).count() == 0
+
+
+def test_lines_of_frequent_passages(spark):
+    # the passage is in more than max_df documents; documents 4 to 7 share a rarer line with one that lacks it
+    texts = {0: "rare\nzero", 1: "p1\np2\np3", **{i: f"rare\nown {i}\np1\np2\np3" for i in range(4, 8)}}
+    # two frequent passages of unlike frequency
+    texts |= {10: "q1\nq2", 11: "r1\nr2", 12: "q1\nq2\nx12", 13: "r1\nr2\nx13", 14: "r1\nr2\nx14", 15: "q1\nq2\nx15\nr1\nr2"}
+    # the lines of the passage come singly before they come together
+    texts |= {20: "a1\nx20", 21: "a2\nx21", 22: "a3\nx22", 23: "x23\na1\n\na2\na3", 24: "a1\na2\n\na3\nx24"}
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    kept = {r.doc_id: r.kept_text for r in lines.remove_common_lines(df, max_df=2).collect()}
+    want = texts | {i: f"rare\nown {i}" for i in range(4, 8)} | {12: "x12", 13: "x13", 14: "x14", 15: "x15", 24: "\nx24"}
+    assert kept == want
+
+
+@pytest.mark.parametrize("size", [1, 2, 3])
+def test_lines_runs_find_every_block(spark, size):
+    rng = np.random.default_rng(size)
+    bound = ["\n".join(f"{k} {j}" for j in range(3)) for k in range(9)]
+    texts = ["\n".join(bound[k] if rng.random() < 0.7 else f"own {i} {k}" for k in range(9)) for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        ls = t.split("\n")
+        runs = [tuple(ls[k : k + size]) for k in range(len(ls) - size + 1)]
+        gone = {k + j for k, r in enumerate(runs) if r in seen for j in range(size)}
+        want[i] = "\n".join(x for k, x in enumerate(ls) if k not in gone)
+        seen |= set(runs)
+    assert {r.doc_id: r.kept_text for r in lines.remove_common_lines(df, max_df=2, min_lines=size).collect()} == want
