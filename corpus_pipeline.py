@@ -7,22 +7,33 @@ table passes through every stage; columns beside those of documents are carried
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from popgraph.llm import bpe, exact_dedup, language, mixing, simhash
+from popgraph.llm.common import with_group
 from popgraph.llm.queries import table, vocabulary
 from popgraph.plans.stage import new_path, small_enough, stage
 
-#: Dropped ids that are broadcast; more are joined by a shuffle.
+#: Dropped rows whose ids are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
 
+def _mark() -> Column:
+    """SHA-256 of the text with A-Z lower-cased: with the id it tells what row a decision is on."""
+    folded = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.unhex(F.sha2(folded, 256))
+
+
+def _same(docs: DataFrame) -> Column:
+    return docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (docs["_mark"] == F.col("_of"))
+
+
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is not in ``dropped`` (doc_id)."""
-    ids = stage(dropped.select(F.col("doc_id").alias("_gone")).distinct(), "pipeline-dropped")
+    """Rows of ``docs`` (with _mark) that are not in ``dropped`` (_id, _of)."""
+    ids = stage(dropped.distinct(), "pipeline-dropped")
     small = F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids
-    return docs.join(small, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(small, _same(docs), "left_anti")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,22 +45,23 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id; of rows that repeat it, one."""
     groups = stage(exact_dedup.exact_groups(docs), "pipeline-exact")
-    kept = _without(docs, groups.where("not kept"))
-    again = groups.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = stage(again.select(F.col("doc_id").alias("_again")), "pipeline-again")
+    groups = groups.select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_of"), "kept")
+    kept = _without(docs.withColumn("_mark", _mark()), groups.where("not kept").drop("kept"))
+    again = groups.where("kept").groupBy("_id", "_of").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = stage(again.drop("n"), "pipeline-again")
     if again.isEmpty():
-        return kept
-    # ids that came more than once: one row of each text
-    at = kept["doc_id"].cast("long").eqNullSafe(F.col("_again"))
-    folded = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    once = kept.join(again, at, "left_semi").withColumn("_folded", folded).dropDuplicates(["doc_id", "_folded"]).drop("_folded")
-    return kept.join(again, at, "left_anti").unionByName(once)
+        return kept.drop("_mark")
+    once = kept.join(again, _same(kept), "left_semi").dropDuplicates(["doc_id", "_mark"])
+    return kept.join(again, _same(kept), "left_anti").unionByName(once).drop("_mark")
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each SimHash component."""
-    groups = simhash.near_groups(docs)
-    return _without(docs, groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """The document with the smallest doc_id of each SimHash component; of unlike texts that have this id, one."""
+    groups = stage(simhash.near_groups(docs, mark=_mark()), "pipeline-near")
+    least = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    of_least = with_group(groups.where(least), ["component"], "mark", {"first": ("min", "mark")})
+    dropped = groups.where(~least).select("doc_id", "mark").unionByName(of_least.where("mark <> first").select("doc_id", "mark"))
+    return _without(docs.withColumn("_mark", _mark()), dropped.toDF("_id", "_of")).drop("_mark")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

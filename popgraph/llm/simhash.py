@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from popgraph.llm.common import slices
@@ -56,13 +56,14 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for whole in batches:
         for b in slices(whole):
             f = np.array([simhash(t) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *b.schema.names[2:]])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp), a row per row of ``docs``; fp holds the 64 bits as a signed long."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: Column | None = None) -> DataFrame:
+    """(doc_id, fp), a row per row of ``docs``; fp holds the 64 bits as a signed long. ``mark``, a binary, goes along."""
+    more = [] if mark is None else [mark.alias("mark")]
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
+    return source.mapInArrow(_fingerprints, "doc_id long, fp long" + ", mark binary" * len(more))
 
 
 def _code() -> tuple[np.ndarray, np.ndarray]:
@@ -176,20 +177,23 @@ def links(distinct: DataFrame, threshold: int = 2, heavy: int = HEAVY) -> DataFr
     return light.unionByName(rest)
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2, heavy: int = HEAVY) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2, heavy: int = HEAVY, mark: Column | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row per row of ``docs``.
 
     Words are runs without ASCII white space, A-Z lower-cased; a null or wordless text
     has fingerprint zero. ``component_id`` is the smallest id in reach over links, the
     row's own included; null ids link but are never the smallest. Repeated rows and
     equal texts share a fingerprint. An empty table gives an empty result. Only the id
-    and the text are looked at.
+    and the text are looked at. Given ``mark``, a column of ``docs``, rows have it too, and
+    ``component``, which differs between components that have one smallest id.
     """
-    rows = stage(fingerprints(docs, id_col, text_col), "simhash-rows")
+    rows = stage(fingerprints(docs, id_col, text_col, mark), "simhash-rows")
     own = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-own")
     comp = connected_components(links(own, threshold, heavy), "a", "b")
     placed = own.join(comp, own["fp"] == comp["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("comp"))
     placed = stage(placed, "simhash-placed")
     least = stage(placed.groupBy("comp").agg(F.min("least").alias("component_id")), "simhash-least")
-    ids = stage(placed.join(least, "comp").select("fp", "component_id"), "simhash-ids")
-    return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    more = [] if mark is None else [F.col("comp").alias("component")]
+    ids = stage(placed.join(least, "comp").select("fp", "component_id", *more), "simhash-ids")
+    more = [] if mark is None else ["component", "mark"]
+    return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *more)

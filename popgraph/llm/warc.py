@@ -39,14 +39,18 @@ def sha1_base32(text: Column) -> Column:
     return F.concat(*out)
 
 
+def payload_key() -> tuple[Column, Column]:
+    return F.sha2("html", 256).alias("digest"), F.octet_length("html").cast("long").alias("n")
+
+
 def revisits(pages: DataFrame, at_least: int = 0) -> DataFrame:
-    """(page_id, refers_to) of the pages whose payload a smaller page_id has too."""
-    rows = pages.select("page_id", F.octet_length("html").cast("long").alias("n"), F.sha2("html", 256).alias("digest"))
+    """(page_id, digest, n, refers_to) of the pages whose payload, of n bytes, a smaller page_id has too."""
+    rows = pages.select("page_id", *payload_key())
     rows = stage(rows.where(F.col("page_id").isNotNull() & (F.col("n") >= at_least)), "warc-digests")
     more = stage(rows.groupBy("digest", "n").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "warc-more")
     of_groups = rows.join(more.drop("c"), ["digest", "n"], "left_semi")
     first = with_group(of_groups, ["digest", "n"], "page_id", {"refers_to": ("min", "page_id")})
-    return first.where("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    return first.where("page_id <> refers_to").select("page_id", "digest", "n", "refers_to").distinct()
 
 
 def write_warc(
@@ -57,14 +61,15 @@ def write_warc(
     Of rows with equal payloads of at least ``at_least`` bytes, those with the smallest
     page_id are responses and the others revisit it. A null html is an empty payload, a
     null url is left out, white space in a url is percent-encoded. Rows without a
-    page_id are responses; rows that repeat the smallest page_id are responses too.
+    page_id are responses; rows that repeat the smallest page_id are responses too. Rows
+    of one page_id and unlike payloads are told apart by the payload's digest.
     """
     p = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")
     )
     again = stage(revisits(p, at_least), "warc-revisits")
     few = small_enough(again, BROADCAST_REVISITS)
-    p = p.join(F.broadcast(again) if few else again, "page_id", "left")
+    p = p.select("*", *payload_key()).join(F.broadcast(again) if few else again, ["page_id", "digest", "n"], "left")
     page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     size = F.octet_length("html").cast("string")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size, F.lit(END))

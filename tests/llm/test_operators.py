@@ -250,6 +250,13 @@ def test_warc(spark, tmp_path):
     assert warc.read_warc(spark, f"{tmp_path}/e").count() == 0
 
 
+def test_warc_repeated_ids(spark, tmp_path):
+    data = [(1, "u", "x"), (2, "u", "x"), (2, "u", "y"), (3, "u", "y"), (3, "u", "z")]
+    warc.write_warc(spark.createDataFrame(data, "page_id long, url string, html string"), f"{tmp_path}/w")
+    got = Counter((r.page_id, r.record_type, r.refers_to, bytes(r.payload)) for r in warc.read_warc(spark, f"{tmp_path}/w").collect())
+    assert got == Counter([(1, "response", None, b"x"), (2, "revisit", 1, b""), (2, "response", None, b"y"), (3, "revisit", 2, b""), (3, "response", None, b"z")])
+
+
 def test_lines(docs, empty, spark):
     block = "alpha line\nbeta line\ngamma line"
     texts = ["first\n" + block + "\nend", "second\n" + block + "\nother", "alone", "first\n" + block + "\nend", None, "", "beta line\nalone?"]

@@ -25,3 +25,28 @@ def test_stages(spark):
 @pytest.mark.parametrize("stage", cp.STAGES, ids=lambda s: s[0])
 def test_empty(spark, stage):
     assert stage[1](spark, spark.createDataFrame([], DOCS), "").count() == 0
+
+
+def _ids(df):
+    return sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in df.collect())
+
+
+def test_repeated_ids(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcdefg"}
+    rows = [(5, text["a"]), (None, text["a"]), (None, text["b"]), (None, text["b"]), (7, text["c"]), (9, text["c"].upper()), (7, text["d"]), (9, text["e"])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 1, "e") for i, t in rows], DOCS)
+    want = [(-1, text["b"]), (5, text["a"]), (7, text["d"]), (9, text["c"].upper()), (9, text["e"])]
+    assert _ids(cp.without_copies(spark, docs, "")) == want
+
+
+def test_repeated_ids_of_near_copies(spark):
+    # equal but for white space: one fingerprint
+    text = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcdefg"}
+    near = {k: t.replace(" ", "  ") for k, t in text.items()}
+    rows = [(3, text["a"]), (5, near["a"]), (5, text["b"]), (None, near["b"]), (None, text["c"]), (5, text["d"]), (8, near["d"]), (8, text["e"])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 1, "e") for i, t in rows], DOCS)
+    want = [(-1, text["c"]), (3, text["a"]), (5, text["b"]), (5, text["d"]), (8, text["e"])]
+    assert _ids(cp.without_near_copies(spark, docs, "")) == want
+    # one id, two near copies: one stays
+    twice = spark.createDataFrame([(i, t, "en", "s", 1, 1, "e") for i, t in [(4, text["f"]), (4, near["f"]), (4, text["g"])]], DOCS)
+    assert len(got := _ids(cp.without_near_copies(spark, twice, ""))) == 2 and (4, text["g"]) in got
