@@ -17,12 +17,13 @@ def canonical_pairs(df: DataFrame, a: str = "agent_1", b: str = "agent_2") -> Da
     return df.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("agent_1"), F.greatest(a, b).alias("agent_2")).distinct()
 
 
-def household_edges(agents: DataFrame, key: str = "household_id", rate: float = 0.95, max_size: int = 50) -> DataFrame:
-    """Complete graph in each household; larger groups than ``max_size`` are no households."""
-    small = agents.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= max_size).select(key)
-    a = agents.select("agent_id", key).join(small, key)
-    b = a.select(F.col("agent_id").alias("_b"), F.col(key).alias("_k"))
-    pairs = a.join(b, (F.col(key) == F.col("_k")) & (F.col("agent_id") < F.col("_b")))
+def household_edges(agents: DataFrame, key: str = "household_id", rate: float = 0.95, block: int = 50) -> DataFrame:
+    """Complete graph in each household; one of more than ``block`` members is dealt out in blocks of about so many."""
+    n = agents.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n"))
+    sized = agents.select("agent_id", key).join(n, key)
+    a = sized.withColumn("_at", F.pmod(F.xxhash64("agent_id"), F.col("_n")).cast("int"))
+    b = sized.select(F.col("agent_id").alias("_b"), F.col(key).alias("_k"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_block"))
+    pairs = a.join(b, (F.col(key) == F.col("_k")) & (F.col("_at") == F.col("_block")) & (F.col("agent_id") < F.col("_b")))
     return pairs.select(F.col("agent_id").alias("agent_1"), F.col("_b").alias("agent_2"), F.lit("household").alias("edge_type"), F.lit(rate).alias("contact_rate"))
 
 

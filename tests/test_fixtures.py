@@ -81,3 +81,12 @@ def test_draws_do_not_depend_on_partitions(spark, n):
     job = entities.infer_occupation(F.col("age"), F.col("agent_id"))
     same = lambda d: sorted(map(tuple, d.select("agent_id", job).collect()))
     assert same(df) == same(df.repartition(n))
+
+
+def test_large_households_keep_their_edges(spark):
+    from popgraph.operators import network
+
+    homes = [(i, 1) for i in range(51)] + [(i, 2) for i in range(100, 230)] + [(i, 3) for i in range(300, 303)] + [(400, 4), (500, None), (501, None)]
+    got = [(r.agent_1, r.agent_2) for r in network.household_edges(spark.createDataFrame(homes, "agent_id long, household_id long")).collect()]
+    want = [(a, b) for a, h in homes for b, k in homes if h is not None and h == k and a < b]
+    assert sorted(got) == sorted(want)
