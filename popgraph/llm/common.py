@@ -21,6 +21,14 @@ def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
+def free(name: str, columns: list[str]) -> str:
+    """``name``, made longer until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_group(rows: DataFrame, keys: list[str], spread: str, aggs: dict[str, tuple[str, str]]) -> DataFrame:
     """Every row of ``rows`` with aggregates over the rows of equal ``keys``.
 

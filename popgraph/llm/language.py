@@ -105,21 +105,27 @@ def fit(
 ) -> Model:
     """Learns from labelled rows that are not held out.
 
-    The sample is bounded: of each language about ``per_language`` rows, those whose ids
-    hash lowest, ``at_most`` in all. Only their packed n-gram sets reach the driver.
+    The sample is bounded: of each language ``per_language`` rows, those whose ids hash
+    lowest, ``at_most`` in all, languages in turn. Rows that repeat an id are told apart
+    by the hash of their texts; rows that repeat both count once. Only packed n-gram sets
+    reach the driver. With more languages than ``at_most`` the last ones by name are not
+    learned. Without a labelled row the model has no language. Columns but the three named
+    ones are not looked at.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
+    rows = rows.withColumn("_of", F.xxhash64("_text"))
     labelled = rows.where(F.col("_lang").isNotNull() & F.col("_text").isNotNull() & F.col("_id").isNotNull() & ~held_out("_id"))
     # a draw below four times the share that is wanted: few rows reach the ranking, however many tasks read
     counts = stage(labelled.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")).select(F.col("_lang").alias("_l"), "_n"), "language-counts")
     counts = F.broadcast(counts) if small_enough(counts, BROADCAST_LANGUAGES) else counts
-    drawn = labelled.select("_id", "_lang", F.xxhash64("_id").alias("_draw")).join(counts, F.col("_lang") == F.col("_l"))
-    drawn = drawn.where(F.col("_draw") / 2.0**64 + 0.5 < 4.0 * per_language / F.col("_n"))
-    rank = F.row_number().over(W.partitionBy("_lang").orderBy("_draw", "_id"))
-    ids = drawn.withColumn("_rank", rank).where(F.col("_rank") <= per_language)
-    ids = ids.orderBy("_rank", "_lang").limit(at_most).select("_id").distinct()
-    sample = labelled.join(F.broadcast(ids), "_id", "left_semi").select("_lang", "_text")  # at most ``at_most`` ids
-    got = sorted(tuple(r) for r in sample.mapInArrow(_features, "lang string, bits binary").limit(2 * at_most).collect())
+    drawn = labelled.select("_id", "_of", "_lang", F.xxhash64("_id").alias("_draw")).join(counts, F.col("_lang") == F.col("_l"))
+    drawn = drawn.where(F.col("_draw") / 2.0**64 + 0.5 < 4.0 * per_language / F.col("_n")).select("_id", "_of", "_lang", "_draw").distinct()
+    rank = F.row_number().over(W.partitionBy("_lang").orderBy("_draw", "_id", "_of"))
+    chosen = drawn.withColumn("_rank", rank).where(F.col("_rank") <= per_language)
+    chosen = chosen.orderBy("_rank", "_lang").limit(at_most).select("_id", "_of", "_lang")
+    sample = labelled.join(F.broadcast(chosen), ["_id", "_of", "_lang"], "left_semi").select("_lang", "_text")  # at most ``at_most`` keys
+    # a row repeated in full gives one set of n-grams
+    got = sorted(tuple(r) for r in sample.mapInArrow(_features, "lang string, bits binary").distinct().collect())
     languages = sorted({lang for lang, _ in got})
     if not languages:
         return Model([], np.zeros((0, WIDTH // 8), np.uint8), np.zeros((0, 0), np.float32))
@@ -152,24 +158,25 @@ def predictions(model: Model, texts: list[str | None]) -> tuple[list[str], np.nd
     return langs, score
 
 
-def _predict(model: Model, text_at: int):
+def _predict(model: Model, text_at: int, added: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, 256):
                 langs, score = predictions(model, b.column(text_at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(score)], [*b.schema.names, "_lang_pred", "_score"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(score)], [*b.schema.names, *added])
 
     return run
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs``, all columns, with ``_lang_pred`` and ``_score`` (0 to 1) of the whole text.
+def identify(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str = "_lang_pred", score_col: str = "_score") -> DataFrame:
+    """``docs``, all columns, with ``pred_col`` and ``score_col`` (0 to 1) of the whole text.
 
     Null texts and texts without a letter are ``und`` with score 0, as is every text if
     nothing was learned. Ties go to the language that sorts first. Repeated rows are
-    rows of their own; no column but the text is an input.
+    rows of their own; no column but the text is an input. The two names must not be
+    among those of ``docs``.
     """
     from pyspark.sql import types as T
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType())])
-    return docs.mapInArrow(_predict(model, docs.columns.index(text_col)), schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
+    return docs.mapInArrow(_predict(model, docs.columns.index(text_col), [pred_col, score_col]), schema)
