@@ -3,8 +3,8 @@
 Distinct vectors are dealt to shards of bounded size. In each shard points enter the
 graph in growing batches: a greedy beam search from the shard's central point proposes
 neighbours, and pruning with relaxed distances keeps an edge only if no kept neighbour is
-much nearer to its end. Queries go to every shard in blocks, are answered by beam search
-and ranked by exact double-precision cosines of the original vectors.
+much nearer to its end. Queries stream past the graph of every shard, are answered by beam
+search and ranked by exact double-precision cosines of the original vectors.
 """
 
 from __future__ import annotations
@@ -13,14 +13,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from popgraph.llm.common import slices
 from popgraph.plans.stage import stage
 
-SHARD = 4096
-QUERY_BLOCK = 4096
+#: Vectors of a shard, about: a task holds their graph. Queries meet every shard, so fewer and larger ones are cheaper.
+SHARD = 8192
+#: Shard numbers that are broadcast; more are joined by a shuffle.
+BROADCAST_SHARDS = 100_000
 DEGREE = 32
 BEAM = 64
 RELAX = 1.2
@@ -122,10 +126,14 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, relax: fl
     return edges, start
 
 
-def _unit(v: np.ndarray) -> np.ndarray:
+def _level(v: np.ndarray) -> np.ndarray:
+    """Rows scaled to a largest component of one, so that squares neither vanish nor overflow."""
     v = v.astype(np.float64)
-    scale = np.abs(v).max(axis=1, keepdims=True)
-    v = v / scale
+    return v / np.abs(v).max(axis=1, keepdims=True)
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    v = _level(v)
     return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
 
 
@@ -151,7 +159,9 @@ def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 def build_index(vectors: DataFrame, per_vector: int, shard: int = SHARD, degree: int = DEGREE, beam: int = BEAM, relax: float = RELAX) -> DataFrame:
     """A row per distinct vector with its shard, its edges and its ``per_vector`` smallest ids.
 
-    Searches that leave out one id and want k need the k + 1 smallest ids of a vector.
+    ``vectors``: vec_id and vec as ``valid_vectors`` gives them. Searches that leave out
+    one id and want k need the k + 1 smallest ids of a vector. A shard holds vectors of
+    one length. Without vectors the index is empty.
     """
     lowest = F.row_number().over(W.partitionBy("vec").orderBy("vec_id"))
     few = vectors.distinct().withColumn("_r", lowest).where(F.col("_r") <= per_vector)
@@ -162,40 +172,76 @@ def build_index(vectors: DataFrame, per_vector: int, shard: int = SHARD, degree:
     return stage(dealt.groupBy("dim", "shard").applyInPandas(_index(degree, beam, relax), INDEX), "ann-index")
 
 
-def _search(k: int, beam: int):
-    def run(key: tuple, index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+class _Shard:
+    """The graph of one shard, gathered from its rows in the order of nodes."""
+
+    def __init__(self, parts: list[pa.RecordBatch]):
+        t = pa.Table.from_batches(parts)
+        dim = t.column("dim")[0].as_py()
+        self.raw = _level(t.column("vec").combine_chunks().flatten().to_numpy().reshape(-1, dim))
+        self.norm = np.linalg.norm(self.raw, axis=1)
+        self.x = (self.raw / self.norm[:, None]).astype(np.float32)
+        self.edges = t.column("edges").combine_chunks().flatten().to_numpy().reshape(len(self.x), -1)
+        self.start = int(np.argmax(t.column("first").to_numpy(zero_copy_only=False)))
+        self.names = t.column("ids").to_pylist()
+
+    def answer(self, names: list[int], q: np.ndarray, k: int, beam: int) -> list[tuple[int, int, float]]:
+        """(query_id, vec_id, score) of the k nearest found; of equal scores in the beam all are weighed by id."""
+        q = _level(q)
+        size = np.linalg.norm(q, axis=1)
+        ids, _ = beam_search(self.x, self.edges, self.start, (q / size[:, None]).astype(np.float32), beam)
         out: list[tuple[int, int, float]] = []
-        if len(index) and len(queries):
-            index = index.sort_values("node")
-            raw = np.stack(index["vec"].to_numpy())
-            x, edges = _unit(raw), np.stack(index["edges"].to_numpy())
-            norm = np.linalg.norm(raw, axis=1)
-            start = int(index["node"].to_numpy()[index["first"].to_numpy()][0])
-            names = index["ids"].tolist()
-            for at in range(0, len(queries), 256):
-                part = queries.iloc[at : at + 256]
-                q = np.stack(part["vec"].to_numpy())
-                ids, _ = beam_search(x, edges, start, _unit(q), beam)
-                for row, name, v in zip(ids, part["query_id"].tolist(), q, strict=True):
-                    row = row[row >= 0]
-                    score = (raw[row] @ v) / (norm[row] * np.linalg.norm(v))
-                    best = np.argsort(-score, kind="stable")[: 2 * k + 2]
-                    found = [(-s, i) for s, r in zip(score[best].tolist(), row[best].tolist(), strict=True) for i in names[r] if i != name]
-                    out += [(name, i, -s) for s, i in sorted(found)[:k]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        for row, name, v, n in zip(ids, names, q, size.tolist(), strict=True):
+            row = row[row >= 0]
+            score = (self.raw[row] @ v) / (self.norm[row] * n)
+            # each of the k + 1 best nodes but the query's own gives at least one id
+            least = np.sort(score)[-min(k + 1, len(score))]
+            near = score >= least
+            found = [(-s, i) for s, r in zip(score[near].tolist(), row[near].tolist(), strict=True) for i in self.names[r] if i != name]
+            out += [(name, i, -s) for s, i in sorted(found)[:k]]
+        return out
+
+
+def _search(k: int, beam: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, graph = None, [], None
+        for whole in batches:
+            keys = np.stack([whole.column(c).to_numpy() for c in ("dim", "shard", "kind")])
+            cuts = [0, *(np.nonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0))[0] + 1).tolist(), whole.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                part, (dim, shard, kind) = whole.slice(a, b - a), keys[:, a].tolist()
+                if (dim, shard) != at:
+                    at, parts, graph = (dim, shard), [], None
+                if kind == 0:
+                    parts.append(part)
+                    continue
+                graph = graph or _Shard(parts)
+                for q in slices(part, 256):
+                    found = graph.answer(q.column("id").to_pylist(), q.column("vec").flatten().to_numpy().reshape(-1, dim), k, beam)
+                    if found:
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)],
+                            ["query_id", "vec_id", "score"],
+                        )
 
     return run
 
 
-def search(queries: DataFrame, index: DataFrame, k: int, beam: int = BEAM, block: int = QUERY_BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each query, its own id left out."""
-    blocks = max(-(-queries.count() // block), 1)
-    q = queries.select(F.col("vec_id").alias("query_id"), "vec", F.size("vec").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
-    shards = index.select(F.col("dim").alias("_dim"), F.col("shard").alias("_shard")).distinct()
-    sent = q.join(shards, q["dim"] == shards["_dim"]).select("query_id", "vec", "dim", F.col("_shard").alias("shard"), "block")
-    held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) if blocks > 1 else index.withColumn("block", F.lit(0))
-    keys = ["dim", "shard", "block"]
-    found = held.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(_search(k, beam), "query_id long, vec_id long, score double")
+def search(queries: DataFrame, index: DataFrame, k: int, beam: int = BEAM) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found of each query, its own id left out.
+
+    ``queries``: vec_id and vec, one row an id. The index moves once: a task gathers the
+    graph of a shard and then streams past it all queries, in batches. Ties go to the
+    smaller id. Without queries or index rows the result is empty.
+    """
+    shards = index.select("dim", "shard").distinct()
+    n = max(shards.count(), 1)
+    asked = queries.select(F.size("vec").alias("dim"), F.lit(1).alias("kind"), F.col("vec_id").alias("id"), "vec").join(F.broadcast(shards) if n <= BROADCAST_SHARDS else shards, "dim")
+    held = index.select("dim", "shard", F.lit(0).alias("kind"), F.col("node").alias("id"), "vec", "ids", "edges", "first")
+    both = held.unionByName(asked, allowMissingColumns=True).repartition(4 * n, "dim", "shard").sortWithinPartitions("dim", "shard", "kind", "id")
+    found = both.mapInArrow(_search(k, beam), "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -206,10 +252,12 @@ def nearest(df: DataFrame, every: int, k: int = 5, id_col: str = "vec_id", vec_c
     Candidates are all rows but the query's own id; ties go to the smaller id; vectors of
     another length are no candidates. Null, zero and non-finite vectors and null ids take
     no part; rows that repeat an id and vector count once; copies of a vector are one
-    point with many ids. An empty table gives an empty result. Only the id and the vector
-    are looked at.
+    point with many ids. An id with several vectors is each of them as a candidate and
+    the least of them, entry by entry, as a query. An empty table gives an empty result.
+    Only the id and the vector are looked at.
     """
     vectors = valid_vectors(df, id_col, vec_col)
     index = build_index(vectors, k + 1, shard, beam=beam)
-    queries = stage(vectors.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id"]), "ann-queries")
+    asked = vectors.where(F.pmod("vec_id", F.lit(every)) == 0)
+    queries = stage(asked.groupBy("vec_id").agg(F.min("vec").alias("vec")), "ann-queries")
     return search(queries, index, k, beam)
