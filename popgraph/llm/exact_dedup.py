@@ -3,10 +3,11 @@
 A text is its UTF-8 bytes with A-Z lower-cased. It is cut into chunks, each chunk is
 hashed on its own as a polynomial, and the chunk hashes combine to the fingerprint of
 the text: the hash of a chunk is multiplied by the base to the power of the bytes that
-follow it. The order in which chunks are hashed doesn't matter, so a huge text needs no
-single pass. Rows of equal fingerprint and length form a group; then their chunks are
-compared themselves, chunk by chunk, and only a group whose chunks all agree stays one
-group. A group that doesn't is divided by its SHA-256.
+follow it, and the products are summed. So the chunks of a huge text are dealt to many
+tasks and combined by an aggregate; those of other texts are combined where they are
+read. Rows of equal fingerprint and length form a group; then their chunks are compared
+themselves, chunk by chunk, and only a group whose chunks all agree stays one group. A
+group that doesn't is divided by its SHA-256.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from popgraph.plans.stage import stage
 MODULI = (2147483647, 2147483629)
 BASES = (1000003, 69069069)
 CHUNK = 1 << 16
+#: Texts of more bytes are huge: their chunks go to many tasks.
+HUGE = 1 << 22
 #: Bits of the map of duplicated fingerprints that goes to the tasks (128 KB, fixed).
 MAP_BITS = 1 << 20
 
@@ -42,52 +45,74 @@ def _powers(base: int, mod: int) -> np.ndarray:
     return p[::-1].copy()
 
 
-_POWERS: list[np.ndarray] = []
+class Polynomials:
+    """Fingerprints for a pair of moduli."""
 
+    def __init__(self, moduli: tuple[int, ...] = MODULI):
+        self.moduli, self._tables = moduli, None
 
-def chunk_hash(chunk: bytes) -> tuple[int, ...]:
-    """Polynomials of one chunk, highest power first, each byte raised by one."""
-    if not _POWERS:
-        _POWERS.extend(_powers(b, m) for b, m in zip(BASES, MODULI, strict=True))
-    v = np.frombuffer(chunk, np.uint8).astype(np.uint64) + np.uint64(1)
-    return tuple(int((v * p[CHUNK - len(v) :]).sum() % np.uint64(m)) for p, m in zip(_POWERS, MODULI, strict=True))
+    def __getstate__(self):
+        return {"moduli": self.moduli, "_tables": None}
 
+    def chunk_hash(self, chunk: bytes) -> tuple[int, ...]:
+        """Polynomials of one chunk, highest power first, each byte raised by one."""
+        if self._tables is None:
+            self._tables = [_powers(b, m) for b, m in zip(BASES, self.moduli, strict=True)]
+        v = np.frombuffer(chunk, np.uint8).astype(np.uint64) + np.uint64(1)
+        return tuple(int((v * p[CHUNK - len(v) :]).sum() % np.uint64(m)) for p, m in zip(self._tables, self.moduli, strict=True))
 
-def combine(left: tuple[int, ...], right: tuple[int, ...], right_bytes: int) -> tuple[int, ...]:
-    """Hash of a concatenation from the hashes of its two parts."""
-    return tuple((a * pow(b, right_bytes, m) + c) % m for a, c, b, m in zip(left, right, BASES, MODULI, strict=True))
+    def shifted(self, part: tuple[int, ...], after: int) -> tuple[int, ...]:
+        """What a part with ``after`` bytes behind it adds to the hash of the whole."""
+        return tuple(a * pow(b, after, m) % m for a, b, m in zip(part, BASES, self.moduli, strict=True))
 
+    def combine(self, left: tuple[int, ...], right: tuple[int, ...], right_bytes: int) -> tuple[int, ...]:
+        """Hash of a concatenation from the hashes of its two parts."""
+        return tuple((a + c) % m for a, c, m in zip(self.shifted(left, right_bytes), right, self.moduli, strict=True))
 
-def fingerprint(data: bytes) -> tuple[int, ...]:
-    got: tuple[int, ...] = (0, 0)
-    for at in range(0, len(data), CHUNK):
-        part = data[at : at + CHUNK]
-        got = combine(got, chunk_hash(part), len(part))
-    return got
+    def fingerprint(self, data: bytes) -> tuple[int, ...]:
+        got: tuple[int, ...] = (0,) * len(self.moduli)
+        for at in range(0, len(data), CHUNK):
+            part = data[at : at + CHUNK]
+            got = self.combine(got, self.chunk_hash(part), len(part))
+        return got
 
 
 def _normal(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for b in slices(whole):
-            data = [_normal(t) for t in b.column(1).to_pylist()]
-            prints = [fingerprint(d) for d in data]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    pa.array([len(d) for d in data], pa.int64()),
-                    pa.array([p[0] for p in prints], pa.int64()),
-                    pa.array([p[1] for p in prints], pa.int64()),
-                    pa.array([hashlib.sha256(d).hexdigest() for d in data], pa.string()),
-                ],
-                ["doc_id", "n_bytes", "fp", "fp2", "text_sha256"],
-            )
-
-
-def _chunks_of(bits: bytes):
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
+
+
+def _rows(poly: Polynomials):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole):
+                out = []
+                for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    data = _normal(t)
+                    out.append((i, len(data), *poly.fingerprint(data), hashlib.sha256(data).hexdigest()))
+                yield _batch(out, ROWS)
+
+    return run
+
+
+def _shares(poly: Polynomials):
+    """Of each chunk of a huge text, what it adds to the fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, 64):
+                rows = zip(*[b.column(c).to_pylist() for c in ("row_no", "n_bytes", "chunk_no", "chunk")], strict=True)
+                yield _batch([(r, *poly.shifted(poly.chunk_hash(c.lower()), n - k * CHUNK - len(c))) for r, n, k, c in rows], "row_no long, fp long, fp2 long")
+
+    return run
+
+
+def _chunks_of(poly: Polynomials, bits: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")
         for whole in batches:
@@ -95,30 +120,46 @@ def _chunks_of(bits: bytes):
                 out: list[tuple] = []
                 for t in b.column(1).to_pylist():
                     data = _normal(t)
-                    p = fingerprint(data)
+                    p = poly.fingerprint(data)
                     if marked[p[0] % MAP_BITS]:
                         out += [(len(data), *p, at // CHUNK, data[at : at + CHUNK]) for at in range(0, max(len(data), 1), CHUNK)]
                 if out:
-                    kinds = [pa.int64()] * 4 + [pa.binary()]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
-                        ["n_bytes", "fp", "fp2", "chunk_no", "chunk"],
-                    )
+                    yield _batch(out, CHUNKS)
 
     return run
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _huge_chunks(huge: DataFrame) -> DataFrame:
+    """(row_no, doc_id, n_bytes, text_sha256 with the first chunk, chunk_no, chunk) of the rows of ``huge``, a table of its own."""
+    n = F.octet_length("text").cast("long")
+    cut = huge.withColumn("row_no", F.monotonically_increasing_id()).withColumn("n_bytes", n)
+    cut = cut.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_bytes") - 1) / CHUNK).cast("long"))))
+    folded = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sha = F.when(F.col("chunk_no") == 0, F.sha2(folded, 256)).alias("text_sha256")
+    chunk = F.substring(F.col("text").cast("binary"), (F.col("chunk_no") * CHUNK + 1).cast("int"), F.lit(CHUNK)).alias("chunk")
+    return stage(cut.select("row_no", "doc_id", "n_bytes", sha, "chunk_no", chunk), "exact-huge")
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", moduli: tuple[int, int] = MODULI, huge: int = HUGE) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256, n_bytes), one row per row of ``docs``.
 
     Texts that differ only in the case of A-Z are equal; a null text equals an empty
     one. ``keep_id`` is the largest id of the group; of rows that repeat one id, each
     has the same ``kept``. A null id is the smallest; a group of null ids alone keeps
     them. An empty table gives an empty result. Other columns are not looked at.
+    ``moduli``: of the fingerprints, below 2^31; small ones collide and cost time, no
+    correctness. ``huge``: bytes beyond which chunks of a text are hashed apart.
     """
-    spark = docs.sparkSession
+    poly = Polynomials(moduli)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = stage(source.mapInArrow(_rows, ROWS), "exact-rows")
+    is_huge = F.coalesce(F.octet_length("text"), F.lit(0)) > huge
+    usual = source.where(~is_huge)
+    cut = _huge_chunks(source.where(is_huge))
+    shares = cut.select("row_no", "n_bytes", "chunk_no", "chunk").repartition("row_no", "chunk_no").mapInArrow(_shares(poly), "row_no long, fp long, fp2 long")
+    of_huge = shares.groupBy("row_no").agg(*[F.pmod(F.sum(c), F.lit(m)).alias(c) for c, m in zip(("fp", "fp2"), moduli, strict=True)])
+    of_huge = stage(cut.where("chunk_no = 0").select("row_no", "doc_id", "n_bytes", "text_sha256").join(of_huge, "row_no"), "exact-of-huge")
+    small = usual.mapInArrow(_rows(poly), ROWS)
+    rows = stage(small.unionByName(of_huge.drop("row_no")), "exact-rows")
     same = ["n_bytes", "fp", "fp2"]
     more = stage(rows.groupBy(*same).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "exact-more")
 
@@ -127,8 +168,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for (bit,) in more.select(F.pmod("fp", F.lit(MAP_BITS))).distinct().collect():  # at most MAP_BITS rows
         bits[bit] = 1
     packed = np.packbits(bits, bitorder="little").tobytes()
-    chunks = source.mapInArrow(_chunks_of(packed), CHUNKS)
-    compared = chunks.groupBy(*same, "chunk_no").agg(F.min("chunk").alias("least"), F.max("chunk").alias("most"))
+    chunks = usual.mapInArrow(_chunks_of(poly, packed), CHUNKS)
+    lower = F.translate(F.decode("chunk", "ISO-8859-1"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    again = of_huge.join(more, same, "left_semi").select("row_no", *same)
+    again = cut.select("row_no", "chunk_no", F.encode(lower, "ISO-8859-1").alias("chunk")).join(again, "row_no").select(*same, "chunk_no", "chunk")
+    compared = chunks.unionByName(again).groupBy(*same, "chunk_no").agg(F.min("chunk").alias("least"), F.max("chunk").alias("most"))
     differ = stage(compared.where("least <> most").select(*same).distinct(), "exact-differ")
 
     if differ.isEmpty():
