@@ -40,31 +40,38 @@ def fold(t):
     return (t or "").encode().lower()
 
 
-def test_exact_groups(docs, empty):
+def brute_groups(rows):
     groups = defaultdict(list)
-    for r in rows():
+    for r in rows:
         groups[fold(r[1])].append(r[0])
     want = Counter()
     for t, ids in groups.items():
         keep = max((i for i in ids if i is not None), default=None)
         for i in ids:
             want[(i, keep, len(ids), i == keep, hashlib.sha256(t).hexdigest())] += 1
-    got = exact_dedup.exact_groups(docs).drop("n_bytes").collect()
-    assert Counter(map(tuple, got)) == want
-    assert exact_dedup.exact_groups(empty).count() == 0
+    return want
 
 
-def test_fingerprints_combine_and_collisions_are_told_apart(spark, monkeypatch):
+# the second pair collides at once: only the comparison of chunks tells texts apart
+@pytest.mark.parametrize("moduli", [exact_dedup.MODULI, (2, 3), (1, 1)])
+@pytest.mark.parametrize("huge", [exact_dedup.HUGE, 100])
+def test_exact_groups(docs, empty, spark, moduli, huge):
+    groups = lambda df: Counter(map(tuple, exact_dedup.exact_groups(df, moduli=moduli, huge=huge).drop("n_bytes").collect()))
+    assert groups(docs) == brute_groups(rows())
+    assert groups(empty) == Counter()
+    # equal lengths; the last two differ in their second chunk alone
+    long = "Ab é" * 30000
+    odd = [(1, "ab"), (2, "cd"), (3, "AB"), (4, "ef"), (5, "cd"), (6, long), (7, long[:-1] + "x"), (8, long.upper().replace("É", "é"))]
+    assert groups(spark.createDataFrame(odd, "doc_id long, text string")) == brute_groups(odd)
+
+
+def test_fingerprints_combine():
+    poly, cut = exact_dedup.Polynomials(), exact_dedup.CHUNK
     data = bytes(range(256)) * 700
-    whole = exact_dedup.fingerprint(data)
-    cut = exact_dedup.CHUNK
-    parts = exact_dedup.combine(exact_dedup.fingerprint(data[: 2 * cut]), exact_dedup.chunk_hash(data[2 * cut : 3 * cut]), len(data[2 * cut : 3 * cut]))
-    assert len(data) <= 3 * cut and whole == parts
-    small = spark.createDataFrame([(1, "ab"), (2, "cd"), (3, "AB")], "doc_id long, text string").coalesce(1)
-    same = small.selectExpr("doc_id", "2L as n_bytes", "1L as fp", "1L as fp2", "sha2(lower(text), 256) as text_sha256")
-    chunks = small.selectExpr("2L as n_bytes", "1L as fp", "1L as fp2", "0L as chunk_no", "cast(lower(text) as binary) as chunk")
-    compared = chunks.groupBy("fp", "chunk_no").agg({"chunk": "min"}).count()
-    assert compared == 1 and same.select("text_sha256").distinct().count() == 2
+    parts = [data[k : k + cut] for k in range(0, len(data), cut)]
+    assert len(parts) == 3 and poly.combine(poly.fingerprint(data[: 2 * cut]), poly.chunk_hash(parts[2]), len(parts[2])) == poly.fingerprint(data)
+    shares = [poly.shifted(poly.chunk_hash(p), len(data) - k * cut - len(p)) for k, p in enumerate(parts)]
+    assert tuple(sum(x) % m for x, m in zip(zip(*shares), exact_dedup.MODULI)) == poly.fingerprint(data)
 
 
 def size(t):
@@ -292,6 +299,43 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0), every=50).count() == 0
 
 
+def nearest_by_brute_force(data, every, k=5):
+    v = np.array([e for _, e in data], np.float64)
+    v /= np.abs(v).max(axis=1, keepdims=True)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    out = {}
+    for n, (q, _) in enumerate(data):
+        if q % every == 0:
+            s = np.round(u @ u[n], 9)
+            out[q] = [i for _, i in sorted((-a, i) for a, (i, _) in zip(s.tolist(), data) if i != q)[:k]]
+    return out
+
+
+def test_neighbours_of_two_full_shards(spark):
+    rng = np.random.default_rng(11)
+    data = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(5000, 64)).astype(np.float32))]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in neighbours.nearest(df, every=50, shard=2500).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    want = nearest_by_brute_force(data, 50)
+    assert got.keys() == want.keys() and all(len(x) == 5 for x in got.values())
+    assert sum(len(set(got[q]) & set(w)) for q, w in want.items()) / sum(map(len, want.values())) >= 0.9
+
+
+def test_neighbours_ties_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BROADCAST_SHARDS", 0)
+    # powers of two of one vector have equal cosines; tiny and huge ones neither vanish nor overflow
+    data = [(50 - i, [2.0**-i, 2.0**-i, 0.0]) for i in range(30)] + [(100, [1e-200, 1e-200, 0.0]), (101, [1e300, 1e300, 0.0]), (102, [0.0, 0.0, 1.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.vec_id) for r in neighbours.nearest(df, every=50).orderBy("query_id", "rank").collect()]
+    assert got == [(q, i) for q in (50, 100) for i in range(21, 26)]
+    # an id with two vectors asks with the least of them and is found with both
+    twice = spark.createDataFrame([(50, [0.0, 1.0]), (50, [1.0, 0.0]), (1, [0.0, 2.0]), (2, [2.0, 0.1])], "vec_id long, embedding array<double>")
+    for parts in (1, 3):
+        assert [r.vec_id for r in neighbours.nearest(twice.repartition(parts), every=50).orderBy("rank").collect()] == [1, 2]
+
+
 def test_lines_of_frequent_passages(spark):
     # the passage is in more than max_df documents; documents 4 to 7 share a rarer line with one that lacks it
     texts = {0: "rare\nzero", 1: "p1\np2\np3", **{i: f"rare\nown {i}\np1\np2\np3" for i in range(4, 8)}}
