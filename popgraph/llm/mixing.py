@@ -25,6 +25,8 @@ MOST = 2
 SEED = "mix-1"
 #: Sources that are broadcast; more are joined by a shuffle.
 BROADCAST_SOURCES = 20_000
+#: Shards that are broadcast; more are joined by a shuffle to the tasks that lay them out.
+BROADCAST_SHARDS = 200_000
 
 
 def apportion(parties: DataFrame, within: list[str], party: list, votes: str, seats: str, out: str) -> DataFrame:
@@ -64,7 +66,8 @@ def source_targets(sizes: DataFrame, share: float = SHARE, weights: tuple = WEIG
 
     Sources by code point, null last, weigh ``weights`` in turn. A target is the
     weight times one common level, or ``most`` times the size where that is less; the
-    level comes from the sources in the order in which they fill up.
+    level comes from the sources in the order in which they fill up. ``source_no`` counts
+    the sources from 1.
     """
     order = W.orderBy(F.col("source").isNull(), "source")
     w = sizes.withColumn("_i", F.row_number().over(order))
@@ -80,7 +83,7 @@ def source_targets(sizes: DataFrame, share: float = SHARE, weights: tuple = WEIG
     w = w.withColumn("_set", F.min(F.when(F.col("_level") < F.col("_ratio"), F.struct("_ratio", "_i", "_level"))).over(whole))
     level = F.col("_set")["_level"]
     w = w.withColumn("target", F.when(level.isNull() | (F.col("_ratio") <= level), F.col("_cap").cast("double")).otherwise(F.col("_w") * level))
-    return w.drop("_i", "_w", "_cap", "_ratio", "_total", "_capped", "_left", "_level", "_set")
+    return w.withColumnRenamed("_i", "source_no").drop("_w", "_cap", "_ratio", "_total", "_capped", "_left", "_level", "_set")
 
 
 def mix(
@@ -88,7 +91,7 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    keep: tuple = (),
+    keep: bool = False,
     block: int = BLOCK,
     shard_words: int = SHARD_WORDS,
     shard_docs: int = SHARD_DOCS,
@@ -96,64 +99,75 @@ def mix(
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, taken and the draw's columns, per row.
 
-    ``keep``: columns of ``docs`` to carry, as a struct ``row``. ``taken`` is the words
-    that the mix takes of the document, repeats counted: ``rounds`` times the whole and
-    the words of the drawn blocks (see ``drawn``). A null text has no words; a null
-    source is a source; rows that repeat one id are rows of their own. A source without
-    words has target zero. An empty table gives an empty result.
+    ``keep``: carry the row of ``docs`` as a struct ``row``. ``taken`` is the words that
+    the mix takes of the document, repeats counted: ``rounds`` times the whole and the
+    words of the drawn blocks (see ``drawn``). A null text has no words; a null source is
+    a source; rows that repeat one id are rows of their own, in the order of size and,
+    with ``keep``, of the row's hash. A source without words has target zero. An empty
+    table gives an empty result. Columns but the three named ones are not looked at.
     """
+    text = F.col(text_col).cast("string")
     cols = [
         F.col(id_col).alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     ]
+    order = ["_md5", "size"]
     if keep:
-        cols.append(F.struct(*[F.col(c) for c in keep]).alias("row"))
+        hashable = [docs[f"`{name}`"] for name, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+        cols += [F.struct("*").alias("row"), F.xxhash64(*hashable).alias("_tie")]
+        order.append("_tie")
     d = docs.select(*cols)
     hashed = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     d = d.withColumn("_md5", hashed).withColumn("_draw", F.conv(F.substring("_md5", 1, 8), 16, 10).cast("long"))
 
+    # sources and shards are planned on narrow rows; a row that is kept moves once, to its shard
+    sizes = stage(d.select("source", "size", "_draw") if keep else d, "mix-sizes")
     if not keep:
-        d = stage(d, "mix-sizes")
-
-    sources = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs"))
+        d = sizes
+    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs"))
     sources = source_targets(sources).withColumn(
         "_shards", F.greatest(F.ceil(F.col("source_size") / shard_words), F.ceil(F.col("_docs") / shard_docs)).cast("long")
     )
-    s = stage(sources.select(F.col("source").alias("_s"), "source_size", "target", "_shards"), "mix-sources")
+    s = stage(sources.select(F.col("source").alias("_s"), "source_no", "source_size", "target", "_shards"), "mix-sources")
     if small_enough(s, BROADCAST_SOURCES):
         s = F.broadcast(s)
-    d = d.join(s, d["source"].eqNullSafe(s["_s"])).drop("_s").withColumn("_shard", F.pmod("_draw", "_shards"))
 
-    shards = d.groupBy("source", "_shard").agg(
-        F.sum("size").alias("_words"), F.first("source_size").alias("source_size"), F.first("target").alias("target")
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.join(s, rows["source"].eqNullSafe(s["_s"])).drop("_s").withColumn("_shard", F.pmod("_draw", "_shards"))
+
+    shards = dealt(sizes).groupBy("source_no", "_shard").agg(
+        F.first("source").alias("source"), F.sum("size").alias("_words"), F.first("source_size").alias("source_size"), F.first("target").alias("target")
     )
     shards = shards.withColumn(
         "_blocks", F.when(F.col("_words") > 0, F.greatest(F.lit(1), F.floor(F.col("_words") / block + 0.5))).otherwise(0).cast("long")
     )
-    of_source = shards.groupBy("source").agg(
-        F.sum("_blocks").alias("_all"), F.first("source_size").alias("source_size"), F.first("target").alias("target")
+    shards = stage(shards, "mix-shards")
+    of_source = shards.groupBy("source_no").agg(
+        F.sum("_blocks").alias("_all"), F.first("source").alias("source"), F.first("source_size").alias("source_size"), F.first("target").alias("target")
     )
     votes = F.when(F.col("source_size") > 0, F.col("target") * F.col("_all") / F.col("source_size")).otherwise(0.0)
     of_source = of_source.withColumn("_votes", votes).withColumn("_one", F.lit(0))
     of_source = of_source.withColumn("_seats", F.floor(F.sum("_votes").over(W.partitionBy("_one")) + 0.5).cast("long"))
     of_source = apportion(of_source, ["_one"], ["source"], "_votes", "_seats", "_quota")
-    of_source = of_source.select(F.col("source").alias("_s"), F.least(F.col("_quota"), MOST * F.col("_all")).alias("_quota"))
-    shards = shards.join(of_source, shards["source"].eqNullSafe(of_source["_s"])).drop("_s")
-    shards = apportion(shards, ["source"], ["_shard"], "_blocks", "_quota", "_take")
+    of_source = of_source.select("source_no", F.least(F.col("_quota"), MOST * F.col("_all")).alias("_quota"))
+    shards = apportion(shards.join(of_source, "source_no"), ["source_no"], ["_shard"], "_blocks", "_quota", "_take")
     start = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce("source", F.lit("")), F.col("_shard").cast("string"))), 1, 8), 16, 10)
     shards = shards.select(
-        F.col("source").alias("_s"), F.col("_shard").alias("_h"), F.col("_words").alias("words"), F.col("_blocks").alias("blocks"),
+        "source_no", "_shard", F.col("_words").alias("words"), F.col("_blocks").alias("blocks"),
         F.when(F.col("_blocks") > 0, F.floor(F.col("_take") / F.col("_blocks"))).otherwise(0).cast("long").alias("rounds"),
         F.when(F.col("_blocks") > 0, F.pmod("_take", "_blocks")).otherwise(F.lit(0)).cast("long").alias("rest"),
         F.when(F.col("_blocks") > 0, F.pmod(start.cast("long"), F.col("_blocks"))).otherwise(F.lit(0)).cast("long").alias("turn"),
     )
-    d = d.join(shards, d["source"].eqNullSafe(shards["_s"]) & (d["_shard"] == shards["_h"])).drop("_s", "_h")
-    line = W.partitionBy("source", "_shard").orderBy("_md5", "size")
+    shards = stage(shards, "mix-quotas")
+    if small_enough(shards, BROADCAST_SHARDS):
+        shards = F.broadcast(shards)
+    d = dealt(d).join(shards, ["source_no", "_shard"])
+    line = W.partitionBy("source_no", "_shard").orderBy(*order)
     d = d.withColumn("until", F.sum("size").over(line.rowsBetween(W.unboundedPreceding, 0)))
     d = d.withColumn("since", F.col("until") - F.col("size"))
     d = d.withColumn("taken", F.expr(f"rounds * size + {drawn('until')} - {drawn('since')}"))
-    return d.drop("_md5", "_draw", "_shards", "_shard")
+    return d.drop("_md5", "_draw", "_shards", "_shard", "source_no", "_tie")
 
 
 def drawn(x: str, div: str = "div") -> str:
@@ -177,14 +191,14 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The mix itself: rows of ``docs``, all columns, whose texts are what is taken.
 
     A document appears once whole for each whole round and once with the words of its
-    drawn blocks, joined by one space, if there are any.
+    drawn blocks, joined by one space, if there are any. Null texts, texts without a word
+    and an empty table give no row of the second kind. Odd rows are dealt with as in ``mix``.
     """
-    m = mix(docs, id_col, text_col, source_col, keep=tuple(docs.columns))
-    words = F.regexp_extract_all(F.col("row")[text_col], F.lit(f"({WORD})"), F.lit(1))
+    m = mix(docs, id_col, text_col, source_col, keep=True).withColumn("_text", F.col("row").getField(text_col).cast("string"))
     # the block of the i-th word; the words of drawn blocks stay
     block = "(((since + i + 1) * blocks - 1) div words)"
-    part = F.expr(f"filter(_words, (x, i) -> {upto(block + ' + 1')} > {upto(block)})")
-    whole = m.where("rounds > 0").withColumn("_t", F.explode(F.array_repeat(F.col("row")[text_col], F.col("rounds").cast("int"))))
-    some = m.where("rest > 0 and size > 0").withColumn("_words", words).withColumn("_t", F.array_join(part, " ")).where("_t <> ''")
-    both = whole.select("row", "_t").unionByName(some.select("row", "_t"))
-    return both.select(*[F.col("_t").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+    part = f"array_join(filter(regexp_extract_all(_text, '({WORD})', 1), (x, i) -> {upto(block + ' + 1')} > {upto(block)}), ' ')"
+    part = part.replace("\\", "\\\\")
+    some = F.expr(f"CASE WHEN rest > 0 AND size > 0 THEN filter(array({part}), t -> t <> '') ELSE array() END")
+    both = m.select("row", F.explode(F.concat(F.array_repeat("_text", F.col("rounds").cast("int")), some)).alias("_t"))
+    return both.select(*[F.col("_t").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
