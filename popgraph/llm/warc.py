@@ -2,8 +2,10 @@
 
 A reader that trusts every ``WARC/1.0`` line also trusts those inside payloads. Here each
 such line is only a candidate: its header names a length and so the offset of its
-successor. The file's start is a record; pointer jumping over candidate-to-successor
-offsets keeps what is in reach of it, and nothing else is a record.
+successor. Tasks read parts of files, emit candidates with successor offsets and follow
+chains inside their part by pointer jumping; the links that lead from part to part are
+few and are followed from the files' starts by pointer jumping over a table. What is in
+reach of a file's start is a record, and nothing else is.
 """
 
 from __future__ import annotations
@@ -15,17 +17,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from popgraph.llm.common import with_group
+from popgraph.llm.common import slices, with_group
 from popgraph.plans.stage import small_enough, stage
 
 MAGIC = b"WARC/1.0\r\n"
 END = "\r\n\r\n"
-#: Records of one archive at most.
-RECORDS = 2000
 #: Revisits that are broadcast to the writers; more are joined by a shuffle.
 BROADCAST_REVISITS = 100_000
+#: Parts of files whose places are broadcast to the readers; more are joined by a shuffle.
+BROADCAST_PARTS = 200_000
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -44,7 +47,12 @@ def payload_key() -> tuple[Column, Column]:
 
 
 def revisits(pages: DataFrame, at_least: int = 0) -> DataFrame:
-    """(page_id, digest, n, refers_to) of the pages whose payload, of n bytes, a smaller page_id has too."""
+    """(page_id, digest, n, refers_to) of the pages whose payload, of n bytes, a smaller page_id has too.
+
+    ``pages``: page_id and html without nulls. Null ids take no part; repeated rows are
+    one; rows of one id and unlike payloads are told apart by digest; an empty table gives
+    none.
+    """
     rows = pages.select("page_id", *payload_key())
     rows = stage(rows.where(F.col("page_id").isNotNull() & (F.col("n") >= at_least)), "warc-digests")
     more = stage(rows.groupBy("digest", "n").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "warc-more")
@@ -54,7 +62,7 @@ def revisits(pages: DataFrame, at_least: int = 0) -> DataFrame:
 
 
 def write_warc(
-    pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", at_least: int = 0, records: int = RECORDS
+    pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", at_least: int = 0
 ) -> None:
     """Writes a record per row of ``pages`` into archives under ``path``.
 
@@ -62,7 +70,10 @@ def write_warc(
     page_id are responses and the others revisit it. A null html is an empty payload, a
     null url is left out, white space in a url is percent-encoded. Rows without a
     page_id are responses; rows that repeat the smallest page_id are responses too. Rows
-    of one page_id and unlike payloads are told apart by the payload's digest.
+    of one page_id and unlike payloads are told apart by the payload's digest. An empty
+    table gives no record; columns but the three named ones are not looked at. The last
+    digit of a url that ends like the magic is percent-encoded, so that no header line
+    ends so. Archives may be of any size, since they are read in parts.
     """
     p = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")
@@ -78,57 +89,127 @@ def write_warc(
     head = F.concat(
         F.lit(MAGIC.decode() + "WARC-Type: "), F.when(seen, "revisit").otherwise("response"),
         F.lit("\r\nWARC-Record-ID: <urn:page:"), page, F.lit(">\r\nWARC-Date: 1970-01-01T00:00:00Z"),
-        F.when(F.col("url").isNotNull(), F.concat(F.lit("\r\nWARC-Target-URI: "), F.regexp_replace("url", r"\s", "%20"))).otherwise(""),
+        F.when(F.col("url").isNotNull(), F.concat(F.lit("\r\nWARC-Target-URI: "), F.regexp_replace(F.regexp_replace("url", r"\s", "%20"), r"WARC/1\.0$", "WARC/1.%30"))).otherwise(""),
         F.lit("\r\nWARC-Payload-Digest: sha1:"), sha1_base32(F.col("html")),
         F.when(seen, F.concat(F.lit("\r\nWARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))).otherwise(""),
         F.when(seen, "\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest").otherwise(""),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), block_bytes.cast("string"), F.lit(END),
     )
     record = F.concat(head, http, F.when(seen, "").otherwise(F.col("html")))
-    p.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records).text(path)
-
-
-def candidates(data: bytes) -> tuple[np.ndarray, np.ndarray, list[tuple[int, dict]]]:
-    """Offsets of all magic lines, of their successors (-1: none), and block start with headers."""
-    at, offsets, after, heads = data.find(MAGIC), [], [], []
-    while at >= 0:
-        stop = data.find(b"\r\n\r\n", at)
-        head: dict[str, str] = {}
-        if stop >= 0:
-            for line in data[at + len(MAGIC) : stop].decode("utf-8", "replace").split("\r\n"):
-                name, _, value = line.partition(":")
-                head.setdefault(name.strip().lower(), value.strip())
-        length = head.get("content-length", "")
-        end = stop + 4 + int(length) + 4 if length.isascii() and length.isdigit() and len(length) < 16 else -1
-        sound = 0 <= end <= len(data) and data[end - 4 : end] == b"\r\n\r\n"
-        offsets.append(at)
-        after.append(end if sound else -1)
-        heads.append((stop + 4, head))
-        at = data.find(MAGIC, at + 1)
-    return np.array(offsets, np.int64), np.array(after, np.int64), heads
-
-
-def reachable(offsets: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """Which candidates a chain from offset 0 meets, by pointer jumping."""
+    p.select(record.alias("value")).write.option("lineSep", END).text(path)
+
+
+def header(segment: bytes) -> tuple[int, dict[str, str]]:
+    """Where the block of a segment (what follows a magic line) starts, -1 if it has no header end, and its header fields."""
+    stop = segment.find(b"\r\n\r\n")
+    head: dict[str, str] = {}
+    if stop >= 0:
+        for line in segment[:stop].decode("utf-8", "replace").split("\r\n"):
+            name, _, value = line.partition(":")
+            head.setdefault(name.strip().lower(), value.strip())
+    return (stop + 4 if stop >= 0 else -1), head
+
+
+def span(segment: bytes) -> int:
+    """Bytes from the magic line of a segment to its successor, 0 if the header does not tell."""
+    start, head = header(segment)
+    length = head.get("content-length", "")
+    told = start >= 0 and length.isascii() and length.isdigit() and len(length) < 16
+    return len(MAGIC) + start + int(length) + 4 if told else 0
+
+
+def follow(offsets: np.ndarray, after: np.ndarray, stop: int) -> tuple[np.ndarray, np.ndarray]:
+    """(last, exit) of the chain from every candidate of a part: its last record and the offset past the part that it leads to.
+
+    ``after``: successor offsets (0: none); ``stop``: where the next part begins. exit is
+    -1 where the chain ends inside the part. By pointer jumping: links double until none moves.
+    """
     n = len(offsets)
-    kept = np.zeros(n + 1, bool)
-    if n and offsets[0] == 0:
-        place = np.searchsorted(offsets, after)
-        ok = (after >= 0) & (place < n)
-        ok[ok] &= offsets[place[ok]] == after[ok]
-        jump = np.append(np.where(ok, place, n), n)  # n: the end of the chain
-        kept[0] = True
-        while True:
-            found = kept.copy()
-            found[jump[kept]] = True
-            if found[n] and (jump[:n][kept[:n]] == n).all():
-                break
-            kept, jump = found, jump[jump]
-        kept = found
-    return kept[:n]
+    place = np.searchsorted(offsets, after)
+    hit = (after > 0) & (place < n)
+    hit[hit] &= offsets[place[hit]] == after[hit]
+    jump = np.where(hit, place, np.arange(n))
+    while (jump[jump] != jump).any():
+        jump = jump[jump]
+    out = after[jump]
+    return jump, np.where((out > 0) & (out >= stop), out, -1)
+
+
+#: Of each part: its bytes. Of each candidate: its offset in the part, where its chain leaves it (-1: nowhere) and the chain's last record.
+PARTS = "file string, block long, size long, at long, exit long, last long"
+#: Stands for the part itself.
+_NONE = -(1 << 62)
+
+
+class _Part:
+    """Candidates of one part of a file, in order."""
+
+    def __init__(self, file: str, block: int):
+        self.file, self.block, self.size, self.rows = file, block, 0, []
+
+    def add(self, segment: bytes) -> None:
+        if self.size or self.block:  # before the first magic of a file is no candidate
+            self.rows.append((self.size - len(MAGIC), span(segment)))
+        self.size += len(segment) + len(MAGIC)
+
+    def table(self) -> pa.RecordBatch:
+        offsets, spans = (np.array(c, np.int64) for c in (zip(*self.rows, strict=True) if self.rows else ((), ())))
+        last, out = follow(offsets, np.where(spans > 0, offsets + spans, 0), self.size - len(MAGIC))
+        n = len(offsets) + 1
+        numbers = [[self.block] * n, [self.size] * n, np.append(offsets, _NONE), np.append(out, -1), np.append(offsets[last], _NONE)]
+        return pa.RecordBatch.from_arrays([pa.array([self.file] * n, pa.string()), *[pa.array(c, pa.int64()) for c in numbers]], [c.split()[0] for c in PARTS.split(", ")])
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part = None
+    for whole in batches:
+        for b in slices(whole, 64):
+            for file, block, segment in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if part is None or (file, block) != (part.file, part.block):
+                    if part is not None:
+                        yield part.table()
+                    part = _Part(file, block)
+                part.add(segment)
+    if part is not None:
+        yield part.table()
+
+
+def segments(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, segment): the files under ``path`` cut at magic lines, in order within each part (block) of a file."""
+    text = spark.read.option("lineSep", MAGIC.decode()).text(path)
+    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("segment"))
+
+
+def chains(parts: DataFrame) -> DataFrame:
+    """(file, block, base, entry, owner): of every part, its offset, the first record in it (null: none) and the record that reaches into it from before (null: none).
+
+    Links between parts are followed from offset 0 of each file by pointer jumping.
+    """
+    sizes = parts.groupBy("file", "block").agg(F.first("size").alias("size"))
+    of_file = W.partitionBy("file").orderBy("block")  # a row per part
+    base = stage(sizes.select("file", "block", F.coalesce(F.sum("size").over(of_file.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base")), "warc-parts")
+    found = parts.where(F.col("at") > _NONE).join(base, ["file", "block"])
+    moved = [(F.col("at") + F.col("base")).alias("at"), F.when(F.col("exit") >= 0, F.col("exit") + F.col("base")).alias("exit"), (F.col("last") + F.col("base")).alias("last")]
+    nodes = stage(found.select("file", "block", *moved), "warc-candidates")
+    exits = nodes.where("exit is not null").select("file", F.col("exit").alias("at")).distinct()
+    entries = stage(nodes.join(exits, ["file", "at"], "left_semi").unionByName(nodes.where("at = 0")), "warc-entries")
+    jump = entries.where("exit is not null").select("file", F.col("at").alias("of"), F.col("exit").alias("to"))
+    jump = stage(jump.join(entries.select("file", F.col("at").alias("to")), ["file", "to"], "left_semi"), "warc-jumps")
+    reach = entries.where("at = 0").select("file", "at")
+    while not jump.isEmpty():
+        step = reach.join(jump.withColumnRenamed("of", "at"), ["file", "at"]).select("file", F.col("to").alias("at"))
+        reach = stage(reach.unionByName(step).distinct(), "warc-reach")
+        jump = stage(jump.alias("a").join(jump.alias("b"), (F.col("a.file") == F.col("b.file")) & (F.col("a.to") == F.col("b.of"))).select("a.file", "a.of", "b.to"), "warc-jumps")
+    real = entries.join(reach, ["file", "at"]).select("file", "block", F.col("at").alias("entry"), F.when(F.col("exit").isNotNull(), F.struct("last", "exit")).alias("into"))
+    j = base.join(real, ["file", "block"], "left")
+    owner = F.last("into", True).over(of_file.rowsBetween(W.unboundedPreceding, -1))
+    j = j.withColumn("_o", owner)
+    return j.select("file", "block", "base", "entry", F.when(F.col("_o.exit") > F.col("base") - len(MAGIC), F.col("_o")).alias("owner"))
 
 
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, sound boolean"
+#: Pieces of records that reach over parts: of what record, at what offset, bytes.
+PIECE = "file string, record long, piece long, bytes binary"
 
 
 def _number(urn: str | None) -> int | None:
@@ -136,37 +217,124 @@ def _number(urn: str | None) -> int | None:
     return int(text) if text.lstrip("-").isdigit() else None
 
 
+def parse(record: bytes, payload: bool) -> tuple:
+    """A row of RECORD from what follows a record's magic line up to its successor or the end of the file."""
+    start, head = header(record)
+    size = span(record)
+    whole = size > 0 and len(record) >= size - len(MAGIC) and record[size - len(MAGIC) - 4 : size - len(MAGIC)] == b"\r\n\r\n"
+    block = record[start : size - len(MAGIC) - 4] if whole else b""
+    http, _, body = block.partition(b"\r\n\r\n")
+    sizes = [x[15:] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+    told = sizes[0].strip() if sizes else b""
+    n = int(told) if told.isdigit() and len(told) < 19 else len(body)
+    digest, kind = head.get("warc-payload-digest", "").removeprefix("sha1:"), head.get("warc-type", "")
+    good = whole and (kind == "revisit" or (n == len(body) and base64.b32encode(hashlib.sha1(body).digest()).decode() == digest))
+    return (_number(head.get("warc-record-id")), head.get("warc-target-uri"), kind, _number(head.get("warc-refers-to")), n, digest, good, *[body] * payload)
+
+
+def _schema(payload: bool) -> str:
+    return RECORD + ", payload binary" * payload
+
+
+_KINDS = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
+
+
+class _Reader:
+    """Follows the chain of one part and collects the segments of the record at hand."""
+
+    def __init__(self, file: str, block: int, base: int, entry: int | None, owner: dict | None):
+        self.file, self.block, self.at, self.next = file, block, base - len(MAGIC), entry
+        self.owner, self.held, self.start = owner, None, None
+        self.done: list[bytes] = []
+        self.pieces: list[tuple] = []
+
+    def add(self, segment: bytes) -> None:
+        here = self.at
+        self.at += len(segment) + len(MAGIC)
+        if here == self.next:
+            self.finish()
+            size = span(segment)
+            self.held, self.start, self.next = [segment], here, here + size
+            if not size:
+                self.finish()
+                self.next = None
+        elif self.held is not None:
+            if here < self.next:
+                self.held += [MAGIC, segment]
+            else:  # the length leads between two candidates
+                self.finish()
+                self.next = None
+        elif self.owner is not None and here < self.owner["exit"]:
+            self.pieces.append((self.file, self.owner["last"], here, MAGIC + segment))
+
+    def finish(self, end: bool = False) -> None:
+        """Ends the record at hand; at the end of a part it may go on in the next."""
+        if self.held is None:
+            return
+        record, self.held = b"".join(self.held), None
+        if end and self.next > self.at:
+            self.pieces.append((self.file, self.start, self.start, record))
+        else:
+            self.done.append(record)
+
+
 def _read(payload: bool):
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_()] + [pa.binary()] * payload
-    names = [x.split()[0] for x in RECORD.split(", ")] + ["payload"] * payload
+    both = _schema(payload) + ", " + PIECE
+    width = len(both.split(", ")) - 4
+
+    def out(reader: _Reader) -> Iterator[pa.RecordBatch]:
+        rows = [(*parse(r, payload), None, None, None, None) for r in reader.done] + [(*[None] * width, *p) for p in reader.pieces]
+        reader.done, reader.pieces = [], []
+        if rows:
+            yield _batch(rows, both)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                data = b.column(0)[i].as_buffer().to_pybytes()
-                offsets, after, heads = candidates(data)
-                rows: list[tuple] = []
-                for k in np.nonzero(reachable(offsets, after))[0].tolist():
-                    start, head = heads[k]
-                    block = data[start : max(int(after[k]) - 4, start)]
-                    http, _, body = block.partition(b"\r\n\r\n")
-                    sizes = [x[15:] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-                    digest = head.get("warc-payload-digest", "").removeprefix("sha1:")
-                    kind = head.get("warc-type", "")
-                    size = int(sizes[0]) if sizes else len(body)
-                    good = after[k] >= 0 and (kind == "revisit" or (size == len(body) and base64.b32encode(hashlib.sha1(body).digest()).decode() == digest))
-                    rows.append((_number(head.get("warc-record-id")), head.get("warc-target-uri"), kind, _number(head.get("warc-refers-to")), size, digest, good, *[body] * payload))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        reader = None
+        for whole in batches:
+            for b in slices(whole, 64):
+                for file, block, base, entry, owner, segment in zip(*[b.column(c).to_pylist() for c in ("file", "block", "base", "entry", "owner", "segment")], strict=True):
+                    if reader is None or (file, block) != (reader.file, reader.block):
+                        if reader is not None:
+                            reader.finish(end=True)
+                            yield from out(reader)
+                        reader = _Reader(file, block, base, entry, owner)
+                    reader.add(segment)
+                yield from out(reader)
+        if reader is not None:
+            reader.finish(end=True)
+            yield from out(reader)
 
     return run
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """Records of the archives under ``path``; ``sound``: length and digest hold.
+    """Records of the archives under ``path``; ``sound``: end, length and digest hold.
 
-    A task holds one archive at a time. What follows a record whose length leads
-    nowhere is not in reach and gives no rows; that record itself has ``sound`` false.
+    Files are read in parts (spark.sql.files.maxPartitionBytes), whatever their size. What
+    follows a record whose length leads nowhere is not in reach and gives no rows; that
+    record itself has ``sound`` false. A record that reaches over parts is put together
+    from its pieces. Repeated records are rows of their own; empty files give none. A
+    record of more than 2 GB or with a header line that ends like the magic is not read.
     """
-    archives = spark.read.format("binaryFile").load(path).where("length > 0").select("content")
-    return archives.mapInArrow(_read(payload), RECORD + ", payload binary" * payload)
+    at = segments(spark, path)
+    told = stage(chains(stage(at.mapInArrow(_scan, PARTS), "warc-scan")), "warc-chains")
+    if small_enough(told, BROADCAST_PARTS):
+        placed = at.join(F.broadcast(told), ["file", "block"])
+    else:
+        placed = at.withColumn("_n", F.monotonically_increasing_id()).join(told, ["file", "block"]).sortWithinPartitions("file", "block", "_n").drop("_n")
+    read = stage(placed.mapInArrow(_read(payload), _schema(payload) + ", " + PIECE), "warc-records")
+    names = [f.split()[0] for f in _schema(payload).split(", ")]
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", F.hex("bytes").alias("x")))), lambda p: p["x"]), "")
+    pieces = read.where("record is not null").groupBy("file", "record").agg(F.unhex(joined).alias("bytes"))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                yield _batch([parse(x, payload)], _schema(payload))
+
+    return read.where("record is null").select(*names).unionByName(pieces.select("bytes").mapInArrow(whole, _schema(payload)))
