@@ -264,6 +264,57 @@ def test_warc_repeated_ids(spark, tmp_path):
     assert got == Counter([(1, "response", None, b"x"), (2, "revisit", 1, b""), (2, "response", None, b"y"), (3, "revisit", 2, b""), (3, "response", None, b"z")])
 
 
+def brute_records(data):
+    """(page_id, type, payload bytes, sound) by one pass over a whole file."""
+    out, at = [], 0
+    while data.startswith(warc.MAGIC, at):
+        stop = data.find(b"\r\n\r\n", at)
+        head = dict(x.split(": ", 1) for x in data[at:stop].decode("utf-8", "replace").split("\r\n")[1:] if ": " in x) if stop >= 0 else {}
+        if not head.get("Content-Length", "").isdigit():
+            return [*out, (None if not head.get("WARC-Record-ID") else int(head["WARC-Record-ID"][10:-1]), 0, False)]
+        end = stop + 4 + int(head["Content-Length"])
+        body = data[stop + 4 : end].partition(b"\r\n\r\n")[2]
+        whole = data[end : end + 4] == b"\r\n\r\n"
+        out.append((int(head["WARC-Record-ID"][10:-1]), len(body) if whole else None, whole))
+        at = end + 4
+    return out
+
+
+@pytest.mark.parametrize(("part", "broadcast"), [(3000, 0), (1 << 27, warc.BROADCAST_PARTS)])
+def test_warc_parts(spark, tmp_path, monkeypatch, part, broadcast):
+    """Archives cut into many parts and read whole; payloads full of records, of lone magic lines, larger than parts; a broken chain."""
+    monkeypatch.setattr(warc, "BROADCAST_PARTS", broadcast)
+    monkeypatch.setattr(warc, "BROADCAST_REVISITS", broadcast)
+    rng = np.random.default_rng(4)
+    inner = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:77>\r\nContent-Length: 9\r\n\r\nHTTP\r\n\r\nx\r\n\r\n"
+    texts = [inner * k for k in (1, 7, 40)] + ["WARC/1.0\r\n" * 300, "a" * 9000, "", "WARC/1.0", "é\r\n\r\n" * 5] + ["".join(rng.choice(["x", "\r\n", "WARC/1.0\r\n", "\r\n\r\n", inner], 30)) for _ in range(12)]
+    data = [(i, "http://u/WARC/1.0" if i % 3 == 0 else "u", t) for i, t in enumerate(texts)] + [(100, "u", texts[1])]
+    warc.write_warc(spark.createDataFrame(data, "page_id long, url string, html string").repartition(3), f"{tmp_path}/w")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", part)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        got = warc.read_warc(spark, f"{tmp_path}/w").collect()
+        assert all(r.sound for r in got)
+        assert Counter((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in got) == Counter((i, "revisit" if i == 100 else "response", 1 if i == 100 else None, len(t.encode())) for i, _, t in data)
+        assert {r.page_id: bytes(r.payload).decode() for r in got} == {i: "" if i == 100 else t for i, _, t in data}
+        # lengths that lead nowhere, past the end, into the middle; a file that doesn't start with a record
+        files = sorted(tmp_path.glob("w/part-*"))
+        whole = [f.read_bytes() for f in files]
+        broken = tmp_path / "b"
+        broken.mkdir()
+        cuts = []
+        for k, w in enumerate(whole):
+            at = w.find(b"\r\nContent-Length: ", len(w) // 2) + 18
+            cuts += [w[:at] + b"9" + w[at:], w[:at] + b"x" + w[at:], w[: len(w) - 3], b" " + w, w]
+        for k, w in enumerate(cuts):
+            (broken / f"{k}.warc").write_bytes(w)
+        got = Counter((r.page_id, r.sound) for r in warc.read_warc(spark, str(broken)).collect())
+        assert got == Counter((i, ok) for w in cuts for i, _, ok in brute_records(w))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_lines(docs, empty, spark):
     block = "alpha line\nbeta line\ngamma line"
     texts = ["first\n" + block + "\nend", "second\n" + block + "\nother", "alone", "first\n" + block + "\nend", None, "", "beta line\nalone?"]
