@@ -2,11 +2,12 @@
 
 Documents that share a run of ``min_lines`` lines are paired, however many hold it: each
 document with the earliest one that holds the run. A pair is aligned by patience diff, and
-blocks of aligned lines go from the later document. Every block holds such a run, and the
-run's earliest holder has it whole. Where that partner has the run in another order among
-its lines, single lines lead to more partners: those of at most ``max_df`` documents and
-the rarest of a document. A run or line leads to one partner, so pairs grow with the
-lines, not their squares.
+blocks of aligned lines go from the later document. A shared run that this alignment
+leaves out, since it has moved or is repeated, is aligned on its own. So a block goes
+whenever an earlier document has it, and the earliest one stands for all others that do:
+pairs grow with the lines, not with the squares of those that share them. Rare single
+lines are no keys: blocks of frequent lines would be lost, and what has a rare line in
+common without a common run has no block to delete.
 """
 
 from __future__ import annotations
@@ -19,13 +20,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from popgraph.llm.common import slices
 from popgraph.plans.stage import stage
 
-MAX_DF = 1000
 MIN_LINES = 2
 
 
@@ -90,22 +89,26 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def common_blocks(earlier: list[int], later: list[int], min_lines: int) -> list[int]:
-    """Lines of ``later`` in blocks of at least ``min_lines`` aligned lines, blank lines aside."""
-    ea = [i for i, x in enumerate(earlier) if x]
-    la = [i for i, x in enumerate(later) if x]
-    pairs = patience([earlier[i] for i in ea], [later[i] for i in la])
-    out: list[int] = []
-    run: list[int] = []
+    """Lines of ``later`` in common blocks of at least ``min_lines`` lines, blank lines aside: aligned ones, then those that have moved or are repeated."""
+    ea, at = [x for x in earlier if x], [i for i, x in enumerate(later) if x]
+    la = [later[i] for i in at]
+    out: set[int] = set()
+    block: list[int] = []
     before = (-2, -2)
-    for i, j in [*pairs, (-9, -9)]:
+    for i, j in [*patience(ea, la), (-9, -9)]:
         if (i, j) != (before[0] + 1, before[1] + 1):
-            if len(run) >= min_lines:
-                out += run
-            run = []
-        if j >= 0:
-            run.append(la[j])
+            if len(block) >= min_lines:
+                out.update(block)
+            block = []
+        block.append(j)
         before = (i, j)
-    return out
+    left = [j for j in range(len(la) - min_lines + 1) if any(k not in out for k in range(j, j + min_lines))]
+    if left:
+        runs = {tuple(ea[i : i + min_lines]) for i in range(len(ea) - min_lines + 1)}
+        for j in left:
+            if tuple(la[j : j + min_lines]) in runs:
+                out.update(range(j, j + min_lines))
+    return sorted(at[j] for j in out)
 
 
 def _align(min_lines: int):
@@ -134,15 +137,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _marks(min_lines: int) -> Column:
-    """Distinct lines of a document (positive) and hashes of its runs of ``min_lines`` lines, blank ones aside (negative)."""
+def _runs(min_lines: int) -> Column:
+    """Hashes of a document's distinct runs of ``min_lines`` lines, blank ones aside."""
     full = F.filter("lines", lambda x: x != 0)
     starts = F.when(F.size(full) >= min_lines, F.sequence(F.lit(1), F.size(full) - (min_lines - 1))).otherwise(F.array().cast("array<int>"))
-    runs = F.transform(starts, lambda i: F.xxhash64(F.slice(full, i, min_lines)).bitwiseOR(F.lit(-(1 << 63))))
-    return F.array_distinct(F.concat(full, runs))
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(full, i, min_lines))))
 
 
-def remove_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_df: int = MAX_DF, min_lines: int = MIN_LINES) -> DataFrame:
+def remove_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_text), one row per row of ``docs``.
 
     The earlier of two documents has the smaller id. A document whose lines are all
@@ -163,14 +165,10 @@ def remove_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own = stage(rows.join(firsts, "key", "left_semi").groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("lines").alias("lines")), "lines-own")
     copies = rows.select("key").distinct().join(firsts, "key", "left_anti").select("key", F.lit(True).alias("copy"))
 
-    held = own.select("doc_id", "key", F.explode(_marks(min_lines)).alias("line"))
-    shared = held.groupBy("line").agg(F.count(F.lit(1)).alias("df"), F.min(F.struct("doc_id", "key")).alias("holder")).where("df > 1")
-    shared = stage(shared.select("line", "df", F.col("holder.key").alias("earlier")), "lines-shared")
-    of_doc = W.partitionBy("key")
-    led = held.select("key", "line").join(shared, "line").where("key <> earlier")
-    led = led.withColumn("rarest", F.min(F.when(F.col("line") > 0, F.col("df"))).over(of_doc))
-    led = led.where((F.col("line") < 0) | (F.col("df") <= max_df) | (F.col("df") == F.col("rarest")))
-    pairs = stage(led.select("key", "earlier").distinct(), "lines-pairs")
+    held = own.select("doc_id", "key", F.explode(_runs(min_lines)).alias("run"))
+    shared = held.groupBy("run").agg(F.count(F.lit(1)).alias("df"), F.min(rank).alias("holder")).where("df > 1")
+    shared = stage(shared.select("run", F.col("holder.key").alias("earlier")), "lines-shared")
+    pairs = stage(held.select("key", "run").join(shared, "run").where("key <> earlier").select("key", "earlier").distinct(), "lines-pairs")
     sides = stage(own.select("key", "lines"), "lines-sides")
     left = pairs.join(sides.select(F.col("key").alias("earlier"), F.col("lines").alias("before")), "earlier")
     both = left.join(sides, "key").select("key", "before", "lines")

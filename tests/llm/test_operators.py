@@ -388,14 +388,14 @@ def test_neighbours_ties_and_repeated_ids(spark, monkeypatch):
 
 
 def test_lines_of_frequent_passages(spark):
-    # the passage is in more than max_df documents; documents 4 to 7 share a rarer line with one that lacks it
+    # documents 4 to 7 share a rarer line with one that lacks the passage
     texts = {0: "rare\nzero", 1: "p1\np2\np3", **{i: f"rare\nown {i}\np1\np2\np3" for i in range(4, 8)}}
     # two frequent passages of unlike frequency
     texts |= {10: "q1\nq2", 11: "r1\nr2", 12: "q1\nq2\nx12", 13: "r1\nr2\nx13", 14: "r1\nr2\nx14", 15: "q1\nq2\nx15\nr1\nr2"}
     # the lines of the passage come singly before they come together
     texts |= {20: "a1\nx20", 21: "a2\nx21", 22: "a3\nx22", 23: "x23\na1\n\na2\na3", 24: "a1\na2\n\na3\nx24"}
     df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
-    kept = {r.doc_id: r.kept_text for r in lines.remove_common_lines(df, max_df=2).collect()}
+    kept = {r.doc_id: r.kept_text for r in lines.remove_common_lines(df).collect()}
     want = texts | {i: f"rare\nown {i}" for i in range(4, 8)} | {12: "x12", 13: "x13", 14: "x14", 15: "x15", 24: "\nx24"}
     assert kept == want
 
@@ -413,4 +413,37 @@ def test_lines_runs_find_every_block(spark, size):
         gone = {k + j for k, r in enumerate(runs) if r in seen for j in range(size)}
         want[i] = "\n".join(x for k, x in enumerate(ls) if k not in gone)
         seen |= set(runs)
-    assert {r.doc_id: r.kept_text for r in lines.remove_common_lines(df, max_df=2, min_lines=size).collect()} == want
+    assert {r.doc_id: r.kept_text for r in lines.remove_common_lines(df, min_lines=size).collect()} == want
+
+
+@pytest.mark.parametrize("size", [1, 2, 3])
+def test_lines_against_all_pairs(spark, size):
+    """70 tables of random documents, moved and repeated blocks among them: as if every pair of a table were aligned."""
+    rng = np.random.default_rng(size)
+    rows, want = [], {}
+    for t in range(70):
+        pool = [[f"{t} {x}" for x in rng.integers(0, 300, rng.integers(1, 6))] for _ in range(8)]
+        few = int(rng.integers(4, 40))
+        seen = []
+        for _ in range(rng.integers(4, 20)):
+            if t % 2:
+                d = [x for k in rng.integers(0, 8, rng.integers(1, 6)) for x in (pool[k] if rng.random() < 0.8 else [f"{t} own {len(rows)}", ""])]
+            else:
+                d = [f"{t} {x}" if x else "" for x in rng.integers(0, few, rng.integers(1, 20))]
+            hashes = lines.line_hashes("\n".join(d))
+            full = [x for x in hashes if x]
+            gone = {i for e in seen for i in lines.common_blocks(e, hashes, size)}
+            if full and any([x for x in e if x] == full for e in seen):
+                gone = {i for i, x in enumerate(hashes) if x}
+            want[len(rows)] = "\n".join(x for i, x in enumerate(d) if i not in gone)
+            rows.append((len(rows), "\n".join(d)))
+            seen.append(hashes)
+    got = lines.remove_common_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_lines=size).collect()
+    assert {r.doc_id: r.kept_text for r in got} == want
+
+
+def test_common_blocks():
+    assert lines.common_blocks([1, 2, 3, 4], [9, 2, 3, 4, 1], 2) == [1, 2, 3]
+    assert lines.common_blocks([1, 2, 3, 4, 5, 6], [4, 5, 6, 0, 1, 2], 2) == [0, 1, 2, 4, 5]  # moved
+    assert lines.common_blocks([1, 2], [1, 2, 7, 1, 2], 2) == [0, 1, 3, 4]  # repeated
+    assert lines.common_blocks([1, 2, 3], [3, 2, 1], 2) == lines.common_blocks([], [1], 1) == []
