@@ -124,14 +124,16 @@ def pattern_name(text: Column) -> Column:
     return F.concat(F.lit("pattern_"), found(r"State:\s*([^;]*[^;\s])", "S"), F.lit("_"), found(r"Transition:\s*(\S+)", "unknown"))
 
 
-def perception_text(agents: DataFrame, day_states: DataFrame, nb: DataFrame, recent: int = 10) -> DataFrame:
-    """(agent_id, text): own state and which contacts are infected or dead for at most ``recent`` days, in order of id."""
-    other = day_states.select(F.col("agent_id").alias("other_id"), F.col("state").alias("_s"), F.col("days_in_state").alias("_d"))
+def perception_text(agents: DataFrame, panel: DataFrame, nb: DataFrame, recent: int = 10) -> DataFrame:
+    """(agent_id, day, text): own state and which contacts are infected or dead for at most ``recent`` days, in order of id."""
+    rows = panel.select("agent_id", "day", "state", "days_in_state")
+    told = rows.where((F.col("state") == "I") | ((F.col("state") == "D") & (F.col("days_in_state") <= recent)))
+    other = told.select(F.col("agent_id").alias("other_id"), "day", F.col("state").alias("_s"))
     name = F.concat(F.lit("#"), F.col("other_id").cast("string"))
-    listed = lambda cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("other_id", name.alias("n"))))), lambda x: x["n"])
-    near = nb.join(other, "other_id").groupBy("agent_id").agg(listed(F.col("_s") == "I").alias("_sick"), listed((F.col("_s") == "D") & (F.col("_d") <= recent)).alias("_dead"))
-    own = agents.select("agent_id").join(day_states, "agent_id").join(near, "agent_id", "left")
+    listed = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("_s") == s, F.struct("other_id", name.alias("n"))))), lambda x: x["n"])
+    near = nb.select("agent_id", "other_id").join(other, "other_id").groupBy("agent_id", "day").agg(listed("I").alias("_sick"), listed("D").alias("_dead"))
+    own = agents.select("agent_id").join(rows, "agent_id").join(near, ["agent_id", "day"], "left")
     days = F.col("days_in_state").cast("string")
     self_line = F.when(F.col("state") == "I", F.concat(F.lit("infected for "), days, F.lit(" days"))).when(F.col("state") == "R", F.concat(F.lit("recovered "), days, F.lit(" days ago"))).otherwise("healthy")
     line = lambda c, said: F.when(F.size(c) > 0, F.concat(F.lit(said), F.array_join(c, ", ")))
-    return own.select("agent_id", F.concat_ws("; ", self_line, line("_sick", "infected contacts: "), line("_dead", "mourned contacts: ")).alias("text"))
+    return own.select("agent_id", "day", F.concat_ws("; ", self_line, line("_sick", "infected contacts: "), line("_dead", "mourned contacts: ")).alias("text"))

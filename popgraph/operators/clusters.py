@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from popgraph.operators.retrieval import cosine, top_per_group
 from popgraph.functions.draws import uniform
-from popgraph.plans.stage import stage
+from popgraph.plans.stage import counted_broadcast, stage
 
 
 def long_vectors(df: DataFrame, id_col: str, vec: str, *keep: str) -> DataFrame:
@@ -30,25 +30,25 @@ def distance(a, b):
 
 def centroid_distances(df: DataFrame, label: str, vec: str, id_col: str) -> DataFrame:
     """(a, b, distance) of all pairs of centroids; a table of clusters squared."""
-    c = F.broadcast(centroid_arrays(df, label, vec, id_col))
+    c = counted_broadcast(centroid_arrays(df, label, vec, id_col), label="centroids")
     a, b = c.select(F.col(label).alias("a"), F.col("centroid").alias("_x")), c.select(F.col(label).alias("b"), F.col("centroid").alias("_y"))
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(distance("_x", "_y"), 6).alias("distance"))
 
 
 def intra_distance(df: DataFrame, label: str, vec: str, id_col: str) -> DataFrame:
-    j = df.withColumn("_v", F.col(vec).cast("array<double>")).join(F.broadcast(centroid_arrays(df, label, vec, id_col)), label)
+    j = df.withColumn("_v", F.col(vec).cast("array<double>")).join(centroid_arrays(df, label, vec, id_col), label)
     return j.groupBy(label).agg(F.count(F.lit(1)).alias("size"), F.round(F.avg(distance("_v", "centroid")), 6).alias("mean_distance"))
 
 
 def representatives(df: DataFrame, label: str, vec: str, id_col: str) -> DataFrame:
     """The row of each cluster nearest its centroid."""
-    j = df.withColumn("_v", F.col(vec).cast("array<double>")).join(F.broadcast(centroid_arrays(df, label, vec, id_col)), label)
+    j = df.withColumn("_v", F.col(vec).cast("array<double>")).join(centroid_arrays(df, label, vec, id_col), label)
     return j.withColumn("_d", F.round(distance("_v", "centroid"), 9)).groupBy(label).agg(F.min_by(id_col, F.struct("_d", id_col)).alias("representative"))
 
 
 def select_anchors(df: DataFrame, label: str, vec: str, id_col: str) -> DataFrame:
     """The row of each cluster with the highest cosine to its profile."""
-    j = df.join(F.broadcast(centroid_arrays(df, label, vec, id_col)), label).withColumn("_c", F.round(cosine(vec, "centroid"), 9))
+    j = df.join(centroid_arrays(df, label, vec, id_col), label).withColumn("_c", F.round(cosine(vec, "centroid"), 9))
     return j.groupBy(label).agg(F.min_by(id_col, F.struct(-F.col("_c"), id_col)).alias("anchor"))
 
 
@@ -65,6 +65,17 @@ def ch_index(df: DataFrame, label: str, vec: str, id_col: str) -> DataFrame:
     return t.select(F.round(score, 6).alias("calinski_harabasz"))
 
 
+def db_index(df: DataFrame, label: str, vec: str, id_col: str) -> DataFrame:
+    """Davies-Bouldin: the mean, over clusters, of the largest ratio of two clusters' mean distances to their centroids and the distance of these."""
+    c = centroid_arrays(df, label, vec, id_col)
+    j = df.withColumn("_v", F.col(vec).cast("array<double>")).join(c, label)
+    s = j.groupBy(label).agg(F.avg(distance("_v", "centroid")).alias("_s"))
+    table = counted_broadcast(c.join(s, label), label="clusters")
+    a, b = table.select(F.col(label).alias("a"), F.col("centroid").alias("_x"), F.col("_s").alias("_sa")), table.select(F.col(label).alias("b"), F.col("centroid").alias("_y"), F.col("_s").alias("_sb"))
+    worst = a.join(b, F.col("a") != F.col("b")).groupBy("a").agg(F.max(F.try_divide(F.col("_sa") + F.col("_sb"), distance("_x", "_y"))).alias("_r"))
+    return worst.agg(F.round(F.avg("_r"), 6).alias("davies_bouldin"))
+
+
 def silhouette(df: DataFrame, label: str, vec: str, id_col: str) -> DataFrame:
     """(id, label, silhouette_sq) with squared Euclidean distances, from cluster sums: linear in rows times clusters."""
     v = df.withColumn("_v", F.col(vec).cast("array<double>"))
@@ -72,7 +83,7 @@ def silhouette(df: DataFrame, label: str, vec: str, id_col: str) -> DataFrame:
     c = centroid_arrays(df, label, vec, id_col).select(F.col(label).alias("_l"), "centroid")
     q = v.groupBy(F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("_n"), F.sum(sq).alias("_q"))
     table = c.join(q, "_l")
-    j = v.withColumn("_sq", sq).crossJoin(F.broadcast(table))  # clusters are few
+    j = v.withColumn("_sq", sq).crossJoin(counted_broadcast(table, label="clusters"))
     dot = F.aggregate(F.zip_with("_v", "centroid", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     mean = F.col("_sq") + F.col("_q") / F.col("_n") - 2 * dot
     own = F.col(label) == F.col("_l")
@@ -105,10 +116,26 @@ def conductance(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def cluster_edge_matrix(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b, edges, density): edges between and (twice in density) within clusters; density is relative to the largest entry."""
+    l1 = labels.select(F.col("agent_id").alias("agent_1"), F.col("cluster_id").alias("c1"))
+    l2 = labels.select(F.col("agent_id").alias("agent_2"), F.col("cluster_id").alias("c2"))
+    e = edges.join(l1, "agent_1").join(l2, "agent_2")
+    m = e.groupBy(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).agg(F.count(F.lit(1)).alias("edges"))
+    entry = F.when(F.col("a") == F.col("b"), 2 * F.col("edges")).otherwise(F.col("edges"))
+    return m.crossJoin(F.broadcast(m.agg(F.max(entry).alias("_m")))).select("a", "b", "edges", F.round(entry / F.col("_m"), 6).alias("density"))
+
+
+def edge_density(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(cluster_id, intra, inter): edges within a cluster over its pairs, and edges that leave it over the pairs with others."""
     l1 = labels.select(F.col("agent_id").alias("agent_1"), F.col("cluster_id").alias("c1"))
     l2 = labels.select(F.col("agent_id").alias("agent_2"), F.col("cluster_id").alias("c2"))
     e = edges.join(l1, "agent_1").join(l2, "agent_2")
-    return e.groupBy(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).agg(F.count(F.lit(1)).alias("edges"))
+    ends = e.select(F.explode(F.array_distinct(F.array("c1", "c2"))).alias("cluster_id"), (F.col("c1") == F.col("c2")).alias("_in"))
+    by = ends.groupBy("cluster_id").agg(F.count_if("_in").alias("_intra"), F.count_if(~F.col("_in")).alias("_inter"))
+    n = labels.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("_n"))
+    j = n.join(by, "cluster_id", "left").na.fill(0, ["_intra", "_inter"]).crossJoin(F.broadcast(n.agg(F.sum("_n").alias("_all"))))
+    rate = lambda x, pairs: F.round(F.coalesce(F.try_divide(x, pairs), F.lit(0.0)), 9)
+    return j.select("cluster_id", rate(F.col("_intra"), F.col("_n") * (F.col("_n") - 1) / 2).alias("intra"), rate(F.col("_inter"), F.col("_n") * (F.col("_all") - F.col("_n"))).alias("inter"))
 
 
 def cluster_balance(labels: DataFrame) -> DataFrame:
@@ -160,6 +187,30 @@ def coarse_cluster(df: DataFrame, vec: str, id_col: str, k: int, seed: int = 7,
     return model.transform(v).select(id_col, F.col("prediction").alias("cluster_id"))
 
 
+def with_balance(labels: DataFrame) -> DataFrame:
+    """``labels`` with ``balance``: the smallest over the largest cluster size, the same in every row."""
+    n = labels.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("_n"))
+    return labels.crossJoin(F.broadcast(n.agg(F.round(F.min("_n") / F.max("_n"), 6).alias("balance"))))
+
+
+def fine_cluster(df: DataFrame, vec: str, id_col: str, k: int, least_balance: float = 0.2, seed: int = 42) -> DataFrame:
+    """(id, cluster_id) by bisecting k-means; by k-means where cluster sizes are too far apart, and into three where fewer than two come out."""
+    from pyspark.ml.clustering import BisectingKMeans, KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    v = df.select(id_col, array_to_vector(F.col(vec).cast("array<double>")).alias("features"))
+    told = lambda model: stage(model.fit(v).transform(v).select(id_col, F.col("prediction").alias("cluster_id")), "fine")
+    sizes = lambda labels: [r[0] for r in labels.groupBy("cluster_id").count().select("count").collect()]  # noqa: E731  at most k rows
+    labels = told(BisectingKMeans(k=k, seed=seed))
+    n = sizes(labels)
+    if n and min(n) / max(n) < least_balance:
+        labels = told(KMeans(k=k, seed=seed))
+        n = sizes(labels)
+    if len(n) == 1:
+        labels = told(BisectingKMeans(k=3, seed=seed))
+    return labels
+
+
 def power_iteration(df: DataFrame, links: DataFrame, vec: str, id_col: str, k: int, rounds: int = 20) -> DataFrame:
     """(id, cluster_id) by power iteration over ``links`` (src, dst), each weighed by exp(-distance) of its ends.
 

@@ -39,10 +39,13 @@ def infer_household(cluster: Column, index: Column) -> Column:
     return F.when(n != "", 10000 + n.cast("long")).when(low.contains("dorm"), 20000 + index).otherwise(F.floor(index / (index % 4 + 2)))
 
 
-def infer_networks(age: Column, index: Column) -> tuple[Column, Column]:
-    """(work, school) network ids, -1 for none."""
+def infer_networks(age: Column, index: Column, cluster: Column, hospital: Column) -> tuple[Column, Column]:
+    """(work, school) network ids, -1 for none: hospitals and dormitories have networks of their own, by hash of their names."""
+    low = F.lower(F.coalesce(cluster, F.lit("")))
+    place = lambda name, salt, n: F.floor(uniform(F.coalesce(name, F.lit("")), salt) * n)
+    work = F.when(low.contains("hospital") | low.contains("healthcare"), 500 + place(hospital, "hospital", 50)).when(low.contains("dorm"), 1000 + place(low, "dormitory", 100)).otherwise(F.floor(index / 20))
     school = F.when((age >= 5) & (age < 18), F.floor(index / 30)).when((age >= 18) & (age < 25) & (uniform(index, "school") < 0.6), F.floor(index / 40)).otherwise(-1)
-    return F.when((age >= 18) & (age < 65), F.floor(index / 20)).otherwise(-1), school
+    return F.when((age >= 18) & (age < 65), work).otherwise(-1), school
 
 
 def draw_comorbidity(age: Column, key: Column) -> Column:
@@ -73,10 +76,6 @@ def daily_hazard(cumulative: Column, days: float) -> Column:
     return 1 - F.pow(1 - cumulative, F.lit(1.0 / days))
 
 
-def stringency(day: Column) -> Column:
-    return F.when(day < 7, 0.2).when(day < 21, 0.8).otherwise(0.5)
-
-
 def next_transition(state: Column) -> Column:
     return F.create_map(*[F.lit(x) for x in ("S", "S->E", "E", "E->I", "I", "I->R", "R", "R->S")])[state]
 
@@ -93,11 +92,18 @@ def select_chronological(cases: DataFrame, n: int, keys: tuple = ("date", "case"
     return first.withColumn("agent_id", F.row_number().over(W.orderBy(*keys)) - 1)
 
 
-def entity_features(a: DataFrame, state: Column) -> DataFrame:
-    """agent_id and a feature array: age, occupations, vaccination, comorbidity, compliance, state."""
+#: The occupations of the entity vector.
+ENTITY_JOBS = ["healthcare_worker", "office_worker", "retail_worker", "teacher", "student", "retired"]
+
+
+def entity_features(a: DataFrame, state: Column, household_size: Column | None = None) -> DataFrame:
+    """agent_id and 20 entries: age, occupation, household size (one unless given), vaccination, comorbidity, mobility, compliance, risk awareness, state."""
     hot = lambda c, vs: [F.when(c == v, 1.0).otherwise(0.0) for v in vs]
-    segments = ["automobile", "building", "furniture", "household", "machinery"]
-    f = F.array(F.col("age") / 100.0, *hot(F.col("occupation"), segments), *hot(F.col("vaccination_status"), range(3)), F.col("comorbidity_count") / 5.0, F.col("compliance_score"), *hot(state, "SEIRD"))
+    home = (F.lit(1.0) if household_size is None else household_size) / 10.0
+    f = F.array(
+        F.col("age") / 100.0, *hot(F.col("occupation"), ENTITY_JOBS), home, *hot(F.col("vaccination_status"), range(3)), F.col("comorbidity_count") / 5.0,
+        F.col("mobility_score"), F.col("compliance_score"), F.col("risk_awareness"), *hot(state, "SEIRD"),
+    )
     return a.select("agent_id", f.alias("features"))
 
 

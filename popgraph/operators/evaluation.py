@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from popgraph.operators.risk import BETA_CONTACT, BETA_HOUSEHOLD
+
 
 def regression_metrics(df: DataFrame, keys: list[str], p: str = "prediction", y: str = "target") -> DataFrame:
     e = F.col(p) - F.col(y)
@@ -32,8 +34,9 @@ def event_macro_f1(df: DataFrame, pred: str, truth: str) -> DataFrame:
 
 
 def weighted_losses(df: DataFrame, weight: Column, gamma: float = 2.0, p: str = "prediction", y: str = "target") -> DataFrame:
-    e = F.abs(F.col(p) - F.col(y))
-    return df.agg(F.round(F.avg(weight * e * e), 6).alias("weighted_mse"), F.round(F.avg(F.pow(e, F.lit(gamma)) * e * e), 6).alias("focal_mse"))
+    """Weighted squared error, plain and with more weight on targets above zero (1 + gamma * target)."""
+    e = weight * F.pow(F.col(p) - F.col(y), 2)
+    return df.agg(F.round(F.avg(e), 6).alias("weighted_mse"), F.round(F.avg((1 + gamma * F.col(y)) * e), 6).alias("focal_mse"))
 
 
 def event_time_error(pred: DataFrame, truth: DataFrame, horizon: int) -> DataFrame:
@@ -58,11 +61,17 @@ def label_stats(df: DataFrame, cols: list[str]) -> DataFrame:
     )
 
 
-def class_weights(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Inverse frequency of non-zero labels, scaled to sum to the number of labels."""
-    rows = df.select(*cols).unpivot([], cols, "transition", "x").groupBy("transition").agg(F.avg(F.when(F.col("x") != 0, 1.0).otherwise(0.0)).alias("f"))
-    inv = rows.withColumn("i", 1 / (F.col("f") + 1e-6))
-    return inv.select("transition", F.round(F.col("i") * len(cols) / F.sum("i").over(W.partitionBy()), 6).alias("weight"))
+def class_weights(df: DataFrame, cols: list[str], method: str = "inverse_freq") -> DataFrame:
+    """(transition, weight) from mean rates, scaled to sum to the number of transitions.
+
+    ``inverse_freq``: 1 / rate; ``balanced``: largest rate / rate; others: equal weights.
+    """
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "transition", "x").groupBy("transition").agg(F.avg("x").alias("f"))
+    every = W.partitionBy()  # one row per transition
+    raw = {"inverse_freq": 1 / (F.col("f") + 1e-8), "balanced": F.max("f").over(every) / (F.col("f") + 1e-8)}.get(method, F.lit(1.0))
+    w = rows.withColumn("i", raw)
+    scaled = F.col("i") * len(cols) / F.sum("i").over(every) if method in ("inverse_freq", "balanced") else F.col("i")
+    return w.select("transition", F.round(scaled, 6).alias("weight"))
 
 
 def fit_scaler(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -77,10 +86,20 @@ def apply_scaler(df: DataFrame, key: str, cols: list[str], scaler: DataFrame) ->
     return rows.join(F.broadcast(scaler), "field").select(key, "field", F.round((F.col("x") - F.col("mean")) / F.col("std"), 6).alias("z"))
 
 
-def r0_from_network(household_size: Column, contacts: Column, beta_household: float = 0.15, beta_contact: float = 0.03, infectious: float = 10.0) -> Column:
+#: Mean days of infection and the reproduction number aimed at.
+INFECTIOUS_DAYS, R0_TARGET = 10.0, 2.5
+
+
+def r0_from_network(household_size: Column, contacts: Column, beta_household: float = BETA_HOUSEHOLD, beta_contact: float = BETA_CONTACT, infectious: float = INFECTIOUS_DAYS) -> Column:
     return (household_size - 1) * (1 - F.exp(F.lit(-beta_household))) + beta_contact * contacts * infectious
 
 
+def r_eff(history: DataFrame, r0: float = R0_TARGET) -> DataFrame:
+    """(day, r_eff): R0 times the share of susceptible entities, from daily S, E, I, R, D."""
+    n = F.col("S") + F.col("E") + F.col("I") + F.col("R") + F.col("D")
+    return history.select("day", F.round(r0 * F.col("S") / n, 6).alias("r_eff"))
+
+
 def top_categories(df: DataFrame, col: str, k: int) -> DataFrame:
     return df.groupBy(F.col(col).alias("category")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "category").limit(k)
 

@@ -63,16 +63,17 @@ def raw_features(agents: DataFrame) -> DataFrame:
     return a.select("agent_id", F.concat(F.array(F.round(F.col("age") / 100.0, 6), flag(gender == "m"), flag(gender == "f"), flag(~gender.isin("m", "f"))), hot).alias("features"))
 
 
-def panel_features(agents: DataFrame, day_states: DataFrame, neighbor_states: DataFrame) -> DataFrame:
-    """agent_id and 21 entries of an entity on one day; no contacts give a share of zero."""
-    a = agents.join(day_states.select("agent_id", "days_in_state"), "agent_id").join(neighbor_states.select("agent_id", "contacts", "infected"), "agent_id", "left")
+def panel_features(agents: DataFrame, panel: DataFrame, neighbor_states: DataFrame) -> DataFrame:
+    """agent_id, day and 21 entries of an entity on that day; no contacts give a share of zero."""
+    near = neighbor_states.select("agent_id", "day", "contacts", "infected")
+    a = agents.join(panel.select("agent_id", "day", "days_in_state"), "agent_id").join(near, ["agent_id", "day"], "left")
     share = F.coalesce(F.col("infected") / F.greatest("contacts", F.lit(1)), F.lit(0.0))
     f = F.array(
         F.col("age") / 100.0, *one_hot(F.col("occupation"), PANEL_JOBS), F.lit(0.1), flag(F.col("is_imported")), flag(F.col("quarantined")), flag(F.lower("cluster").contains("dorm")),
         *one_hot(F.col("vaccination_status"), [0, 1, 2]), F.col("comorbidity_count") / 5.0, F.col("mobility_score"), F.col("compliance_score"), F.col("risk_awareness"),
         F.least(F.col("days_in_state") / 20.0, F.lit(1.0)), share, flag(F.col("isolated")),
     )
-    return a.select("agent_id", F.transform(f, lambda x: F.round(x, 6)).alias("features"))
+    return a.select("agent_id", "day", F.transform(f, lambda x: F.round(x, 6)).alias("features"))
 
 
 def baseline_rate(transition: Column) -> Column:
@@ -112,13 +113,13 @@ def quarantine_factor(agents: DataFrame, cluster: str) -> DataFrame:
     return agents.groupBy(cluster).agg(F.round(F.greatest(F.lit(0.1), 1 - 0.8 * F.avg(flag(F.col("quarantined")))), 6).alias("factor"))
 
 
-def death_factor(agents: DataFrame, day_states: DataFrame, cluster: str) -> DataFrame:
-    """(cluster, factor): mean fatality factor of the infected, 1 where none is. Fixed values by age, health, vaccine."""
+def death_factor(agents: DataFrame, panel: DataFrame, cluster: str) -> DataFrame:
+    """(cluster, day, factor): mean fatality factor of the infected, 1 where none is. Fixed values by age, health, vaccine."""
     age = F.when(F.col("age") < 20, 0.01).when(F.col("age") < 50, 0.25).when(F.col("age") < 70, 2.5).otherwise(35.0)
     health = F.when(F.col("comorbidity_count") >= 2, 1.8).when(F.col("comorbidity_count") == 1, 1.3).otherwise(1.0)
     vaccine = F.when(F.col("vaccination_status") >= 2, 0.1).when(F.col("vaccination_status") == 1, 0.3).otherwise(1.0)
-    j = agents.join(day_states.select("agent_id", "state"), "agent_id")
-    return j.groupBy(cluster).agg(F.round(F.coalesce(F.avg(F.when(F.col("state") == "I", age * health * vaccine)), F.lit(1.0)), 6).alias("factor"))
+    j = agents.join(panel.select("agent_id", "day", "state"), "agent_id")
+    return j.groupBy(cluster, "day").agg(F.round(F.coalesce(F.avg(F.when(F.col("state") == "I", age * health * vaccine)), F.lit(1.0)), 6).alias("factor"))
 
 
 def death_probability(age: Column, days: Column, comorbidity: Column, vaccination: Column) -> Column:
@@ -196,6 +197,12 @@ def keep_top_labels(df: DataFrame, col: str, k: int, otherwise: str) -> DataFram
     return df.join(F.broadcast(top), col, "left").withColumn(col, F.when(F.col("_kept"), F.col(col)).otherwise(otherwise)).drop("_kept")
 
 
+def category_counts(df: DataFrame, col: str) -> DataFrame:
+    """(category, n, share) of the values of ``col``, null among them."""
+    c = df.groupBy(F.col(col).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    return c.crossJoin(F.broadcast(c.agg(F.sum("n").alias("_t")))).select("category", "n", F.round(F.col("n") / F.col("_t"), 6).alias("share"))  # one row of total
+
+
 def extract_json(text: Column, schema: str, defaults: dict) -> list[Column]:
     """Fields of the first flat JSON object inside a text, with defaults where absent or broken."""
     found = F.from_json(F.nullif(F.regexp_extract(text, r"\{[^{}]*\}", 0), F.lit("")), schema)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from popgraph.functions.draws import uniform
 from popgraph.operators.clusters import centroid_arrays, distance, long_vectors
 from popgraph.operators.retrieval import cosine, top_per_group
+from popgraph.plans.ranks import exact_percentiles
+from popgraph.plans.stage import counted_broadcast, stage
 
 
 def pattern_profile(df: DataFrame, key: str, label: str) -> DataFrame:
@@ -34,9 +37,22 @@ def motif_coherence(profile: DataFrame, clusters: DataFrame, key: str, label: st
     return e.select("cluster_id", F.round("_e", 6).alias("entropy"), F.round(F.when(F.col("_k") > 1, 1 - F.col("_e") / F.log("_k")).otherwise(1.0), 6).alias("coherence"))
 
 
-def motif_cooccurrence(profile: DataFrame, key: str, label: str) -> DataFrame:
-    """(a, b, entities): entities that show both motifs; the pairs of one entity are bounded by the motifs."""
-    sets = profile.groupBy(key).agg(F.sort_array(F.collect_set(label)).alias("_m"))
+def motif_frequency(profile: DataFrame, label: str, k: int = 15) -> DataFrame:
+    """(label, frequency, rank): the ``k`` motifs of largest summed share, ties by name."""
+    f = profile.groupBy(label).agg(F.round(F.sum("share"), 6).alias("frequency"))
+    return f.orderBy(F.desc("frequency"), label).limit(k).withColumn("rank", F.row_number().over(W.orderBy(F.desc("frequency"), label)))  # k rows
+
+
+def top_motifs(profile: DataFrame, clusters: DataFrame, key: str, label: str, k: int = 3) -> DataFrame:
+    """(cluster_id, label, share, rank): the ``k`` motifs of largest mean share per cluster; absent shares count as zero."""
+    size = clusters.groupBy("cluster_id").agg(F.countDistinct(key).alias("_n"))
+    s = profile.join(clusters.select(key, "cluster_id"), key).groupBy("cluster_id", label).agg(F.sum("share").alias("_s")).join(size, "cluster_id")
+    return top_per_group(s.select("cluster_id", label, F.round(F.col("_s") / F.col("_n"), 6).alias("share")), ["cluster_id"], [F.desc("share"), label], k)
+
+
+def motif_cooccurrence(profile: DataFrame, key: str, label: str, least: float = 0.1) -> DataFrame:
+    """(a, b, entities): entities in which both motifs have a share above ``least``; the pairs of one entity are bounded by the motifs."""
+    sets = profile.where(F.col("share") > least).groupBy(key).agg(F.sort_array(F.collect_set(label)).alias("_m"))
     a = sets.select("_m", F.explode("_m").alias("a"))
     return a.select("a", F.explode("_m").alias("b")).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("entities"))
 
@@ -54,7 +70,8 @@ def feature_examples(df: DataFrame, id_col: str, vec: str, k: int = 5) -> DataFr
 
 
 def _with_centroids(df: DataFrame, label: str, vec: str, id_col: str, own: bool) -> DataFrame:
-    c = F.broadcast(centroid_arrays(df, label, vec, id_col).withColumnRenamed(label, "_label"))
+    c = centroid_arrays(df, label, vec, id_col).withColumnRenamed(label, "_label")
+    c = c if own else counted_broadcast(c, label="centroids")
     on = F.col(label) == F.col("_label") if own else F.lit(True)
     return df.select(id_col, label, F.col(vec).cast("array<double>").alias("_v")).join(c, on)
 
@@ -70,14 +87,14 @@ def boundary_entities(df: DataFrame, label: str, vec: str, id_col: str, margin:
 def anchor_quality(df: DataFrame, anchors: DataFrame, label: str, vec: str, id_col: str) -> DataFrame:
     """(representativeness): inverse mean distance of the anchors to their centroids."""
     rows = _with_centroids(df, label, vec, id_col, own=True)
-    j = rows.join(F.broadcast(anchors.select(F.col("anchor").alias(id_col))), id_col, "left_semi")
+    j = rows.join(anchors.select(F.col("anchor").alias(id_col)), id_col, "left_semi")
     return j.agg(F.round(1 / (F.avg(distance("_v", "centroid")) + 1e-9), 6).alias("representativeness"))
 
 
 def anchor_loss(df: DataFrame, anchors: DataFrame, label: str, vec: str, id_col: str, temperature: float = 0.5) -> DataFrame:
     """(loss): mean of log-sum-exp over anchors minus the own anchor's similarity, each over the temperature."""
     a = anchors.join(df.select(F.col(id_col).alias("anchor"), F.col(vec).alias("_a")), "anchor").select(F.col(label).alias("_label"), "_a")
-    j = df.select(id_col, label, F.col(vec).alias("_v")).crossJoin(F.broadcast(a)).withColumn("_s", cosine("_v", "_a") / temperature)
+    j = df.select(id_col, label, F.col(vec).alias("_v")).crossJoin(counted_broadcast(a, label="anchors")).withColumn("_s", cosine("_v", "_a") / temperature)
     g = j.groupBy(id_col).agg(F.max("_s").alias("_m"), F.collect_list("_s").alias("_all"), F.max(F.when(F.col(label) == F.col("_label"), F.col("_s"))).alias("_own"))
     total = F.aggregate("_all", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("_m")))
     return g.agg(F.round(F.avg(F.col("_m") + F.log(total) - F.col("_own")), 6).alias("loss"))
@@ -90,9 +107,10 @@ def adaptive_threshold(df: DataFrame, id_col: str, vec: str, pairs: int = 4) ->
     partner = F.floor(uniform(F.concat_ws("-", "_i", "_k"), "pair") * F.col("_n")) + F.col("_low")
     j = r.withColumn("_j", partner).where("_i <> _j").join(df.select(F.col(id_col).alias("_j"), F.col(vec).alias("_w")), "_j")
     d = j.select((1 - cosine("_v", "_w")).alias("d"))
-    q = lambda p, c="d": F.percentile(c, F.lit(p))
-    mid = d.agg(q(0.5).alias("median"), q(0.4).alias("_lo"), q(0.8).alias("_hi"))
-    m = d.crossJoin(F.broadcast(mid)).groupBy("median", "_lo", "_hi").agg(F.percentile(F.abs(F.col("d") - F.col("median")), F.lit(0.5)).alias("mad"))
+    d = stage(d, "pair-distances")
+    mid = exact_percentiles(d, "d", [0.5, 0.4, 0.8]).toDF("median", "_lo", "_hi")
+    off = exact_percentiles(d.crossJoin(F.broadcast(mid)).select(F.abs(F.col("d") - F.col("median")).alias("o")), "o", [0.5]).toDF("mad")
+    m = mid.crossJoin(off)  # one row each
     threshold = F.greatest(F.col("_lo"), F.least(F.col("_hi"), F.col("median") + 0.75 * (F.col("mad") + 1e-8)))
     return m.select(F.round(threshold, 6).alias("threshold"), F.round("median", 6).alias("median"), F.round("mad", 6).alias("mad"))
 
@@ -104,6 +122,17 @@ def quality_score(modularity: DataFrame, coherence: DataFrame, silhouette: DataF
     return j.select(F.round(0.45 * F.col("_m") + 0.35 * F.col("_c") + 0.20 * F.col("_s"), 5).alias("score"))
 
 
+def dashboard(modularity: DataFrame, coherence: DataFrame, silhouette: DataFrame, ch: DataFrame, db: DataFrame, balance: DataFrame) -> DataFrame:
+    """One row of metrics brought to [0, 1] and their mean quality. The scales of the two indices."""
+    j = modularity.select(F.col("modularity").alias("_m")).crossJoin(coherence.agg(F.avg("coherence").alias("_c"))).crossJoin(silhouette.agg(F.avg(F.col("silhouette_sq")).alias("_s")))
+    j = j.crossJoin(ch).crossJoin(db).crossJoin(balance)  # one row each
+    inverted = F.greatest(F.lit(0.0), 1 - F.col("davies_bouldin") / 3)
+    return j.select(
+        F.round("_s", 5).alias("silhouette"), F.round(inverted, 5).alias("davies_bouldin"), F.round("_m", 5).alias("modularity"), F.round(F.when(F.col("clusters") > 1, F.col("entropy") / F.log("clusters")), 5).alias("balance"),
+        F.round("_c", 5).alias("coherence"), F.round(F.least(F.lit(1.0), F.col("calinski_harabasz") / 1000), 5).alias("calinski_harabasz"), F.round((F.col("_s") + inverted + F.col("_m") + F.col("_c")) / 4, 5).alias("overall"),
+    )
+
+
 def fuse_embeddings(df: DataFrame, id_col: str, parts: dict[str, float], width: int) -> DataFrame:
     """(id, fused): parts standardized per dimension, cut or padded to ``width``, normalized, weighed and normalized.
 
@@ -114,7 +143,7 @@ def fuse_embeddings(df: DataFrame, id_col: str, parts: dict[str, float], width:
     for name, weight in parts.items():
         x = long_vectors(df, id_col, name).where(F.col("pos") < width)
         s = x.groupBy("pos").agg(F.avg("x").alias("_m"), F.stddev_pop("x").alias("_s"))
-        z = x.join(F.broadcast(s), "pos").select(id_col, "pos", ((F.col("x") - F.col("_m")) / F.when(F.col("_s") < 1e-9, 1.0).otherwise(F.col("_s"))).alias("z"))
+        z = x.join(s, "pos").select(id_col, "pos", ((F.col("x") - F.col("_m")) / F.when(F.col("_s") < 1e-9, 1.0).otherwise(F.col("_s"))).alias("z"))
         norm = z.groupBy(id_col).agg(F.sqrt(F.sum(F.col("z") * F.col("z"))).alias("_n"))
         z = z.join(norm, id_col).select(id_col, "pos", (F.col("z") / F.greatest("_n", F.lit(1e-12)) * (weight / total)).alias("w"))
         out = z if out is None else out.unionByName(z)
@@ -199,7 +228,7 @@ def reassign(df: DataFrame, nb: DataFrame, boundary: DataFrame, label: str, vec:
     """(id, label) of boundary rows after the pull 0.5 motif cosine + 0.3 exp(-distance) + 0.2 connectivity; ties to the smaller label."""
     size = df.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_n"))
     near = lambda c, name: centroid_arrays(df, label, c, id_col).select(F.col(label).alias("_label"), F.col("centroid").alias(name))
-    table = F.broadcast(size.join(near(vec, "_cv"), "_label").join(near(motif, "_cm"), "_label"))  # one row per cluster
+    table = counted_broadcast(size.join(near(vec, "_cv"), "_label").join(near(motif, "_cm"), "_label"), label="clusters")  # one row per cluster
     rows = df.join(boundary.select(id_col), id_col, "left_semi").select(id_col, F.col(vec).cast("array<double>").alias("_v"), F.col(motif).cast("array<double>").alias("_w"))
     ends = df.select(F.col(id_col).alias("_other"), F.col(label).alias("_label"))
     links = nb.join(boundary.select(F.col(id_col).alias("agent_id")), "agent_id", "left_semi").join(ends, F.col("other_id") == F.col("_other"))

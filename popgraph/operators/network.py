@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from popgraph.functions.draws import uniform
 from popgraph.plans.components import connected_components as components
+from popgraph.plans.ranks import global_rank, rank_in_groups
 
 EDGE = ["agent_1", "agent_2", "edge_type", "contact_rate"]
 LAYERS = ("household", "contact", "cluster", "work", "school", "community")
@@ -27,25 +29,56 @@ def household_edges(agents: DataFrame, key: str = "household_id", rate: float =
     return pairs.select(F.col("agent_id").alias("agent_1"), F.col("_b").alias("agent_2"), F.lit("household").alias("edge_type"), F.lit(rate).alias("contact_rate"))
 
 
+def _meet(ranked: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """Canonical pairs of ``asked`` (agent_id, keys, _to) and the members of rank ``_to``."""
+    peer = ranked.select(F.col("agent_id").alias("_peer"), F.col("_r").alias("_to"), *keys)
+    return canonical_pairs(asked.join(peer, [*keys, "_to"]), "agent_id", "_peer")
+
+
 def ring_edges(agents: DataFrame, keys: list[str], offsets: list[int], edge_type: str, rate: float) -> DataFrame:
     """Peers of a group at fixed rank offsets: linear in the group, never all its pairs."""
-    of = W.partitionBy(*keys)
-    ranked = agents.select("agent_id", *keys).withColumn("_r", F.row_number().over(of.orderBy("agent_id")) - 1).withColumn("_n", F.count(F.lit(1)).over(of))
+    ranked = rank_in_groups(agents.select("agent_id", *keys), keys, "agent_id", "_r", "_n")
     to = ranked.withColumn("_to", F.explode(F.array(*[F.lit(k) for k in offsets]))).withColumn("_to", F.pmod(F.col("_r") + F.col("_to"), F.col("_n")))
-    peer = ranked.select(F.col("agent_id").alias("_peer"), F.col("_r").alias("_to"), *keys)
-    pairs = canonical_pairs(to.join(peer, [*keys, "_to"]), "agent_id", "_peer")
-    return pairs.withColumn("edge_type", F.lit(edge_type)).withColumn("contact_rate", F.lit(rate))
+    return _meet(ranked, to, keys).withColumn("edge_type", F.lit(edge_type)).withColumn("contact_rate", F.lit(rate))
+
+
+def _drawn_peers(ranked: DataFrame, salt: str) -> DataFrame:
+    """``ranked`` with ``_to``: the ranks of two to four different peers of each member, all others in smaller groups."""
+    others = F.col("_n") - 1
+    how_many = F.least(F.floor(uniform(F.col("agent_id"), salt + "-n") * 3) + 2, others)
+    first = F.floor(uniform(F.col("agent_id"), salt + "-first") * others)
+    stride = F.greatest(F.floor(others / 4), F.lit(1))
+    offsets = F.transform(F.sequence(F.lit(0).cast("long"), how_many - 1), lambda k: F.pmod(first + k * stride, others) + 1)
+    return ranked.where("_n > 1").withColumn("_to", F.explode(offsets)).withColumn("_to", F.pmod(F.col("_r") + F.col("_to"), F.col("_n")))
+
+
+def network_edges(agents: DataFrame, keys: list[str], edge_type: str, rate: float) -> DataFrame:
+    """Two to four drawn peers for every member of a work or school network."""
+    ranked = rank_in_groups(agents.select("agent_id", *keys), keys, "agent_id", "_r", "_n")
+    return _meet(ranked, _drawn_peers(ranked, edge_type), keys).withColumn("edge_type", F.lit(edge_type)).withColumn("contact_rate", F.lit(rate))
+
+
+def group_edges(agents: DataFrame, keys: list[str], small: int = 20) -> DataFrame:
+    """Contacts in a named group: up to ``small`` members each pair with chance 0.4, larger ones two to four drawn peers a member."""
+    ranked = rank_in_groups(agents.select("agent_id", *keys), keys, "agent_id", "_r", "_n")
+    few, many = ranked.where(F.col("_n") <= small), ranked.where(F.col("_n") > small)
+    other = few.select(F.col("agent_id").alias("_peer"), *keys)
+    pairs = few.join(other, keys).where("agent_id < _peer")
+    kept = pairs.where(uniform(F.concat_ws("-", "agent_id", "_peer"), "cluster") < 0.4)
+    dense = canonical_pairs(kept, "agent_id", "_peer").withColumn("contact_rate", F.lit(0.60))
+    sparse = _meet(many, _drawn_peers(many, "cluster"), keys).withColumn("contact_rate", F.lit(0.50))
+    return dense.unionByName(sparse).select("agent_1", "agent_2", F.lit("cluster").alias("edge_type"), "contact_rate")
 
 
 def link_edges(cases: DataFrame) -> DataFrame:
-    """Explicit links: every integer in a case's ``link`` text that is a case; first mention wins."""
-    said = cases.select("case", "link", F.posexplode(F.regexp_extract_all("link", F.lit(r"(\d+)"), F.lit(1))).alias("pos", "_n"))
+    """Explicit links: every integer word in a case's ``link`` text that is a case; first mention wins."""
+    said = cases.select("case", "link", F.posexplode(F.regexp_extract_all("link", F.lit(r"\b(\d+)\b"), F.lit(1))).alias("pos", "_n"))
     said = said.withColumn("_other", F.expr("try_cast(_n as bigint)")).join(cases.select(F.col("case").alias("_other")), "_other", "left_semi")
     low = F.lower("link")
-    kind = F.when(low.contains("family") | low.contains("household"), "household").when(low.contains("work") | low.contains("colleague"), "work").otherwise("contact")
+    kind = F.when(low.contains("family") | low.contains("household"), "household").when(low.contains("work"), "work").otherwise("contact")
     typed = said.where("case <> _other").select(F.least("case", "_other").alias("agent_1"), F.greatest("case", "_other").alias("agent_2"), kind.alias("edge_type"), "case", "pos")
     first = F.row_number().over(W.partitionBy("agent_1", "agent_2").orderBy("case", "pos"))
-    rate = F.when(F.col("edge_type") == "household", 0.95).when(F.col("edge_type") == "work", 0.70).otherwise(0.80)
+    rate = F.when(F.col("edge_type") == "household", 0.95).when(F.col("edge_type") == "work", 0.70).otherwise(0.60)
     return typed.withColumn("_f", first).where("_f = 1").select("agent_1", "agent_2", "edge_type", rate.alias("contact_rate"))
 
 
@@ -65,21 +98,18 @@ def without(edges: DataFrame, existing: DataFrame) -> DataFrame:
     return edges.join(existing.select("agent_1", "agent_2"), ["agent_1", "agent_2"], "left_anti")
 
 
-def repair_isolated(agents: DataFrame, edges: DataFrame, rate: float = 0.40, pool: int = 256) -> DataFrame:
-    """Two community edges for every entity without edges, to entities of lowest degree.
+def repair_isolated(agents: DataFrame, edges: DataFrame, rate: float = 0.40) -> DataFrame:
+    """Two community edges for every entity without edges, to linked entities of lowest degree.
 
-    Isolates by rank r take candidates 2r and 2r + 1 of a bounded pool, wrapping.
+    The r-th of the isolated takes the linked entities 2r and 2r + 1 in order of degree and
+    id, from the start again where there are fewer.
     """
     deg = degrees(agents, edges)
-    lone = deg.where("degree = 0").select("agent_id").withColumn("_one", F.lit(1))
-    lone = lone.withColumn("_r", F.row_number().over(W.partitionBy("_one").orderBy("agent_id")) - 1)
-    few = deg.where("degree > 0").orderBy("degree", "agent_id").limit(pool).withColumn("_one", F.lit(1))
-    few = few.withColumn("_c", F.row_number().over(W.partitionBy("_one").orderBy("degree", "agent_id")) - 1).withColumn("_m", F.count(F.lit(1)).over(W.partitionBy("_one")))
-    few = few.select(F.col("agent_id").alias("_other"), "_c", "_m")
-    size = few.select(F.max("_m").alias("_m"))
+    lone = global_rank(deg.where("degree = 0").select("agent_id"), ["agent_id"], "_r")
+    linked = global_rank(deg.where("degree > 0").select("degree", F.col("agent_id").alias("_other")), ["degree", "_other"], "_c")
+    size = linked.agg(F.count(F.lit(1)).alias("_m")).where("_m > 0")
     picks = lone.crossJoin(F.broadcast(size)).withColumn("_c", F.explode(F.array(F.pmod(2 * F.col("_r"), F.col("_m")), F.pmod(2 * F.col("_r") + 1, F.col("_m")))))
-    new = picks.join(F.broadcast(few.drop("_m")), "_c").where("agent_id <> _other")
-    pairs = canonical_pairs(new, "agent_id", "_other")
+    pairs = canonical_pairs(picks.join(linked, "_c"), "agent_id", "_other")
     return pairs.withColumn("edge_type", F.lit("community")).withColumn("contact_rate", F.lit(rate))
 
 
@@ -101,11 +131,13 @@ def degree_stats(agents: DataFrame, edges: DataFrame) -> DataFrame:
     return d.agg(F.min("degree").alias("lowest"), *q, F.round(F.avg("degree"), 6).alias("mean"), F.max("degree").alias("highest"), F.round(F.stddev_pop("degree"), 6).alias("std"))
 
 
-def edge_report(edges: DataFrame, known: tuple = LAYERS) -> DataFrame:
+def edge_report(edges: DataFrame, known: tuple = LAYERS, household_rate: float = 0.7) -> DataFrame:
+    """Per edge type: share, contact rates, whether it is expected and, of households, whether no rate is below ``household_rate``."""
     n = F.count(F.lit(1))
-    by = edges.groupBy("edge_type").agg(n.alias("edges"), F.round(F.avg("contact_rate"), 6).alias("mean_rate"), F.min("contact_rate").alias("low"), F.max("contact_rate").alias("high"))
+    by = edges.groupBy("edge_type").agg(n.alias("edges"), F.round(F.avg("contact_rate"), 6).alias("mean_rate"), F.min("contact_rate").alias("low"), F.percentile("contact_rate", F.lit(0.5)).alias("median"), F.max("contact_rate").alias("high"))
     total = edges.agg(n.alias("_n"))
-    return by.crossJoin(F.broadcast(total)).select("edge_type", "edges", F.round(100 * F.col("edges") / F.col("_n"), 6).alias("percent"), "mean_rate", "low", "high", F.col("edge_type").isin(*known).alias("expected"))
+    rates_hold = F.when(F.col("edge_type") == "household", F.col("low") >= household_rate)
+    return by.crossJoin(F.broadcast(total)).select("edge_type", "edges", F.round(100 * F.col("edges") / F.col("_n"), 6).alias("percent"), "mean_rate", "low", "median", "high", F.col("edge_type").isin(*known).alias("expected"), rates_hold.alias("rates_hold"))
 
 
 def validate_network(agents: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -129,10 +132,12 @@ def transition_rates(panel: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def trend(counts: DataFrame, keys: list[str], lag: int = 3) -> DataFrame:
-    """Relative change of infected over ``lag`` days, moved and clipped to [0, 1]."""
-    before = F.lag("I", lag).over(W.partitionBy(*keys).orderBy("day"))
-    t = (F.col("I") - before) / F.greatest(before, F.lit(1))
-    return counts.select(*keys, "day", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce((t + 1) / 2, F.lit(0.5)))), 6).alias("trend"))
+    """Change of E + I over ``lag`` days over the size of the group, clipped to half and moved to [0, 1]; 0.5 where no such day is."""
+    active = F.col("E") + F.col("I")
+    before = F.lag(active, lag).over(W.partitionBy(*keys).orderBy("day"))
+    t = (active - before) / (F.col("S") + F.col("E") + F.col("I") + F.col("R") + F.col("D"))
+    clipped = F.greatest(F.lit(-0.5), F.least(F.lit(0.5), t)) + 0.5
+    return counts.select(*keys, "day", F.round(F.when(before.isNull(), 0.5).otherwise(clipped), 6).alias("trend"))
 
 
 def lookback(counts: DataFrame, keys: list[str], days: int = 7) -> DataFrame:
@@ -149,6 +154,29 @@ def recent_states(panel: DataFrame, n: int = 7) -> DataFrame:
     return p.select("agent_id", "day", F.array_join(F.concat(F.array_repeat(F.element_at("_s", 1), n - F.size("_s")), "_s"), "->").alias("recent"))
 
 
+def state_history_matrix(panel: DataFrame, neighbor_states: DataFrame, n: int = 7) -> DataFrame:
+    """(agent_id, day, history): ``n`` rows of seven entries, the state of each of the last days and, for the day itself, days in state and infected contacts.
+
+    ``panel`` has days_in_state; ``neighbor_states`` has agent_id, day and infected. Days
+    before the first repeat its state.
+    """
+    near = neighbor_states.select("agent_id", "day", F.col("infected").alias("_i"))
+    s = F.collect_list("state").over(by_agent().rowsBetween(1 - n, 0))
+    p = panel.select("agent_id", "day", "days_in_state", s.alias("_s")).join(near, ["agent_id", "day"], "left")
+    states = F.concat(F.array_repeat(F.element_at("_s", 1), n - F.size("_s")), "_s")
+    now = F.array(F.round(F.least(F.col("days_in_state") / 20.0, F.lit(1.0)), 6), F.round(F.least(F.coalesce("_i", F.lit(0)) / 5.0, F.lit(1.0)), 6))
+    rest = lambda i: F.when(i == n - 1, now).otherwise(F.array(F.lit(0.0), F.lit(0.0)))
+    hot = lambda x: F.array(*[F.when(x == c, 1.0).otherwise(0.0) for c in STATES])
+    return p.select("agent_id", "day", F.transform(states, lambda x, i: F.concat(hot(x), rest(i))).alias("history"))
+
+
+def head_and_last(df: DataFrame, key: str, order: list[str], n: int = 3) -> DataFrame:
+    """The first ``n`` rows and the last row per key, with ``is_last``."""
+    of = W.partitionBy(key)
+    r = df.withColumn("_r", F.row_number().over(of.orderBy(*order))).withColumn("_l", F.row_number().over(of.orderBy(*[F.desc(c) for c in order])))
+    return r.where((F.col("_r") <= n) | (F.col("_l") == 1)).withColumn("is_last", F.col("_l") == 1).drop("_r", "_l")
+
+
 def count_out_of_order(df: DataFrame, key: str, value: str) -> DataFrame:
     """Rows whose value is less than that of the row before it in order of the key.
 
@@ -164,12 +192,16 @@ def count_out_of_order(df: DataFrame, key: str, value: str) -> DataFrame:
     return seam.agg(F.sum(F.col("n") + F.when(F.col("_f._v") < F.col("_before._v"), 1).otherwise(0)).alias("out_of_order"))
 
 
-def systematic_sample(df: DataFrame, key: str, order: list[str], k: int) -> DataFrame:
-    """At most ``k`` rows per key, evenly spaced in order."""
+def systematic_sample(df: DataFrame, key: str, order: list[str], k: int, even: bool = False) -> DataFrame:
+    """At most ``k`` rows per key, evenly spaced in order: every n-th row, or with ``even`` the rows at the whole parts of i * n / k."""
     of = W.partitionBy(key)
     r = df.withColumn("_r", F.row_number().over(of.orderBy(*order)) - 1).withColumn("_n", F.count(F.lit(1)).over(of))
     step = F.greatest(F.floor(F.col("_n") / k), F.lit(1))
-    return r.where((F.col("_r") % step == 0) & (F.col("_r") / step < k)).drop("_r", "_n")
+    kept = (F.col("_r") % step == 0) & (F.col("_r") / step < k)
+    if even:
+        places = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * (F.col("_n") / k)).cast("int"))
+        kept = (F.col("_n") <= k) | F.array_contains(places, F.col("_r"))
+    return r.where(kept).drop("_r", "_n")
 
 
 def rolling_windows(series: DataFrame, value: str, back: int = 28, ahead: int = 7) -> DataFrame:
@@ -180,14 +212,25 @@ def rolling_windows(series: DataFrame, value: str, back: int = 28, ahead: int =
 
 
 def reset_accumulator(items: DataFrame, key: str, order: list[str], value: str, threshold: float, min_items: int = 1) -> DataFrame:
-    """(key, n, total): places where the running sum reaches ``threshold`` and starts again."""
-    rows = items.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_v")))).alias("_a"))
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("c"), F.lit(0).alias("i"), F.array().cast("array<struct<n:int,total:double>>").alias("out"))
+    """(key, n, total): places where the running sum reaches ``threshold`` and starts again.
 
-    def step(acc, x):
-        s, c, i = acc["s"] + x["_v"], acc["c"] + 1, acc["i"] + 1
-        fire = (s >= threshold) & (c >= min_items)
-        out = F.when(fire, F.concat(acc["out"], F.array(F.struct(i.alias("n"), s.alias("total"))))).otherwise(acc["out"])
-        return F.struct(F.when(fire, 0.0).otherwise(s).alias("s"), F.when(fire, 0).otherwise(c).alias("c"), i.alias("i"), out.alias("out"))
-
-    return rows.select(key, F.explode(F.aggregate("_a", zero, step)["out"]).alias("_f")).select(key, "_f.n", F.round("_f.total", 6).alias("total"))
+    Where a sum starts depends on all before it, so a key is one task's work; its rows
+    stream past in order and are never held together.
+    """
+    rows = items.select(F.col(key), *order, F.col(value).cast("double").alias("_v")).repartition(key).sortWithinPartitions(key, *order).select(key, "_v")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, total, count, place = None, 0.0, 0, 0
+        for b in batches:
+            out = []
+            for k, v in zip(b[key].tolist(), b["_v"].tolist(), strict=True):
+                if k != now:
+                    now, total, count, place = k, 0.0, 0, 0
+                total, count, place = total + v, count + 1, place + 1
+                if total >= threshold and count >= min_items:
+                    out.append((k, place, total))
+                    total, count = 0.0, 0
+            yield pd.DataFrame(out, columns=[key, "n", "total"])
+
+    kind = items.schema[key].dataType.simpleString()
+    return rows.where(F.col(key).isNotNull() & F.col("_v").isNotNull()).mapInPandas(run, f"`{key}` {kind}, n int, total double").withColumn("total", F.round("total", 6))

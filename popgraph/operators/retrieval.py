@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Pairs of one random-projection bucket are joined only below this many rows a bucket.
-BUCKET = 2000
+from popgraph.plans.stage import stage
+
+
+#: What a query built from context asks about, by state, age and work.
+CONTEXT = {
+    "S": "prevention transmission exposure risk",
+    "E": "incubation testing quarantine",
+    "I": "symptoms isolation treatment recovery",
+    "R": "immunity reinfection vaccination",
+    "D": "",
+}
+CONTEXT_ELDERLY = "elderly vulnerable severe"
+CONTEXT_CARE = "healthcare protective equipment"
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
@@ -29,12 +45,55 @@ def cosine(a: str | Column, b: str | Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def similar_pairs(emb: DataFrame, group: str, threshold: float, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
-    """(a, b, cosine) of pairs within a group (a cluster, a shard) with cosine above ``threshold``."""
-    a = emb.select(F.col(group).alias("g"), F.col(id_col).alias("a"), F.col(vec).alias("_x"))
-    b = emb.select(F.col(group).alias("g"), F.col(id_col).alias("b"), F.col(vec).alias("_y"))
-    pairs = a.join(b, "g").where("a < b").select("g", "a", "b", cosine("_x", "_y").alias("cosine"))
-    return pairs.where(F.col("cosine") > threshold)
+def _buckets(tables: int, bits: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = 1 << np.arange(bits, dtype=np.int64)
+        planes: dict[int, np.ndarray] = {}
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                vecs = [np.asarray(v) for v in part.column(1).to_pylist()]
+                keys = []
+                for v in vecs:
+                    if len(v) not in planes:
+                        planes[len(v)] = np.random.default_rng([seed, len(v)]).normal(size=(len(v), tables * bits))
+                    keys.append(((v @ planes[len(v)] > 0).reshape(tables, bits) @ weights).tolist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.list_(pa.int64()))], ["id", "keys"])
+
+    return run
+
+
+def similar_pairs(
+    emb: DataFrame, threshold: float, id_col: str = "vec_id", vec: str = "embedding", flags: tuple = (), k: int | None = None, miss: float = 1e-5, block: int = 2000, seed: int = 3
+) -> DataFrame:
+    """(a, b, cosine, same_<flag>...) of pairs with cosine above ``threshold``, a < b; the ``k`` most similar ones if given.
+
+    Rows meet in buckets of random half-spaces; their bits grow with the table, and as
+    many bucketings are made as leave a pair at the threshold out with a chance of at
+    most ``miss``. Candidates are checked exactly. A bucket of more than ``block`` rows is
+    compared in blocks, in full. Null, zero and non-finite vectors take no part; rows that
+    repeat an id meet by their smallest vector; vectors of unlike length are no pairs.
+    """
+    doubles = F.col(vec).cast("array<double>")
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    rows = emb.select(F.col(id_col).alias("id"), doubles.alias("x"), *flags).where("id is not null and size(x) > 0")
+    rows = rows.where(~F.exists("x", bad) & F.exists("x", lambda x: x != 0))
+    rows = stage(rows.groupBy("id").agg(F.min(F.struct("x", *flags)).alias("r")).select("id", "r.*"), "pairs-rows")
+    n = rows.count()
+    bits = min(max(math.ceil(math.log2(max(n / 100, 2))), 4), 40)
+    meet = (1 - math.acos(max(min(threshold, 1.0), -1.0)) / math.pi) ** bits
+    tables = max(math.ceil(math.log(miss) / math.log1p(-meet)), 1) if meet < 1 else 1
+    keyed = rows.select("id", "x").mapInArrow(_buckets(tables, bits, seed), "id long, keys array<long>").select("id", F.posexplode("keys").alias("t", "key"))
+    size = keyed.groupBy("t", "key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n"), F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
+    sized = stage(keyed.join(size, ["t", "key"]), "pairs-buckets")
+    one = sized.select("t", "key", F.col("id").alias("a"), F.pmod(F.xxhash64("id"), F.col("_n")).cast("int").alias("_at"))
+    two = sized.select("t", "key", F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_at"))
+    met = one.join(two, ["t", "key", "_at"]).where("a < b").select("a", "b").distinct()
+    side = lambda name: rows.select(F.col("id").alias(name), F.col("x").alias(f"_{name}"), *[F.col(f).alias(f"_{f}_{name}") for f in flags])
+    pairs = met.join(side("a"), "a").join(side("b"), "b").where(F.size("_a") == F.size("_b"))
+    same = [F.coalesce(F.col(f"_{f}_a") == F.col(f"_{f}_b"), F.lit(False)).alias(f"same_{f}") for f in flags]
+    found = pairs.select("a", "b", cosine("_a", "_b").alias("cosine"), *same).where(F.col("cosine") > threshold)
+    return found if k is None else found.orderBy(F.desc(F.round("cosine", 9)), "a", "b").limit(k)
 
 
 def tokens(text: str | Column) -> Column:
@@ -42,10 +101,11 @@ def tokens(text: str | Column) -> Column:
 
 
 def top_k_documents(queries: DataFrame, docs: DataFrame, n: int, query_id: str, doc_id: str, text: str = "text") -> DataFrame:
-    """(query, doc, score, rank): TF-IDF overlap through an inverted index of the queries' terms."""
+    """(query, doc, score, rank): TF-IDF overlap through an inverted index of the queries' terms, whose counts per document are written once."""
     qt = queries.select(F.col(query_id).alias("query"), F.explode(F.array_distinct(tokens(text))).alias("term"))
     dt = docs.select(F.col(doc_id).alias("doc"), F.explode(tokens(text)).alias("term"))
     dt = dt.join(qt.select("term").distinct(), "term", "left_semi").groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+    dt = stage(dt, "retrieval-terms")
     total = docs.agg(F.count(F.lit(1)).alias("_n"))
     idf = dt.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total)).select("term", F.log((F.col("_n") + 1) / (F.col("df") + 1)).alias("idf"))
     weighed = dt.join(idf, "term").select("doc", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
@@ -53,10 +113,30 @@ def top_k_documents(queries: DataFrame, docs: DataFrame, n: int, query_id: str,
     return top_per_group(score, ["query"], [F.desc("score"), "doc"], n)
 
 
-def retrieve_memories(memories: DataFrame, now: Column, n: int) -> DataFrame:
-    """Top ``n`` per entity by 0.995^hours + importance / 10 + relevance."""
+def context_query(age: Column, occupation: Column, state: Column, decision: Column) -> Column:
+    """A query text from an entity's context: decision, state and, by age and work, who is at risk."""
+    about = F.create_map(*[F.lit(x) for kv in CONTEXT.items() for x in kv])[state]
+    who = F.concat_ws(" ", about, F.when(age >= 60, CONTEXT_ELDERLY), F.when(occupation == "healthcare_worker", CONTEXT_CARE), F.translate(occupation, "_", " "))
+    return F.concat_ws(" ", F.translate(decision, "_", " "), who)
+
+
+def context_documents(entities: DataFrame, docs: DataFrame, n: int, entity_id: str, doc_id: str, text: str = "text") -> DataFrame:
+    """(query, doc, score, rank) as ``top_k_documents`` gives them; entities with one query text are asked for once."""
+    asked = stage(entities.select(F.col(entity_id).alias("_e"), F.col(text).alias("_q")), "context-queries")
+    kinds = asked.select(F.col("_q").alias(text)).distinct().withColumn("_id", F.xxhash64(text))
+    found = stage(top_k_documents(kinds, docs, n, "_id", doc_id, text), "context-found")
+    return asked.withColumn("_id", F.xxhash64("_q")).join(found.withColumnRenamed("query", "_id"), "_id").select(F.col("_e").alias("query"), "doc", "score", "rank")
+
+
+def retrieve_memories(memories: DataFrame, now: Column, n: int, query: Column | None = None) -> DataFrame:
+    """Top ``n`` per entity by 0.995^hours + importance / 10 + relevance.
+
+    Relevance is the cosine of the memory's ``embedding`` and ``query``, a vector of each
+    row, zero where one is null or zero; without ``query`` it is the column ``relevance``.
+    """
     hours = (F.unix_timestamp(now) - F.unix_timestamp("timestamp")) / 3600
-    score = F.pow(F.lit(0.995), hours) + F.col("importance") / 10 + F.coalesce("relevance", F.lit(0.0))
+    relevance = F.col("relevance") if query is None else F.when(F.exists("embedding", lambda x: x != 0) & F.exists(query, lambda x: x != 0), cosine("embedding", query))
+    score = F.pow(F.lit(0.995), hours) + F.col("importance") / 10 + F.coalesce(relevance, F.lit(0.0))
     return top_per_group(memories.withColumn("score", F.round(score, 6)), ["agent_id"], [F.desc("score"), "node_id"], n)
 
 

@@ -6,18 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def neighbor_states(nb: DataFrame, day_states: DataFrame, agents: DataFrame) -> DataFrame:
-    """Per entity: contacts, contacts in E or I, those of the own household, infected share."""
+def neighbor_states(nb: DataFrame, panel: DataFrame, agents: DataFrame, mourned: int = 10) -> DataFrame:
+    """Per entity and day of ``panel``: contacts, those in E or I (also of the own household, of dormitories), those dead for at most ``mourned`` days (also of the household), infected share."""
     home = agents.select("agent_id", "household_id")
-    other = day_states.select(F.col("agent_id").alias("other_id"), F.col("state").alias("_s")).join(home.select(F.col("agent_id").alias("other_id"), F.col("household_id").alias("_h")), "other_id")
-    j = nb.join(other, "other_id").join(home, "agent_id")
-    sick = F.col("_s").isin("E", "I")
-    return j.groupBy("agent_id").agg(
-        F.count(F.lit(1)).alias("contacts"), F.count_if(sick).alias("infected"), F.count_if(sick & (F.col("_h") == F.col("household_id"))).alias("household_infected"),
-        F.round(F.avg(F.when(sick, 1.0).otherwise(0.0)), 6).alias("share"),
+    other = panel.select(F.col("agent_id").alias("other_id"), "day", F.col("state").alias("_s"), F.col("days_in_state").alias("_d"))
+    place = agents.select(F.col("agent_id").alias("other_id"), F.col("household_id").alias("_h"), F.lower("cluster").contains("dorm").alias("_dorm"))
+    links = nb.select("agent_id", "other_id").join(place, "other_id").join(home, "agent_id")
+    j = links.select("agent_id", "other_id", "_dorm", F.coalesce(F.col("_h") == F.col("household_id"), F.lit(False)).alias("_home")).join(other, "other_id")
+    sick, dead, near = F.col("_s").isin("E", "I"), (F.col("_s") == "D") & (F.col("_d") <= mourned), F.col("_home")
+    return j.groupBy("agent_id", "day").agg(
+        F.count(F.lit(1)).alias("contacts"), F.count_if(sick).alias("infected"), F.count_if(sick & near).alias("household_infected"), F.count_if(sick & F.col("_dorm")).alias("dormitory_infected"),
+        F.count_if(dead).alias("dead"), F.count_if(dead & near).alias("household_dead"), F.round(F.avg(F.when(sick, 1.0).otherwise(0.0)), 6).alias("share"),
     )
 
 
+def cluster_context(nb: DataFrame, panel: DataFrame, cluster: str) -> DataFrame:
+    """(cluster, other_cluster, day, contacts, infected): links that leave a cluster and those of them that end at E or I."""
+    placed = panel.select("agent_id", cluster).distinct()
+    links = nb.select("agent_id", "other_id").join(placed, "agent_id").join(placed.select(F.col("agent_id").alias("other_id"), F.col(cluster).alias("other_cluster")), "other_id").where(F.col(cluster) != F.col("other_cluster"))
+    ends = links.groupBy(cluster, "other_cluster", "other_id").agg(F.count(F.lit(1)).alias("_n"))
+    j = ends.join(panel.select(F.col("agent_id").alias("other_id"), "day", "state"), "other_id")
+    return j.groupBy(cluster, "other_cluster", "day").agg(F.sum("_n").alias("contacts"), F.sum(F.when(F.col("state").isin("E", "I"), F.col("_n")).otherwise(0)).alias("infected"))
+
+
 def relation_type(h1: Column, h2: Column, o1: Column, o2: Column, a1: Column, a2: Column) -> Column:
     study = lambda o: o.isin("student", "teacher")
     return (
@@ -36,15 +47,18 @@ def contact_risk(relation: Column, healthcare: Column, vaccination: Column, comp
     return base * by * (1 - vacc) * (1 - compliance * 0.5) * F.when(age < 18, 0.6).when(age > 60, 1.3).otherwise(1.0) * (1 + comorbidity * 0.15)
 
 
-def exposure_risk(nb: DataFrame, day_states: DataFrame, agents: DataFrame, combine: str = "sum") -> DataFrame:
-    """Summed risk of susceptible and recovered entities over contacts in E or I; ``product``: 1 - prod(1 - risk)."""
-    own = agents.join(day_states.where(F.col("state").isin("S", "R")), "agent_id")
-    sick = agents.join(day_states.where(F.col("state").isin("E", "I")), "agent_id").select(F.col("agent_id").alias("other_id"), F.col("household_id").alias("_h"), F.col("occupation").alias("_o"), F.col("age").alias("_a"))
-    j = nb.select("agent_id", "other_id").join(sick, "other_id").join(own, "agent_id")
-    kind = relation_type(F.col("household_id"), F.col("_h"), F.col("occupation"), F.col("_o"), F.col("age"), F.col("_a"))
-    r = j.withColumn("_r", contact_risk(kind, F.col("occupation") == "healthcare_worker", F.col("vaccination_status"), F.col("compliance_score"), F.col("age"), F.col("comorbidity_count")))
+def exposure_risk(nb: DataFrame, panel: DataFrame, agents: DataFrame, combine: str = "sum") -> DataFrame:
+    """Summed risk of susceptible and recovered entities per day over contacts in E or I; ``product``: 1 - prod(1 - risk)."""
+    cols = ["household_id", "occupation", "age"]
+    there = agents.select(F.col("agent_id").alias("other_id"), *[F.col(c).alias(f"_{c}") for c in cols])
+    j = nb.select("agent_id", "other_id").join(there, "other_id").join(agents, "agent_id")
+    kind = relation_type(F.col("household_id"), F.col("_household_id"), F.col("occupation"), F.col("_occupation"), F.col("age"), F.col("_age"))
+    risk = contact_risk(kind, F.col("occupation") == "healthcare_worker", F.col("vaccination_status"), F.col("compliance_score"), F.col("age"), F.col("comorbidity_count"))
+    sick = panel.where(F.col("state").isin("E", "I")).select(F.col("agent_id").alias("other_id"), "day")
+    own = panel.where(F.col("state").isin("S", "R")).select("agent_id", "day")
     total = F.sum("_r") if combine == "sum" else 1 - F.exp(F.sum(F.log1p(-F.col("_r"))))
-    return r.groupBy("agent_id").agg(F.count(F.lit(1)).alias("contacts"), F.round(total, 6).alias("risk"))
+    met = j.select("agent_id", "other_id", risk.alias("_r")).join(sick, "other_id").groupBy("agent_id", "day").agg(F.count(F.lit(1)).alias("contacts"), F.round(total, 6).alias("risk"))
+    return met.join(own, ["agent_id", "day"])
 
 
 def recovery_probability(days: Column, vaccination: Column, age: Column, comorbidity: Column) -> Column:
@@ -53,21 +67,42 @@ def recovery_probability(days: Column, vaccination: Column, age: Column, comorbi
     return 0.10 * stage * F.when(vaccination == 2, 1.3).when(vaccination == 1, 1.15).otherwise(1.0) * F.when(age < 18, 1.3).when(age > 60, 0.7).otherwise(1.0) * F.pow(F.lit(0.85), comorbidity)
 
 
-def transition_probability(state: Column, days: Column, age: Column, vaccination: Column, comorbidity: Column, compliance: Column, dorm: Column, household: Column, other: Column) -> dict[str, Column]:
-    """Expected daily probabilities by name. A published calibration's steps and factors."""
+def progression(state: Column, days: Column, vaccination: Column, age: Column, comorbidity: Column) -> dict[str, Column]:
+    """Stage of the disease, protection of the recovered, and today's chance of recovery of the infected. Days of the stages."""
+    by_days = lambda *steps: F.when(days < steps[0][0], steps[0][1]).when(days < steps[1][0], steps[1][1]).otherwise(steps[2])
+    stage = (
+        F.when(state == "S", "susceptible")
+        .when(state == "E", F.when(days < 3, "early_incubation").otherwise("late_incubation"))
+        .when(state == "I", by_days((5, "early_infection"), (10, "active_infection"), "prolonged_infection"))
+        .when(state == "R", by_days((90, "strong_immunity"), (180, "waning_immunity"), "weak_immunity"))
+        .when(state == "D", "deceased")
+    )
+    return {
+        "stage": stage, "protection": F.when(state == "R", by_days((90, 0.95), (180, 0.80), F.lit(0.50))),
+        "recovery": F.when(state == "I", recovery_probability(days, vaccination, age, comorbidity)),
+    }
+
+
+def transition_probability(state: Column, days: Column, age: Column, vaccination: Column, comorbidity: Column, compliance: Column, crowded: Column, household: Column, other: Column, quarantined: Column) -> dict[str, Column]:
+    """Expected daily probabilities by name. Steps and factors of the calibration.
+
+    ``crowded``: lives in a dormitory or does manual work; ``household`` and ``other``: contacts in E or I.
+    """
     pick = lambda *v: F.when(vaccination == 0, v[0]).when(vaccination == 1, v[1]).otherwise(v[2])
     sick = household + other
-    s = F.when(sick == 0, 0.002).otherwise(0.014 * household + 0.007 * other) * F.when(dorm, 2.5).otherwise(1.0) * pick(1.0, 0.65, 0.35)
+    s = F.when(sick == 0, 0.002).otherwise(0.014 * household + 0.007 * other) * F.when(crowded, 2.5).otherwise(1.0) * F.when(quarantined, 0.20).otherwise(1.0) * pick(1.0, 0.65, 0.35)
     s = s * F.when(age < 18, 0.6).when(age > 65, 1.4).otherwise(1.0) * (2.2 - 1.5 * compliance)
     e = F.when(days < 2, 0.0).when(days == 2, 0.05).when(days == 3, 0.15).when(days == 4, 0.25).otherwise(0.35) * pick(1.0, 0.85, 0.70) * F.when(age < 18, 0.9).when(age > 60, 1.3).otherwise(1.0)
     r = F.when(days == 7, 0.05).when(days < 10, 0.05 + 0.02 * (days - 7)).when(days < 14, 0.10 + 0.025 * (days - 10)).otherwise(0.20 + 0.02 * F.least(days - 14, F.lit(5)))
     r = r * 1.3 * pick(1.0, 1.2, 1.4) * F.when(age < 18, 1.3).when(age > 60, 0.7).otherwise(1.0)
     ifr = F.when(age < 18, 0.00002 * 0.3).when(age < 50, 0.0005 * 0.3).when(age < 70, 0.005 * 0.3).otherwise(0.02 * 0.3)
     d = (1 - F.pow(1 - ifr, F.lit(0.1))) * F.when(days.between(7, 14), 1.5).when(days < 7, 0.05).otherwise(0.2) * (1 + comorbidity * 0.5) * pick(1.0, 0.5, 0.2)
+    again = F.when(days > 365, 0.005).otherwise(0.001) * F.when(sick > 0, 1 + sick).otherwise(1) * pick(1.0, 0.5, 0.2)
     early = days < 7
     return {
         "s_e": F.when(state == "S", F.least(s, F.lit(0.30))).otherwise(0.0), "e_i": F.when(state == "E", F.least(e, F.lit(0.50))).otherwise(0.0),
         "i_r": F.when((state == "I") & ~early, F.least(r, F.lit(0.40))).otherwise(0.0), "i_d": F.when((state == "I") & ~early, F.least(d, F.lit(0.02))).otherwise(0.0),
+        "r_s": F.when((state == "R") & (days >= IMMUNITY_DAYS), F.least(again, F.lit(0.03))).otherwise(0.0),
     }
 
 
@@ -78,10 +113,11 @@ def fuse(symbolic: Column, neural: Column, conf_s: Column, conf_n: Column, multi
     return F.least(p * multiplier, cap), F.when(total > 0, 2 * conf_s * conf_n / total).otherwise(0.0)
 
 
+# Transmission and immunity.
+BETA_HOUSEHOLD, BETA_CONTACT, BETA_COMMUNITY, IMMUNITY_DAYS = 0.18, 0.035, 0.005, 180
 #: Effect of no, one and two doses on exposure, progression, recovery and death; exposure by occupation.
 VACCINE_EFFECT = {"exposure": (1.0, 0.50, 0.30), "progression": (1.0, 0.85, 0.70), "recovery": (1.0, 1.2, 1.4), "death": (1.0, 0.3, 0.1)}
 OCCUPATION_RISK = {"healthcare_worker": 2.0, "retail_worker": 1.5, "teacher": 1.8, "office_worker": 1.0, "student": 1.2, "retired": 0.8}
-BETA_HOUSEHOLD, BETA_CONTACT, BETA_COMMUNITY, IMMUNITY_DAYS = 0.18, 0.035, 0.005, 180
 
 
 def risk_multipliers(household_infected: str = "household_infected", infected: str = "infected") -> dict[str, Column]:
@@ -106,17 +142,22 @@ def risk_multipliers(household_infected: str = "household_infected", infected: s
     }
 
 
-def state_analysis(agents: DataFrame, day_states: DataFrame, contacts: DataFrame, cluster: str) -> DataFrame:
-    """Per cluster: mean infected contacts of the susceptible who have any, days in E and I, overdue, elderly infected, waning."""
-    j = agents.join(day_states, "agent_id").join(contacts.select("agent_id", "infected"), "agent_id", "left")
+def state_analysis(agents: DataFrame, panel: DataFrame, contacts: DataFrame, cluster: str) -> DataFrame:
+    """Per cluster and day: what stands out among the susceptible, exposed, infected, recovered and dead. Days and ages of the flags."""
+    rows = panel.select("agent_id", "day", "state", "days_in_state")
+    j = agents.join(rows, "agent_id").join(contacts.select("agent_id", "day", "infected"), ["agent_id", "day"], "left")
     at = lambda s, c: F.when(F.col("state") == s, c)
-    days = F.col("days_in_state")
+    days, age = F.col("days_in_state"), F.col("age")
     mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6)
-    return j.groupBy(cluster).agg(
-        F.count(F.lit(1)).alias("size"), F.count_if(F.col("state").isin("E", "I")).alias("infected"), mean(at("S", F.when(F.col("infected") > 0, F.col("infected")))).alias("mean_infected_contacts"),
-        mean(at("E", days)).alias("avg_days_exposed"), F.count_if((F.col("state") == "E") & days.between(2, 5)).alias("peak_incubation"), mean(at("I", days)).alias("avg_days_infected"),
-        F.max(at("I", days)).alias("max_days_infected"), F.count_if((F.col("state") == "I") & (days >= 10)).alias("overdue"), F.count_if((F.col("state") == "I") & (F.col("age") >= 70)).alias("elderly_infected"),
-        mean(at("R", days)).alias("avg_days_recovered"),
+    some = lambda s, c: F.count_if((F.col("state") == s) & c)
+    span = lambda s, name: [F.min(at(s, days)).alias(f"min_days_{name}"), F.max(at(s, days)).alias(f"max_days_{name}")]
+    return j.groupBy(cluster, "day").agg(
+        F.count(F.lit(1)).alias("size"), F.count_if(F.col("state").isin("E", "I")).alias("infected"), mean(at("S", F.when(F.col("infected") > 0, F.col("infected")))).alias("mean_infected_contacts"), some("S", F.col("infected") > 0).alias("exposed_susceptible"),
+        mean(at("E", days)).alias("avg_days_exposed"), *span("E", "exposed"), some("E", days.between(2, 5)).alias("peak_incubation"),
+        mean(at("I", days)).alias("avg_days_infected"), *span("I", "infected"), some("I", days >= 10).alias("overdue"), some("I", age >= 70).alias("elderly_infected"), some("I", (age >= 50) & (age < 70)).alias("middle_aged_infected"),
+        some("I", days.between(7, 14)).alias("peak_risk"), some("I", F.col("comorbidity_count") >= 2).alias("comorbid_infected"),
+        mean(at("R", days)).alias("avg_days_recovered"), *span("R", "recovered"), some("R", days >= IMMUNITY_DAYS).alias("waning"),
+        some("D", days <= 10).alias("mourned"), F.round(F.avg(at("D", age)), 6).alias("mean_age_dead"),
     )
 
 

@@ -18,6 +18,7 @@ SCENARIOS = {
 PAIRS = {"hw": ("household_exposure", "workplace_exposure"), "hc": ("household_exposure", "community_exposure"), "wc": ("workplace_exposure", "community_exposure")}
 CONTRASTED = {"avg": "avg_adjustment_factor", "contact": "contact_avoidance_proxy", "adjustment": "adjustment_volatility", "response": "response_speed"}
 KEPT_PREFIXES = ("rel_adjustment_", "rel_response_", "delta_response_", "gate_adjustment_", "rel_contact_", "gate_response_")
+MICRO = 1000000
 #: How descriptions name the compared scenarios.
 VERSUS = {"hw": "home vs work", "hc": "home vs community", "wc": "work vs community"}
 
@@ -60,9 +61,13 @@ def contrastive_names() -> list[str]:
 
 
 def contrastive_profile(traces: DataFrame, key: str, motifs: str = "motifs") -> DataFrame:
-    """(key, profile, contrasted): mean of each kept contrast over an entity's traces, 0 where it has none."""
+    """(key, profile, contrasted): mean of each kept contrast over an entity's traces, 0 where it has none.
+
+    A contrast counts in millionths, rounded, so that the sum does not depend on the order of the traces.
+    """
     c = contrasts(F.col(motifs))
-    g = traces.groupBy(key).agg(*[F.coalesce(F.avg(c[x]), F.lit(0.0)).alias(x) for x in contrastive_names()])
+    mean = lambda x: F.sum(F.round(x * MICRO).cast("long")) / (F.count(x) * MICRO)
+    g = traces.groupBy(key).agg(*[F.coalesce(mean(c[x]), F.lit(0.0)).alias(x) for x in contrastive_names()])
     p = g.select(key, F.array(*contrastive_names()).alias("profile"))
     return p.withColumn("contrasted", F.exists("profile", lambda x: x != 0))
 

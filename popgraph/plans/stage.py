@@ -11,12 +11,15 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """Folder in ``spark.checkpoint.dir``; a temporary one only where that is unset and the master is local (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="popgraph-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -33,6 +36,12 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted_broadcast(df: DataFrame, max_rows: int = 100_000, label: str = "small") -> DataFrame:
+    """``df`` written as a table, marked for broadcast only if it has at most ``max_rows`` rows."""
+    table = stage(df, label)
+    return F.broadcast(table) if small_enough(table, max_rows) else table
+
+
 def small_enough(df: DataFrame, max_rows: int) -> bool:
     """True if a staged table has at most ``max_rows`` rows (its footers are counted)."""
     return df.count() <= max_rows

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from popgraph.operators import network, panel
 
+#: SQL of ``functions.draws.uniform``: salt and key.
+U = "(CAST('0x' || substr(md5('{}:' || CAST({} AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -60,7 +63,7 @@ def states(spark: SparkSession, d: str) -> DataFrame:
     return panel.daily_states(read(spark, d, "events"))
 
 
-WITH = """WITH agents AS (SELECT c_custkey AS agent_id, CAST(c_custkey * 37 % 90 AS INTEGER) AS age, c_custkey // 5 AS household_id, CAST(c_nationkey AS INTEGER) AS region,
+WITH = """WITH RECURSIVE agents AS (SELECT c_custkey AS agent_id, CAST(c_custkey * 37 % 90 AS INTEGER) AS age, c_custkey // 5 AS household_id, CAST(c_nationkey AS INTEGER) AS region,
   lower(c_mktsegment) AS occupation, CAST(c_custkey % 3 AS INTEGER) AS vaccination_status, CAST(c_custkey % 4 AS INTEGER) AS comorbidity_count,
   (c_acctbal + 1000) / 11000 AS compliance_score, c_custkey % 17 = 0 AS is_imported, CASE WHEN c_custkey % 11 = 0 THEN 'dormitory' ELSE 'none' END AS cluster,
   CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS gender, CAST(c_custkey % 10 AS INTEGER) AS cluster_id FROM customer),

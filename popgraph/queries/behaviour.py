@@ -12,8 +12,9 @@ from popgraph.operators import risk as R
 from popgraph.operators import text as T
 from popgraph.plans.stage import new_path
 from popgraph.queries.base import ORACLE_SQL, agents, neighbors, query, read
-from popgraph.queries.entities import _DOCS, _NBS, _P15, _day, said
+from popgraph.queries.entities import _DOCS, _NBS, contacts, said
 from popgraph.queries.features import _AG, _PF, h7_continuous_features, patterns, profiles
+from popgraph.queries.panels import panel
 from popgraph.queries.quality import _E, _EM, emb
 from popgraph.sources import tables
 
@@ -85,14 +86,10 @@ def h29_pattern_name(s, d):
     return read(s, d, "events").select("event_id", A.pattern_name(F.expr(_MARK)).alias("name"))
 
 
-@query(_P15 + """, nr AS (SELECT n.agent_id, string_agg('#' || p.agent_id, ', ' ORDER BY p.agent_id) FILTER (p.state = 'I') AS sick, string_agg('#' || p.agent_id, ', ' ORDER BY p.agent_id) FILTER (p.state = 'D' AND p.days_in_state <= 10) AS dead FROM nb n JOIN p15 p ON p.agent_id = n.other_id GROUP BY n.agent_id)
-SELECT a.agent_id, concat_ws('; ', CASE state WHEN 'I' THEN 'infected for ' || days_in_state || ' days' WHEN 'R' THEN 'recovered ' || days_in_state || ' days ago' ELSE 'healthy' END, 'infected contacts: ' || sick, 'mourned contacts: ' || dead) AS text FROM agents a JOIN p15 USING (agent_id) LEFT JOIN nr ON nr.agent_id = a.agent_id""")
+@query(""", nr AS (SELECT n.agent_id, p.day, string_agg('#' || p.agent_id, ', ' ORDER BY p.agent_id) FILTER (p.state = 'I') AS sick, string_agg('#' || p.agent_id, ', ' ORDER BY p.agent_id) FILTER (p.state = 'D' AND p.days_in_state <= 10) AS dead FROM nb n JOIN panel p ON p.agent_id = n.other_id GROUP BY n.agent_id, p.day)
+SELECT a.agent_id, p.day, concat_ws('; ', CASE state WHEN 'I' THEN 'infected for ' || days_in_state || ' days' WHEN 'R' THEN 'recovered ' || days_in_state || ' days ago' ELSE 'healthy' END, 'infected contacts: ' || sick, 'mourned contacts: ' || dead) AS text FROM agents a JOIN panel p ON p.agent_id = a.agent_id LEFT JOIN nr ON nr.agent_id = a.agent_id AND nr.day = p.day""")
 def h30_perception_text(s, d):
-    return A.perception_text(agents(s, d), _day(s, d), neighbors(s, d))
-
-
-def contacts(s, d):
-    return R.neighbor_states(neighbors(s, d), _day(s, d), agents(s, d))
+    return A.perception_text(agents(s, d), panel(s, d), neighbors(s, d))
 
 
 _V = lambda what: f"(CASE vaccination_status WHEN 0 THEN {R.VACCINE_EFFECT[what][0]} WHEN 1 THEN {R.VACCINE_EFFECT[what][1]} ELSE {R.VACCINE_EFFECT[what][2]} END)::DOUBLE"
@@ -101,40 +98,43 @@ _SICK = "(1 + 0.15::DOUBLE * comorbidity_count)"
 _OR = "(CASE occupation " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in R.OCCUPATION_RISK.items()) + " ELSE 1.0 END)::DOUBLE"
 
 
-@query(_NBS + _AG + f""", x AS (SELECT a.*, p.days_in_state AS dd, coalesce(n.household_infected, 0) AS hi, coalesce(n.infected, 0) AS ni FROM ag a JOIN p15 p ON p.agent_id = a.agent_id LEFT JOIN nbs n ON n.agent_id = a.agent_id)
-SELECT agent_id, round({_V('exposure')} * (CASE WHEN quarantined THEN 0.2 ELSE 1.0 END)::DOUBLE * (CASE WHEN cluster LIKE '%dorm%' THEN 2.5 ELSE 1.0 END)::DOUBLE * (1 + CASE WHEN hi > 0 THEN 0.18::DOUBLE * hi WHEN ni > 0 THEN 0.035::DOUBLE * ni ELSE 0.005 END) * {_AGE(0.7, 1.3)} * {_SICK} * {_OR} * (2 - compliance_score::DOUBLE), 6) AS s_e,
+@query(_NBS + _AG + f""", x AS (SELECT a.*, p.day, p.days_in_state AS dd, coalesce(n.household_infected, 0) AS hi, coalesce(n.infected, 0) AS ni FROM ag a JOIN panel p ON p.agent_id = a.agent_id LEFT JOIN nbs n ON n.agent_id = a.agent_id AND n.day = p.day)
+SELECT agent_id, day, round({_V('exposure')} * (CASE WHEN quarantined THEN 0.2 ELSE 1.0 END)::DOUBLE * (CASE WHEN cluster LIKE '%dorm%' THEN 2.5 ELSE 1.0 END)::DOUBLE * (1 + CASE WHEN hi > 0 THEN 0.18::DOUBLE * hi WHEN ni > 0 THEN 0.035::DOUBLE * ni ELSE 0.005 END) * {_AGE(0.7, 1.3)} * {_SICK} * {_OR} * (2 - compliance_score::DOUBLE), 6) AS s_e,
  round((CASE WHEN dd < 2 THEN 0.0 WHEN dd < 4 THEN 0.5 ELSE least(1 + 0.3::DOUBLE * (dd - 4), 2.0) END) * {_V('progression')} * {_AGE(0.9, 1.3)} * {_SICK}, 6) AS e_i,
  round((CASE WHEN dd < 7 THEN 0.0 WHEN dd < 10 THEN 0.4 ELSE least(1 + 0.2::DOUBLE * (dd - 10), 2.5) END) * {_V('recovery')} * {_AGE(1.3, 0.7)} * pow(0.85::DOUBLE, comorbidity_count), 6) AS i_r,
  round((CASE WHEN age < 20 THEN 0.00002 WHEN age < 50 THEN 0.0005 WHEN age < 70 THEN 0.005 ELSE 0.07 END)::DOUBLE * 0.3 / 0.0015::DOUBLE * (CASE WHEN dd < 7 THEN 0.05 WHEN dd <= 14 THEN 1.5 ELSE 0.2 END)::DOUBLE * (1 + 0.5::DOUBLE * comorbidity_count) * {_V('death')}, 6) AS i_d,
  CASE WHEN dd < 180 THEN 0.0 ELSE 1.0 END::DOUBLE AS r_s FROM x""")
 def h18_risk_multiplier(s, d):
-    j = profiles(s, d).join(_day(s, d).select("agent_id", "days_in_state"), "agent_id").join(contacts(s, d), "agent_id", "left")
-    return j.select("agent_id", *[F.round(c, 6).alias(n) for n, c in R.risk_multipliers().items()])
+    j = profiles(s, d).join(panel(s, d).select("agent_id", "day", "days_in_state"), "agent_id").join(contacts(s, d), ["agent_id", "day"], "left")
+    return j.select("agent_id", "day", *[F.round(c, 6).alias(n) for n, c in R.risk_multipliers().items()])
 
 
-_SA = _NBS + """, sa AS (SELECT a.cluster_id, count(*) AS size, count(*) FILTER (state IN ('E', 'I')) AS infected, round(coalesce(avg(n.infected) FILTER (state = 'S' AND n.infected > 0), 0.0), 6) AS mean_infected_contacts,
- round(coalesce(avg(days_in_state) FILTER (state = 'E'), 0.0), 6) AS avg_days_exposed, count(*) FILTER (state = 'E' AND days_in_state BETWEEN 2 AND 5) AS peak_incubation, round(coalesce(avg(days_in_state) FILTER (state = 'I'), 0.0), 6) AS avg_days_infected,
- max(days_in_state) FILTER (state = 'I') AS max_days_infected, count(*) FILTER (state = 'I' AND days_in_state >= 10) AS overdue, count(*) FILTER (state = 'I' AND age >= 70) AS elderly_infected, round(coalesce(avg(days_in_state) FILTER (state = 'R'), 0.0), 6) AS avg_days_recovered
-FROM agents a JOIN p15 p ON p.agent_id = a.agent_id LEFT JOIN nbs n ON n.agent_id = a.agent_id GROUP BY a.cluster_id)"""
+_SPAN = lambda s, n: f"min(days_in_state) FILTER (state = '{s}') AS min_days_{n}, max(days_in_state) FILTER (state = '{s}') AS max_days_{n}"
+_MEAN = lambda s, n: f"round(coalesce(avg(days_in_state) FILTER (state = '{s}'), 0.0), 6) AS avg_days_{n}"
+_SA = _NBS + f""", sa AS (SELECT a.cluster_id, p.day, count(*) AS size, count(*) FILTER (state IN ('E', 'I')) AS infected, round(coalesce(avg(n.infected) FILTER (state = 'S' AND n.infected > 0), 0.0), 6) AS mean_infected_contacts, count(*) FILTER (state = 'S' AND n.infected > 0) AS exposed_susceptible,
+ {_MEAN('E', 'exposed')}, {_SPAN('E', 'exposed')}, count(*) FILTER (state = 'E' AND days_in_state BETWEEN 2 AND 5) AS peak_incubation, {_MEAN('I', 'infected')}, {_SPAN('I', 'infected')}, count(*) FILTER (state = 'I' AND days_in_state >= 10) AS overdue,
+ count(*) FILTER (state = 'I' AND age >= 70) AS elderly_infected, count(*) FILTER (state = 'I' AND age >= 50 AND age < 70) AS middle_aged_infected, count(*) FILTER (state = 'I' AND days_in_state BETWEEN 7 AND 14) AS peak_risk, count(*) FILTER (state = 'I' AND comorbidity_count >= 2) AS comorbid_infected,
+ {_MEAN('R', 'recovered')}, {_SPAN('R', 'recovered')}, count(*) FILTER (state = 'R' AND days_in_state >= 180) AS waning, count(*) FILTER (state = 'D' AND days_in_state <= 10) AS mourned, round(avg(age) FILTER (state = 'D'), 6) AS mean_age_dead
+FROM agents a JOIN panel p ON p.agent_id = a.agent_id LEFT JOIN nbs n ON n.agent_id = a.agent_id AND n.day = p.day GROUP BY a.cluster_id, p.day)"""
 
 
 @query(_SA + " SELECT * FROM sa")
 def d14_state_analysis(s, d):
-    return R.state_analysis(agents(s, d), _day(s, d), contacts(s, d), "cluster_id")
+    return R.state_analysis(agents(s, d), panel(s, d), contacts(s, d), "cluster_id")
 
 
-@query(_SA + _AG + f""", df AS ({ORACLE_SQL['d12_dormitory_flag']}), qf AS ({ORACLE_SQL['d15_quarantine_factor']}), xf AS (SELECT cluster_id, factor AS death FROM ({ORACLE_SQL['d16_death_factor']})), z AS (SELECT sa.*, death, infected / size AS prev, CASE WHEN is_dormitory AND infected / size > 0.05 THEN 2.5 ELSE 1.0 END::DOUBLE * factor * 1.5::DOUBLE AS push FROM sa JOIN df USING (cluster_id) JOIN qf USING (cluster_id) JOIN xf USING (cluster_id))
-SELECT cluster_id, round(CASE WHEN infected > 0 THEN greatest(0.03::DOUBLE * push, (CASE WHEN prev < 0.1 THEN 0.02 WHEN prev < 0.3 THEN 0.035 ELSE 0.05 END)::DOUBLE * greatest(0.3, least(1.0, mean_infected_contacts / 3.0)) * push) ELSE 0.03 END, 6) AS s_e,
+@query(_SA + _AG + f""", df AS ({ORACLE_SQL['d12_dormitory_flag']}), qf AS ({ORACLE_SQL['d15_quarantine_factor']}), xf AS (SELECT cluster_id, day, factor AS death FROM ({ORACLE_SQL['d16_death_factor']})), z AS (SELECT sa.*, death, infected / size AS prev, CASE WHEN is_dormitory AND infected / size > 0.05 THEN 2.5 ELSE 1.0 END::DOUBLE * factor * 1.5::DOUBLE AS push FROM sa JOIN df USING (cluster_id) JOIN qf USING (cluster_id) JOIN xf USING (cluster_id, day))
+SELECT cluster_id, day, round(CASE WHEN infected > 0 THEN greatest(0.03::DOUBLE * push, (CASE WHEN prev < 0.1 THEN 0.02 WHEN prev < 0.3 THEN 0.035 ELSE 0.05 END)::DOUBLE * greatest(0.3, least(1.0, mean_infected_contacts / 3.0)) * push) ELSE 0.03 END, 6) AS s_e,
  round(greatest(0.1::DOUBLE, CASE WHEN avg_days_exposed < 2 THEN 0.0 WHEN avg_days_exposed < 3 THEN 0.05 WHEN avg_days_exposed < 4 THEN 0.15 WHEN avg_days_exposed < 5 THEN 0.25 WHEN avg_days_exposed < 6 THEN 0.3 ELSE 0.35 END), 6) AS e_i,
  round(greatest(0.05::DOUBLE, least(0.35, CASE WHEN avg_days_infected < 7 THEN 0.0 WHEN avg_days_infected < 10 THEN 0.05 + 0.017::DOUBLE * (avg_days_infected - 7) WHEN avg_days_infected < 14 THEN 0.1 + 0.025::DOUBLE * (avg_days_infected - 10) ELSE 0.2 + 0.02::DOUBLE * least(avg_days_infected - 14, 5.0) END)), 6) AS i_r,
  round(CASE WHEN avg_days_infected < 7 THEN 0.0 WHEN avg_days_infected <= 14 THEN greatest(0.004::DOUBLE, 0.0006::DOUBLE * death * (avg_days_infected - 7)) ELSE 0.004 END, 6) AS i_d FROM z""")
 def h23_calibrate_cluster(s, d):
     a = profiles(s, d)
-    j = R.state_analysis(a, _day(s, d), contacts(s, d), "cluster_id").join(X.dormitory_flags(a, "cluster_id"), "cluster_id").join(X.quarantine_factor(a, "cluster_id"), "cluster_id")
-    j = j.join(X.death_factor(a, _day(s, d), "cluster_id").withColumnRenamed("factor", "death"), "cluster_id")
+    j = R.state_analysis(a, panel(s, d), contacts(s, d), "cluster_id").join(X.dormitory_flags(a, "cluster_id"), "cluster_id").join(X.quarantine_factor(a, "cluster_id"), "cluster_id")
+    j = j.join(X.death_factor(a, panel(s, d), "cluster_id").withColumnRenamed("factor", "death"), ["cluster_id", "day"])
     start = {"s_e": F.lit(0.03), "e_i": F.lit(0.1), "i_r": F.lit(0.05), "i_d": F.lit(0.004)}
     p = R.calibrated(start, F.col("is_dormitory"), F.col("factor"), F.lit(1.5), F.col("death"))
-    return j.select("cluster_id", *[F.round(c, 6).alias(n) for n, c in p.items()])
+    return j.select("cluster_id", "day", *[F.round(c, 6).alias(n) for n, c in p.items()])
 
 
 def tens(p):

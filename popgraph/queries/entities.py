@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 from popgraph.functions.draws import uniform
 from popgraph.operators import entities as E
 from popgraph.operators import risk as R
+from popgraph.operators.samples import stringency
 from popgraph.operators import text as T
-from popgraph.queries.base import agents, neighbors, query, read
+from popgraph.queries.base import U, agents, neighbors, query, read
 from popgraph.queries.networks import cases
 from popgraph.queries.panels import panel
 
-U = "(CAST('0x' || substr(md5('{}:' || CAST({} AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
-
-
 def cat(u, values, weights):
     out, total = "CASE", 0.0
     for v, w in zip(values[:-1], weights[:-1], strict=True):
@@ -58,9 +56,13 @@ def b7_infer_household(s, d):
     return agents(s, d).select("agent_id", E.infer_household(said, F.col("agent_id")).alias("household"))
 
 
-@query(f"SELECT agent_id, CASE WHEN age >= 18 AND age < 65 THEN agent_id // 20 ELSE -1 END AS work, CASE WHEN age >= 5 AND age < 18 THEN agent_id // 30 WHEN age >= 18 AND age < 25 AND {U.format('school', 'agent_id')} < 0.6 THEN agent_id // 40 ELSE -1 END AS school FROM agents")
+_PLACE = "CASE WHEN agent_id % 13 = 0 THEN 'General Hospital' WHEN agent_id % 11 = 0 THEN 'North Dorm ' || agent_id % 5 END"
+
+
+@query(f"""SELECT agent_id, CAST(CASE WHEN age >= 18 AND age < 65 THEN CASE WHEN agent_id % 13 = 0 THEN 500 + floor({U.format('hospital', "('H' || agent_id % 7)")} * 50) WHEN agent_id % 11 = 0 THEN 1000 + floor({U.format('dormitory', "('north dorm ' || agent_id % 5)")} * 100) ELSE agent_id // 20 END ELSE -1 END AS BIGINT) AS work,
+CASE WHEN age >= 5 AND age < 18 THEN agent_id // 30 WHEN age >= 18 AND age < 25 AND {U.format('school', 'agent_id')} < 0.6 THEN agent_id // 40 ELSE -1 END AS school FROM agents""")
 def b8_infer_networks(s, d):
-    w, c = E.infer_networks(F.col("age"), F.col("agent_id"))
+    w, c = E.infer_networks(F.col("age"), F.col("agent_id"), F.expr(_PLACE), F.concat(F.lit("H"), (F.col("agent_id") % 7).cast("string")))
     return agents(s, d).select("agent_id", w.alias("work"), c.alias("school"))
 
 
@@ -86,13 +88,16 @@ def b11_uniform(s, d):
     return agents(s, d).select("agent_id", F.round(uniform(F.col("agent_id"), "x"), 9).alias("u"))
 
 
-_HOT = ", ".join(f"CASE WHEN occupation = '{o}' THEN 1 ELSE 0 END" for o in ["automobile", "building", "furniture", "household", "machinery"])
+_IS = lambda c, vs: ", ".join(f"CASE WHEN {c} = {v!r} THEN 1 ELSE 0 END" for v in vs)
+_JOB = f"CASE WHEN age < 5 THEN 'preschool' WHEN age < 18 THEN 'student' WHEN age < 25 THEN {cat(_OCC, *E.YOUNG)} WHEN age < 65 THEN {cat(_OCC, E.OCCUPATIONS, E.OCCUPATION_WEIGHTS)} ELSE 'retired' END"
+_FIRST = "substr('SEIRD', CAST(agent_id % 5 + 1 AS INTEGER), 1)"
 
 
-@query(f"SELECT agent_id, array_to_string([CAST(round(x, 4) AS DECIMAL(9, 4)) FOR x IN [age / 100, {_HOT}, CASE WHEN vaccination_status = 0 THEN 1 ELSE 0 END, CASE WHEN vaccination_status = 1 THEN 1 ELSE 0 END, CASE WHEN vaccination_status = 2 THEN 1 ELSE 0 END, comorbidity_count / 5]], ' ') AS features FROM agents")
+@query(f"SELECT agent_id, [round(x::DOUBLE, 6) FOR x IN [age / 100, {_IS('job', E.ENTITY_JOBS)}, 0.1, {_IS('vaccination_status', range(3))}, comorbidity_count / 5, agent_id % 7 / 10.0, compliance_score::DOUBLE, agent_id % 9 / 10.0, {_IS('st', 'SEIRD')}]] AS features FROM (SELECT *, {_JOB} AS job, {_FIRST} AS st FROM agents)")
 def b15_entity_features(s, d):
-    f = E.entity_features(agents(s, d), F.lit("S"))
-    return f.select("agent_id", F.array_join(F.transform(F.slice("features", 1, 10), lambda x: F.round(x, 4).cast("decimal(9,4)").cast("string")), " ").alias("features"))
+    k = F.col("agent_id")
+    a = agents(s, d).withColumns({"occupation": E.infer_occupation(F.col("age"), k), "mobility_score": k % 7 / 10.0, "risk_awareness": k % 9 / 10.0})
+    return E.entity_features(a, F.expr(_FIRST)).select("agent_id", F.transform("features", lambda x: F.round(x.cast("double"), 6)).alias("features"))
 
 
 @query("SELECT agent_id, CASE WHEN age < 20 THEN 0.00002 WHEN age < 50 THEN 0.0005 WHEN age < 70 THEN 0.005 ELSE 0.07 END::DOUBLE AS ifr, round(1 - pow(1 - CASE WHEN age < 20 THEN 0.00002 WHEN age < 50 THEN 0.0005 WHEN age < 70 THEN 0.005 ELSE 0.07 END::DOUBLE, 0.1), 9) AS hazard FROM agents")
@@ -101,9 +106,10 @@ def b18_ifr_and_hazard(s, d):
     return agents(s, d).select("agent_id", ifr.alias("ifr"), F.round(E.daily_hazard(ifr, 10), 9).alias("hazard"))
 
 
-@query("SELECT day, CASE WHEN day < 7 THEN 0.2 WHEN day < 21 THEN 0.8 ELSE 0.5 END::DOUBLE AS stringency FROM hist")
+@query("SELECT DISTINCT day, CASE WHEN day < 50 THEN 0.3 WHEN day < 110 THEN 0.9 ELSE 0.6 END::DOUBLE AS stringency FROM (SELECT date_diff('day', DATE '1996-01-01', CAST(o_orderdate AS DATE)) AS day FROM orders)")
 def b21_stringency(s, d):
-    return panel(s, d).select("day").distinct().select("day", E.stringency(F.col("day")).alias("stringency"))
+    days = read(s, d, "orders").select(F.datediff(F.to_date("o_orderdate"), F.lit("1996-01-01").cast("date")).alias("day")).distinct()
+    return days.select("day", stringency(F.col("day")).alias("stringency"))
 
 
 @query("SELECT a.agent_id, coalesce(c.cluster_id, -1) AS cluster_id FROM agents a LEFT JOIN (SELECT DISTINCT agent_id, cluster_id FROM panel) c USING (agent_id)")
@@ -111,57 +117,61 @@ def a9_attach_cluster(s, d):
     return E.attach_cluster(agents(s, d).select("agent_id"), panel(s, d).select("agent_id", "cluster_id").distinct())
 
 
-_P15 = ", p15 AS (SELECT agent_id, state, days_in_state FROM panel WHERE day = 15)"
-_NBS = _P15 + """, nbs AS (SELECT n.agent_id, count(*) AS contacts, count(*) FILTER (p.state IN ('E', 'I')) AS infected, count(*) FILTER (p.state IN ('E', 'I') AND b.household_id = a.household_id) AS household_infected
-FROM nb n JOIN p15 p ON p.agent_id = n.other_id JOIN agents b ON b.agent_id = n.other_id JOIN agents a ON a.agent_id = n.agent_id GROUP BY n.agent_id)"""
+#: Contact counts of entity and day.
+_NBS = """, nbs AS (SELECT n.agent_id, p.day, count(*) AS contacts, count(*) FILTER (p.state IN ('E', 'I')) AS infected, count(*) FILTER (p.state IN ('E', 'I') AND b.household_id = a.household_id) AS household_infected,
+ count(*) FILTER (p.state IN ('E', 'I') AND b.cluster LIKE '%dorm%') AS dormitory_infected, count(*) FILTER (p.state = 'D' AND p.days_in_state <= 10) AS dead, count(*) FILTER (p.state = 'D' AND p.days_in_state <= 10 AND b.household_id = a.household_id) AS household_dead
+FROM nb n JOIN panel p ON p.agent_id = n.other_id JOIN agents b ON b.agent_id = n.other_id JOIN agents a ON a.agent_id = n.agent_id GROUP BY n.agent_id, p.day)"""
 
 
-def _day(s, d):
-    return panel(s, d).where("day = 15").select("agent_id", "state", "days_in_state")
+def contacts(s, d):
+    return R.neighbor_states(neighbors(s, d), panel(s, d), agents(s, d))
 
 
 @query(_NBS + " SELECT *, round(infected / contacts, 6) AS share FROM nbs")
 def c8_neighbor_states(s, d):
-    return R.neighbor_states(neighbors(s, d), _day(s, d), agents(s, d))
+    return contacts(s, d)
 
 
-@query(_P15 + """ SELECT p.agent_id % 10 AS cluster_id, q.agent_id % 10 AS other_cluster, count(*) AS contacts, count(*) FILTER (q.state IN ('E', 'I')) AS infected
-FROM nb n JOIN p15 p ON p.agent_id = n.agent_id JOIN p15 q ON q.agent_id = n.other_id WHERE p.agent_id % 10 <> q.agent_id % 10 GROUP BY 1, 2""")
+@query(""" SELECT p.cluster_id, q.cluster_id AS other_cluster, p.day, count(*) AS contacts, count(*) FILTER (q.state IN ('E', 'I')) AS infected
+FROM nb n JOIN panel p ON p.agent_id = n.agent_id JOIN panel q ON q.agent_id = n.other_id AND q.day = p.day WHERE p.cluster_id <> q.cluster_id GROUP BY ALL""")
 def c9_cluster_context(s, d):
-    p = _day(s, d).select("agent_id", "state", (F.col("agent_id") % 10).alias("c"))
-    j = neighbors(s, d).join(p.select("agent_id", F.col("c").alias("cluster_id")), "agent_id").join(p.select(F.col("agent_id").alias("other_id"), "state", F.col("c").alias("other_cluster")), "other_id")
-    return j.where("cluster_id <> other_cluster").groupBy("cluster_id", "other_cluster").agg(F.count(F.lit(1)).alias("contacts"), F.count_if(F.col("state").isin("E", "I")).alias("infected"))
+    return R.cluster_context(neighbors(s, d), panel(s, d), "cluster_id")
 
 
-@query(_P15 + """ SELECT n.agent_id, count(*) AS contacts, round(sum(0.05::DOUBLE * CASE WHEN a.household_id = b.household_id THEN 3.0 ELSE 0.8 END * (1 - CASE a.vaccination_status WHEN 1 THEN 0.5 WHEN 2 THEN 0.8 ELSE 0.0 END) * (1 - a.compliance_score * 0.5)
+@query("""SELECT n.agent_id, p.day, count(*) AS contacts, round(sum(0.05::DOUBLE * CASE WHEN a.household_id = b.household_id THEN 3.0 ELSE 0.8 END * (1 - CASE a.vaccination_status WHEN 1 THEN 0.5 WHEN 2 THEN 0.8 ELSE 0.0 END) * (1 - a.compliance_score * 0.5)
  * CASE WHEN a.age < 18 THEN 0.6 WHEN a.age > 60 THEN 1.3 ELSE 1.0 END * (1 + a.comorbidity_count * 0.15)), 6) AS risk
-FROM nb n JOIN p15 q ON q.agent_id = n.other_id AND q.state IN ('E', 'I') JOIN p15 p ON p.agent_id = n.agent_id AND p.state IN ('S', 'R') JOIN agents a ON a.agent_id = n.agent_id JOIN agents b ON b.agent_id = n.other_id GROUP BY n.agent_id""")
+FROM nb n JOIN panel q ON q.agent_id = n.other_id AND q.state IN ('E', 'I') JOIN panel p ON p.agent_id = n.agent_id AND p.day = q.day AND p.state IN ('S', 'R') JOIN agents a ON a.agent_id = n.agent_id JOIN agents b ON b.agent_id = n.other_id GROUP BY n.agent_id, p.day""")
 def c12_exposure_risk(s, d):
-    return R.exposure_risk(neighbors(s, d), _day(s, d), agents(s, d))
-
+    return R.exposure_risk(neighbors(s, d), panel(s, d), agents(s, d))
 
-_PA = _P15 + ", pa AS (SELECT * FROM p15 JOIN agents USING (agent_id))"
 
-
-@query(_PA + """ SELECT agent_id, round(0.10::DOUBLE * CASE WHEN days_in_state < 5 THEN 0.3 WHEN days_in_state < 10 THEN 1.0 ELSE 2.0 END * CASE vaccination_status WHEN 2 THEN 1.3 WHEN 1 THEN 1.15 ELSE 1.0 END * CASE WHEN age < 18 THEN 1.3 WHEN age > 60 THEN 0.7 ELSE 1.0 END * pow(0.85::DOUBLE, comorbidity_count), 6) AS recovery FROM pa""")
+@query(""", pa AS (SELECT panel.* EXCLUDE (cluster_id), agents.* EXCLUDE (agent_id) FROM panel JOIN agents USING (agent_id)) SELECT agent_id, day, CASE state WHEN 'S' THEN 'susceptible' WHEN 'E' THEN CASE WHEN days_in_state < 3 THEN 'early_incubation' ELSE 'late_incubation' END WHEN 'I' THEN CASE WHEN days_in_state < 5 THEN 'early_infection' WHEN days_in_state < 10 THEN 'active_infection' ELSE 'prolonged_infection' END
+ WHEN 'R' THEN CASE WHEN days_in_state < 90 THEN 'strong_immunity' WHEN days_in_state < 180 THEN 'waning_immunity' ELSE 'weak_immunity' END ELSE 'deceased' END AS stage,
+ CASE WHEN state = 'R' THEN CASE WHEN days_in_state < 90 THEN 0.95 WHEN days_in_state < 180 THEN 0.8 ELSE 0.5 END END::DOUBLE AS protection,
+ CASE WHEN state = 'I' THEN round(0.10::DOUBLE * CASE WHEN days_in_state < 5 THEN 0.3 WHEN days_in_state < 10 THEN 1.0 ELSE 2.0 END * CASE vaccination_status WHEN 2 THEN 1.3 WHEN 1 THEN 1.15 ELSE 1.0 END * CASE WHEN age < 18 THEN 1.3 WHEN age > 60 THEN 0.7 ELSE 1.0 END * pow(0.85::DOUBLE, comorbidity_count), 6) END AS recovery FROM pa""")
 def h20_recovery_probability(s, d):
-    p = _day(s, d).join(agents(s, d), "agent_id")
-    return p.select("agent_id", F.round(R.recovery_probability(F.col("days_in_state"), F.col("vaccination_status"), F.col("age"), F.col("comorbidity_count")), 6).alias("recovery"))
+    p = panel(s, d).drop("cluster_id").join(agents(s, d), "agent_id")
+    told = R.progression(F.col("state"), F.col("days_in_state"), F.col("vaccination_status"), F.col("age"), F.col("comorbidity_count"))
+    return p.select("agent_id", "day", told["stage"].alias("stage"), told["protection"].alias("protection"), F.round(told["recovery"], 6).alias("recovery"))
 
 
 _V = lambda a, b, c: f"CASE vaccination_status WHEN 0 THEN {a} WHEN 1 THEN {b} ELSE {c} END::DOUBLE"
 
 
-@query(_NBS + f""", pa AS (SELECT p15.*, agents.* EXCLUDE (agent_id), coalesce(household_infected, 0) AS hi, coalesce(infected, 0) - coalesce(household_infected, 0) AS oi, days_in_state AS dd FROM p15 JOIN agents USING (agent_id) LEFT JOIN nbs USING (agent_id))
-SELECT agent_id, state, CASE WHEN state = 'S' THEN round(least(0.3, CASE WHEN hi + oi = 0 THEN 0.002::DOUBLE ELSE 0.014::DOUBLE * hi + 0.007::DOUBLE * oi END * CASE WHEN cluster = 'dormitory' THEN 2.5 ELSE 1.0 END * {_V(1.0, 0.65, 0.35)} * CASE WHEN age < 18 THEN 0.6 WHEN age > 65 THEN 1.4 ELSE 1.0 END::DOUBLE * (2.2 - 1.5 * compliance_score)), 6) ELSE 0.0 END AS s_e,
+# the panel's 30 days don't reach a recovered entity's 180th: each counts for 13
+@query(_NBS + f""", pa AS (SELECT p.agent_id, p.day, p.state, a.* EXCLUDE (agent_id), coalesce(household_infected, 0) AS hi, coalesce(infected, 0) - coalesce(household_infected, 0) AS oi, CASE WHEN p.state = 'R' THEN 13 * days_in_state ELSE days_in_state END AS dd, p.agent_id % 13 = 0 AS quarantined FROM panel p JOIN (SELECT *, {_JOB} AS job FROM agents) a ON a.agent_id = p.agent_id LEFT JOIN nbs ON nbs.agent_id = p.agent_id AND nbs.day = p.day)
+SELECT agent_id, day, state, CASE WHEN state = 'S' THEN round(least(0.3, CASE WHEN hi + oi = 0 THEN 0.002::DOUBLE ELSE 0.014::DOUBLE * hi + 0.007::DOUBLE * oi END * CASE WHEN cluster = 'dormitory' OR job = 'manual_worker' THEN 2.5 ELSE 1.0 END * CASE WHEN quarantined THEN 0.2 ELSE 1.0 END::DOUBLE * {_V(1.0, 0.65, 0.35)} * CASE WHEN age < 18 THEN 0.6 WHEN age > 65 THEN 1.4 ELSE 1.0 END::DOUBLE * (2.2 - 1.5 * compliance_score)), 6) ELSE 0.0 END AS s_e,
 CASE WHEN state = 'E' THEN round(least(0.5, CASE WHEN dd < 2 THEN 0.0 WHEN dd = 2 THEN 0.05 WHEN dd = 3 THEN 0.15 WHEN dd = 4 THEN 0.25 ELSE 0.35 END::DOUBLE * {_V(1.0, 0.85, 0.70)} * CASE WHEN age < 18 THEN 0.9 WHEN age > 60 THEN 1.3 ELSE 1.0 END::DOUBLE), 6) ELSE 0.0 END AS e_i,
-CASE WHEN state = 'I' AND dd >= 7 THEN round(least(0.4, CASE WHEN dd = 7 THEN 0.05 WHEN dd < 10 THEN 0.05 + 0.02 * (dd - 7) WHEN dd < 14 THEN 0.10 + 0.025 * (dd - 10) ELSE 0.20 + 0.02 * least(dd - 14, 5) END::DOUBLE * 1.3::DOUBLE * {_V(1.0, 1.2, 1.4)} * CASE WHEN age < 18 THEN 1.3 WHEN age > 60 THEN 0.7 ELSE 1.0 END::DOUBLE), 6) ELSE 0.0 END AS i_r FROM pa""")
+CASE WHEN state = 'I' AND dd >= 7 THEN round(least(0.4, CASE WHEN dd = 7 THEN 0.05 WHEN dd < 10 THEN 0.05 + 0.02 * (dd - 7) WHEN dd < 14 THEN 0.10 + 0.025 * (dd - 10) ELSE 0.20 + 0.02 * least(dd - 14, 5) END::DOUBLE * 1.3::DOUBLE * {_V(1.0, 1.2, 1.4)} * CASE WHEN age < 18 THEN 1.3 WHEN age > 60 THEN 0.7 ELSE 1.0 END::DOUBLE), 6) ELSE 0.0 END AS i_r,
+CASE WHEN state = 'I' AND dd >= 7 THEN round(least(0.02, (1 - pow(1 - CASE WHEN age < 18 THEN 0.000006 WHEN age < 50 THEN 0.00015 WHEN age < 70 THEN 0.0015 ELSE 0.006 END::DOUBLE, 0.1::DOUBLE)) * CASE WHEN dd <= 14 THEN 1.5 ELSE 0.2 END::DOUBLE * (1 + comorbidity_count * 0.5) * {_V(1.0, 0.5, 0.2)}), 9) ELSE 0.0 END AS i_d,
+CASE WHEN state = 'R' AND dd >= 180 THEN round(least(0.03, CASE WHEN dd > 365 THEN 0.005 ELSE 0.001 END::DOUBLE * CASE WHEN hi + oi > 0 THEN 1 + hi + oi ELSE 1 END * {_V(1.0, 0.5, 0.2)}), 6) ELSE 0.0 END AS r_s FROM pa""")
 def h21_transition_probabilities(s, d):
-    nbs = R.neighbor_states(neighbors(s, d), _day(s, d), agents(s, d))
-    p = _day(s, d).join(agents(s, d), "agent_id").join(nbs, "agent_id", "left").na.fill(0, ["infected", "household_infected"])
     c = F.col
-    t = R.transition_probability(c("state"), c("days_in_state"), c("age"), c("vaccination_status"), c("comorbidity_count"), c("compliance_score"), c("cluster") == "dormitory", c("household_infected"), c("infected") - c("household_infected"))
-    return p.select("agent_id", "state", *[F.round(t[k], 6).alias(k) for k in ("s_e", "e_i", "i_r")])
+    p = panel(s, d).drop("cluster_id").join(agents(s, d), "agent_id").join(contacts(s, d), ["agent_id", "day"], "left").na.fill(0, ["infected", "household_infected"])
+    days = F.when(c("state") == "R", 13 * c("days_in_state")).otherwise(c("days_in_state"))
+    crowded = (c("cluster") == "dormitory") | (E.infer_occupation(c("age"), c("agent_id")) == "manual_worker")
+    t = R.transition_probability(c("state"), days, c("age"), c("vaccination_status"), c("comorbidity_count"), c("compliance_score"), crowded, c("household_infected"), c("infected") - c("household_infected"), c("agent_id") % 13 == 0)
+    return p.select("agent_id", "day", "state", *[F.round(t[k], 9 if k == "i_d" else 6).alias(k) for k in ("s_e", "e_i", "i_r", "i_d", "r_s")])
 
 
 @query("""SELECT o_orderkey, round(least(0.1, (sy * cs + ne * cn) / (cs + cn) * m), 6) AS fused, round(2 * cs * cn / (cs + cn), 6) AS confidence
@@ -174,12 +184,20 @@ def h24_fuse_probabilities(s, d):
 
 
 #: Documents with a few phrases of the rules put before them, by id.
-PHRASES = ["3 infected contacts, day 4, I am worried", "5 out of 10 people; household members are fine", "REASONING: a long enough account of it ADJUSTMENT: 1.7 PROBABILITY: 12%", "avoid contact, wash hands, wear a mask to prevent spread 20% of 3 cases.", "vaccinated, so protection holds for 9 days typical", ""]
-_DOCS = ", tx AS (SELECT doc_id, CASE CAST(doc_id % 6 AS INTEGER) " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PHRASES)) + " END || ' ' || text AS t FROM documents)"
+PHRASES = [
+    "3 infected contacts, day 4, I am worried",
+    "5 out of 10 people; household members are fine",
+    "REASONING: a long enough account of it ADJUSTMENT: 1.7 PROBABILITY: 12% CONFIDENCE: HIGH",
+    "avoid contact, wash hands, wear a mask to prevent spread 20% of 3 cases.",
+    "vaccinated, so protection holds for 9 days typical CONFIDENCE: LOW",
+    "",
+    "Cases rose in March 2020 sharply. The rate is 18.3% today. Wash hands. It fell by 40 since May 2021! Circuit Breaker began on April 7, 2020. Phase 2 ended?",
+]
+_DOCS = f", tx AS (SELECT doc_id, CASE CAST(doc_id % {len(PHRASES)} AS INTEGER) " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PHRASES)) + " END || ' ' || text AS t FROM documents)"
 
 
 def said(s, d):
-    pick = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.col("doc_id") % 6 + 1).cast("int"))
+    pick = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.col("doc_id") % len(PHRASES) + 1).cast("int"))
     return read(s, d, "documents").select("doc_id", F.concat(pick, F.lit(" "), F.col("text")).alias("t"))
 
 
@@ -226,10 +244,10 @@ def h1_reasoning_text(s, d):
 
 
 @query(_DOCS + r""", n AS (SELECT doc_id, t, TRY_CAST(nullif(regexp_extract(t, 'ADJUSTMENT:[ \t]*([0-9.]+)', 1), '') AS DOUBLE) AS a, TRY_CAST(nullif(regexp_extract(t, 'PROBABILITY:[ \t]*([0-9.]+)', 1), '') AS DOUBLE) AS p FROM tx)
-SELECT doc_id, coalesce(CASE WHEN a IS NOT NULL THEN greatest(0.6, least(1.5, a)) END, 1.0)::DOUBLE AS adjustment, round(coalesce(CASE WHEN p IS NOT NULL THEN greatest(0.001, least(0.8, CASE WHEN regexp_matches(t, 'PROBABILITY:[ \t]*[0-9.]+%') THEN p / 100 ELSE p END)) END, 0.05 * coalesce(CASE WHEN a IS NOT NULL THEN greatest(0.6, least(1.5, a)) END, 1.0)), 6)::DOUBLE AS probability FROM n""")
+SELECT doc_id, coalesce(CASE WHEN a IS NOT NULL THEN greatest(0.6, least(1.5, a)) END, 1.0)::DOUBLE AS adjustment, round(coalesce(CASE WHEN p IS NOT NULL THEN greatest(0.001, least(0.8, CASE WHEN regexp_matches(t, 'PROBABILITY:[ \t]*[0-9.]+%') THEN p / 100 ELSE p END)) END, 0.05 * coalesce(CASE WHEN a IS NOT NULL THEN greatest(0.6, least(1.5, a)) END, 1.0)), 6)::DOUBLE AS probability, CASE regexp_extract(t, 'CONFIDENCE:\s*(\S+)', 1) WHEN 'LOW' THEN 0.6 WHEN 'HIGH' THEN 0.95 ELSE 0.8 END::DOUBLE AS confidence FROM n""")
 def h10_parse_response(s, d):
     t = F.col("t")
-    return said(s, d).select("doc_id", F.coalesce(T.parse_adjustment(t), F.lit(1.0)).alias("adjustment"), F.round(T.parse_probability(t, 0.05), 6).alias("probability"))
+    return said(s, d).select("doc_id", F.coalesce(T.parse_adjustment(t), F.lit(1.0)).alias("adjustment"), F.round(T.parse_probability(t, 0.05), 6).alias("probability"), T.parse_confidence(t).alias("confidence"))
 
 
 @query(_DOCS + f", k AS (SELECT doc_id, {_SUM(T.GUIDELINE)} AS g, {_SUM(T.BOILERPLATE)} AS b FROM tx) SELECT doc_id, g >= 3 AND b = 0 AS guideline FROM k")
@@ -242,7 +260,14 @@ def h15_categorize(s, d):
     return said(s, d).select("doc_id", T.categorize(F.col("t")).alias("category"))
 
 
-@query()
+_CLEAN = "t"
+for _leak in T.LEAKS:
+    _CLEAN = f"regexp_replace({_CLEAN}, '[^.!?]*{_leak}[^.!?]*[.!?]', '', 'gi')"
+_CLEAN = f"regexp_replace({_CLEAN}, '{T.TEMPORAL}', '', 'g')"
+_CLEAN = rf"regexp_replace(regexp_replace(regexp_replace({_CLEAN}, '\n\s*\n\s*\n+', chr(10) || chr(10), 'g'), '  +', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query(_DOCS + f" SELECT doc_id, {_CLEAN} AS clean FROM tx")
 def h14_remove_leakage(s, d):
     return said(s, d).select("doc_id", T.remove_leakage(F.col("t")).alias("clean"))
 
@@ -252,13 +277,22 @@ def h12_extract_sections(s, d):
     return T.extract_sections(read(s, d, "pages"))
 
 
+def sections(s, d):
+    """Sections of the pages, with a phrase that makes some of them guidelines."""
+    sec = T.extract_sections(read(s, d, "pages"))
+    advice = "You should wash hands, wear a mask and avoid contact to reduce the risk of spread. Of 300 cases 20% rose by 5. "
+    return sec.withColumn("content", F.when(F.pmod("page_id", F.lit(2)) == 0, F.concat(F.lit(advice), "content")).otherwise(F.col("content")))
+
+
 @query()
 def h16_filter_sections(s, d):
-    sec = T.extract_sections(read(s, d, "pages")).withColumn("clean", T.remove_leakage(F.col("content")))
-    return sec.where(F.length("clean") >= 50).select("page_id", "section", T.is_guideline(F.col("content")).alias("guideline"), T.categorize(F.concat_ws(" ", "heading", "clean")).alias("category"), "clean")
+    kept = T.filter_sections(sections(s, d))
+    known = kept.where("category = 'prevention'").withColumn("content", F.lit("known"))
+    return T.insert_if_absent(known, kept)
 
 
-@query(_DOCS + r""", low AS (SELECT doc_id, lower(t) AS t FROM tx) SELECT doc_id, 'year' AS issue FROM low WHERE regexp_matches(t, '\b(19|20)\d{2}\b') UNION ALL SELECT doc_id, 'percent' FROM low WHERE contains(t, '%') UNION ALL SELECT doc_id, 'event' FROM low WHERE regexp_matches(t, 'circuit breaker|dormitory outbreak|heightened alert')""")
+@query(_DOCS + "".join(f" {'UNION ALL ' if i else ''}SELECT doc_id, 'year {y}' AS issue FROM tx WHERE contains(t, '{y}')" for i, y in enumerate(T.AUDIT_YEARS)) + "".join(f" UNION ALL SELECT doc_id, 'event {e}' FROM tx WHERE contains(lower(t), '{e}')" for e in T.AUDIT_EVENTS)
+    + f" UNION ALL SELECT doc_id, 'date' FROM tx WHERE regexp_matches(t, '({'|'.join(T.AUDIT_MONTHS)}) ({'|'.join(T.AUDIT_YEARS)})')")
 def h17_audit_leakage(s, d):
     return T.audit_leakage(said(s, d), "doc_id", "t")
 

@@ -13,12 +13,11 @@ from popgraph.operators import panel as P
 from popgraph.operators import retrieval as V
 from popgraph.operators import risk as R
 from popgraph.operators import text as T
-from popgraph.queries.base import ORACLE_SQL, agents, edges, neighbors, query, read, states
-from popgraph.queries.entities import _NBS, _OCC, _P15, U, _day, cat, said
+from popgraph.queries.base import ORACLE_SQL, U, agents, edges, query, read, states
+from popgraph.queries.entities import _JOB, _NBS, contacts, said
 from popgraph.queries.panels import _NEXT, _RATE, panel
-from popgraph.queries.quality import _E, _EM, _FC, _T5, emb, forecasts, labels, regions
+from popgraph.queries.quality import _ALIKE, _E, _EM, _FC, _T5, alike, emb, forecasts, labels, regions
 
-_JOB = f"CASE WHEN age < 5 THEN 'preschool' WHEN age < 18 THEN 'student' WHEN age < 25 THEN {cat(_OCC, *E.YOUNG)} WHEN age < 65 THEN {cat(_OCC, E.OCCUPATIONS, E.OCCUPATION_WEIGHTS)} ELSE 'retired' END"
 _AG = f""", ag AS (SELECT * REPLACE ({_JOB} AS occupation), agent_id % 7 / 10.0::DOUBLE AS mobility_score, agent_id % 9 / 10.0::DOUBLE AS risk_awareness, agent_id % 60 AS days_since_start, agent_id % 5 AS disease_status,
   agent_id % 13 = 0 AS quarantined, agent_id % 19 = 0 AS isolated FROM agents)"""
 _DG = _AG + ", dg AS (SELECT a.*, count(nb.other_id) AS degree FROM ag a LEFT JOIN nb ON nb.agent_id = a.agent_id GROUP BY ALL)"
@@ -67,9 +66,9 @@ def b14_raw_features(s, d):
     return X.raw_features(profiles(s, d))
 
 
-@query(_NBS + _AG + " SELECT a.agent_id, " + _vec(_D("age", 100), _hot("occupation", X.PANEL_JOBS), "0.1", _flag("is_imported"), _flag("quarantined"), _flag("cluster LIKE '%dorm%'"), _hot("vaccination_status", [0, 1, 2]), _D("comorbidity_count", 5), "mobility_score", "compliance_score::DOUBLE", "risk_awareness", "least(days_in_state / 20.0::DOUBLE, 1.0)", "coalesce(infected / greatest(contacts, 1)::DOUBLE, 0.0)", _flag("isolated")) + " AS features FROM ag a JOIN p15 USING (agent_id) LEFT JOIN nbs ON nbs.agent_id = a.agent_id")
+@query(_NBS + _AG + " SELECT a.agent_id, p.day, " + _vec(_D("age", 100), _hot("occupation", X.PANEL_JOBS), "0.1", _flag("is_imported"), _flag("quarantined"), _flag("cluster LIKE '%dorm%'"), _hot("vaccination_status", [0, 1, 2]), _D("comorbidity_count", 5), "mobility_score", "compliance_score::DOUBLE", "risk_awareness", "least(days_in_state / 20.0::DOUBLE, 1.0)", "coalesce(infected / greatest(contacts, 1)::DOUBLE, 0.0)", _flag("isolated")) + " AS features FROM ag a JOIN panel p ON p.agent_id = a.agent_id LEFT JOIN nbs ON nbs.agent_id = a.agent_id AND nbs.day = p.day")
 def b16_panel_features(s, d):
-    return X.panel_features(profiles(s, d), _day(s, d), R.neighbor_states(neighbors(s, d), _day(s, d), agents(s, d)))
+    return X.panel_features(profiles(s, d), panel(s, d), contacts(s, d))
 
 
 _WORKS = "('healthcare_worker', 'office_worker', 'retail_worker', 'teacher')"
@@ -122,10 +121,10 @@ def d15_quarantine_factor(s, d):
     return X.quarantine_factor(profiles(s, d), "cluster_id")
 
 
-@query(_P15 + """ SELECT a.cluster_id, round(coalesce(avg((CASE WHEN age < 20 THEN 0.01 WHEN age < 50 THEN 0.25 WHEN age < 70 THEN 2.5 ELSE 35.0 END)::DOUBLE * (CASE WHEN comorbidity_count >= 2 THEN 1.8 WHEN comorbidity_count = 1 THEN 1.3 ELSE 1.0 END)::DOUBLE
- * (CASE WHEN vaccination_status >= 2 THEN 0.1 WHEN vaccination_status = 1 THEN 0.3 ELSE 1.0 END)::DOUBLE) FILTER (state = 'I'), 1.0), 6) AS factor FROM agents a JOIN p15 USING (agent_id) GROUP BY a.cluster_id""")
+@query("""SELECT a.cluster_id, day, round(coalesce(avg((CASE WHEN age < 20 THEN 0.01 WHEN age < 50 THEN 0.25 WHEN age < 70 THEN 2.5 ELSE 35.0 END)::DOUBLE * (CASE WHEN comorbidity_count >= 2 THEN 1.8 WHEN comorbidity_count = 1 THEN 1.3 ELSE 1.0 END)::DOUBLE
+ * (CASE WHEN vaccination_status >= 2 THEN 0.1 WHEN vaccination_status = 1 THEN 0.3 ELSE 1.0 END)::DOUBLE) FILTER (state = 'I'), 1.0), 6) AS factor FROM agents a JOIN panel p ON p.agent_id = a.agent_id GROUP BY a.cluster_id, day""")
 def d16_death_factor(s, d):
-    return X.death_factor(agents(s, d), _day(s, d), "cluster_id")
+    return X.death_factor(agents(s, d), panel(s, d), "cluster_id")
 
 
 @query(_EM + " SELECT label, round(avg(x), 6) AS block_mean, round(stddev_pop(x), 6) AS block_std FROM lv GROUP BY label")
@@ -164,8 +163,7 @@ def d33_scenario_cohorts(s, d):
 
 @query("SELECT source AS category, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM documents GROUP BY source")
 def d34_category_counts(s, d):
-    c = read(s, d, "documents").groupBy(F.col("source").alias("category")).agg(F.count(F.lit(1)).alias("n"))
-    return c.crossJoin(F.broadcast(c.agg(F.sum("n").alias("_t")))).select("category", "n", F.round(F.col("n") / F.col("_t"), 6).alias("share"))
+    return X.category_counts(read(s, d, "documents"), "source")
 
 
 @query(_EM + " SELECT pos, round(var_pop(x), 9) AS variance, row_number() OVER (ORDER BY round(var_pop(x), 9) DESC, pos) AS rank FROM lv GROUP BY pos QUALIFY rank <= 10")
@@ -178,10 +176,9 @@ def f4_feature_examples(s, d):
     return M.feature_examples(emb(s, d), "vec_id", "embedding").withColumn("x", F.round("x", 6))
 
 
-@query(_EM + ", pr AS (SELECT a.label AS g, a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 9) AS cosine FROM em a JOIN em b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT * FROM pr ORDER BY cosine DESC, a, b LIMIT 10")
+@query(_ALIKE + " SELECT a, b, round(c, 9) AS cosine FROM sp WHERE c > 0.9 ORDER BY round(c, 9) DESC, a, b LIMIT 10")
 def f5_top_pairs(s, d):
-    p = V.similar_pairs(emb(s, d), "label", -2.0).select("g", "a", "b", F.round("cosine", 9).alias("cosine"))
-    return p.orderBy(F.desc("cosine"), "a", "b").limit(10)
+    return V.similar_pairs(alike(s, d), 0.9, k=10).withColumn("cosine", F.round("cosine", 9))
 
 
 @query(_AG + ", tp AS (SELECT occupation FROM ag GROUP BY occupation ORDER BY count(*) DESC, occupation LIMIT 4) SELECT agent_id, CASE WHEN occupation IN (SELECT occupation FROM tp) THEN occupation ELSE 'other' END AS occupation FROM ag")
@@ -190,12 +187,10 @@ def f6_keep_top_labels(s, d):
 
 
 @query(", " + ", ".join(f"{q}_q AS ({ORACLE_SQL[n]})" for q, n in (("h2", "h2_contact_count"), ("h3", "h3_household_infections"), ("h4", "h4_days_mention"), ("h5", "h5_risk_perception")))
-    + " SELECT doc_id, [round(least(contacts / 20.0::DOUBLE, 1.0), 6), round(least(infected / 5.0::DOUBLE, 1.0), 6), round(least(days / 14.0::DOUBLE, 1.0), 6), round(risk::DOUBLE, 6), round(least(tools / 6.0::DOUBLE, 1.0), 6)] AS features FROM h2_q JOIN h3_q USING (doc_id) JOIN h4_q USING (doc_id) JOIN h5_q USING (doc_id)")
+    + " SELECT doc_id, [round(doc_id % 90 / 100.0::DOUBLE, 6), round(doc_id % 10 / 10.0::DOUBLE, 6), round(least(contacts / 20.0::DOUBLE, 1.0), 6), round(least(infected / 5.0::DOUBLE, 1.0), 6), round(least(days / 14.0::DOUBLE, 1.0), 6), round(risk::DOUBLE, 6), round(least(tools / 6.0::DOUBLE, 1.0), 6), round(doc_id % 7 / 10.0::DOUBLE, 6)] AS features FROM h2_q JOIN h3_q USING (doc_id) JOIN h4_q USING (doc_id) JOIN h5_q USING (doc_id)")
 def h7_continuous_features(s, d):
-    t = F.col("t")
-    part = lambda c, n: F.least(c / float(n), F.lit(1.0))
-    f = F.array(part(T.contact_count(t), 20), part(T.household_infections(t), 5), part(T.days_mention(t), 14), T.risk_perception(t), part(T.hits(F.lower(t), T.TOOLS), 6))
-    return said(s, d).select("doc_id", F.transform(f, lambda x: F.round(x, 6)).alias("features"))
+    k = F.col("doc_id")
+    return said(s, d).select("doc_id", T.continuous_features(F.col("t"), k % 90, k % 10 / 10.0, k % 7 / 10.0).alias("features"))
 
 
 @query("SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), -1) AS k, 'none' AS note FROM events")
@@ -204,20 +199,20 @@ def h11_extract_json(s, d):
     return read(s, d, "events").select("event_id", *X.extract_json(t, "k long, note string", {"k": -1, "note": "none"}))
 
 
-@query(_P15 + """ SELECT agent_id, round(least((CASE WHEN age < 20 THEN 0.00002 WHEN age < 50 THEN 0.0005 WHEN age < 70 THEN 0.005 ELSE 0.07 END)::DOUBLE * (CASE WHEN days_in_state < 7 THEN 0.1 WHEN days_in_state < 14 THEN 0.3 ELSE 0.05 END)::DOUBLE
- * (1 + 0.8::DOUBLE * comorbidity_count) * (CASE vaccination_status WHEN 2 THEN 0.1 WHEN 1 THEN 0.3 ELSE 1.0 END)::DOUBLE, 0.2), 9) AS probability FROM agents JOIN p15 USING (agent_id)""")
+@query("""SELECT agent_id, day, round(least((CASE WHEN age < 20 THEN 0.00002 WHEN age < 50 THEN 0.0005 WHEN age < 70 THEN 0.005 ELSE 0.07 END)::DOUBLE * (CASE WHEN days_in_state < 7 THEN 0.1 WHEN days_in_state < 14 THEN 0.3 ELSE 0.05 END)::DOUBLE
+ * (1 + 0.8::DOUBLE * comorbidity_count) * (CASE vaccination_status WHEN 2 THEN 0.1 WHEN 1 THEN 0.3 ELSE 1.0 END)::DOUBLE, 0.2), 9) AS probability FROM agents JOIN panel USING (agent_id)""")
 def h22_death_probability(s, d):
-    j = agents(s, d).join(_day(s, d), "agent_id")
-    return j.select("agent_id", F.round(X.death_probability(F.col("age"), F.col("days_in_state"), F.col("comorbidity_count"), F.col("vaccination_status")), 9).alias("probability"))
+    j = agents(s, d).join(panel(s, d), "agent_id")
+    return j.select("agent_id", "day", F.round(X.death_probability(F.col("age"), F.col("days_in_state"), F.col("comorbidity_count"), F.col("vaccination_status")), 9).alias("probability"))
 
 
-@query(_P15 + """, q AS (SELECT agent_id, state, 1 - pow(1 - least(0.005::DOUBLE * m, 0.4), 0.1) AS die, least(0.15::DOUBLE * m, 0.9) AS recover, least(greatest(0.05::DOUBLE * m, 0.001), 0.8) AS change FROM (SELECT *, 1 + agent_id % 5 AS m FROM p15))
-SELECT agent_id, CASE WHEN state = 'I' THEN round(die, 6) ELSE 0.0 END AS die, CASE WHEN state = 'I' THEN round(recover, 6) ELSE 0.0 END AS recover, CASE WHEN state = 'I' THEN round(greatest(1 - die - recover, 0.0), 6) ELSE 0.0 END AS stay,
+@query(""", q AS (SELECT agent_id, day, state, 1 - pow(1 - least(0.005::DOUBLE * m, 0.4), 0.1) AS die, least(0.15::DOUBLE * m, 0.9) AS recover, least(greatest(0.05::DOUBLE * m, 0.001), 0.8) AS change FROM (SELECT *, 1 + agent_id % 5 AS m FROM panel))
+SELECT agent_id, day, CASE WHEN state = 'I' THEN round(die, 6) ELSE 0.0 END AS die, CASE WHEN state = 'I' THEN round(recover, 6) ELSE 0.0 END AS recover, CASE WHEN state = 'I' THEN round(greatest(1 - die - recover, 0.0), 6) ELSE 0.0 END AS stay,
  CASE WHEN state <> 'I' THEN round(change, 6) END AS change FROM q""")
 def h25_individual_probabilities(s, d):
     m = 1 + F.col("agent_id") % 5
     p = X.individual_probabilities(F.col("state"), F.lit(0.005), F.lit(0.15), F.lit(0.05), m)
-    return _day(s, d).select("agent_id", *[F.round(c, 6).alias(n) for n, c in p.items()])
+    return panel(s, d).select("agent_id", "day", *[F.round(c, 6).alias(n) for n, c in p.items()])
 
 
 _PF = ", pc AS (SELECT user_id, event_type, count(*) AS c FROM events GROUP BY ALL), pf AS (SELECT user_id, event_type, c / sum(c) OVER (PARTITION BY user_id) AS share FROM pc)"
@@ -251,7 +246,18 @@ def i27_motif_coherence(s, d):
     return coherence(s, d)
 
 
-@query(_PF + " SELECT x.event_type AS a, y.event_type AS b, count(*) AS entities FROM pf x JOIN pf y ON x.user_id = y.user_id AND x.event_type < y.event_type GROUP BY 1, 2")
+@query(_PF + " SELECT event_type, round(sum(share), 6) AS frequency, row_number() OVER (ORDER BY round(sum(share), 6) DESC, event_type) AS rank FROM pf GROUP BY event_type QUALIFY rank <= 15")
+def i32_motif_frequency(s, d):
+    return M.motif_frequency(patterns(s, d), "event_type")
+
+
+@query(_PF + ", n AS (SELECT user_id % 10 AS cluster_id, count(DISTINCT user_id) AS n FROM pf GROUP BY 1), c AS (SELECT user_id % 10 AS cluster_id, event_type, sum(share) AS s FROM pf GROUP BY ALL) SELECT cluster_id, event_type, round(s / n, 6) AS share, row_number() OVER (PARTITION BY cluster_id ORDER BY round(s / n, 6) DESC, event_type) AS rank FROM c JOIN n USING (cluster_id) QUALIFY rank <= 3")
+def i32_top_motifs(s, d):
+    p = patterns(s, d)
+    return M.top_motifs(p, p.select("user_id", (F.col("user_id") % 10).alias("cluster_id")).distinct(), "user_id", "event_type")
+
+
+@query(_PF + " SELECT x.event_type AS a, y.event_type AS b, count(*) AS entities FROM pf x JOIN pf y ON x.user_id = y.user_id AND x.event_type < y.event_type WHERE x.share > 0.1 AND y.share > 0.1 GROUP BY 1, 2")
 def i32_motif_cooccurrence(s, d):
     return M.motif_cooccurrence(patterns(s, d), "user_id", "event_type")
 
@@ -300,6 +306,14 @@ def i30_quality_score(s, d):
     return M.quality_score(K.modularity(edges(s, d), regions(s, d)), coherence(s, d), K.silhouette(emb(s, d), *_E))
 
 
+@query(", q1 AS (" + ORACLE_SQL["i21_modularity"] + "), q2 AS (" + ORACLE_SQL["i27_motif_coherence"] + "), q3 AS (" + ORACLE_SQL["i23_silhouette"] + "), q4 AS (" + ORACLE_SQL["i24_ch_index"] + "), q5 AS (" + ORACLE_SQL["i24_db_index"] + "), q6 AS (" + ORACLE_SQL["i26_cluster_balance"] + """),
+z AS (SELECT (SELECT modularity FROM q1) AS m, (SELECT avg(coherence) FROM q2) AS c, (SELECT avg(silhouette_sq) FROM q3) AS s, greatest(0.0, 1 - (SELECT davies_bouldin FROM q5) / 3) AS b, q6.entropy / ln(q6.clusters) AS e, least(1.0, (SELECT calinski_harabasz FROM q4) / 1000) AS h FROM q6)
+SELECT round(s, 5) AS silhouette, round(b, 5) AS davies_bouldin, round(m, 5) AS modularity, round(e, 5) AS balance, round(c, 5) AS coherence, round(h, 5) AS calinski_harabasz, round((s + b + m + c) / 4, 5) AS overall FROM z""")
+def i30_dashboard(s, d):
+    e = emb(s, d)
+    return M.dashboard(K.modularity(edges(s, d), regions(s, d)), coherence(s, d), K.silhouette(e, *_E), K.ch_index(e, *_E), K.db_index(e, *_E), K.cluster_balance(regions(s, d)))
+
+
 @query()
 def i34_shared_pca(s, d):
     return M.shared_pca(emb(s, d), "vec_id", "embedding")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from popgraph.operators import network as N
-from popgraph.queries.base import agents, edges, neighbors, query, read, states
+from popgraph.queries.base import U, agents, edges, neighbors, query, read, states
 
 
 @query("SELECT agent_1, agent_2, edge_type, contact_rate FROM hh")
@@ -15,40 +15,57 @@ def c1_household_edges(s, d):
 
 def cases(s, d):
     o = read(s, d, "orders")
-    link = F.concat(F.lit("linked to case "), (F.col("o_orderkey") - F.col("o_custkey") % 50).cast("string"), F.when(F.col("o_orderkey") % 3 == 0, ", family").otherwise(" at work with 12"))
+    link = F.concat(F.lit("linked to case "), (F.col("o_orderkey") - F.col("o_custkey") % 50).cast("string"), F.when(F.col("o_orderkey") % 3 == 0, ", family").when(F.col("o_orderkey") % 3 == 1, " at work with 12").otherwise(", seen near S12 and 9b, colleague"))
     return o.select(F.col("o_orderkey").alias("case"), F.col("o_orderdate").cast("date").alias("date"), link.alias("link"))
 
 
-@query(""", cs AS (SELECT o_orderkey AS "case", 'linked to case ' || (o_orderkey - o_custkey % 50) || CASE WHEN o_orderkey % 3 = 0 THEN ', family' ELSE ' at work with 12' END AS link FROM orders),
-m AS (SELECT "case", link, pos, TRY_CAST(n AS BIGINT) AS o FROM (SELECT "case", link, unnest(regexp_extract_all(link, '\\d+')) AS n, unnest(range(len(regexp_extract_all(link, '\\d+')))) AS pos FROM cs)),
-t AS (SELECT least("case", o) AS agent_1, greatest("case", o) AS agent_2, CASE WHEN link LIKE '%family%' THEN 'household' ELSE 'work' END AS edge_type, "case", pos FROM m WHERE o IN (SELECT "case" FROM cs) AND o <> "case")
-SELECT agent_1, agent_2, edge_type, CASE WHEN edge_type = 'household' THEN 0.95 ELSE 0.70 END::DOUBLE AS contact_rate FROM t QUALIFY row_number() OVER (PARTITION BY agent_1, agent_2 ORDER BY "case", pos) = 1""")
+@query(""", cs AS (SELECT o_orderkey AS "case", 'linked to case ' || (o_orderkey - o_custkey % 50) || CASE o_orderkey % 3 WHEN 0 THEN ', family' WHEN 1 THEN ' at work with 12' ELSE ', seen near S12 and 9b, colleague' END AS link FROM orders),
+m AS (SELECT "case", link, pos, TRY_CAST(n AS BIGINT) AS o FROM (SELECT "case", link, unnest(regexp_extract_all(link, '\\b\\d+\\b')) AS n, unnest(range(len(regexp_extract_all(link, '\\b\\d+\\b')))) AS pos FROM cs)),
+t AS (SELECT least("case", o) AS agent_1, greatest("case", o) AS agent_2, CASE WHEN link LIKE '%family%' THEN 'household' WHEN link LIKE '%work%' THEN 'work' ELSE 'contact' END AS edge_type, "case", pos FROM m WHERE o IN (SELECT "case" FROM cs) AND o <> "case")
+SELECT agent_1, agent_2, edge_type, CASE edge_type WHEN 'household' THEN 0.95 WHEN 'work' THEN 0.70 ELSE 0.60 END::DOUBLE AS contact_rate FROM t QUALIFY row_number() OVER (PARTITION BY agent_1, agent_2 ORDER BY "case", pos) = 1""")
 def c2_link_edges(s, d):
     return N.link_edges(cases(s, d))
 
 
-@query("SELECT * FROM wk WHERE NOT EXISTS (SELECT 1 FROM hh WHERE hh.agent_1 = wk.agent_1 AND hh.agent_2 = wk.agent_2)")
+def _peers(g, rate, kind):
+    """Drawn peers of the groups of table ``g`` (agent_id, key, r, n)."""
+    u = lambda salt: U.format(f"{kind}-{salt}", "x.agent_id")
+    return f"""SELECT DISTINCT least(x.agent_id, y.agent_id) AS agent_1, greatest(x.agent_id, y.agent_id) AS agent_2, '{kind}' AS edge_type, {rate}::DOUBLE AS contact_rate
+FROM {g} x JOIN (VALUES (0), (1), (2), (3)) o(k) ON x.n > 1 AND o.k < least(floor({u('n')} * 3) + 2, x.n - 1)
+JOIN {g} y ON y.key = x.key AND y.r = CAST(x.r + (floor({u('first')} * (x.n - 1)) + o.k * greatest((x.n - 1) // 4, 1)) % (x.n - 1) + 1 AS BIGINT) % x.n"""
+
+
+_RANKED = "row_number() OVER (PARTITION BY {0} ORDER BY agent_id) - 1 AS r, count(*) OVER (PARTITION BY {0}) AS n"
+
+
+@query(f""", g AS (SELECT agent_id, key, {_RANKED.format('key')} FROM (SELECT agent_id, CASE WHEN agent_id % 3 = 0 THEN -1 - region ELSE agent_id // 12 END AS key FROM agents)), many AS (SELECT * FROM g WHERE n > 20), few AS (SELECT * FROM g WHERE n <= 20),
+c3 AS (SELECT x.agent_id AS agent_1, y.agent_id AS agent_2, 'cluster' AS edge_type, 0.60::DOUBLE AS contact_rate FROM few x JOIN few y ON x.key = y.key AND x.agent_id < y.agent_id WHERE {U.format('cluster', "(x.agent_id || '-' || y.agent_id)")} < 0.4 UNION ALL {_peers('many', 0.50, 'cluster')})
+SELECT * FROM c3 WHERE NOT EXISTS (SELECT 1 FROM hh WHERE hh.agent_1 = c3.agent_1 AND hh.agent_2 = c3.agent_2)""")
 def c3_group_edges(s, d):
-    a = agents(s, d)
-    return N.without(N.ring_edges(a, ["region", "occupation"], [1, 3], "work", 0.70), N.household_edges(a))
+    a = agents(s, d).withColumn("group", F.when(F.col("agent_id") % 3 == 0, -1 - F.col("region")).otherwise(F.floor(F.col("agent_id") / 12)))
+    return N.without(N.group_edges(a, ["group"]), N.household_edges(a))
 
 
-@query(""", g AS (SELECT agent_id, age, row_number() OVER (PARTITION BY region, age // 6 ORDER BY agent_id) - 1 AS r, count(*) OVER (PARTITION BY region, age // 6) AS n, region, age // 6 AS grade FROM agents WHERE age BETWEEN 6 AND 17)
-SELECT DISTINCT least(x.agent_id, y.agent_id) AS agent_1, greatest(x.agent_id, y.agent_id) AS agent_2, 'school' AS edge_type, 0.65::DOUBLE AS contact_rate
-FROM g x, (VALUES (1), (2)) o(k), g y WHERE x.region = y.region AND x.grade = y.grade AND y.r = (x.r + o.k) % x.n AND x.agent_id <> y.agent_id""")
+_SCHOOL = f"sg AS (SELECT agent_id, key, {_RANKED.format('key')} FROM (SELECT agent_id, region * 10 + age // 6 AS key FROM agents WHERE age BETWEEN 6 AND 17))"
+
+
+def school(s, d):
+    a = agents(s, d).where("age between 6 and 17").withColumn("grade", F.col("region") * 10 + F.floor(F.col("age") / 6))
+    return N.network_edges(a, ["grade"], "school", 0.65)
+
+
+@query(f", {_SCHOOL} {_peers('sg', 0.65, 'school')}")
 def c4_school_edges(s, d):
-    a = agents(s, d).where("age between 6 and 17").withColumn("grade", F.floor(F.col("age") / 6))
-    return N.ring_edges(a, ["region", "grade"], [1, 2], "school", 0.65)
+    return school(s, d)
 
 
-@query(""", few AS (SELECT agent_1, agent_2 FROM hh WHERE agent_1 % 4 <> 0), dg AS (SELECT a.agent_id, count(x.agent_id) AS degree FROM agents a LEFT JOIN (SELECT agent_1 AS agent_id FROM few UNION ALL SELECT agent_2 FROM few) x ON a.agent_id = x.agent_id GROUP BY a.agent_id),
+@query(f", {_SCHOOL}, few AS ({_peers('sg', 0.65, 'school')})" + """, dg AS (SELECT a.agent_id, count(x.agent_id) AS degree FROM agents a LEFT JOIN (SELECT agent_1 AS agent_id FROM few UNION ALL SELECT agent_2 FROM few) x ON a.agent_id = x.agent_id GROUP BY a.agent_id),
 lone AS (SELECT agent_id, row_number() OVER (ORDER BY agent_id) - 1 AS r FROM dg WHERE degree = 0),
-pool AS (SELECT agent_id AS other, row_number() OVER (ORDER BY degree, agent_id) - 1 AS c, count(*) OVER () AS m FROM (SELECT * FROM dg WHERE degree > 0 ORDER BY degree, agent_id LIMIT 256)),
+pool AS (SELECT agent_id AS other, row_number() OVER (ORDER BY degree, agent_id) - 1 AS c, count(*) OVER () AS m FROM dg WHERE degree > 0),
 pick AS (SELECT agent_id, (2 * r + k) % (SELECT max(m) FROM pool) AS c FROM lone, (VALUES (0), (1)) o(k))
-SELECT DISTINCT least(agent_id, other) AS agent_1, greatest(agent_id, other) AS agent_2, 'community' AS edge_type, 0.40::DOUBLE AS contact_rate FROM pick JOIN pool USING (c) WHERE agent_id <> other""")
+SELECT DISTINCT least(agent_id, other) AS agent_1, greatest(agent_id, other) AS agent_2, 'community' AS edge_type, 0.40::DOUBLE AS contact_rate FROM pick JOIN pool USING (c)""")
 def c5_repair_isolated(s, d):
-    a = agents(s, d)
-    return N.repair_isolated(a, N.household_edges(a).where("agent_1 % 4 <> 0"))
+    return N.repair_isolated(agents(s, d), school(s, d))
 
 
 @query("SELECT agent_1, agent_2, edge_type, contact_rate FROM edges")
@@ -95,7 +112,7 @@ def d4_degree_stats(s, d):
     return N.degree_stats(agents(s, d), edges(s, d))
 
 
-@query("""SELECT edge_type, count(*) AS edges, round(100.0 * count(*) / (SELECT count(*) FROM edges), 6) AS percent, round(avg(contact_rate), 6) AS mean_rate, min(contact_rate) AS low, max(contact_rate) AS high,
+@query("""SELECT edge_type, count(*) AS edges, round(100.0 * count(*) / (SELECT count(*) FROM edges), 6) AS percent, round(avg(contact_rate), 6) AS mean_rate, min(contact_rate) AS low, quantile_cont(contact_rate, 0.5) AS median, max(contact_rate) AS high, CASE WHEN edge_type = 'household' THEN min(contact_rate) >= 0.7 END AS rates_hold,
 edge_type IN ('household', 'contact', 'cluster', 'work', 'school', 'community') AS expected FROM edges GROUP BY edge_type""")
 def d5_edge_report(s, d):
     return N.edge_report(edges(s, d))
@@ -117,10 +134,11 @@ def d9_graph_stats(s, d):
     return N.graph_stats(agents(s, d), edges(s, d))
 
 
-@query("SELECT a.agent_id, h.c AS component FROM agents a JOIN (SELECT household_id, min(agent_id) AS c FROM agents GROUP BY household_id) h USING (household_id)")
+@query(""", cc(agent_id, component) USING KEY (agent_id) AS (SELECT agent_id, agent_id FROM agents UNION SELECT n.agent_id, min(c.component) AS component FROM cc c JOIN nb n ON n.other_id = c.agent_id
+JOIN recurring.cc o ON o.agent_id = n.agent_id GROUP BY n.agent_id, o.component HAVING min(c.component) < o.component) SELECT agent_id, component FROM cc""")
 def d10_connected_components(s, d):
     a = agents(s, d)
-    return N.connected_components(a, N.household_edges(a))
+    return N.connected_components(a, edges(s, d))
 
 
 @query("SELECT agent_1, agent_2, edge_type, contact_rate FROM hh UNION ALL SELECT agent_1, agent_2, edge_type, contact_rate FROM wk")

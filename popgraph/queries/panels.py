@@ -93,7 +93,7 @@ def e7_temporal_features(s, d):
     return P.lookback(P.state_counts(panel(s, d), ["cluster_id", "day"]), ["cluster_id"])
 
 
-@query(_CH + """ SELECT cluster_id, day, round(greatest(0.0, least(1.0, coalesce(((I - b) / greatest(b, 1) + 1) / 2, 0.5))), 6) AS trend FROM (SELECT *, lag(I, 3) OVER (PARTITION BY cluster_id ORDER BY day) AS b FROM ch)""")
+@query(_CH + """ SELECT cluster_id, day, round(CASE WHEN b IS NULL THEN 0.5 ELSE greatest(-0.5, least(0.5, (E + I - b) / (S + E + I + R + D))) + 0.5 END, 6) AS trend FROM (SELECT *, lag(E + I, 3) OVER (PARTITION BY cluster_id ORDER BY day) AS b FROM ch)""")
 def e8_trend(s, d):
     return P.trend(P.state_counts(panel(s, d), ["cluster_id", "day"]), ["cluster_id"])
 
@@ -115,6 +115,17 @@ def e11_recent_states(s, d):
     return P.recent_states(states(s, d))
 
 
+@query(""", nc AS (SELECT n.agent_id, p.day, count(*) FILTER (p.state IN ('E', 'I')) AS i FROM nb n JOIN panel p ON p.agent_id = n.other_id GROUP BY ALL), w AS (SELECT agent_id, day, days_in_state, list(state) OVER (PARTITION BY agent_id ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS q FROM panel),
+f AS (SELECT w.agent_id, w.day, days_in_state, coalesce(i, 0) AS i, list_concat(list_transform(range(7 - len(q)), lambda k: q[1]), q) AS q FROM w LEFT JOIN nc ON nc.agent_id = w.agent_id AND nc.day = w.day)
+SELECT agent_id, day, [[CASE WHEN x = 'S' THEN 1.0 ELSE 0.0 END::DOUBLE, CASE WHEN x = 'E' THEN 1.0 ELSE 0.0 END::DOUBLE, CASE WHEN x = 'I' THEN 1.0 ELSE 0.0 END::DOUBLE, CASE WHEN x = 'R' THEN 1.0 ELSE 0.0 END::DOUBLE, CASE WHEN x = 'D' THEN 1.0 ELSE 0.0 END::DOUBLE,
+ CASE WHEN k = 7 THEN round(least(days_in_state / 20.0::DOUBLE, 1.0), 6) ELSE 0.0 END::DOUBLE, CASE WHEN k = 7 THEN round(least(i / 5.0::DOUBLE, 1.0), 6) ELSE 0.0 END::DOUBLE] FOR x, k IN q] AS history FROM f""")
+def e11_state_matrix(s, d):
+    from popgraph.operators.risk import neighbor_states
+    from popgraph.queries.base import agents, neighbors
+
+    return P.state_history_matrix(panel(s, d), neighbor_states(neighbors(s, d), panel(s, d), agents(s, d)))
+
+
 @query("SELECT CAST(count(*) AS BIGINT) AS out_of_order FROM (SELECT o_orderdate AS v, lag(o_orderdate) OVER (ORDER BY o_orderkey, o_orderdate) AS b FROM orders) WHERE v < b")
 def e12_out_of_order(s, d):
     return P.count_out_of_order(read(s, d, "orders"), "o_orderkey", "o_orderdate")
@@ -126,22 +137,23 @@ def e13_systematic_sample(s, d):
     return P.systematic_sample(read(s, d, "conversations"), "conv_id", ["turn", "text"], 3).select("conv_id", "turn")
 
 
+@query(""", r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+SELECT user_id, event_id FROM r WHERE n <= 8 OR list_contains([CAST(floor(i * (n / 8)) AS BIGINT) FOR i IN range(8)], r)""")
+def e13_even_sample(s, d):
+    return P.systematic_sample(read(s, d, "events"), "user_id", ["ts", "event_id"], 8, even=True).select("user_id", "event_id")
+
+
 @query(""", r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS r, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) AS l FROM conversations)
 SELECT conv_id, turn, role, l = 1 AS is_last FROM r WHERE r <= 3 OR l = 1""")
 def e14_head_and_last(s, d):
-    from pyspark.sql import Window as W
-
-    c = read(s, d, "conversations")
-    w = W.partitionBy("conv_id")
-    r = c.withColumn("r", F.row_number().over(w.orderBy("turn", "text"))).withColumn("l", F.row_number().over(w.orderBy(F.desc("turn"), F.desc("text"))))
-    return r.where("r <= 3 or l = 1").select("conv_id", "turn", "role", (F.col("l") == 1).alias("is_last"))
+    return P.head_and_last(read(s, d, "conversations"), "conv_id", ["turn", "text"]).select("conv_id", "turn", "role", "is_last")
 
 
-@query(""", r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) AS l FROM conversations) SELECT conv_id, string_agg(substr(text, 1, 40), ' | ' ORDER BY l) AS context FROM r WHERE l <= 5 GROUP BY conv_id""")
+@query(""", r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) AS l FROM conversations) SELECT conv_id, string_agg(text, ' | ' ORDER BY l) AS context FROM r WHERE l <= 5 GROUP BY conv_id""")
 def e15_recent_context(s, d):
     from popgraph.operators.retrieval import recent_context
 
-    return recent_context(read(s, d, "conversations").withColumn("text", F.substring("text", 1, 40)), "conv_id", ["turn", "text"], "text", 5)
+    return recent_context(read(s, d, "conversations"), "conv_id", ["turn", "text"], "text", 5)
 
 
 @query(""", it AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from popgraph.operators import clusters as K
 from popgraph.operators import evaluation as V
 from popgraph.operators import panel as P
+from popgraph.operators import reports as O
 from popgraph.operators import retrieval as R
 from popgraph.queries.base import agents, edges, query, read
 from popgraph.queries.panels import _NEXT, _RATE, panel
@@ -21,9 +22,20 @@ def emb(s, d):
 _E = ("label", "embedding", "vec_id")
 
 
-@query(_EM + ", pr AS (SELECT a.label AS g, a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.v, b.v) AS c FROM em a JOIN em b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT g, a, b, round(c, 6) AS cosine FROM pr WHERE c > 0.5")
+#: The embeddings and, of every third, one that is alike: the table itself holds no near pair.
+_ALIKE = _EM + ", ak AS (SELECT vec_id, label, v FROM em UNION ALL SELECT vec_id + 1000000, label, [x * (1 + 0.3 * CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END)::DOUBLE FOR x, i IN v] FROM em WHERE vec_id % 3 = 0), sp AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.v, b.v) AS c, a.label = b.label AS same_label, a.vec_id % 7 = b.vec_id % 7 AS same_home FROM ak a JOIN ak b ON a.vec_id < b.vec_id)"
+
+
+def alike(s, d):
+    e = emb(s, d).select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    near = F.transform("embedding", lambda x, i: x * F.when(i % 2 == 0, 1.3).otherwise(0.7))
+    more = e.where("vec_id % 3 = 0").select((F.col("vec_id") + 1000000).alias("vec_id"), "label", near.alias("embedding"))
+    return e.unionByName(more).withColumn("home", F.col("vec_id") % 7)
+
+
+@query(_ALIKE + " SELECT a, b, round(c, 6) AS cosine, same_label, same_home FROM sp WHERE c > 0.9")
 def c13_similar_pairs(s, d):
-    return R.similar_pairs(emb(s, d), "label", 0.5).select("g", "a", "b", F.round("cosine", 6).alias("cosine"))
+    return R.similar_pairs(alike(s, d), 0.9, flags=("label", "home")).withColumn("cosine", F.round("cosine", 6))
 
 
 @query(""", tk AS (SELECT doc_id, unnest([x FOR x IN regexp_split_to_array(lower(text), '[^a-z]+') IF length(x) > 3]) AS term FROM documents), qt AS (SELECT DISTINCT item_id AS query, unnest([x FOR x IN regexp_split_to_array(lower(text), '[^a-z]+') IF length(x) > 3]) AS term FROM benchmark),
@@ -33,11 +45,30 @@ def c14_top_k_documents(s, d):
     return R.top_k_documents(read(s, d, "benchmark"), read(s, d, "documents"), 3, "item_id", "doc_id")
 
 
-@query(""", m AS (SELECT user_id AS agent_id, event_id AS node_id, round(pow(0.995::DOUBLE, floor(date_diff('second', ts, TIMESTAMP '2024-02-01')) / 3600) + value / 10, 6) AS score FROM (SELECT *, date_trunc('second', ts) AS ts FROM (SELECT event_id, user_id, value, ts FROM events)))
+_WORDS = "unnest([x FOR x IN regexp_split_to_array(lower({}), '[^a-z]+') IF length(x) > 3])"
+_ASKED = f"""concat_ws(' ', 'assess risk', CASE agent_id % 4 {' '.join(f"WHEN {i} THEN '{R.CONTEXT[c]}'" for i, c in enumerate('SEIR'))} END, CASE WHEN age >= 60 THEN '{R.CONTEXT_ELDERLY}' END, replace(occupation, '_', ' '))"""
+
+
+@query(f""", dx AS (SELECT doc_id, text || ' ' || CASE doc_id % 3 WHEN 0 THEN 'prevention of transmission' WHEN 1 THEN 'symptoms and recovery of elderly' ELSE 'quarantine household' END AS t FROM documents), tk AS (SELECT doc_id, {_WORDS.format('t')} AS term FROM dx), qt AS (SELECT DISTINCT query, {_WORDS.format('q')} AS term FROM (SELECT agent_id AS query, {_ASKED} AS q FROM agents)),
+dt AS (SELECT doc_id AS doc, term, count(*) AS tf FROM tk WHERE term IN (SELECT term FROM qt) GROUP BY ALL), idf AS (SELECT term, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) AS idf FROM dt GROUP BY term),
+sc AS (SELECT query, doc, round(sum((1 + ln(tf)) * idf), 6) AS score FROM qt JOIN dt USING (term) JOIN idf USING (term) GROUP BY ALL) SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM sc QUALIFY rank <= 2""")
+def c14_context_documents(s, d):
+    state = F.element_at(F.array(*[F.lit(c) for c in "SEIR"]), (F.col("agent_id") % 4 + 1).cast("int"))
+    asked = agents(s, d).select("agent_id", R.context_query(F.col("age"), F.col("occupation"), state, F.lit("assess_risk")).alias("text"))
+    more = F.when(F.col("doc_id") % 3 == 0, "prevention of transmission").when(F.col("doc_id") % 3 == 1, "symptoms and recovery of elderly").otherwise("quarantine household")
+    docs = read(s, d, "documents").select("doc_id", F.concat("text", F.lit(" "), more).alias("text"))
+    return R.context_documents(asked, docs, 2, "agent_id", "doc_id")
+
+
+@query(_EM + """, ev AS (SELECT user_id AS agent_id, event_id AS node_id, value, date_trunc('second', ts) AS ts, m.v AS mv, q.v AS qv FROM (SELECT *, event_id % 300 AS mi, user_id % 300 AS qi FROM events) LEFT JOIN em m ON m.vec_id = mi LEFT JOIN em q ON q.vec_id = qi),
+m AS (SELECT agent_id, node_id, round(pow(0.995::DOUBLE, floor(date_diff('second', ts, TIMESTAMP '2024-02-01')) / 3600) + value / 10 + coalesce(list_cosine_similarity(mv, qv), 0), 6) AS score FROM ev)
 SELECT agent_id, node_id, score, row_number() OVER (PARTITION BY agent_id ORDER BY score DESC, node_id) AS rank FROM m QUALIFY rank <= 5""")
 def c15_retrieve_memories(s, d):
-    e = read(s, d, "events").select(F.col("user_id").alias("agent_id"), F.col("event_id").alias("node_id"), F.col("ts").alias("timestamp"), F.col("value").alias("importance"), F.lit(0.0).alias("relevance"))
-    return R.retrieve_memories(e, F.lit("2024-02-01").cast("timestamp"), 5).select("agent_id", "node_id", "score", "rank")
+    e = read(s, d, "events").select(F.col("user_id").alias("agent_id"), F.col("event_id").alias("node_id"), F.col("ts").alias("timestamp"), F.col("value").alias("importance"))
+    vectors = emb(s, d).select(F.col("vec_id").alias("_i"), F.col("embedding").cast("array<double>").alias("_v"))
+    e = e.join(vectors.withColumnRenamed("_v", "embedding"), F.col("node_id") % 300 == F.col("_i"), "left").drop("_i")
+    e = e.join(vectors.withColumnRenamed("_v", "asked"), F.col("agent_id") % 300 == F.col("_i"), "left").drop("_i")
+    return R.retrieve_memories(e, F.lit("2024-02-01").cast("timestamp"), 5, F.col("asked")).select("agent_id", "node_id", "score", "rank")
 
 
 @query("SELECT DISTINCT event_type, length(event_type) AS value FROM events")
@@ -47,57 +78,71 @@ def c18_incremental_map(s, d):
     return R.incremental_map(e, cache, "event_type", F.length("event_type"))
 
 
-@query("""SELECT count(*) AS rows, count(DISTINCT agent_id) AS distinct_ids, min(agent_id) = 0 AND max(agent_id) = count(*) - 1 AS dense, count(*) FILTER (age IS NULL) AS missing_age, round(100 * avg((vaccination_status > 0)::INTEGER), 6) AS vaccinated FROM agents""")
+_PROFILE = "(SELECT *, agent_id % 6 AS disease_status, agent_id % 60 AS days_since_start FROM agents)"
+
+
+@query(f""", p AS (SELECT * FROM {_PROFILE}), a AS (SELECT count(*) AS n, count(DISTINCT agent_id) AS ids, min(agent_id) AS low, max(agent_id) AS high, count(*) FILTER (disease_status NOT BETWEEN 0 AND 4) AS bad, count(*) FILTER (disease_status IN (1, 2)) AS seed, avg((vaccination_status > 0)::INTEGER) AS v FROM p)
+SELECT 'missing_fields' AS "check", 4.0::DOUBLE AS value, false AS passed UNION ALL SELECT 'duplicate_ids', n - ids, n = ids FROM a UNION ALL SELECT 'dense_ids', high, low = 0 AND high = n - 1 FROM a UNION ALL SELECT 'invalid_states', bad, bad = 0 FROM a
+UNION ALL SELECT 'infected_seed', seed, seed > 0 FROM a UNION ALL SELECT 'adequate_seed', seed, seed >= 5 FROM a UNION ALL SELECT 'vaccinated_share', round(v, 6), NULL FROM a
+UNION ALL SELECT 'days_out_of_order', count(*), NULL FROM (SELECT days_since_start AS v, lag(days_since_start) OVER (ORDER BY agent_id) AS b FROM p) WHERE v < b""")
 def d6_validate_profiles(s, d):
-    a = agents(s, d)
-    n = F.count(F.lit(1))
-    return a.agg(n.alias("rows"), F.countDistinct("agent_id").alias("distinct_ids"), ((F.min("agent_id") == 0) & (F.max("agent_id") == n - 1)).alias("dense"), F.count_if(F.col("age").isNull()).alias("missing_age"), F.round(100 * F.avg((F.col("vaccination_status") > 0).cast("int")), 6).alias("vaccinated"))
+    k = F.col("agent_id")
+    return O.validate_profiles(agents(s, d).withColumns({"disease_status": k % 6, "days_since_start": k % 60}))
 
 
 @query("SELECT coalesce(occupation, '*') AS occupation, coalesce(gender, '*') AS gender, count(*) AS n, round(avg(age), 6) AS mean_age, round(avg(comorbidity_count), 6) AS comorbidity FROM agents GROUP BY GROUPING SETS ((occupation), (gender), ())")
 def d8_summary_report(s, d):
-    g = agents(s, d).groupingSets([["occupation"], ["gender"], []], "occupation", "gender")
-    r = g.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("age"), 6).alias("mean_age"), F.round(F.avg("comorbidity_count"), 6).alias("comorbidity"))
-    return r.na.fill("*", ["occupation", "gender"])
+    return O.summary_report(agents(s, d), ["occupation", "gender"])
+
+
+_DIMS = ["gender", "region", "occupation", "cluster", "vaccination_status", "comorbidity_count"]
 
 
-_CT = """CASE WHEN dorm > 0.3 THEN 'dormitory' WHEN imp > 0.5 THEN 'imported' WHEN home > 0.5 THEN 'household' WHEN job > 0.5 THEN 'workplace' ELSE 'community' END"""
+@query(", r AS (" + " UNION ALL ".join(f"SELECT '{c}' AS dimension, CAST({c} AS VARCHAR) AS value, count(*) AS n FROM agents GROUP BY {c}" for c in _DIMS) + "), t AS (SELECT *, sum(n) OVER (PARTITION BY dimension) AS t FROM r) SELECT dimension, value, n, round(100 * n / t, 6) AS percent, row_number() OVER (PARTITION BY dimension ORDER BY n DESC, value) AS rank FROM t WHERE value IS NOT NULL AND lower(value) NOT IN ('', 'nan', 'none') QUALIFY rank <= 5")
+def d8_top_values(s, d):
+    return O.top_values(agents(s, d), _DIMS)
 
 
-@query(f""", b AS (SELECT region AS cluster_id, avg((cluster = 'dormitory')::INTEGER) AS dorm, avg(is_imported::INTEGER) AS imp, count(*) AS n FROM agents GROUP BY region), h AS (SELECT region AS cluster_id, max(c) AS h FROM (SELECT region, household_id, count(*) AS c FROM agents GROUP BY ALL) GROUP BY region),
-o AS (SELECT region AS cluster_id, max(c) AS o FROM (SELECT region, occupation, count(*) AS c FROM agents GROUP BY ALL) GROUP BY region) SELECT cluster_id, {_CT} AS cluster_type FROM (SELECT *, h / n AS home, o / n AS job FROM b JOIN h USING (cluster_id) JOIN o USING (cluster_id))""")
+@query(", r AS (SELECT 'age' AS field, age::DOUBLE AS x FROM agents UNION ALL SELECT 'compliance_score', compliance_score FROM agents UNION ALL SELECT 'comorbidity_count', comorbidity_count FROM agents UNION ALL SELECT 'household_size', count(*) FROM agents GROUP BY household_id) SELECT field, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(min(x), 6) AS low, round(max(x), 6) AS high FROM r GROUP BY field")
+def d8_score_report(s, d):
+    return O.score_report(agents(s, d), ["age", "compliance_score", "comorbidity_count"])
+
+
+_CT = """, tb AS (SELECT {0} AS c, avg((cluster LIKE '%dorm%')::INTEGER) AS dorm, avg((occupation = 'manual_worker')::INTEGER) AS manual, avg(is_imported::INTEGER) AS imp, count(*) AS n FROM {1} GROUP BY 1), th AS (SELECT c, max(k) AS h FROM (SELECT {0} AS c, household_id, count(*) AS k FROM {1} GROUP BY ALL) GROUP BY c),
+tj AS (SELECT c, max(k) AS o FROM (SELECT {0} AS c, occupation, count(*) AS k FROM {1} GROUP BY ALL) GROUP BY c), ctype AS (SELECT c, CASE WHEN dorm > 0.3 OR manual > 0.5 THEN 'dormitory' WHEN imp > 0.5 THEN 'imported' WHEN h > n * 0.7 THEN 'household' WHEN o > n * 0.6 THEN 'workplace' ELSE 'community' END AS cluster_type FROM tb JOIN th USING (c) JOIN tj USING (c))"""
+
+
+@query(", ac AS (SELECT * REPLACE (CASE WHEN agent_id % 10 = 3 THEN 'manual_worker' WHEN agent_id % 10 = 4 THEN 'baker' ELSE occupation END AS occupation, agent_id % 10 = 5 OR is_imported AS is_imported, CASE WHEN agent_id % 10 = 6 THEN 1 ELSE household_id END AS household_id) FROM agents)" + _CT.format("cluster_id", "ac") + " SELECT c AS cluster_id, cluster_type FROM ctype")
 def d11_cluster_type(s, d):
-    a = agents(s, d).withColumn("cluster_id", F.col("region"))
-    b = a.groupBy("cluster_id").agg(F.avg((F.col("cluster") == "dormitory").cast("int")).alias("dorm"), F.avg(F.col("is_imported").cast("int")).alias("imp"), F.count(F.lit(1)).alias("n"))
-    most = lambda c, name: a.groupBy("cluster_id", c).count().groupBy("cluster_id").agg(F.max("count").alias(name))
-    j = b.join(most("household_id", "h"), "cluster_id").join(most("occupation", "o"), "cluster_id").withColumns({"home": F.col("h") / F.col("n"), "job": F.col("o") / F.col("n")})
-    return j.select("cluster_id", F.expr(_CT).alias("cluster_type"))
+    ten = lambda k: F.col("agent_id") % 10 == k
+    a = agents(s, d).withColumns({
+        "occupation": F.when(ten(3), "manual_worker").when(ten(4), "baker").otherwise(F.col("occupation")), "is_imported": ten(5) | F.col("is_imported"), "household_id": F.when(ten(6), 1).otherwise(F.col("household_id")),
+    })
+    return O.cluster_type(a, "cluster_id")
 
 
-@query(""", p AS (SELECT cluster_id, day, count(*) AS n, count(*) FILTER (state = 'I') AS i, count(*) FILTER (state = 'E') AS e, count(*) FILTER (state = 'R') AS r FROM panel GROUP BY ALL)
-SELECT cluster_id, day, array_to_string(list_filter([CASE WHEN i / n > 0.3 THEN 'outbreak' END, CASE WHEN i / n > 0.1 AND i / n <= 0.3 THEN 'elevated' END, CASE WHEN e > i THEN 'exposure_wave' END, CASE WHEN r > i THEN 'recovery' END], lambda x: x IS NOT NULL), ',') AS flags FROM p""")
+@query(", ac AS (SELECT *, agent_id % 13 = 0 AS quarantined FROM agents)" + _CT.format("cluster_id", "ac") + """, g AS (SELECT a.cluster_id, p.day, count(*) AS n, count(*) FILTER (state = 'S') AS S, count(*) FILTER (state = 'E') AS E, count(*) FILTER (state = 'I') AS I, count(*) FILTER (state = 'R') AS R, count(*) FILTER (state = 'D') AS D,
+ round(avg(age) FILTER (state = 'D'), 6) AS mean_age_dead, count(*) FILTER (state = 'I' AND age >= 70) AS elderly_infected, count(*) FILTER (vaccination_status = 2) AS fully_vaccinated, count(*) FILTER (vaccination_status = 1) AS partly_vaccinated, count(*) FILTER (vaccination_status = 0) AS unvaccinated, count(*) FILTER (quarantined) AS quarantined, count(*) FILTER (is_imported) AS imported FROM ac a JOIN panel p ON p.agent_id = a.agent_id GROUP BY ALL)
+SELECT g.* EXCLUDE (n), cluster_type, array_to_string(list_filter([CASE WHEN cluster_type = 'dormitory' AND I / n > 0.15 THEN 'dormitory_outbreak' END, CASE WHEN I / n > 0.3 THEN 'outbreak' WHEN I / n > 0.15 THEN 'elevated' END, CASE WHEN E / n > 0.2 THEN 'exposure_wave' END, CASE WHEN I > 0 AND R > I THEN 'recovery' END, CASE WHEN D > 0 THEN 'deaths' END], lambda x: x IS NOT NULL), ',') AS flags FROM g JOIN ctype ON c = cluster_id""")
 def d13_monitor_clusters(s, d):
-    c = P.state_counts(panel(s, d), ["cluster_id", "day"])
-    n = F.col("S") + F.col("E") + F.col("I") + F.col("R") + F.col("D")
-    share = F.col("I") / n
-    f = F.array(F.when(share > 0.3, "outbreak"), F.when((share > 0.1) & (share <= 0.3), "elevated"), F.when(F.col("E") > F.col("I"), "exposure_wave"), F.when(F.col("R") > F.col("I"), "recovery"))
-    return c.select("cluster_id", "day", F.array_join(f, ",").alias("flags"))
+    return O.monitor_clusters(agents(s, d).withColumn("quarantined", F.col("agent_id") % 13 == 0), panel(s, d), "cluster_id")
 
 
 @query("SELECT conv_id AS entity, count(*) AS turns, count(DISTINCT role) AS roles, string_agg(role, '>' ORDER BY turn, text) AS path FROM conversations GROUP BY conv_id")
 def d21_aggregate_traces(s, d):
-    c = read(s, d, "conversations")
-    path = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text", "role"))), lambda x: x["role"])
-    return c.groupBy(F.col("conv_id").alias("entity")).agg(F.count(F.lit(1)).alias("turns"), F.countDistinct("role").alias("roles"), F.array_join(path, ">").alias("path"))
+    return O.aggregate_traces(read(s, d, "conversations").withColumnRenamed("conv_id", "entity"), "entity", ["turn", "text"], "role")
 
 
-@query(""", c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, sum(n)::BIGINT AS calls, count(*) AS tools, round(-sum(n / t * ln(n / t)), 6) AS diversity FROM (SELECT *, sum(n) OVER (PARTITION BY user_id) AS t FROM c) GROUP BY user_id""")
-def d22_tool_usage(s, d):
-    from pyspark.sql import Window as W
+_TOOL = "CASE event_type WHEN 'view' THEN 'check_infected_contacts' WHEN 'click' THEN 'query_knowledge' WHEN 'error' THEN 'check_symptoms' WHEN 'purchase' THEN 'query_contacts' ELSE 'check_days_infected' END"
+
 
-    c = read(s, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n")).withColumn("t", F.sum("n").over(W.partitionBy("user_id")))
-    p = F.col("n") / F.col("t")
-    return c.groupBy("user_id").agg(F.sum("n").alias("calls"), F.count(F.lit(1)).alias("tools"), F.round(-F.sum(p * F.log(p)), 6).alias("diversity"))
+@query(f""", e AS (SELECT user_id, {_TOOL} AS tool, CAST(ts AS DATE) AS day FROM events), c AS (SELECT user_id, tool, count(*) AS n FROM e GROUP BY ALL), d AS (SELECT user_id, count(DISTINCT day) AS decisions FROM e GROUP BY user_id)
+SELECT user_id, sum(n)::BIGINT AS calls, count(*) AS tools, round(-sum(n / t * ln(n / t + 1e-10)), 3) AS diversity, """ + ", ".join(f"round(coalesce(sum(n) FILTER (tool IN {tuple(names)}), 0) / any_value(t), 3) AS {name}_ratio" for name, names in O.TOOL_GROUPS.items()) + """, any_value(decisions) AS decisions, round(sum(n) / any_value(decisions), 2) AS per_decision, string_agg(tool || '=' || n, ',' ORDER BY tool) AS breakdown
+FROM (SELECT *, sum(n) OVER (PARTITION BY user_id) AS t FROM c) JOIN d USING (user_id) GROUP BY user_id""")
+def d22_tool_usage(s, d):
+    u = O.tool_usage(read(s, d, "events").select("user_id", F.expr(_TOOL).alias("tool"), F.to_date("ts").alias("day")), "user_id", "tool", "day")
+    told = F.transform(F.array_sort(F.map_entries("breakdown")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return u.withColumn("breakdown", F.array_join(told, ","))
 
 
 _T5 = [f"{a}_{b}".lower() for a, b in P.TRANSITIONS]
@@ -113,9 +158,10 @@ def d23_label_stats(s, d):
     return V.label_stats(labels(s, d), _T5)
 
 
-@query(_LB + ", f AS (SELECT transition, 1 / (avg((x <> 0)::INTEGER) + 1e-6) AS i FROM ul GROUP BY transition) SELECT transition, round(i * 5 / (SELECT sum(i) FROM f), 6) AS weight FROM f")
+@query(_LB + ", f AS (SELECT transition, avg(x) AS m FROM ul GROUP BY transition), g AS (SELECT 'inverse_freq' AS method, transition, 1 / (m + 1e-8) AS i FROM f UNION ALL SELECT 'balanced', transition, (SELECT max(m) FROM f) / (m + 1e-8) FROM f) SELECT method, transition, round(i * 5 / sum(i) OVER (PARTITION BY method), 6) AS weight FROM g")
 def d24_class_weights(s, d):
-    return V.class_weights(labels(s, d), _T5)
+    of = lambda m: V.class_weights(labels(s, d), _T5, m).select(F.lit(m).alias("method"), "transition", "weight")
+    return of("inverse_freq").unionByName(of("balanced"))
 
 
 @query(_LB + " SELECT transition AS field, count(*) FILTER (x IS NULL) AS nulls, count(*) FILTER (isnan(x)) AS nans, count(*) FILTER (isinf(x)) AS infs, count(*) FILTER (x NOT BETWEEN 0 AND 0.5) AS out_of_range FROM ul GROUP BY transition")
@@ -136,7 +182,7 @@ def d27_split(s, d):
     return agents(s, d).select("agent_id", (uniform(F.col("agent_id"), "split") < 0.8).alias("train"))
 
 
-@query(", h AS (SELECT avg(n) AS hs FROM (SELECT count(*) AS n FROM agents GROUP BY household_id)), w AS (SELECT 2 * count(*) / (SELECT count(*) FROM agents) AS k FROM edges WHERE edge_type <> 'household') SELECT round((hs - 1) * (1 - exp(-0.15::DOUBLE)) + 0.03::DOUBLE * k * 10, 6) AS r0 FROM h, w")
+@query(", h AS (SELECT avg(n) AS hs FROM (SELECT count(*) AS n FROM agents GROUP BY household_id)), w AS (SELECT 2 * count(*) / (SELECT count(*) FROM agents) AS k FROM edges WHERE edge_type <> 'household') SELECT round((hs - 1) * (1 - exp(-0.18::DOUBLE)) + 0.035::DOUBLE * k * 10, 6) AS r0 FROM h, w")
 def d29_r0(s, d):
     a = agents(s, d)
     h = a.groupBy("household_id").count().agg(F.avg("count").alias("hs"))
@@ -144,6 +190,11 @@ def d29_r0(s, d):
     return h.crossJoin(k).select(F.round(V.r0_from_network(F.col("hs"), F.col("e") / F.col("n")), 6).alias("r0"))
 
 
+@query("SELECT day, round(2.5::DOUBLE * S / (S + E + I + R + D), 6) AS r_eff FROM hist")
+def d29_r_eff(s, d):
+    return V.r_eff(P.state_counts(panel(s, d), ["day"]))
+
+
 @query("SELECT count(*) AS sources, round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS std, max(n) AS most FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey)")
 def d30_secondary_infections(s, d):
     return V.secondary_infections(read(s, d, "orders"), "o_custkey")
@@ -151,13 +202,12 @@ def d30_secondary_infections(s, d):
 
 @query("SELECT count(DISTINCT text) AS distinct_texts, count(text) AS total, round(count(DISTINCT text) / count(text), 6) AS diversity, count(DISTINCT text) / count(text) < 0.5 AS warning FROM documents")
 def d31_text_diversity(s, d):
-    r = read(s, d, "documents").agg(F.countDistinct("text").alias("distinct_texts"), F.count("text").alias("total"))
-    return r.select("*", F.round(F.col("distinct_texts") / F.col("total"), 6).alias("diversity"), (F.col("distinct_texts") / F.col("total") < 0.5).alias("warning"))
+    return O.text_diversity(read(s, d, "documents"), "text")
 
 
-@query("SELECT count(DISTINCT conv_id) AS entities, count(*) AS conversations, count(*) FILTER (role = 'assistant') AS responses FROM conversations")
+@query("SELECT count(DISTINCT conv_id % 7) AS scenarios, (SELECT count(*) FROM (SELECT DISTINCT conv_id % 7, turn FROM conversations)) AS entities, count(DISTINCT turn) AS distinct_entities, count(*) AS conversations FROM conversations")
 def d35_trace_totals(s, d):
-    return read(s, d, "conversations").agg(F.countDistinct("conv_id").alias("entities"), F.count(F.lit(1)).alias("conversations"), F.count_if(F.col("role") == "assistant").alias("responses"))
+    return O.trace_totals(read(s, d, "conversations").withColumn("scenario", F.col("conv_id") % 7), "scenario", "turn")
 
 
 @query(_EM + ", nm AS (SELECT vec_id, sqrt(list_dot_product(v, v)) AS n FROM em), u AS (SELECT pos, sum(x / n) AS s FROM lv JOIN nm USING (vec_id) GROUP BY pos) SELECT (SELECT count(*) FROM em) AS n, (SELECT round(avg(n), 6) FROM nm) AS mean_norm, (SELECT round(stddev_pop(n), 6) FROM nm) AS std_norm, round((sum(s * s) - (SELECT count(*) FROM em)) / ((SELECT count(*) FROM em) * ((SELECT count(*) FROM em) - 1)), 6) AS mean_cosine FROM u")
@@ -192,12 +242,12 @@ def i9_cluster_profiles(s, d):
 
 @query()
 def i10_coarse_cluster(s, d):
-    return K.coarse_cluster(emb(s, d), "embedding", "vec_id", 10)
+    return K.with_balance(K.coarse_cluster(emb(s, d), "embedding", "vec_id", 10))
 
 
 @query()
 def i16_fine_cluster(s, d):
-    return K.coarse_cluster(emb(s, d), "embedding", "vec_id", 8, bisecting=True)
+    return K.fine_cluster(emb(s, d), "embedding", "vec_id", 8)
 
 
 @query(_EM + ", j AS (SELECT label, vec_id, round(list_cosine_similarity(v, c), 9) AS s FROM em JOIN ca USING (label)) SELECT label, vec_id AS anchor FROM j QUALIFY row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) = 1")
@@ -233,6 +283,11 @@ def i24_ch_index(s, d):
     return K.ch_index(emb(s, d), *_E)
 
 
+@query(_EM + ", sc AS (SELECT label, avg(list_distance(v, c)) AS s FROM em JOIN ca USING (label) GROUP BY label), rr AS (SELECT x.label, max((x.s + y.s) / list_distance(cx.c, cy.c)) AS r FROM sc x JOIN sc y ON x.label <> y.label JOIN ca cx ON cx.label = x.label JOIN ca cy ON cy.label = y.label GROUP BY x.label) SELECT round(avg(r), 6) AS davies_bouldin FROM rr")
+def i24_db_index(s, d):
+    return K.db_index(emb(s, d), *_E)
+
+
 @query(_EM + " SELECT x.label AS a, y.label AS b, round(list_distance(x.c, y.c), 6) AS distance FROM ca x JOIN ca y ON x.label < y.label")
 def i25_centroid_distances(s, d):
     return K.centroid_distances(emb(s, d), *_E)
@@ -253,11 +308,16 @@ def i29_ari(s, d):
     return K.ari(agents(s, d), "region", "occupation")
 
 
-@query(_LAB + " SELECT least(c1, c2) AS a, greatest(c1, c2) AS b, count(*) AS edges FROM e2 GROUP BY 1, 2")
+@query(_LAB + ", m AS (SELECT least(c1, c2) AS a, greatest(c1, c2) AS b, count(*) AS edges FROM e2 GROUP BY 1, 2) SELECT *, round(edges * CASE WHEN a = b THEN 2 ELSE 1 END / (SELECT max(edges * CASE WHEN a = b THEN 2 ELSE 1 END) FROM m), 6) AS density FROM m")
 def i31_cluster_edge_matrix(s, d):
     return K.cluster_edge_matrix(edges(s, d), regions(s, d))
 
 
+@query(_LAB + ", n AS (SELECT region AS c, count(*) AS n FROM agents GROUP BY region) SELECT c AS cluster_id, round(coalesce((SELECT count(*) FROM e2 WHERE c1 = c AND c2 = c) / nullif(n * (n - 1) / 2, 0), 0), 9) AS intra, round(coalesce((SELECT count(*) FROM e2 WHERE c1 <> c2 AND (c1 = c OR c2 = c)) / nullif(n * ((SELECT count(*) FROM agents) - n), 0), 0), 9) AS inter FROM n")
+def i31_edge_density(s, d):
+    return K.edge_density(edges(s, d), regions(s, d))
+
+
 @query(_EM + ", j AS (SELECT label, vec_id, round(list_distance(v, c), 9) AS s FROM em JOIN ca USING (label)) SELECT label, vec_id AS representative FROM j QUALIFY row_number() OVER (PARTITION BY label ORDER BY s, vec_id) = 1")
 def i33_representatives(s, d):
     return K.representatives(emb(s, d), *_E)
@@ -275,7 +335,7 @@ def j1_regression_metrics(s, d):
     return V.regression_metrics(forecasts(s, d), ["toxic"], "p", "quality")
 
 
-@query(_FC + " SELECT round(avg((1 + toxic) * pow(p - quality, 2)), 6) AS weighted_mse, round(avg(pow(abs(p - quality), 4)), 6) AS focal_mse FROM fc")
+@query(_FC + " SELECT round(avg((1 + toxic) * pow(p - quality, 2)), 6) AS weighted_mse, round(avg((1 + 2.0::DOUBLE * quality) * (1 + toxic) * pow(p - quality, 2)), 6) AS focal_mse FROM fc")
 def j3_weighted_losses(s, d):
     return V.weighted_losses(forecasts(s, d), 1 + F.col("toxic"), 2.0, "p", "quality")
 

@@ -102,14 +102,14 @@ def _contrast(name):
     at = C.EXPOSURE.index(C.CONTRASTED[feature]) + 1
     a, b, va, vb = _X(one, at), _X(two, at), _X(one, 4), _X(two, 4)
     how = {"delta": f"{a} - {b}", "rel": f"({a} - {b}) / (abs({a}) + abs({b}) + 1e-6)", "gate": f"({a} - {b}) * (1 + (coalesce({va}, 0) + coalesce({vb}, 0)) / 2)"}
-    return f"round(coalesce(avg({how[kind]}), 0), 6)"
+    return f"coalesce(CAST(sum(CAST(round(({how[kind]}) * 1000000) AS BIGINT)) AS BIGINT)::DOUBLE / (count({how[kind]}) * 1000000)::DOUBLE, 0.0::DOUBLE)"
 
 
 _I2 = ", i2 AS (SELECT user_id, [" + ", ".join(_contrast(n) for n in C.contrastive_names()) + "] AS profile FROM sp GROUP BY user_id)"
 
 
 def contrastive(s, d):
-    return C.contrastive_profile(traces(s, d), "user_id").withColumn("profile", F.transform("profile", lambda x: F.round(x, 6)))
+    return C.contrastive_profile(traces(s, d), "user_id")
 
 
 @query(_SC + _I2 + " SELECT user_id, profile, len([x FOR x IN profile IF x <> 0]) > 0 AS contrasted FROM i2")
