@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from popgraph.llm import bpe, exact_dedup, language, lines, mixing, neighbours, pii, simhash, substring, warc
-from popgraph.plans.stage import new_path
+from popgraph.plans.stage import new_path, passing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,7 +64,7 @@ def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path)
-    read = warc.read_warc(spark, path, payload=False)
+    read = warc.read_warc(spark, passing(spark, path), payload=False)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
