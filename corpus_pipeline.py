@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from popgraph.llm import bpe, exact_dedup, language, mixing, simhash
 from popgraph.llm.common import free, with_group
 from popgraph.llm.queries import table, vocabulary
-from popgraph.plans.stage import new_path, small_enough, stage
+from popgraph.plans.stage import new_path, passing, small_enough, stage
 
 #: Dropped rows whose ids are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
@@ -127,5 +127,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, step in STAGES:
         path = new_path(spark, f"pipeline-{name}")
         step(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = spark.read.parquet(passing(spark, path))
     return docs
