@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from popgraph.functions.draws import uniform
 from popgraph.operators import entities as E
 from popgraph.operators import risk as R
-from popgraph.operators.samples import stringency
 from popgraph.operators import text as T
+from popgraph.operators.samples import stringency
+from popgraph.plans.stage import stage
 from popgraph.queries.base import U, agents, neighbors, query, read
 from popgraph.queries.networks import cases
 from popgraph.queries.panels import panel
 
+
 def cat(u, values, weights):
     out, total = "CASE", 0.0
     for v, w in zip(values[:-1], weights[:-1], strict=True):
@@ -286,7 +288,7 @@ def sections(s, d):
 
 @query()
 def h16_filter_sections(s, d):
-    kept = T.filter_sections(sections(s, d))
+    kept = stage(T.filter_sections(sections(s, d)), "sections")
     known = kept.where("category = 'prevention'").withColumn("content", F.lit("known"))
     return T.insert_if_absent(known, kept)
 
