@@ -40,17 +40,15 @@ def _automaton() -> ahocorasick.Automaton:
     for d in "0123456789":
         a.add_word(d, ("d", 1))
         a.add_word("+" + d, ("+", 2))
-    for word in SCHEMES:
-        for form in {word, word.upper(), word.capitalize()}:
-            a.add_word(form, ("s", len(form)))
-    for word in CUES:
-        for form in {word, word.upper(), word.capitalize(), word.title()}:
-            a.add_word(form, ("c", len(form)))
+    for kind, words in (("s", SCHEMES), ("c", CUES)):
+        for word in words:
+            a.add_word(word, (kind, len(word)))
     a.make_automaton()
     return a
 
 
 _AUTOMATON: list[ahocorasick.Automaton] = []
+_FOLD = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
 def luhn(digits: str) -> bool:
@@ -83,7 +81,11 @@ def spans(text: str | None) -> list[tuple[int, int, int]]:
         _AUTOMATON.append(_automaton())
     found: list[tuple[int, int, int]] = []
     email = ip = card = phone = url = account = 0  # where each kind may begin again
-    for last, (kind, length) in _AUTOMATON[0].iter(text):
+    # anchors are searched in lower case, whose places are those of the text
+    low = text.lower()
+    if len(low) != len(text):
+        low = text.translate(_FOLD)
+    for last, (kind, length) in _AUTOMATON[0].iter(low):
         at = last - length + 1
         if kind == "d":
             if at >= card:

@@ -206,6 +206,12 @@ def test_pii(docs, empty):
         assert [x for x in pii.spans(t) if x[1] < 4] == brute_pii(t), t
 
 
+def test_pii_cues_in_any_case():
+    for said in ("iban: DE44500105175407324931", "IbAn DE44500105175407324931", "İ my iBaN: DE44500105175407324931", "uSer Id 1234567"):
+        assert [said[a:b] for a, k, b in pii.spans(said) if pii.KINDS[k] == "account"] == [said.split()[-1]]
+    assert [k for _, k, _ in pii.spans("see hTTps://x.org/a and wWw.y.org")] == [4, 4]
+
+
 def test_bpe(docs, empty):
     from tokenizers import Tokenizer
 
@@ -240,6 +246,28 @@ def test_language(spark, docs, empty):
     assert language.identify(empty, model).columns == [*empty.columns, "_lang_pred", "_score"]
 
 
+def test_language_scores_by_kernels(spark):
+    """Scores against the definition: means of set cosines with each landmark, by plain Python sets."""
+    model = language.fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), landmarks=12)
+    edges = np.cumsum([0, *language.BINS])
+    sets = lambda flags: [set(np.nonzero(flags[a:b])[0].tolist()) for a, b in zip(edges, edges[1:])]
+    marks = [sets(f) for f in np.unpackbits(model.bits, axis=1)[:, : language.WIDTH]]
+    texts = ["the quick brown fox", "der schnelle Fuchs und das Haus", "é", "a" * 500]
+    langs, scores = language.predictions(model, [*texts, None, "12 !"])
+    assert langs[4:] == ["und", "und"] and not scores[4:].any()
+    for t, lang, score in zip(texts, langs, scores):
+        own = sets(language.grams(t))
+        k = np.array([sum(len(a & b) / np.sqrt(len(a) * len(b)) for a, b in zip(own, m) if a and b) / len(own) for m in marks])
+        f = np.exp(k @ model.coef.astype(float) * language.SHARPNESS)
+        assert lang == model.languages[int(f.argmax())] and abs(score - f.max() / f.sum()) < 1e-3
+
+
+def test_language_sample_of_repeated_ids(spark):
+    rows = [(i % 5, f"text {'abc'[k]}{i} of it", "en" if k else "de") for i in range(40) for k in range(3)]
+    fits = [language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(n), per_language=7, at_most=11) for n in (1, 5)]
+    assert fits[0].languages == fits[1].languages == ["de", "en"] and (fits[0].coef == fits[1].coef).all() and (fits[0].bits == fits[1].bits).all()
+
+
 def test_warc(spark, tmp_path):
     fake = "<p>\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0\r\n</p>"
     data = [(1, "http://a b", "x"), (2, None, "x"), (3, "u", None), (4, "u", ""), (5, "u", fake), (6, "u", fake), (7, "u", "é" * 9000), (2, None, "x"), (None, "u", "x")]
