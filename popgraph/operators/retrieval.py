@@ -103,10 +103,12 @@ def tokens(text: str | Column) -> Column:
 def top_k_documents(queries: DataFrame, docs: DataFrame, n: int, query_id: str, doc_id: str, text: str = "text") -> DataFrame:
     """(query, doc, score, rank): TF-IDF overlap through an inverted index of the queries' terms.
 
-    The best documents of each single term give a score that the n-th result surely has.
+    The best documents of each single term are scored in full, which gives a score that the
+    n-th result surely has.
     Terms whose largest weights together stay below it can't bring a document in: only
-    documents with some other term are scored, so that frequent terms don't pair every
-    query with every document. Documents without a term of the query are no results.
+    documents with some other term are met, so that frequent terms don't pair every query
+    with every document, and only those are scored in full that can still reach it.
+    Documents without a term of the query are no results.
     """
     qt = stage(queries.select(F.col(query_id).alias("query"), F.explode(F.array_distinct(tokens(text))).alias("term")), "retrieval-queries")
     dt = docs.select(F.col(doc_id).alias("doc"), F.explode(tokens(text)).alias("term"))
@@ -115,13 +117,16 @@ def top_k_documents(queries: DataFrame, docs: DataFrame, n: int, query_id: str,
     idf = dt.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total)).select("term", F.log((F.col("_n") + 1) / (F.col("df") + 1)).alias("idf"))
     weighed = stage(dt.join(idf, "term").select("doc", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w")), "retrieval-weights")
     heads = stage(top_per_group(weighed, ["term"], [F.desc("w"), "doc"], n), "retrieval-heads")
-    known = qt.join(heads, "term").groupBy("query", "doc").agg(F.sum("w").alias("_s"))
+    full = lambda pairs: pairs.join(qt, "query").join(weighed, ["doc", "term"]).groupBy("query", "doc")
+    known = full(qt.join(heads, "term").select("query", "doc").distinct()).agg(F.sum("w").alias("_s"))
     floor = top_per_group(known, ["query"], [F.desc("_s"), "doc"], n).where(F.col("rank") == n).select("query", F.col("_s").alias("_floor"))
     bound = qt.join(heads.where("rank = 1").select("term", F.col("w").alias("_most")), "term").join(floor, "query", "left")
     together = F.sum("_most").over(W.partitionBy("query").orderBy("_most", "term").rowsBetween(W.unboundedPreceding, 0))
-    needed = bound.withColumn("_t", together).where(F.col("_t") >= F.coalesce("_floor", F.lit(0.0)) - 1e-5).select("query", "term")
-    met = needed.join(weighed.select("term", "doc"), "term").select("query", "doc").distinct()
-    score = met.join(qt, "query").join(weighed, ["doc", "term"]).groupBy("query", "doc").agg(F.round(F.sum("w"), 6).alias("score"))
+    bound = stage(bound.withColumn("_in", F.coalesce("_floor", F.lit(0.0)) - 1e-5).withColumn("_needed", together >= F.col("_in")), "retrieval-bounds")
+    part = bound.where("_needed").select("query", "term").join(weighed, "term").groupBy("query", "doc").agg(F.sum("w").alias("_part"))
+    rest = bound.groupBy("query").agg(F.first("_in").alias("_in"), F.sum(F.when(~F.col("_needed"), F.col("_most")).otherwise(0.0)).alias("_rest"))
+    met = part.join(rest, "query").where("_part + _rest >= _in").select("query", "doc")
+    score = full(met).agg(F.round(F.sum("w"), 6).alias("score"))
     return top_per_group(score, ["query"], [F.desc("score"), "doc"], n)
 
 
