@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from popgraph.llm.common import WORD
+from popgraph.plans.ranks import global_rank
 from popgraph.plans.stage import small_enough, stage
 
 BLOCK = 64
@@ -29,36 +30,33 @@ BROADCAST_SOURCES = 20_000
 BROADCAST_SHARDS = 200_000
 
 
-def apportion(parties: DataFrame, within: list[str], party: list, votes: str, seats: str, out: str) -> DataFrame:
+def apportion(parties: DataFrame, within: list[str], party: list[str], votes: str, seats: str, out: str, order: list | None = None) -> DataFrame:
     """``parties`` with ``out``: integer seats by highest quotients votes / (2k - 1).
 
-    ``within``: columns of one allocation; ``seats``: its column with the seats to
-    give; ``party``: order among equal quotients. Rounding at a divisor that surely
+    ``within``: columns of one allocation (none: all rows are one); ``seats``: its column
+    with the seats to give; ``party``: the key of a party; ``order``: among equal quotients
+    (the key, unless given). Keys must not be null. Rounding at a divisor that surely
     gives too few seats and at one that surely gives enough leaves about two open
-    quotients per party, and only those are ranked. Parties without votes get none.
+    quotients per party, and only those are ranked, in ranges, so that no allocation is
+    one task's work. Parties without votes get none. An empty table gives an empty result.
     """
-    all_of = W.partitionBy(*within)
     p = parties.withColumn("_v", F.coalesce(F.col(votes).cast("double"), F.lit(0.0)))
-    p = p.withColumn("_sum", F.sum("_v").over(all_of)).withColumn("_n", F.count(F.lit(1)).over(all_of))
+    keyed = lambda df, side: df.join(side, within) if within else df.crossJoin(F.broadcast(side))  # noqa: E731  one row for all
+    p = keyed(p, p.groupBy(*within).agg(F.sum("_v").alias("_sum"), F.count(F.lit(1)).alias("_n")))
     few, enough = F.col(seats) - F.col("_n") / 2 - 1, F.col(seats) + F.col("_n") / 2 + 1
     at = lambda m: F.floor(F.col("_v") * m / F.col("_sum") + 0.5)
     some = (F.col("_sum") > 0) & (F.col(seats) > 0)
     p = p.withColumn("_low", F.when(some & (few > 0), at(few)).otherwise(0).cast("long"))
     p = p.withColumn("_high", F.when(some & (F.col("_v") > 0), F.greatest(at(enough), "_low")).otherwise(F.col("_low")).cast("long"))
-    p = p.withColumn("_open", F.col(seats) - F.sum("_low").over(all_of))
-    keys = list(dict.fromkeys([*within, *party]))
-    tries = p.where("_high > _low").select(*keys, "_v", "_open", F.explode(F.sequence(F.col("_low") + 1, F.col("_high"))).alias("_k"))
-    ranked = tries.withColumn(
-        "_r", F.row_number().over(all_of.orderBy(F.desc(F.col("_v") / (2 * F.col("_k") - 1)), *party, "_k"))
-    )
-    won = ranked.where("_r <= _open").groupBy(*keys).agg(F.count(F.lit(1)).alias("_won"))
-    same = None
-    w = won.select(*[F.col(k).alias(f"_w_{k}") for k in keys], "_won")
-    for k in keys:
-        eq = p[k].eqNullSafe(w[f"_w_{k}"])
-        same = eq if same is None else same & eq
-    joined = p.join(w, same, "left").withColumn(out, F.col("_low") + F.coalesce("_won", F.lit(0)))
-    return joined.drop("_v", "_sum", "_n", "_low", "_high", "_open", "_won", *[f"_w_{k}" for k in keys])
+    p = stage(p.drop("_sum", "_n"), "mix-parties")
+    given = p.groupBy(*within).agg((F.first(seats) - F.sum("_low")).alias("_open"))
+    tries = p.where("_high > _low").withColumn("_k", F.explode(F.sequence(F.col("_low") + 1, F.col("_high"))))
+    tries = tries.withColumn("_q", F.col("_v") / (2 * F.col("_k") - 1))
+    ranked = global_rank(tries, [*within, F.desc("_q"), *(order or party), "_k"], "_at")
+    ranked = keyed(keyed(ranked, ranked.groupBy(*within).agg(F.min("_at").alias("_first"))), given)
+    won = ranked.where("_at - _first < _open").groupBy(*within, *party).agg(F.count(F.lit(1)).alias("_won"))
+    joined = p.join(won, [*within, *party], "left").withColumn(out, F.col("_low") + F.coalesce("_won", F.lit(0)))
+    return joined.drop("_v", "_low", "_high", "_won")
 
 
 def source_targets(sizes: DataFrame, share: float = SHARE, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -66,24 +64,22 @@ def source_targets(sizes: DataFrame, share: float = SHARE, weights: tuple = WEIG
 
     Sources by code point, null last, weigh ``weights`` in turn. A target is the
     weight times one common level, or ``most`` times the size where that is less; the
-    level comes from the sources in the order in which they fill up. ``source_no`` counts
-    the sources from 1.
+    level rises as sources fill up, until no more do. ``source_no`` counts the sources from 1.
     """
-    order = W.orderBy(F.col("source").isNull(), "source")
-    w = sizes.withColumn("_i", F.row_number().over(order))
-    w = w.withColumn("_w", F.element_at(F.array(*[F.lit(x) for x in weights]), (F.pmod(F.col("_i") - 1, F.lit(len(weights))) + 1).cast("int")))
+    w = global_rank(sizes.withColumn("_null", F.col("source").isNull()), ["_null", "source"], "_i").drop("_null")
+    w = w.withColumn("_w", F.element_at(F.array(*[F.lit(x) for x in weights]), (F.pmod("_i", F.lit(len(weights))) + 1).cast("int")))
     w = w.withColumn("_cap", F.col("source_size") * most).withColumn("_ratio", F.col("_cap") / F.col("_w"))
-    before = W.orderBy("_ratio", "_i").rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy()
-    w = w.withColumn("_total", F.sum("source_size").over(whole) * F.lit(share))
-    w = w.withColumn("_capped", F.coalesce(F.sum("_cap").over(before), F.lit(0)))
-    w = w.withColumn("_left", F.sum("_w").over(whole) - F.coalesce(F.sum("_w").over(before), F.lit(0)))
-    w = w.withColumn("_level", (F.col("_total") - F.col("_capped")) / F.col("_left"))
-    # the first source, in this order, that the level does not fill sets the level for all after it
-    w = w.withColumn("_set", F.min(F.when(F.col("_level") < F.col("_ratio"), F.struct("_ratio", "_i", "_level"))).over(whole))
-    level = F.col("_set")["_level"]
-    w = w.withColumn("target", F.when(level.isNull() | (F.col("_ratio") <= level), F.col("_cap").cast("double")).otherwise(F.col("_w") * level))
-    return w.withColumnRenamed("_i", "source_no").drop("_w", "_cap", "_ratio", "_total", "_capped", "_left", "_level", "_set")
+    w = stage(w.withColumn("source_no", F.col("_i") + 1).drop("_i"), "mix-weights")
+    full, filled, level = F.lit(False), -1, None
+    while True:
+        total = (F.sum("source_size") * F.lit(share) - F.coalesce(F.sum(F.when(full, F.col("_cap"))), F.lit(0))) / F.sum(F.when(~full, F.col("_w")))
+        now, level = w.agg(F.count_if(full), F.try_divide(total, F.lit(1.0))).first()  # one row
+        if now == filled or level is None:
+            break
+        filled, full = now, F.col("_ratio") <= F.lit(level)
+    own = F.col("_cap").cast("double")
+    target = own if level is None else F.when(F.col("_ratio") <= F.lit(level), own).otherwise(F.col("_w") * F.lit(level))
+    return w.withColumn("target", target).drop("_w", "_cap", "_ratio")
 
 
 def mix(
@@ -147,9 +143,10 @@ def mix(
         F.sum("_blocks").alias("_all"), F.first("source").alias("source"), F.first("source_size").alias("source_size"), F.first("target").alias("target")
     )
     votes = F.when(F.col("source_size") > 0, F.col("target") * F.col("_all") / F.col("source_size")).otherwise(0.0)
-    of_source = of_source.withColumn("_votes", votes).withColumn("_one", F.lit(0))
-    of_source = of_source.withColumn("_seats", F.floor(F.sum("_votes").over(W.partitionBy("_one")) + 0.5).cast("long"))
-    of_source = apportion(of_source, ["_one"], ["source"], "_votes", "_seats", "_quota")
+    of_source = stage(of_source.withColumn("_votes", votes), "mix-votes")
+    seats = of_source.agg(F.floor(F.coalesce(F.sum("_votes"), F.lit(0.0)) + 0.5).cast("long").alias("_seats"))
+    of_source = of_source.crossJoin(F.broadcast(seats))  # one row
+    of_source = apportion(of_source, [], ["source_no"], "_votes", "_seats", "_quota", order=["source"])
     of_source = of_source.select("source_no", F.least(F.col("_quota"), MOST * F.col("_all")).alias("_quota"))
     shards = apportion(shards.join(of_source, "source_no"), ["source_no"], ["_shard"], "_blocks", "_quota", "_take")
     start = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce("source", F.lit("")), F.col("_shard").cast("string"))), 1, 8), 16, 10)
