@@ -294,3 +294,25 @@ def test_history_is_kept_and_never_taken_for_empty(spark, shuffled, tmp_path):
     with pytest.raises(Exception):
         start().awaitTermination()
     assert all(f.read_bytes() == b"broken" for f in (tmp_path / "history").glob("day=2024-01-01/*.parquet"))
+
+
+@pytest.mark.parametrize("n", [1, 4])
+def test_top_documents_against_all_pairs(spark, n):
+    rng = np.random.default_rng(n)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(60)]
+    odds = 1 / np.arange(1, 61)
+    draw = lambda k: " ".join(rng.choice(words, k, p=odds / odds.sum()))
+    docs = [(i, draw(rng.integers(0, 60))) for i in range(120)]
+    asked = [(i, draw(rng.integers(0, 8)) if i % 4 else docs[i][1]) for i in range(30)]
+    counts = {i: Counter(t.split()) for i, t in docs}
+    df = Counter(w for c in counts.values() for w in c)
+    want = []
+    for q, t in asked:
+        score = {}
+        for i, c in counts.items():
+            hit = [w for w in set(t.split()) if w in c]
+            if hit:
+                score[i] = round(sum((1 + math.log(c[w])) * math.log(121 / (df[w] + 1)) for w in hit), 6)
+        want += [(q, i, s, r) for r, (i, s) in enumerate(sorted(score.items(), key=lambda x: (-x[1], x[0]))[:n], 1)]
+    got = retrieval.top_k_documents(spark.createDataFrame(asked, "q int, text string"), spark.createDataFrame(docs, "d int, text string"), n, "q", "d")
+    assert sorted((r["query"], r.doc, round(r.score, 5), r["rank"]) for r in got.collect()) == sorted((q, i, round(s, 5), r) for q, i, s, r in want)
