@@ -60,10 +60,11 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: Column | None = None) -> DataFrame:
-    """(doc_id, fp), a row per row of ``docs``; fp holds the 64 bits as a signed long. ``mark``, a binary, goes along."""
+    """(doc_id, fp), a row per row of ``docs``; fp holds the 64 bits as a signed long. ``mark`` goes along."""
     more = [] if mark is None else [mark.alias("mark")]
+    kinds = [f", mark {docs.select(m).schema['mark'].dataType.simpleString()}" for m in more]
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
-    return source.mapInArrow(_fingerprints, "doc_id long, fp long" + ", mark binary" * len(more))
+    return source.mapInArrow(_fingerprints, "doc_id long, fp long" + "".join(kinds))
 
 
 def _code() -> tuple[np.ndarray, np.ndarray]:
