@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from popgraph.llm.common import slices
 
 #: Words that a Python worker remembers; then it starts afresh.
-REMEMBER = 400_000
+REMEMBER = 100_000
 
 
 def _ranges(category: str, end: int) -> str:
