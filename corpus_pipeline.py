@@ -16,18 +16,20 @@ from popgraph.llm.queries import table, vocabulary
 from popgraph.plans.stage import new_path, passing, small_enough, stage
 
 #: Dropped rows whose ids are broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
+BROADCAST_IDS = 100_000
+#: Rows of a batch that goes to Python while the pipeline runs.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
-def _mark() -> Column:
-    """SHA-256 of the text with A-Z lower-cased: with the id it tells what row a decision is on."""
+def _folded() -> Column:
+    """SHA-256 of the text with A-Z lower-cased, as exact groups have it."""
     folded = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return F.unhex(F.sha2(folded, 256))
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """The rows as they are, in one struct, and what tells them apart: no name of theirs can clash."""
-    return docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), _mark().alias("mark"))
+def _rows(docs: DataFrame, mark: Column) -> DataFrame:
+    """The rows as they are, in one struct, and what tells them apart, id and ``mark``: no name of theirs can clash."""
+    return docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), mark.alias("mark"))
 
 
 def _same(rows: DataFrame) -> Column:
@@ -62,7 +64,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     groups = stage(exact_dedup.exact_groups(docs), "pipeline-exact")
     groups = groups.select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_of"), "kept")
-    kept = _without(_rows(docs), groups.where("not kept").drop("kept"))
+    kept = _without(_rows(docs, _folded()), groups.where("not kept").drop("kept"))
     again = groups.where("kept").groupBy("_id", "_of").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     again = stage(again.drop("n"), "pipeline-again")
     if again.isEmpty():
@@ -79,11 +81,12 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     components of null ids alone one text stays. An empty table stays empty; columns of
     any name are carried along.
     """
-    groups = stage(simhash.near_groups(docs, mark=_mark()), "pipeline-near")
+    mark = F.xxhash64("text")  # tells apart the texts of one id
+    groups = stage(simhash.near_groups(docs, mark=mark), "pipeline-near")
     least = F.col("doc_id").eqNullSafe(F.col("component_id"))
     of_least = with_group(groups.where(least), ["component"], "mark", {"first": ("min", "mark")})
     dropped = groups.where(~least).select("doc_id", "mark").unionByName(of_least.where("mark <> first").select("doc_id", "mark"))
-    return _without(_rows(docs), dropped.toDF("_id", "_of")).select("row.*")
+    return _without(_rows(docs, mark), dropped.toDF("_id", "_of")).select("row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -122,10 +125,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for name, step in STAGES:
-        path = new_path(spark, f"pipeline-{name}")
-        step(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(passing(spark, path))
-    return docs
+    """All stages over documents, each written as Parquet and read again.
+
+    Meanwhile batches to and from Python hold few rows: executors keep the memory of the
+    largest batch, and rows here are whole documents.
+    """
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(BATCH_ROWS))
+    try:
+        docs = table(spark, sf_dir, "documents")
+        for name, step in STAGES:
+            path = new_path(spark, f"pipeline-{name}")
+            step(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(passing(spark, path))
+        return docs
+    finally:
+        spark.conf.set(BATCH, before)
