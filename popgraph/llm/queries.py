@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popgraph.llm import bpe, exact_dedup, language, lines, mixing, neighbours, pii, simhash, substring, warc
+from popgraph.llm import bpe, exact_dedup, filter_audit, language, lines, mixing, neighbours, pii, simhash, substring, suffix_dedup, vector_codes, warc
 from popgraph.plans.stage import new_path, passing
 
 
@@ -77,10 +77,27 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.train_and_encode(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.books_sha256(books)).alias("codebooks_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_earlier(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_neighbours, op2_pii, op3_language, op4_exact_dedup, op5_mixing, op6_bpe, op7_lines, op8_warc, op9_simhash, op10_substring)
-}
+    for f in (
+        op1_neighbours, op2_pii, op3_language, op4_exact_dedup, op5_mixing, op6_bpe, op7_lines, op8_warc, op9_simhash, op10_substring,
+        op11_vector_codes, op12_filter_audit, op13_suffix_array,
+    )
+}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -156,4 +173,80 @@ keep AS (SELECT word.id, string_agg(t, ' ' ORDER BY word.i) AS kept, count(*) AS
 SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN keep ON d.id = keep.id
 """
 
-ORACLE_SQL = {"op4_exact_dedup": _EXACT, "op5_mixing": _MIX, "op8_warc": _WARC, "op10_substring": _SUBSTRING}
+
+
+def _codes_sql() -> str:
+    """Rounds one after another: assignments ``a``k to the entries ``c``k, and the entries moved to their means."""
+    near = "(SELECT r, part, entry, sum((x - y) * (x - y)) AS d FROM p JOIN {c} USING (part, i) GROUP BY ALL)"
+    assign = "{a} AS (SELECT r, part, arg_min(entry, d * 256 + entry) AS entry, min(d) AS d FROM " + near + " GROUP BY ALL)"
+    move = """{n} AS (SELECT {c}.part, {c}.entry, {c}.i, coalesce(m, y) AS y FROM {c} LEFT JOIN
+  (SELECT part, entry, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS m FROM p JOIN {a} USING (r, part) GROUP BY ALL) USING (part, entry, i))"""
+    steps = []
+    for k in range(vector_codes.ROUNDS):
+        steps += [assign.format(a=f"a{k}", c=f"c{k}"), move.format(n=f"c{k + 1}", c=f"c{k}", a=f"a{k}")]
+    last = vector_codes.ROUNDS
+    steps.append(assign.format(a=f"a{last}", c=f"c{last}"))
+    parts, entries = vector_codes.PARTS, vector_codes.ENTRIES
+    return f"""
+WITH k AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, embedding AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda z: z IS NULL OR NOT isfinite(z))) = 0),
+v AS (SELECT r, len(e) // {parts} AS w, unnest(range(len(e))) AS j, unnest(e) AS z FROM k),
+p AS (SELECT r, j // w AS part, j % w AS i, CAST(floor({vector_codes.SCALE} * z) AS BIGINT) AS x FROM v),
+c0 AS (SELECT part, r - 1 AS entry, i, x AS y FROM p WHERE r <= {entries}),
+{", ".join(steps)},
+t AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{last} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY part, entry, i)) FROM c{last}) AS codebooks_sha256
+FROM k JOIN t USING (r)
+"""
+
+
+_AUDIT = f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT d.doc_id, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    [len(w) < {filter_audit.MIN_WORDS}, 100 * len(list_distinct(w)) < {filter_audit.MIN_DISTINCT_PERCENT} * len(w),
+     100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > {filter_audit.MAX_UPPER_PERCENT} * len(t), regexp_matches(t, '{filter_audit.MARKS}'),
+     d.doc_id > min(d.doc_id) OVER (PARTITION BY t)] AS f
+  FROM d LEFT JOIN l ON d.doc_id = l.doc_id),
+g AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL),
+x AS (SELECT unnest(range(1, 6)) AS v),
+o AS (SELECT [a.v, b.v, c.v, e.v, h.v] AS o FROM x a, x b, x c, x e, x h WHERE len(list_distinct([a.v, b.v, c.v, e.v, h.v])) = 5),
+s AS (SELECT o, unnest(range(1, 6)) AS step FROM o),
+k AS (SELECT part, o, step,
+    sum(CASE WHEN NOT list_bool_or(list_transform(o[:step], lambda z: f[z])) THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN f[o[step]] AND NOT coalesce(list_bool_or(list_transform(o[:step - 1], lambda z: f[z])), false) THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN f[o[step]] THEN n ELSE 0 END) AS failing,
+    sum(CASE WHEN f[o[step]] AND len(list_filter(f, lambda y: y)) = 1 THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN f[o[step]] AND NOT coalesce(list_bool_or(list_transform(o[:step - 1], lambda z: f[z])), false) THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN f[o[step]] AND NOT coalesce(list_bool_or(list_transform(o[:step - 1], lambda z: f[z])), false) THEN toxic ELSE 0 END) AS toxic_lost
+  FROM g, s GROUP BY part, o, step)
+SELECT part, array_to_string(list_transform(o, lambda z: substr('{filter_audit.FILTERS}', z, 1)), '') AS filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept,
+  CAST(removed AS BIGINT) AS removed, CAST(failing - removed AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, o[step]) AS BIGINT) AS shapley
+FROM k
+"""
+
+_SUFFIX = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, s, md5(substr(h, 2 * s + 1, {2 * suffix_dedup.LENGTH})) AS g FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - {suffix_dedup.LENGTH - 1})) AS s FROM d)),
+r AS (SELECT doc_id, s FROM w QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, s) > 1),
+i AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + {suffix_dedup.LENGTH} THEN 0 ELSE 1 END AS fresh FROM r),
+j AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS no FROM i),
+k AS (SELECT doc_id, min(s) AS b, max(s) + {suffix_dedup.LENGTH} AS e FROM j GROUP BY doc_id, no),
+n AS (SELECT d.doc_id, d.h, k.b, k.e, lead(k.b) OVER (PARTITION BY d.doc_id ORDER BY k.b) AS nb FROM d JOIN k ON d.doc_id = k.doc_id),
+z AS (SELECT doc_id, min(b) AS b, sum(e - b) AS gone, count(*) AS spans, string_agg(substr(h, 2 * e + 1, 2 * (coalesce(nb, len(h) // 2) - e)), '' ORDER BY b) AS tail FROM n GROUP BY doc_id)
+SELECT d.doc_id, len(d.h) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN z.b IS NULL THEN d.h ELSE substr(d.h, 1, 2 * z.b) || z.tail END)) AS kept_sha256
+FROM d LEFT JOIN z ON d.doc_id = z.doc_id
+"""
+
+ORACLE_SQL = {
+    "op4_exact_dedup": _EXACT,
+    "op5_mixing": _MIX,
+    "op8_warc": _WARC,
+    "op10_substring": _SUBSTRING,
+    "op11_vector_codes": _codes_sql(),
+    "op12_filter_audit": _AUDIT,
+    "op13_suffix_array": _SUFFIX,
+}
