@@ -14,14 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Temporary folders of applications with a local master, which may lack the setting.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder in ``spark.checkpoint.dir``; a temporary one only where that is unset and the master is local (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="popgraph-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        app = spark.sparkContext.applicationId
+        named = _OWN.get(app) or "file://" + tempfile.mkdtemp(prefix="popgraph-")
+        _OWN[app] = named
     return named.rstrip("/")
 
 
