@@ -5,8 +5,9 @@ Every window of ``length`` bytes has an anchor, the ``gram`` bytes of lowest has
 one anchor in a row are a segment. An anchor that occurs once repeats nothing, and its
 segment goes no further. All equal segments of an anchor but the first are removed with
 all their windows. Where the segments of an anchor differ, each goes once, as it first
-occurs, to a shard with all others of that anchor: the suffix array of the shard, built
-by Lyndon grouping, brings equal windows together, and all but the earliest are removed.
+occurs, to a shard with all others of that anchor. What surely has no window in common
+with another is left out there; the suffix array of the rest, built by Lyndon grouping,
+brings equal windows together, and all but the earliest are removed.
 Shards hold whole anchors and are dealt by a shuffle. An anchor with over ``heavy``
 different segments is never held: its windows are compared by hashes over all tasks.
 """
@@ -37,8 +38,11 @@ _PLACE = np.uint64((1 << 20) - 1)
 #: Stands between the segments of a shard; no byte of UTF-8.
 _BETWEEN = b"\xff"
 
-ROWS = "anchor long, seg long, doc_id long, key long, at long, windows long"
-HELD = "anchor long, window long, doc_id long, key long, at long, segment binary"
+#: Places of the anchor in a window that are looked at together when segments are compared first.
+PLACES = 8
+
+ROWS = "anchor long, seg long, doc_id long, key long, at long, windows long, into long"
+HELD = "anchor long, window long, doc_id long, key long, at long, into long, segment binary"
 MARKS = "key long, at long, windows long"
 
 _mul = lambda x, k: x * np.uint64(k)
@@ -68,8 +72,8 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     return got ^ (got >> np.uint64(31))
 
 
-def segments(data: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(anchor, first window, windows) of the segments of a text, by blocks of windows."""
+def segments(data: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(anchor, first window, windows, place of the anchor behind the first window's start) of the segments of a text, by blocks of windows."""
     for begin in range(0, len(data) - length + 1, _BLOCK):
         part = np.frombuffer(data, np.uint8)[begin : begin + _BLOCK + length - 1]
         m = len(part) - length + 1
@@ -82,14 +86,14 @@ def segments(data: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tu
         low = np.minimum(low[:m], low[spread - width : spread - width + m])
         place = (low & _PLACE).astype(np.int64)
         first = np.concatenate(([0], np.nonzero(np.diff(place))[0] + 1))
-        yield h[place[first]], first + begin, np.diff(np.append(first, m))
+        yield h[place[first]], first + begin, np.diff(np.append(first, m)), place[first] - first
 
 
 def _anchors(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole):
-                got = [a for t in b.column(0).to_pylist() for a, _, _ in segments(data_of(t), length, gram)]
+                got = [a for t in b.column(0).to_pylist() for a, _, _, _ in segments(data_of(t), length, gram)]
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64))], ["anchor"])
 
@@ -102,19 +106,20 @@ def _rows(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole):
-                anchor, seg, doc, key, at, windows = [], [], [], [], [], []
+                anchor, seg, doc, key, at, windows, into = [], [], [], [], [], [], []
                 for i, k, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     data = data_of(t)
-                    for a, first, n in segments(data, length, gram):
+                    for a, first, n, inner in segments(data, length, gram):
                         anchor.append(a)
                         at.append(first)
                         windows.append(n)
+                        into.append(inner)
                         seg += [xxhash.xxh3_64_intdigest(data[s:e]) for s, e in zip(first.tolist(), (first + n + length - 1).tolist(), strict=True)]
                         doc += [i] * len(a)
                         key += [k] * len(a)
                 if anchor:
                     cat = lambda c: pa.array(np.concatenate(c).astype(np.int64))
-                    columns = [pa.array(np.concatenate(anchor).view(np.int64)), pa.array(np.array(seg, np.uint64).view(np.int64)), pa.array(doc, pa.int64()), pa.array(key, pa.int64()), cat(at), cat(windows)]
+                    columns = [pa.array(np.concatenate(anchor).view(np.int64)), pa.array(np.array(seg, np.uint64).view(np.int64)), pa.array(doc, pa.int64()), pa.array(key, pa.int64()), cat(at), cat(windows), cat(into)]
                     yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
@@ -139,15 +144,42 @@ def _fetch(length: int):
                         s, n = w["at"], w["windows"]
                         if w["crowded"]:
                             hashes = np.array([xxhash.xxh3_64_intdigest(data[s + x : s + x + length]) for x in range(n)], np.uint64).view(np.int64)
-                            out += [(w["anchor"], h, i, k, s + x, None) for x, h in enumerate(hashes.tolist())]
+                            out += [(w["anchor"], h, i, k, s + x, None, None) for x, h in enumerate(hashes.tolist())]
                         else:
-                            out.append((w["anchor"], None, i, k, s, data[s : s + n + length - 1]))
+                            out.append((w["anchor"], None, i, k, s, w["into"], data[s : s + n + length - 1]))
                 if out:
                     yield _batch(out, HELD)
 
     return run
 
 
+def alike(group: list[tuple], length: int, places: int = PLACES) -> list[tuple]:
+    """What of the segments (doc_id, key, at, into, bytes) of one anchor can have a window in common with another of them.
+
+    Equal windows have the anchor at one place, and those with the anchor at ``places``
+    neighbouring places all hold the same bytes around it. Where no other segment has
+    these bytes, no window is shared. Gives (doc_id, key, at, bytes) of the rest.
+    """
+    cores: list[list[tuple[int, bytes]]] = []
+    met: dict[tuple[int, bytes], int] = {}
+    for *_, into, data in group:
+        last = into - (len(data) - length)  # the anchor's place in the last window
+        own = []
+        for b in range(last // places, into // places + 1):
+            low = b * places
+            core = (b, data[into - low : into - low - places + 1 + length])
+            own.append(core)
+            met[core] = met.get(core, 0) + 1
+        cores.append(own)
+    out = []
+    for (i, k, at, into, data), own in zip(group, cores, strict=True):
+        blocks = [b for b, core in own if met[b, core] > 1]
+        if blocks:
+            high, low = min(into, (blocks[-1] + 1) * places - 1), max(into - (len(data) - length), blocks[0] * places)
+            out.append((i, k, at + into - high, data[into - high : into - low + length]))
+    return out
+
+
 def later_windows(held: list[tuple], length: int) -> list[tuple[int, int, int]]:
     """(key, at, windows) of the runs of windows that occur earlier.
 
@@ -187,19 +219,23 @@ def _shards(length: int, full: int):
     """Rows sorted by anchor and place to marks; a shard takes whole anchors until it is full."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last = [], 0, (None, None, None)
+        held, group, size, last = [], [], 0, (None, None, None)
         for whole in batches:
             for b in slices(whole):
-                for a, i, k, at, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for a, i, k, at, into, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     if last == (a, k, at):
                         continue  # of a row that repeats another
-                    if size >= full and a != last[0]:
-                        if marks := later_windows(held, length):
-                            yield _batch(marks, MARKS)
-                        held, size = [], 0
+                    if a != last[0]:
+                        held += alike(group, length)
+                        size += sum(len(x[-1]) for x in group)
+                        group = []
+                        if size >= full:
+                            if held and (marks := later_windows(held, length)):
+                                yield _batch(marks, MARKS)
+                            held, size = [], 0
                     last = (a, k, at)
-                    held.append((i, k, at, s))
-                    size += len(s)
+                    group.append((i, k, at, into, s))
+        held += alike(group, length)
         if held and (marks := later_windows(held, length)):
             yield _batch(marks, MARKS)
 
@@ -254,18 +290,18 @@ def remove_earlier(
     met = stage(source.mapInArrow(_rows(length, gram), ROWS).join(many, "anchor"), "suffix-met")
 
     place = F.struct("doc_id", "key", "at")
-    first = met.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "key", "at", "windows")).alias("first"))
+    first = met.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "key", "at", "windows", "into")).alias("first"))
     first = stage(first, "suffix-first")
     repeated = first.where("n > 1").select("anchor", "seg", F.struct("first.doc_id", "first.key", "first.at").alias("place"))
     whole = met.join(repeated, ["anchor", "seg"]).where(~place.eqNullSafe(F.col("place"))).select("key", "at", "windows")
 
     differ = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     differ = differ.select("anchor", (F.col("c") > heavy).alias("crowded"))
-    wanted = first.join(differ, "anchor").select(F.col("first.key").alias("key"), F.struct("anchor", "crowded", "first.at", "first.windows").alias("w"))
+    wanted = first.join(differ, "anchor").select(F.col("first.key").alias("key"), F.struct("anchor", "crowded", "first.at", "first.windows", "first.into").alias("w"))
     wanted = wanted.groupBy("key").agg(F.collect_list("w").alias("wanted"))
     # rows that repeat id and text send a segment twice, from one and the same place
     held = stage(source.join(wanted, "key").select("doc_id", "key", "text", "wanted").mapInArrow(_fetch(length), HELD), "suffix-held")
-    dealt = held.where("segment is not null").select("anchor", "doc_id", "key", "at", "segment").repartition("anchor").sortWithinPartitions("anchor", "key", "at")
+    dealt = held.where("segment is not null").select("anchor", "doc_id", "key", "at", "into", "segment").repartition("anchor").sortWithinPartitions("anchor", "key", "at")
     part = dealt.mapInArrow(_shards(length, shard), MARKS)
     crowd = held.where("segment is null").select("anchor", "window", "doc_id", "key", "at")
     least = crowd.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place")).where("n > 1").drop("n")
