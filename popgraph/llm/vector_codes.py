@@ -63,6 +63,14 @@ def reassign(x: np.ndarray, code: np.ndarray, dist: np.ndarray, old: np.ndarray,
     return code, dist
 
 
+def quantised(values: np.ndarray, width: int) -> np.ndarray:
+    """Components as integers; ``width``: components of a part."""
+    scaled, bound = np.floor(SCALE * values), int(((1 << _BITS) / (4 * width)) ** 0.5)
+    if np.abs(scaled).max(initial=0) >= bound:
+        raise ValueError(f"a component times {SCALE} is at or beyond {bound}: distances would not fit in 64 bits")
+    return scaled.astype(np.int64)
+
+
 def _pack(parts: np.ndarray) -> pa.Array:
     """Rows of integers as binary, two bytes each where they fit and four elsewhere."""
     flat = parts.reshape(len(parts), -1)
@@ -85,13 +93,9 @@ def _first(books: np.ndarray):
     parts, _, width = books.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bound = int(((1 << _BITS) / (4 * width)) ** 0.5)
         for b in batches:
             if b.num_rows:
-                scaled = np.floor(SCALE * b.column(2).flatten().to_numpy(zero_copy_only=False))
-                if np.abs(scaled).max() >= bound:
-                    raise ValueError(f"a component times {SCALE} is at or beyond {bound}: distances would not fit in 64 bits")
-                x = scaled.astype(np.int64).reshape(b.num_rows, parts, width)
+                x = quantised(b.column(2).flatten().to_numpy(zero_copy_only=False), width).reshape(b.num_rows, parts, width)
                 got = [nearest(x[:, p], books[p]) for p in range(parts)]
                 yield _state(b.column(0), b.column(1), x, *(np.stack(c, axis=1) for c in zip(*got, strict=True)))
 
@@ -195,7 +199,7 @@ def train_and_encode(
     source = source.where(F.size("v") == width)
     head = [r.v for r in source.orderBy(*order).limit(entries).collect()]
     each = width // parts
-    books = np.floor(SCALE * np.array(head, np.float64)).astype(np.int64).reshape(len(head), parts, each).transpose(1, 0, 2).copy()
+    books = quantised(np.array(head, np.float64), each).reshape(len(head), parts, each).transpose(1, 0, 2).copy()
     kinds = {f.name: f for f in source.schema}
     shape = StructType([kinds["vec_id"], kinds["label"]])
     told = StructType([*shape.fields]).add("code", "string").add("error", "long")
