@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from popgraph.llm.common import slices, with_group
-from popgraph.plans.stage import small_enough, stage
+from popgraph.plans.stage import new_path, passing, small_enough, stage
 
 MAGIC = b"WARC/1.0\r\n"
 END = "\r\n\r\n"
@@ -181,13 +181,13 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def chains(parts: DataFrame) -> DataFrame:
-    """(file, block, base, entry, owner): of every part, its offset, the first record in it (null: none) and the record that reaches into it from before (null: none).
+    """(file, block, size, base, entry, owner): of every part, its bytes, its offset, the first record in it (null: none) and the record that reaches into it from before (null: none).
 
     Links between parts are followed from offset 0 of each file by pointer jumping.
     """
     sizes = parts.groupBy("file", "block").agg(F.first("size").alias("size"))
     of_file = W.partitionBy("file").orderBy("block")  # a row per part
-    base = stage(sizes.select("file", "block", F.coalesce(F.sum("size").over(of_file.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base")), "warc-parts")
+    base = stage(sizes.select("file", "block", "size", F.coalesce(F.sum("size").over(of_file.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base")), "warc-parts")
     found = parts.where(F.col("at") > _NONE).join(base, ["file", "block"])
     moved = [(F.col("at") + F.col("base")).alias("at"), F.when(F.col("exit") >= 0, F.col("exit") + F.col("base")).alias("exit"), (F.col("last") + F.col("base")).alias("last")]
     nodes = stage(found.select("file", "block", *moved), "warc-candidates")
@@ -204,7 +204,7 @@ def chains(parts: DataFrame) -> DataFrame:
     j = base.join(real, ["file", "block"], "left")
     owner = F.last("into", True).over(of_file.rowsBetween(W.unboundedPreceding, -1))
     j = j.withColumn("_o", owner)
-    return j.select("file", "block", "base", "entry", F.when(F.col("_o.exit") > F.col("base") - len(MAGIC), F.col("_o")).alias("owner"))
+    return j.select("file", "block", "size", "base", "entry", F.when(F.col("_o.exit") > F.col("base") - len(MAGIC), F.col("_o")).alias("owner"))
 
 
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, sound boolean"
@@ -272,6 +272,10 @@ class _Reader:
         elif self.owner is not None and here < self.owner["exit"]:
             self.pieces.append((self.file, self.owner["last"], here, MAGIC + segment))
 
+    def mark(self) -> None:
+        """Tells that the part was read, and up to where."""
+        self.pieces.append((self.file, self.block, self.at + len(MAGIC), None))
+
     def finish(self, end: bool = False) -> None:
         """Ends the record at hand; at the end of a part it may go on in the next."""
         if self.held is None:
@@ -301,17 +305,35 @@ def _read(payload: bool):
                     if reader is None or (file, block) != (reader.file, reader.block):
                         if reader is not None:
                             reader.finish(end=True)
+                            reader.mark()
                             yield from out(reader)
+                        if base is None:
+                            raise ValueError(f"part {block} of {file} was not there when the chains were followed")
                         reader = _Reader(file, block, base, entry, owner)
                     reader.add(segment)
                 yield from out(reader)
         if reader is not None:
             reader.finish(end=True)
+            reader.mark()
             yield from out(reader)
 
     return run
 
 
+def _fixed_parts(spark: SparkSession) -> SparkSession:
+    """A session of its own, in which the size of the parts of files can not change between scans.
+
+    Spark cuts files by its settings and by the number of cores that it knows of when a
+    scan is planned; here both are taken down once.
+    """
+    own = spark.newSession()
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.shuffle.partitions")}
+    kept |= {"spark.sql.files.minPartitionNum": str(spark.sparkContext.defaultParallelism)}
+    for k, v in kept.items():
+        own.conf.set(k, v)
+    return own
+
+
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """Records of the archives under ``path``; ``sound``: end, length and digest hold.
 
@@ -320,14 +342,22 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
     record itself has ``sound`` false. A record that reaches over parts is put together
     from its pieces. Repeated records are rows of their own; empty files give none. A
     record of more than 2 GB or with a header line that ends like the magic is not read.
+    Both scans see the same parts; if a file changes between them, the read raises.
     """
-    at = segments(spark, path)
+    at = segments(_fixed_parts(spark), path)
     told = stage(chains(stage(at.mapInArrow(_scan, PARTS), "warc-scan")), "warc-chains")
     if small_enough(told, BROADCAST_PARTS):
-        placed = at.join(F.broadcast(told), ["file", "block"])
+        placed = at.join(F.broadcast(told), ["file", "block"], "left")
     else:
-        placed = at.withColumn("_n", F.monotonically_increasing_id()).join(told, ["file", "block"]).sortWithinPartitions("file", "block", "_n").drop("_n")
-    read = stage(placed.mapInArrow(_read(payload), _schema(payload) + ", " + PIECE), "warc-records")
+        placed = at.withColumn("_n", F.monotonically_increasing_id()).join(told, ["file", "block"], "left").sortWithinPartitions("file", "block", "_n").drop("_n")
+    done = new_path(spark, "warc-records")
+    placed.mapInArrow(_read(payload), shape := _schema(payload) + ", " + PIECE).write.parquet(done)
+    read = spark.read.schema(shape).parquet(passing(spark, done))
+    sizes = told.select("file", "block", (F.col("base") + F.col("size")).alias("piece"))
+    seen = read.where("record is not null and bytes is null").select("file", F.col("record").alias("block"), "piece")
+    if not sizes.join(seen, ["file", "block", "piece"], "left_anti").isEmpty():
+        raise ValueError(f"files under {path} changed while they were read")
+    read = read.where("record is null or bytes is not null")
     names = [f.split()[0] for f in _schema(payload).split(", ")]
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", F.hex("bytes").alias("x")))), lambda p: p["x"]), "")
     pieces = read.where("record is not null").groupBy("file", "record").agg(F.unhex(joined).alias("bytes"))

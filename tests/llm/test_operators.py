@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from popgraph.llm import bpe, exact_dedup, language, lines, mixing, neighbours, pii, queries, simhash, substring, warc
 
@@ -307,6 +308,35 @@ def brute_records(data):
     return out
 
 
+@pytest.mark.parametrize("broadcast", [0, warc.BROADCAST_PARTS])
+def test_warc_parts_do_not_move_between_scans(spark, tmp_path, monkeypatch, broadcast):
+    monkeypatch.setattr(warc, "BROADCAST_PARTS", broadcast)
+    data = [(i, f"https://x.org/{i}", f"page {i} " * 300) for i in range(900)]
+    warc.write_warc(spark.createDataFrame(data, "page_id long, url string, html string").coalesce(1), f"{tmp_path}/w")
+    follow = warc.chains
+    settings = {"spark.sql.files.maxPartitionBytes": "300000", "spark.sql.leafNodeDefaultParallelism": "3", "spark.sql.files.minPartitionNum": "5"}
+
+    def chains(parts):
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        return follow(parts)
+
+    monkeypatch.setattr(warc, "chains", chains)
+    try:
+        got = warc.read_warc(spark, f"{tmp_path}/w").collect()
+        # parts that no chain was followed in, and files that grew: no silent loss
+        monkeypatch.setattr(warc, "chains", lambda parts: follow(parts.where("block < 500000")))
+        with pytest.raises(Exception, match="was not there"):
+            warc.read_warc(spark, f"{tmp_path}/w").collect()
+        monkeypatch.setattr(warc, "chains", lambda parts: follow(parts.withColumn("size", F.col("size") + 1)))
+        with pytest.raises(Exception, match="changed while"):
+            warc.read_warc(spark, f"{tmp_path}/w").collect()
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert Counter((r.page_id, r.sound) for r in got) == Counter((i, True) for i in range(900))
+
+
 @pytest.mark.parametrize(("part", "broadcast"), [(3000, 0), (1 << 27, warc.BROADCAST_PARTS)])
 def test_warc_parts(spark, tmp_path, monkeypatch, part, broadcast):
     """Archives cut into many parts and read whole; payloads full of records, of lone magic lines, larger than parts; a broken chain."""
