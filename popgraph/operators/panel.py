@@ -86,19 +86,43 @@ def cumulative(daily: DataFrame, value: str, order: str = "day") -> DataFrame:
     return daily.withColumn(f"cumulative_{value}", F.sum(value).over(W.orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
 
 
+#: Shares of active people that part the phases, and the rises and the fall over two days that tell within them.
+PHASE_SHARES = (0.01, 0.05, 0.20, 0.40)
+RISES, FALL = (1.5, 1.2, 1.1), 0.8
+
+
+def derived_deaths(daily: DataFrame, value: str, order: str = "day", rate: float = 0.001) -> DataFrame:
+    """``daily`` with ``cumulative_<value>`` and ``deaths``: ``rate`` of the cumulated cases, cut to integers."""
+    c = cumulative(daily, value, order)
+    return c.withColumn("deaths", F.floor(F.col(f"cumulative_{value}") * F.lit(rate)).cast("long"))
+
+
 def phase_rule(active: Column, before: Column, population: Column) -> Column:
     """Phase of a day with two days before it in its history."""
     p = active / population
     rising = lambda f: active > before * f
+    low, some, many, most = PHASE_SHARES
     return (
-        F.when(p < 0.01, "PRE_EPIDEMIC")
-        .when(p < 0.05, F.when(rising(1.5), "EXPONENTIAL_GROWTH").otherwise("PRE_EPIDEMIC"))
-        .when(p < 0.20, F.when(rising(1.2), "EXPONENTIAL_GROWTH").when(active < before * 0.8, "DECLINE").otherwise("PEAK"))
-        .when(p < 0.40, F.when(rising(1.1), "PEAK").otherwise("DECLINE"))
+        F.when(p < low, "PRE_EPIDEMIC")
+        .when(p < some, F.when(rising(RISES[0]), "EXPONENTIAL_GROWTH").otherwise("PRE_EPIDEMIC"))
+        .when(p < many, F.when(rising(RISES[1]), "EXPONENTIAL_GROWTH").when(active < before * FALL, "DECLINE").otherwise("PEAK"))
+        .when(p < most, F.when(rising(RISES[2]), "PEAK").otherwise("DECLINE"))
         .otherwise("DECLINE")
     )
 
 
+def phase_of(share: float, active: int, before: int | None) -> str:
+    """``phase_rule`` of one day, for streams; without a day two before it PRE_EPIDEMIC."""
+    low, some, many, most = PHASE_SHARES
+    if before is None or share < low:
+        return "PRE_EPIDEMIC"
+    if share < some:
+        return "EXPONENTIAL_GROWTH" if active > before * RISES[0] else "PRE_EPIDEMIC"
+    if share < many:
+        return "EXPONENTIAL_GROWTH" if active > before * RISES[1] else "DECLINE" if active < before * FALL else "PEAK"
+    return "PEAK" if share < most and active > before * RISES[2] else "DECLINE"
+
+
 def epidemic_phase(history: DataFrame) -> DataFrame:
     """(day, active, phase, growth) from daily S, E, I, R, D; the first two days are PRE_EPIDEMIC."""
     order = W.orderBy("day")  # a table of days
@@ -234,3 +258,36 @@ def reset_accumulator(items: DataFrame, key: str, order: list[str], value: str,
 
     kind = items.schema[key].dataType.simpleString()
     return rows.where(F.col(key).isNotNull() & F.col("_v").isNotNull()).mapInPandas(run, f"`{key}` {kind}, n int, total double").withColumn("total", F.round("total", 6))
+
+
+def reflection_inputs(items: DataFrame, key: str, order: list[str], id_col: str, value: str, observed: Column, threshold: float, top: int = 10, least: int = 3) -> DataFrame:
+    """(key, n, rank, id, value): at every firing of the summed importance, the ``top`` observations so far.
+
+    The sum of ``value`` over all items fires where it reaches ``threshold`` while there
+    are ``least`` observations (rows for which ``observed`` holds), and starts again; with
+    fewer it goes on. ``n`` is the place of the item that fires. Of equal values the
+    earlier comes first. A key is one task's work, as for ``reset_accumulator``; no more
+    than ``top`` rows of it are held. Null keys and values are left out.
+    """
+    v = F.col(value).cast("double")
+    rows = items.select(F.col(key), *order, F.col(id_col).alias("_id"), v.alias("_v"), F.coalesce(observed, F.lit(False)).alias("_o")).where(F.col(key).isNotNull() & F.col("_v").isNotNull())
+    rows = rows.repartition(key).sortWithinPartitions(key, *order).select(key, "_id", "_v", "_o")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, total, place, seen, best = None, 0.0, 0, 0, []
+        for b in batches:
+            out = []
+            for k, i, x, o in zip(b[key].tolist(), b["_id"].tolist(), b["_v"].tolist(), b["_o"].tolist(), strict=True):
+                if k != now:
+                    now, total, place, seen, best = k, 0.0, 0, 0, []
+                total, place = total + x, place + 1
+                if o:
+                    seen += 1
+                    best = sorted([*best, (-x, place, i)])[:top]
+                if total >= threshold and seen >= least:
+                    out += [(k, place, r, i, -x) for r, (x, _, i) in enumerate(best, 1)]
+                    total = 0.0
+            yield pd.DataFrame(out, columns=[key, "n", "rank", id_col, value])
+
+    kind = lambda c: items.schema[c].dataType.simpleString()
+    return rows.mapInPandas(run, f"`{key}` {kind(key)}, n int, rank int, `{id_col}` {kind(id_col)}, `{value}` double")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from popgraph.plans.stage import new_path
 from popgraph.queries.base import agents, edges, query, read, states
 from popgraph.queries.panels import _TR
 from popgraph.sources import sinks, tables
-from popgraph.streaming import daily
+from popgraph.streaming import daily, history, stateful
 
 
 def stream(s, d, table="events"):
@@ -23,22 +21,11 @@ def stream(s, d, table="events"):
     return df.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in df.columns else df
 
 
-def finished(df, mode, out=None, log=None):
-    """All that a stream has to say, as a table."""
+def finished(df, out=None, log=None):
+    """All that a stream in append mode has to say, as a table."""
     out, log = out or new_path(df.sparkSession, "stream"), log or new_path(df.sparkSession, "stream-log")
-    if mode == "append":
-        q = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", log).trigger(availableNow=True).start()
-        q.awaitTermination()
-        return df.sparkSession.read.schema(df.schema).parquet(out)
-    name = "s" + uuid.uuid4().hex
-    # the last complete table replaces those before it
-
-    def keep(batch, _):
-        batch.write.mode("overwrite").parquet(f"{out}/{name}")
-
-    q = df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", log).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.read.schema(df.schema).parquet(f"{out}/{name}")
+    df.writeStream.format("parquet").option("path", out).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
 def span(s, d):
@@ -48,51 +35,59 @@ def span(s, d):
     return f"{days} days", F.lit(last or "2024-01-01").cast("timestamp") + F.make_interval(days=F.lit(days + 30))
 
 
-def closed(s, d, build):
-    """A stream over the events in append mode, with an event after all others that lets the watermark pass them.
+def closed(s, rows, ts, end, build, keys=(), files=16):
+    """What the stream ``build`` makes of ``rows`` in append mode, with a row after all others that lets the watermark pass them.
 
-    The closing event can't be put among the given files, so the events are written anew,
-    run, and run on from the same checkpoint when it has been added.
+    The closing row, at time ``end`` and with -1 in ``keys``, can't be put among the given
+    files, so the rows are written anew, run ``files`` a batch, and run on from the same
+    checkpoint when it has been added.
     """
-    delay, end = span(s, d)
     path, out, log = (new_path(s, x) for x in ("events", "stream", "stream-log"))
+    rows.write.parquet(path)
+    own = stateful.session(s)
+    source = own.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
+    finished(build(source), out, log)
+    value = lambda f: end if f.name == ts else F.lit(-1) if f.name in keys else F.lit(None)
+    s.range(1).select(*[value(f).cast(f.dataType).alias(f.name) for f in rows.schema]).write.mode("append").parquet(path)
+    told = finished(build(source), out, log)
+    return s.read.schema(told.schema).parquet(out)
+
+
+def closed_events(s, d, build):
+    delay, end = span(s, d)
     events = read(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    events.write.parquet(path)
-    source = s.readStream.schema(events.schema).option("maxFilesPerTrigger", 16).parquet(path)
-    finished(build(source, delay), "append", out, log)
-    last = s.range(1).select(*[end.alias("ts") if f.name == "ts" else F.lit(-1).cast(f.dataType).alias(f.name) if f.name in ("user_id", "event_id") else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema])
-    last.write.mode("append").parquet(path)
-    return finished(build(source, delay), "append", out, log)
+    return closed(s, events, "ts", end, lambda e: build(e, delay), ("user_id", "event_id"))
 
 
 @query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def k1_daily_counts(s, d):
-    return closed(s, d, daily.daily_counts)
+    return closed_events(s, d, daily.daily_counts)
 
 
 @query("SELECT CAST(CAST(ts AS DATE) + CAST(k AS INTEGER) AS DATE) AS until, event_type, count(*) AS n FROM events, range(1, 8) t(k) GROUP BY ALL")
 def k2_lookback_counts(s, d):
-    return closed(s, d, daily.lookback_counts)
+    return closed_events(s, d, daily.lookback_counts)
 
 
 @query("SELECT DISTINCT event_id, user_id FROM events")
 def k3_dedupe(s, d):
     twice = stream(s, d)
-    return finished(daily.dedupe(twice.unionByName(twice), ["event_id"], span(s, d)[0]).select("event_id", "user_id"), "append")
+    return finished(daily.dedupe(twice.unionByName(twice), ["event_id"], span(s, d)[0]).select("event_id", "user_id"))
 
 
 @query(", o AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'view' THEN 'S' WHEN 'click' THEN 'E' WHEN 'error' THEN 'I' WHEN 'purchase' THEN 'R' WHEN 'signup' THEN 'D' END AS st FROM events), l AS (SELECT *, coalesce(lag(st) OVER (PARTITION BY user_id ORDER BY ts, event_id), 'S') AS f FROM o) SELECT user_id AS agent_id, event_id, f AS from_state, st AS to_state FROM l WHERE f <> st")
 def k4_state_tracker(s, d):
-    return closed(s, d, daily.state_tracker).select("agent_id", "event_id", "from_state", "to_state")
+    return closed_events(s, d, stateful.state_tracker).select("agent_id", "event_id", "from_state", "to_state")
 
 
 @query(", ha AS (SELECT day, E + I AS active, S + E + I + R + D AS n, lag(E + I, 2) OVER (ORDER BY day) AS b FROM hist) SELECT day, active, CASE WHEN b IS NULL OR active / n < 0.01 THEN 'PRE_EPIDEMIC' WHEN active / n < 0.05 THEN CASE WHEN active > b * 1.5 THEN 'EXPONENTIAL_GROWTH' ELSE 'PRE_EPIDEMIC' END WHEN active / n < 0.2 THEN CASE WHEN active > b * 1.2 THEN 'EXPONENTIAL_GROWTH' WHEN active < b * 0.8 THEN 'DECLINE' ELSE 'PEAK' END WHEN active / n < 0.4 THEN CASE WHEN active > b * 1.1 THEN 'PEAK' ELSE 'DECLINE' END ELSE 'DECLINE' END AS phase FROM ha")
 def k5_phase_tracker(s, d):
     h = P.state_counts(states(s, d), ["day"])
-    rows = h.select((F.col("S") + F.col("E") + F.col("I") + F.col("R") + F.col("D")).alias("population"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("day")).alias("day"), (F.col("E") + F.col("I")).alias("active"))
-    path = new_path(s, "daily")
-    rows.write.parquet(path)
-    told = finished(daily.phase_tracker(s.readStream.schema(rows.schema).parquet(path)), "append")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.col("day")).cast("timestamp")
+    size = F.col("S") + F.col("E") + F.col("I") + F.col("R") + F.col("D")
+    rows = h.select(F.lit(1).cast("long").alias("population"), size.alias("size"), day.alias("day"), (F.col("E") + F.col("I")).alias("active"))
+    # files of days in no order, one a batch
+    told = closed(s, rows.repartition(6, F.xxhash64("day")), "day", F.lit("2034-01-01"), lambda x: stateful.phase_tracker(x, "3000 days"), ("population",), 1)
     return told.select(F.datediff("day", F.lit("2024-01-01").cast("date")).alias("day"), "active", "phase")
 
 
@@ -101,19 +96,27 @@ acc AS (SELECT user_id, list_reduce(list_prepend({'s': 0.0::DOUBLE, 'i': 0::BIGI
   lambda a, x: {'s': CASE WHEN a.s + x.s >= 150 THEN 0.0 ELSE a.s + x.s END, 'i': x.i, 'out': CASE WHEN a.s + x.s >= 150 THEN list_append(a.out, {'n': x.i, 'total': a.s + x.s}) ELSE a.out END}) AS r FROM it GROUP BY user_id)
 SELECT user_id AS agent_id, u.n AS event_id, round(u.total, 6) AS total FROM (SELECT user_id, unnest(r.out) AS u FROM acc)""")
 def k6_accumulator(s, d):
-    return closed(s, d, lambda e, delay: daily.accumulator(e, 150.0, delay)).withColumn("total", F.round("total", 6))
+    return closed_events(s, d, lambda e, delay: stateful.accumulator(e, 150.0, delay)).withColumn("total", F.round("total", 6))
 
 
-@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey")
+@query(""", lk AS (SELECT o_custkey AS source, o_orderkey % 1000 AS infected, CAST(o_orderdate AS TIMESTAMP) AS ts FROM orders),
+fi AS (SELECT infected, source, ts FROM lk QUALIFY row_number() OVER (PARTITION BY infected ORDER BY ts, source) = 1)
+SELECT source, infected, row_number() OVER (PARTITION BY source ORDER BY ts, infected) AS n FROM fi""")
 def k7_secondary(s, d):
-    return finished(daily.secondary(stream(s, d, "orders"), "o_custkey"), "complete")
+    o = read(s, d, "orders")
+    links = o.select(F.col("o_custkey").alias("source"), (F.col("o_orderkey") % 1000).alias("infected"), F.col("o_orderdate").cast("timestamp").alias("ts"))
+    first = closed(s, links, "ts", F.lit("2034-01-01"), lambda x: stateful.infection_sources(x, "9000 days"), ("source", "infected"), 4)
+    path = new_path(s, "sources")
+    first.write.parquet(path)
+    tree = stateful.infection_tree(stateful.session(s).readStream.schema(first.schema).parquet(path))
+    return finished(tree).select("source", "infected", "n")
 
 
 @query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def k8_history_sink(s, d):
     out, counts = new_path(s, "history"), daily.daily_counts(stream(s, d), span(s, d)[0])
-    daily.start_history_sink(counts, out, new_path(s, "history-log"), ["day", "event_type"]).awaitTermination()
-    return s.read.schema(counts.schema).parquet(out)
+    history.start_history_sink(counts, out, new_path(s, "history-log"), ["day", "event_type"]).awaitTermination()
+    return history.read_history(s, out, counts.schema)
 
 
 @query(_TR + " SELECT agent_id, day, from_state, to_state FROM tr")

@@ -2,16 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-
-from popgraph.operators.panel import EVENT_STATES
-from popgraph.plans.stage import stage
-from popgraph.sources.sinks import merge_history
 
 
 def daily_counts(events: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -27,129 +19,3 @@ def lookback_counts(events: DataFrame, delay: str = "1 day", days: int = 7) -> D
 
 def dedupe(events: DataFrame, keys: list[str], delay: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
-
-
-def secondary(links: DataFrame, source: str) -> DataFrame:
-    """Running number of links per source."""
-    return links.groupBy(source).agg(F.count(F.lit(1)).alias("n"))
-
-
-TRACKED = "agent_id long, event_id long, ts timestamp, from_state string, to_state string, events_in_state int"
-FIRED = "agent_id long, event_id long, total double"
-#: What waits for the watermark: time in microseconds, id and content of events.
-WAITING = "ts array<bigint>, ids array<bigint>, kinds array<string>, numbers array<double>"
-
-
-def _in_order(waiting: tuple, frames: Iterator[pd.DataFrame], until_ms: int) -> tuple[list[tuple], list[tuple]]:
-    """(due, waiting): events up to the watermark in order of (ts, event_id), and the others."""
-    rows = list(zip(*[x if x is not None else [] for x in waiting], strict=True))
-    for f in frames:
-        micros = f["ts"].astype("datetime64[us]").astype("int64")
-        rows += list(zip(micros.tolist(), f["event_id"].tolist(), f["kind"].tolist(), f["number"].tolist(), strict=True))
-    rows.sort(key=lambda r: r[:2])
-    due = sum(r[0] < until_ms * 1000 for r in rows)
-    return rows[:due], rows[due:]
-
-
-def _wait(state, kept: tuple, rows: list[tuple]) -> None:
-    state.update((*kept, *([list(c) for c in zip(*rows, strict=True)] or [[], [], [], []])))
-    if rows:
-        state.setTimeoutTimestamp(max(rows[0][0] // 1000, state.getCurrentWatermarkMs()) + 1)
-
-
-def _track(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    last, run, *waiting = state.get if state.exists else ("S", 0, [], [], [], [])
-    due, rest = _in_order(waiting, [] if state.hasTimedOut else frames, state.getCurrentWatermarkMs())
-    out = []
-    for ts, event_id, kind, _ in due:
-        now = EVENT_STATES.get(kind, last)
-        if now != last:
-            out.append((key[0], event_id, pd.Timestamp(ts, unit="us"), last, now, run))
-            last, run = now, 0
-        run += 1
-    _wait(state, (last, run), rest)
-    yield pd.DataFrame(out, columns=[c.split()[0] for c in TRACKED.split(", ")])
-
-
-def _keyed(events: DataFrame, delay: str, kind: str, number: str):
-    e = events.withWatermark("ts", delay)
-    return e.select(F.col("user_id").alias("agent_id"), "event_id", "ts", F.col(kind).cast("string").alias("kind"), F.col(number).cast("double").alias("number")).groupBy("agent_id")
-
-
-def state_tracker(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Transitions per entity in order of (ts, event_id), over micro-batches too.
-
-    Events wait in the entity's state until the watermark has passed them; those later
-    than ``delay`` are dropped. The last state of an entity is kept for good.
-    """
-    return _keyed(events, delay, "event_type", "value").applyInPandasWithState(_track, TRACKED, f"last string, run int, {WAITING}", "append", "EventTimeTimeout")
-
-
-def _accumulate(threshold: float):
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        total, *waiting = state.get if state.exists else (0.0, [], [], [], [])
-        due, rest = _in_order(waiting, [] if state.hasTimedOut else frames, state.getCurrentWatermarkMs())
-        out = []
-        for _, event_id, _, value in due:
-            total += value
-            if total >= threshold:
-                out.append((key[0], event_id, total))
-                total = 0.0
-        _wait(state, (float(total),), rest)
-        yield pd.DataFrame(out, columns=["agent_id", "event_id", "total"])
-
-    return run
-
-
-def accumulator(events: DataFrame, threshold: float = 150.0, delay: str = "1 day") -> DataFrame:
-    """(agent_id, event_id, total): where the summed values reach ``threshold`` and start again, in the order of ``state_tracker``."""
-    return _keyed(events, delay, "event_type", "value").applyInPandasWithState(_accumulate(threshold), FIRED, f"total double, {WAITING}", "append", "EventTimeTimeout")
-
-
-PHASED = "day date, active long, phase string"
-
-
-def _phase(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    history = list(state.get[0]) if state.exists else []
-    out = []
-    for _, r in pd.concat(list(frames)).sort_values("day").iterrows():
-        history = (history + [int(r["active"])])[-14:]
-        active, p = history[-1], history[-1] / key[0]
-        before = history[-3] if len(history) > 2 else None
-        if before is None or p < 0.01:
-            phase = "PRE_EPIDEMIC"
-        elif p < 0.05:
-            phase = "EXPONENTIAL_GROWTH" if active > before * 1.5 else "PRE_EPIDEMIC"
-        elif p < 0.20:
-            phase = "EXPONENTIAL_GROWTH" if active > before * 1.2 else "DECLINE" if active < before * 0.8 else "PEAK"
-        elif p < 0.40:
-            phase = "PEAK" if active > before * 1.1 else "DECLINE"
-        else:
-            phase = "DECLINE"
-        out.append((r["day"], active, phase))
-    state.update((history,))
-    yield pd.DataFrame(out, columns=["day", "active", "phase"])
-
-
-def phase_tracker(daily: DataFrame) -> DataFrame:
-    """Phase of each finished day (population, day, active), with 14 days of state per population."""
-    return daily.groupBy("population").applyInPandasWithState(_phase, PHASED, "history array<long>", "append", "NoTimeout")
-
-
-def start_history_sink(stream: DataFrame, path: str, checkpoint: str, keys: list[str], by: str = "day") -> StreamingQuery:
-    """Keeps one row per key under ``path``, partitioned by ``by``; a batch that is replayed changes nothing.
-
-    A batch rewrites the partitions it touches. A partition that can't be read fails the
-    batch; it is never taken for an empty one.
-    """
-    spark = stream.sparkSession
-    spark.createDataFrame([], stream.schema).write.partitionBy(by).mode("ignore").parquet(path)
-
-    def merge(batch: DataFrame, epoch: int) -> None:
-        new = stage(batch, "history-batch")
-        touched = F.broadcast(new.select(by).distinct())  # the days of one batch
-        old = batch.sparkSession.read.schema(stream.schema).parquet(path).join(touched, by, "left_semi").select(*stream.columns)
-        merged = stage(merge_history(old, new, keys), "history-merged")
-        merged.write.partitionBy(by).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
-
-    return stream.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
