@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from popgraph.functions.draws import uniform
 from popgraph.plans.components import connected_components as components
 from popgraph.plans.ranks import global_rank, rank_in_groups
+from popgraph.plans.stage import stage
 
 EDGE = ["agent_1", "agent_2", "edge_type", "contact_rate"]
 LAYERS = ("household", "contact", "cluster", "work", "school", "community")
@@ -35,13 +38,6 @@ def _meet(ranked: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
     return canonical_pairs(asked.join(peer, [*keys, "_to"]), "agent_id", "_peer")
 
 
-def ring_edges(agents: DataFrame, keys: list[str], offsets: list[int], edge_type: str, rate: float) -> DataFrame:
-    """Peers of a group at fixed rank offsets: linear in the group, never all its pairs."""
-    ranked = rank_in_groups(agents.select("agent_id", *keys), keys, "agent_id", "_r", "_n")
-    to = ranked.withColumn("_to", F.explode(F.array(*[F.lit(k) for k in offsets]))).withColumn("_to", F.pmod(F.col("_r") + F.col("_to"), F.col("_n")))
-    return _meet(ranked, to, keys).withColumn("edge_type", F.lit(edge_type)).withColumn("contact_rate", F.lit(rate))
-
-
 def _drawn_peers(ranked: DataFrame, salt: str) -> DataFrame:
     """``ranked`` with ``_to``: the ranks of two to four different peers of each member, all others in smaller groups."""
     others = F.col("_n") - 1
@@ -58,16 +54,23 @@ def network_edges(agents: DataFrame, keys: list[str], edge_type: str, rate: floa
     return _meet(ranked, _drawn_peers(ranked, edge_type), keys).withColumn("edge_type", F.lit(edge_type)).withColumn("contact_rate", F.lit(rate))
 
 
-def group_edges(agents: DataFrame, keys: list[str], small: int = 20) -> DataFrame:
+#: Members up to which all pairs of a named group are looked at.
+SMALL_GROUP = 20
+
+
+def _dense_pairs(few: DataFrame, keys: list[str]) -> DataFrame:
+    """Each pair of a small group with chance 0.4."""
+    pairs = few.select("agent_id", *keys).join(few.select(F.col("agent_id").alias("_peer"), *keys), keys).where("agent_id < _peer")
+    kept = pairs.where(uniform(F.concat_ws("-", "agent_id", "_peer"), "cluster") < 0.4)
+    return canonical_pairs(kept, "agent_id", "_peer").select("agent_1", "agent_2", F.lit("cluster").alias("edge_type"), F.lit(0.60).alias("contact_rate"))
+
+
+def group_edges(agents: DataFrame, keys: list[str], small: int = SMALL_GROUP) -> DataFrame:
     """Contacts in a named group: up to ``small`` members each pair with chance 0.4, larger ones two to four drawn peers a member."""
     ranked = rank_in_groups(agents.select("agent_id", *keys), keys, "agent_id", "_r", "_n")
     few, many = ranked.where(F.col("_n") <= small), ranked.where(F.col("_n") > small)
-    other = few.select(F.col("agent_id").alias("_peer"), *keys)
-    pairs = few.join(other, keys).where("agent_id < _peer")
-    kept = pairs.where(uniform(F.concat_ws("-", "agent_id", "_peer"), "cluster") < 0.4)
-    dense = canonical_pairs(kept, "agent_id", "_peer").withColumn("contact_rate", F.lit(0.60))
-    sparse = _meet(many, _drawn_peers(many, "cluster"), keys).withColumn("contact_rate", F.lit(0.50))
-    return dense.unionByName(sparse).select("agent_1", "agent_2", F.lit("cluster").alias("edge_type"), "contact_rate")
+    sparse = _meet(many, _drawn_peers(many, "cluster"), keys).select("agent_1", "agent_2", F.lit("cluster").alias("edge_type"), F.lit(PEER_RATES["cluster"]).alias("contact_rate"))
+    return _dense_pairs(few, keys).unionByName(sparse)
 
 
 def link_edges(cases: DataFrame) -> DataFrame:
@@ -99,20 +102,55 @@ def without(edges: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def repair_isolated(agents: DataFrame, edges: DataFrame, rate: float = 0.40) -> DataFrame:
-    """Two community edges for every entity without edges, to linked entities of lowest degree.
+    """Two community edges for every entity without edges, to entities of lowest degree.
 
-    The r-th of the isolated takes the linked entities 2r and 2r + 1 in order of degree and
-    id, from the start again where there are fewer.
+    All entities stand in order of degree and id, so the isolated come first; the r-th of
+    them takes those at places 2r + 1 and 2r + 2, from the start again beyond the last.
     """
-    deg = degrees(agents, edges)
-    lone = global_rank(deg.where("degree = 0").select("agent_id"), ["agent_id"], "_r")
-    linked = global_rank(deg.where("degree > 0").select("degree", F.col("agent_id").alias("_other")), ["degree", "_other"], "_c")
-    size = linked.agg(F.count(F.lit(1)).alias("_m")).where("_m > 0")
-    picks = lone.crossJoin(F.broadcast(size)).withColumn("_c", F.explode(F.array(F.pmod(2 * F.col("_r"), F.col("_m")), F.pmod(2 * F.col("_r") + 1, F.col("_m")))))
-    pairs = canonical_pairs(picks.join(linked, "_c"), "agent_id", "_other")
+    pool = stage(global_rank(degrees(agents, edges), ["degree", "agent_id"], "_c"), "network-degrees")
+    size = pool.agg(F.count(F.lit(1)).alias("_m"))  # one row
+    lone = pool.where("degree = 0").crossJoin(F.broadcast(size))
+    picks = lone.withColumn("_c", F.explode(F.array(F.pmod(2 * F.col("_c") + 1, F.col("_m")), F.pmod(2 * F.col("_c") + 2, F.col("_m"))))).select("agent_id", "_c")
+    pairs = canonical_pairs(picks.join(pool.select("_c", F.col("agent_id").alias("_other")), "_c"), "agent_id", "_other")
     return pairs.withColumn("edge_type", F.lit("community")).withColumn("contact_rate", F.lit(rate))
 
 
+#: Contact rates of drawn peers by layer.
+PEER_RATES = {"cluster": 0.50, "work": 0.70, "school": 0.65}
+
+
+def build_contact_network(agents: DataFrame, links: DataFrame, household: str = "household_id", groups: dict[str, str] | None = None, repair: bool = True) -> DataFrame:
+    """The whole contact network: (agent_1, agent_2, edge_type, contact_rate), one edge a pair.
+
+    Layers in order: complete households, ``links`` (edges named in texts, one a pair),
+    contacts in named groups, at work and at school; a pair that an earlier layer has is
+    skipped by the later ones. ``groups``: the column of ``agents`` that names the group of
+    each of the layers cluster, work and school; null is no group. At last entities
+    without any edge get two community edges. An entity in no layer is isolated too; an
+    empty table of agents gives an empty network. Ids must not repeat.
+    """
+    groups = groups or {"cluster": "cluster", "work": "work_network", "school": "school_network"}
+    own = F.explode(F.array(*[F.struct(F.lit(layer).alias("layer"), F.col(c).cast("string").alias("group")) for layer, c in groups.items()]))
+    members = agents.select("agent_id", own.alias("_g")).select("agent_id", "_g.layer", "_g.group").where("group is not null")
+    keys = ["layer", "group"]
+    ranked = stage(rank_in_groups(members, keys, "agent_id", "_r", "_n"), "network-members")
+    sparse = (F.col("layer") != "cluster") | (F.col("_n") > SMALL_GROUP)
+    asked = [_drawn_peers(ranked.where(sparse & (F.col("layer") == layer)), layer) for layer in groups]
+    asked = reduce(DataFrame.unionByName, asked)
+    peer = ranked.select(F.col("agent_id").alias("_peer"), F.col("_r").alias("_to"), *keys)
+    drawn = asked.join(peer, [*keys, "_to"]).where("agent_id <> _peer")
+    rate = F.coalesce(*[F.when(F.col("layer") == layer, F.lit(r)) for layer, r in PEER_RATES.items()])
+    drawn = drawn.select(F.least("agent_id", "_peer").alias("agent_1"), F.greatest("agent_id", "_peer").alias("agent_2"), F.col("layer").alias("edge_type"), rate.alias("contact_rate"))
+    layers = [household_edges(agents, household), links.select(*EDGE), _dense_pairs(ranked.where(~sparse), keys), drawn]
+    place = [F.lit(0), F.lit(1), F.lit(2), F.array_position(F.array(*[F.lit(x) for x in groups]), F.col("edge_type")).cast("int") + 1]
+    every = reduce(DataFrame.unionByName, [e.withColumn("_layer", p) for e, p in zip(layers, place, strict=True)])
+    best = every.groupBy("agent_1", "agent_2").agg(F.min(F.struct("_layer", "edge_type", "contact_rate")).alias("_e")).select("agent_1", "agent_2", "_e.edge_type", "_e.contact_rate")
+    if not repair:
+        return best
+    best = stage(best, "network")
+    return best.unionByName(repair_isolated(agents, best))
+
+
 def neighbors(edges: DataFrame) -> DataFrame:
     """Both directions of every edge: (agent_id, other_id, edge_type, contact_rate)."""
     there = edges.select(F.col("agent_1").alias("agent_id"), F.col("agent_2").alias("other_id"), "edge_type", "contact_rate")

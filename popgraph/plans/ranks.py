@@ -9,14 +9,22 @@ from pyspark.sql import functions as F
 from popgraph.plans.stage import stage
 
 
+def dealt_in_ranges(df: DataFrame, order: list) -> DataFrame:
+    """``df`` as a written table with ``_range``, the number of the range of ``order`` that a row is in.
+
+    Ranges are about equal in rows, whatever the values. They are written, since they are
+    drawn anew whenever they are computed.
+    """
+    return stage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranks")
+
+
 def global_rank(df: DataFrame, order: list, out: str) -> DataFrame:
     """``df`` with ``out``: place from 0 in the order of columns ``order``.
 
     Rows are dealt to ranges and ranked inside them; the rows of earlier ranges are
-    counted in a table with one row per range. The ranges are written first, since they
-    are drawn anew whenever they are computed.
+    counted in a table with one row per range.
     """
-    dealt = stage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranks")
+    dealt = dealt_in_ranges(df, order)
     sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
     before = F.coalesce(F.sum("_size").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ranked = dealt.join(F.broadcast(sizes.select("_range", before.alias("_before"))), "_range")  # one row per range
@@ -24,13 +32,14 @@ def global_rank(df: DataFrame, order: list, out: str) -> DataFrame:
     return ranked.withColumn(out, place).drop("_range", "_before")
 
 
-def rank_in_groups(df: DataFrame, keys: list[str], id_col: str, out: str, size: str, width: int = 1 << 16) -> DataFrame:
-    """``df`` with ``out``, place from 0 in the order of the integer ``id_col`` within ``keys``, and ``size`` of the group.
+def rank_in_groups(df: DataFrame, keys: list[str], id_col: str, out: str, size: str) -> DataFrame:
+    """``df`` with ``out``, place from 0 in the order of ``id_col`` within ``keys``, and ``size`` of the group.
 
-    A group is ranked in ranges of ``width`` ids, so that one with a third of all rows is
-    spread over many tasks. Rows with a null key are left out.
+    The rows are dealt to ranges of (keys, id), so a group with a third of them is spread
+    over as many ranges as its rows need, and a window over the ranges of a group has at
+    most one row for each of them. Rows with a null key are left out.
     """
-    ranged = df.withColumn("_range", F.floor(F.col(id_col) / width))
+    ranged = dealt_in_ranges(df.dropna(subset=keys), [*keys, id_col])
     sizes = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_size"))
     of = W.partitionBy(*keys)
     before = F.coalesce(F.sum("_size").over(of.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from popgraph.operators import network as N
-from popgraph.queries.base import U, agents, edges, neighbors, query, read, states
+from popgraph.queries.base import RANKED, U, agents, edges, members, neighbors, peers, query, read, states, typed_links
 
 
 @query("SELECT agent_1, agent_2, edge_type, contact_rate FROM hh")
@@ -19,53 +19,36 @@ def cases(s, d):
     return o.select(F.col("o_orderkey").alias("case"), F.col("o_orderdate").cast("date").alias("date"), link.alias("link"))
 
 
-@query(""", cs AS (SELECT o_orderkey AS "case", 'linked to case ' || (o_orderkey - o_custkey % 50) || CASE o_orderkey % 3 WHEN 0 THEN ', family' WHEN 1 THEN ' at work with 12' ELSE ', seen near S12 and 9b, colleague' END AS link FROM orders),
-m AS (SELECT "case", link, pos, TRY_CAST(n AS BIGINT) AS o FROM (SELECT "case", link, unnest(regexp_extract_all(link, '\\b\\d+\\b')) AS n, unnest(range(len(regexp_extract_all(link, '\\b\\d+\\b')))) AS pos FROM cs)),
-t AS (SELECT least("case", o) AS agent_1, greatest("case", o) AS agent_2, CASE WHEN link LIKE '%family%' THEN 'household' WHEN link LIKE '%work%' THEN 'work' ELSE 'contact' END AS edge_type, "case", pos FROM m WHERE o IN (SELECT "case" FROM cs) AND o <> "case")
-SELECT agent_1, agent_2, edge_type, CASE edge_type WHEN 'household' THEN 0.95 WHEN 'work' THEN 0.70 ELSE 0.60 END::DOUBLE AS contact_rate FROM t QUALIFY row_number() OVER (PARTITION BY agent_1, agent_2 ORDER BY "case", pos) = 1""")
+@query(""", cs AS (SELECT o_orderkey AS "case", 'linked to case ' || (o_orderkey - o_custkey % 50) || CASE o_orderkey % 3 WHEN 0 THEN ', family' WHEN 1 THEN ' at work with 12' ELSE ', seen near S12 and 9b, colleague' END AS link FROM orders) """ + typed_links("cs"))
 def c2_link_edges(s, d):
     return N.link_edges(cases(s, d))
 
 
-def _peers(g, rate, kind):
-    """Drawn peers of the groups of table ``g`` (agent_id, key, r, n)."""
-    u = lambda salt: U.format(f"{kind}-{salt}", "x.agent_id")
-    return f"""SELECT DISTINCT least(x.agent_id, y.agent_id) AS agent_1, greatest(x.agent_id, y.agent_id) AS agent_2, '{kind}' AS edge_type, {rate}::DOUBLE AS contact_rate
-FROM {g} x JOIN (VALUES (0), (1), (2), (3)) o(k) ON x.n > 1 AND o.k < least(floor({u('n')} * 3) + 2, x.n - 1)
-JOIN {g} y ON y.key = x.key AND y.r = CAST(x.r + (floor({u('first')} * (x.n - 1)) + o.k * greatest((x.n - 1) // 4, 1)) % (x.n - 1) + 1 AS BIGINT) % x.n"""
-
-
-_RANKED = "row_number() OVER (PARTITION BY {0} ORDER BY agent_id) - 1 AS r, count(*) OVER (PARTITION BY {0}) AS n"
-
-
-@query(f""", g AS (SELECT agent_id, key, {_RANKED.format('key')} FROM (SELECT agent_id, CASE WHEN agent_id % 3 = 0 THEN -1 - region ELSE agent_id // 12 END AS key FROM agents)), many AS (SELECT * FROM g WHERE n > 20), few AS (SELECT * FROM g WHERE n <= 20),
-c3 AS (SELECT x.agent_id AS agent_1, y.agent_id AS agent_2, 'cluster' AS edge_type, 0.60::DOUBLE AS contact_rate FROM few x JOIN few y ON x.key = y.key AND x.agent_id < y.agent_id WHERE {U.format('cluster', "(x.agent_id || '-' || y.agent_id)")} < 0.4 UNION ALL {_peers('many', 0.50, 'cluster')})
+@query(f""", g AS (SELECT agent_id, key, {RANKED.format('key')} FROM (SELECT agent_id, CASE WHEN agent_id % 3 = 0 THEN -1 - region ELSE agent_id // 12 END AS key FROM agents)), many AS (SELECT * FROM g WHERE n > 20), few AS (SELECT * FROM g WHERE n <= 20),
+c3 AS (SELECT x.agent_id AS agent_1, y.agent_id AS agent_2, 'cluster' AS edge_type, 0.60::DOUBLE AS contact_rate FROM few x JOIN few y ON x.key = y.key AND x.agent_id < y.agent_id WHERE {U.format('cluster', "(x.agent_id || '-' || y.agent_id)")} < 0.4 UNION ALL {peers('many', 0.50, 'cluster')})
 SELECT * FROM c3 WHERE NOT EXISTS (SELECT 1 FROM hh WHERE hh.agent_1 = c3.agent_1 AND hh.agent_2 = c3.agent_2)""")
 def c3_group_edges(s, d):
     a = agents(s, d).withColumn("group", F.when(F.col("agent_id") % 3 == 0, -1 - F.col("region")).otherwise(F.floor(F.col("agent_id") / 12)))
     return N.without(N.group_edges(a, ["group"]), N.household_edges(a))
 
 
-_SCHOOL = f"sg AS (SELECT agent_id, key, {_RANKED.format('key')} FROM (SELECT agent_id, region * 10 + age // 6 AS key FROM agents WHERE age BETWEEN 6 AND 17))"
+@query("SELECT * FROM sk")
+def c4_school_edges(s, d):
+    return N.network_edges(members(s, d).dropna(subset=["school_network"]), ["school_network"], "school", 0.65)
 
 
-def school(s, d):
-    a = agents(s, d).where("age between 6 and 17").withColumn("grade", F.col("region") * 10 + F.floor(F.col("age") / 6))
-    return N.network_edges(a, ["grade"], "school", 0.65)
+def work(s, d):
+    return N.network_edges(members(s, d).dropna(subset=["work_network"]), ["work_network"], "work", 0.70)
 
 
-@query(f", {_SCHOOL} {_peers('sg', 0.65, 'school')}")
-def c4_school_edges(s, d):
-    return school(s, d)
+@query("SELECT * FROM wk")
+def c4_work_edges(s, d):
+    return work(s, d)
 
 
-@query(f", {_SCHOOL}, few AS ({_peers('sg', 0.65, 'school')})" + """, dg AS (SELECT a.agent_id, count(x.agent_id) AS degree FROM agents a LEFT JOIN (SELECT agent_1 AS agent_id FROM few UNION ALL SELECT agent_2 FROM few) x ON a.agent_id = x.agent_id GROUP BY a.agent_id),
-lone AS (SELECT agent_id, row_number() OVER (ORDER BY agent_id) - 1 AS r FROM dg WHERE degree = 0),
-pool AS (SELECT agent_id AS other, row_number() OVER (ORDER BY degree, agent_id) - 1 AS c, count(*) OVER () AS m FROM dg WHERE degree > 0),
-pick AS (SELECT agent_id, (2 * r + k) % (SELECT max(m) FROM pool) AS c FROM lone, (VALUES (0), (1)) o(k))
-SELECT DISTINCT least(agent_id, other) AS agent_1, greatest(agent_id, other) AS agent_2, 'community' AS edge_type, 0.40::DOUBLE AS contact_rate FROM pick JOIN pool USING (c)""")
+@query("SELECT * FROM net_lone")
 def c5_repair_isolated(s, d):
-    return N.repair_isolated(agents(s, d), school(s, d))
+    return N.repair_isolated(agents(s, d), edges(s, d, repair=False))
 
 
 @query("SELECT agent_1, agent_2, edge_type, contact_rate FROM edges")
@@ -144,7 +127,7 @@ def d10_connected_components(s, d):
 @query("SELECT agent_1, agent_2, edge_type, contact_rate FROM hh UNION ALL SELECT agent_1, agent_2, edge_type, contact_rate FROM wk")
 def g1_union_layers(s, d):
     a = agents(s, d)
-    return N.household_edges(a).unionByName(N.ring_edges(a, ["region", "occupation"], [1, 3], "work", 0.70))
+    return N.household_edges(a).unionByName(work(s, d))
 
 
 @query("SELECT DISTINCT least(agent_id, other_id) AS agent_1, greatest(agent_id, other_id) AS agent_2 FROM nb")
@@ -155,7 +138,7 @@ def g2_canonical_pairs(s, d):
 @query("SELECT agent_id FROM agents WHERE agent_id NOT IN (SELECT agent_1 FROM wk UNION SELECT agent_2 FROM wk)")
 def g3_set_difference(s, d):
     a = agents(s, d)
-    ends = N.neighbors(N.ring_edges(a, ["region", "occupation"], [1, 3], "work", 0.70)).select("agent_id")
+    ends = N.neighbors(work(s, d)).select("agent_id")
     return a.select("agent_id").join(ends, "agent_id", "left_anti")
 
 
