@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -174,21 +176,84 @@ def largest_groups(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_c")).orderBy(F.desc("_c"), key).limit(n).select(key)
 
 
-def scenario_cohorts(agents: DataFrame, k: int) -> DataFrame:
-    """(scenario, agent_id, rank): ``k`` entities of each scenario, drawn by a hash of id and scenario."""
-    member = {
-        "imported": agents.where("is_imported"),
-        "dormitory": agents.where(F.lower("cluster").contains("dorm")),
-        "household": agents.join(F.broadcast(largest_groups(agents, "household_id", 3)), "household_id", "left_semi"),
-        "workplace": agents.join(F.broadcast(largest_groups(agents, "region", 1)), "region", "left_semi"),
-        "essential": agents.where(F.col("occupation").isin("healthcare_worker", "retail_worker")),
-    }
-    out = None
-    for name, rows in member.items():
-        first = rows.select("agent_id", uniform(F.col("agent_id"), name).alias("_u")).orderBy("_u", "agent_id").limit(k)
-        first = first.select(F.lit(name).alias("scenario"), "agent_id", F.row_number().over(W.orderBy("_u", "agent_id")).alias("rank"))  # k rows
-        out = first if out is None else out.unionByName(first)
-    return out
+# Occupations that count as essential and how scenarios begin.
+ESSENTIAL = ("healthcare_worker", "service_worker", "retail_worker")
+SCENARIOS = ("imported_cases", "dormitory_cluster", "community_clusters", "circuit_breaker", "community")
+
+
+def _drawn(rows: DataFrame, salt: str, most: int) -> DataFrame:
+    """(agent_id, household_id, _r, _n): the first ``most`` rows in the order of a hash, their place from 1 and the number of all rows."""
+    u = uniform(F.col("agent_id"), salt)
+    first = rows.select("agent_id", "household_id", u.alias("_u")).orderBy("_u", "agent_id").limit(most)
+    ranked = first.withColumn("_r", F.row_number().over(W.orderBy("_u", "agent_id"))).drop("_u")  # ``most`` rows
+    return ranked.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("_n"))))
+
+
+def _drawn_in(rows: DataFrame, key: str, salt: str, most: int) -> DataFrame:
+    """The same within each value of ``key``, without ``_n``; ranks beyond ``most`` are cut in every task before rows meet."""
+    order = W.partitionBy(key).orderBy(uniform(F.col("agent_id"), salt), "agent_id")
+    return rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most)
+
+
+def _begin(rows: DataFrame, scenario: str, infected: Column, exposed: Column | int = 0) -> DataFrame:
+    """The first ``infected`` places are I, the next ``exposed`` are E."""
+    told = rows.withColumn("role", F.when(F.col("_r") <= infected, "I").when(F.col("_r") <= infected + exposed, "E"))
+    return told.where("role is not null").select(F.lit(scenario).alias("scenario"), "agent_id", "household_id", "role")
+
+
+def scenario_cohorts(agents: DataFrame) -> DataFrame:
+    """(scenario, agent_id, role, days_in_state): who is infected (I) or exposed (E) when a scenario begins.
+
+    ``agents``: agent_id, household_id, work_network (null: none), cluster, occupation and
+    is_imported. Draws follow a hash of id and scenario, without repetition: the exposed
+    are drawn from those left. ``imported_cases``: 3 of the imported and 2 exposed of them;
+    ``dormitory_cluster``: 8 to 12 (a twentieth) of the dormitories and up to 15 exposed if
+    10 are left; ``community_clusters``: in the three largest households a third, 1 or 2,
+    and up to 2 exposed, then 3 of those left in the largest workplace;
+    ``circuit_breaker``: 4 essential workers and up to 2 exposed in each of their
+    households; ``community``: 3 of all and 2 exposed. Where a scenario has too few to draw
+    from (3, 10, -, 3), it begins with 3, 8, -, 3 of all. Fewer rows than wanted are all
+    taken; among groups of one size the smaller key comes first. Infected have been so
+    for 2 to 6 days, exposed for 1 to 3.
+    """
+    anyone = lambda scenario, k: _drawn(agents, f"{scenario}-any", k)
+    n = F.col("_n")
+    out = []
+
+    name = SCENARIOS[0]
+    imported = _drawn(agents.where("is_imported"), name, 5)
+    out.append(_begin(imported.where(n >= 3), name, F.lit(3), F.when(n - 3 >= 2, 2).otherwise(0)))
+    few = agents.where("is_imported").agg(F.count(F.lit(1)).alias("_few")).where("_few < 3")
+    out.append(_begin(anyone(name, 3).crossJoin(F.broadcast(few)), name, F.lit(3)))
+
+    name = SCENARIOS[1]
+    dormitory = agents.where(F.lower("cluster").contains("dorm"))
+    ill = F.least(F.lit(12), F.greatest(F.lit(8), F.floor(n / 20)))
+    out.append(_begin(_drawn(dormitory, name, 27).where(n >= 10), name, ill, F.when(n - ill >= 10, F.least(F.lit(15), n - ill)).otherwise(0)))
+    few = dormitory.agg(F.count(F.lit(1)).alias("_few")).where("_few < 10")
+    out.append(_begin(anyone(name, 8).crossJoin(F.broadcast(few)), name, F.lit(8)))
+
+    name = SCENARIOS[2]
+    sizes = agents.where("household_id is not null").groupBy("household_id").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "household_id").limit(3)
+    homes = _drawn_in(agents.join(F.broadcast(sizes), "household_id"), "household_id", name, 4)
+    ill = F.least(F.lit(2), F.greatest(F.lit(1), F.floor(n / 3)))
+    homes = _begin(homes, name, ill, F.least(F.lit(2), n - ill))
+    left = agents.where("work_network is not null").join(F.broadcast(homes.select("agent_id")), "agent_id", "left_anti")  # twelve rows at most
+    place = F.broadcast(largest_groups(left, "work_network", 1))
+    out += [homes, _begin(_drawn(left.join(place, "work_network", "left_semi"), f"{name}-work", 3), name, F.lit(3))]
+
+    name = SCENARIOS[3]
+    essential = agents.where(F.col("occupation").isin(*ESSENTIAL))
+    few = essential.agg(F.count(F.lit(1)).alias("_few")).where("_few < 3")
+    ill = _begin(_drawn(essential, name, 4).where(n >= 3), name, F.lit(4)).unionByName(_begin(anyone(name, 3).crossJoin(F.broadcast(few)), name, F.lit(3)))
+    near = agents.join(F.broadcast(ill.select("household_id").distinct()), "household_id", "left_semi").join(F.broadcast(ill.select("agent_id")), "agent_id", "left_anti")
+    out += [ill, _begin(_drawn_in(near, "household_id", f"{name}-home", 2), name, F.lit(0), F.lit(2))]
+
+    name = SCENARIOS[4]
+    out.append(_begin(anyone(name, 5), name, F.lit(3), F.when(n - 3 >= 2, 2).otherwise(0)))
+
+    days = F.when(F.col("role") == "I", 2 + F.floor(5 * uniform(F.concat_ws("-", "scenario", "agent_id"), "days"))).otherwise(1 + F.floor(3 * uniform(F.concat_ws("-", "scenario", "agent_id"), "days")))
+    return reduce(DataFrame.unionByName, out).select("scenario", "agent_id", "role", days.cast("int").alias("days_in_state"))
 
 
 def keep_top_labels(df: DataFrame, col: str, k: int, otherwise: str) -> DataFrame:
@@ -203,7 +268,37 @@ def category_counts(df: DataFrame, col: str) -> DataFrame:
     return c.crossJoin(F.broadcast(c.agg(F.sum("n").alias("_t")))).select("category", "n", F.round(F.col("n") / F.col("_t"), 6).alias("share"))  # one row of total
 
 
-def extract_json(text: Column, schema: str, defaults: dict) -> list[Column]:
-    """Fields of the first flat JSON object inside a text, with defaults where absent or broken."""
-    found = F.from_json(F.nullif(F.regexp_extract(text, r"\{[^{}]*\}", 0), F.lit("")), schema)
-    return [F.coalesce(found[name], F.lit(value)).alias(name) for name, value in defaults.items()]
+def json_in_text(text: Column, bounds: str = "{}") -> Column:
+    """VARIANT of the JSON between the first and the last of ``bounds`` in a text; null where there is none or it is broken.
+
+    It is read as the only item of an array, since the parser does not mind what follows a value.
+    """
+    span = F.nullif(F.regexp_extract(text, rf"(?s)\{bounds[0]}.*\{bounds[1]}", 0), F.lit(""))
+    items = F.try_parse_json(F.concat(F.lit("["), span, F.lit("]")))
+    return F.when(F.try_variant_get(items, "$[1]", "variant").isNull(), F.try_variant_get(items, "$[0]", "variant"))
+
+
+def extract_json(text: Column, fields: dict[str, str], defaults: dict, without: dict | None = None) -> list[Column]:
+    """Fields of the JSON object inside a text, nested values included.
+
+    ``fields``: name to type; of type ``json`` the value comes as text. A field that is
+    absent, null or of another type, and every field of a broken object, has its value of
+    ``defaults``; a text without braces has the values of ``without``, if given.
+    """
+    found = json_in_text(text)
+    none = ~text.contains("{") | ~text.contains("}") | text.isNull()
+    out = []
+    for name, kind in fields.items():
+        path = f"$['{name}']"
+        value = F.to_json(F.try_variant_get(found, path, "variant")) if kind == "json" else F.try_variant_get(found, path, kind)
+        value = F.coalesce(F.nullif(value, F.lit("null")) if kind == "json" else value, F.lit(defaults[name]))
+        out.append((F.when(none, F.lit(without[name])).otherwise(value) if without else value).alias(name))
+    return out
+
+
+def extract_json_rows(df: DataFrame, text: str, key: str, fields: dict[str, str]) -> DataFrame:
+    """A row for each object with field ``key`` in the JSON array inside column ``text``: the other columns of ``df``, ``key`` and ``fields`` (null where absent)."""
+    items = F.explode(F.try_variant_get(json_in_text(F.col(text), "[]"), "$", "array<variant>"))
+    rows = df.select(*[c for c in df.columns if c != text], items.alias("_item"))
+    get = lambda name, kind: F.try_variant_get("_item", f"$['{name}']", kind).alias(name)
+    return rows.select(*[c for c in df.columns if c != text], get(key, "string"), *[get(n, k) for n, k in fields.items()]).where(F.col(key).isNotNull())

@@ -134,14 +134,16 @@ def dashboard(modularity: DataFrame, coherence: DataFrame, silhouette: DataFrame
 
 
 def fuse_embeddings(df: DataFrame, id_col: str, parts: dict[str, float], width: int) -> DataFrame:
-    """(id, fused): parts standardized per dimension, cut or padded to ``width``, normalized, weighed and normalized.
+    """(id, fused): parts standardized per dimension, padded to ``width``, normalized, weighed and normalized.
 
-    Weights are divided by their sum; a constant dimension is only centred.
+    Weights are divided by their sum; a constant dimension is only centred. A part wider
+    than ``width`` raises: nothing is cut off.
     """
     total = sum(parts.values())
     out = None
     for name, weight in parts.items():
-        x = long_vectors(df, id_col, name).where(F.col("pos") < width)
+        x = long_vectors(df, id_col, name)
+        x = x.withColumn("pos", F.when(F.col("pos") < width, F.col("pos")).otherwise(F.raise_error(F.lit(f"{name} is wider than {width}"))))
         s = x.groupBy("pos").agg(F.avg("x").alias("_m"), F.stddev_pop("x").alias("_s"))
         z = x.join(s, "pos").select(id_col, "pos", ((F.col("x") - F.col("_m")) / F.when(F.col("_s") < 1e-9, 1.0).otherwise(F.col("_s"))).alias("z"))
         norm = z.groupBy(id_col).agg(F.sqrt(F.sum(F.col("z") * F.col("z"))).alias("_n"))

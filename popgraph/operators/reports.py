@@ -116,18 +116,24 @@ def aggregate_traces(traces: DataFrame, key: str, order: list[str], role: str) -
     return traces.groupBy(key).agg(F.count(F.lit(1)).alias("turns"), F.countDistinct(role).alias("roles"), F.array_join(path, ">").alias("path"))
 
 
-def tool_usage(calls: DataFrame, key: str, tool: str, decision: str, groups: dict[str, list[str]] = TOOL_GROUPS) -> DataFrame:
-    """Per entity: calls, calls per decision, diversity, distinct tools, share of each group of tools and the count of each tool."""
-    by = calls.groupBy(key, tool).agg(F.count(F.lit(1)).alias("_c"))
+def tool_usage(talks: DataFrame, key: str, scenario: str, tools: str, groups: dict[str, list[str]] = TOOL_GROUPS) -> DataFrame:
+    """Per entity, those that use no tool included: calls, distinct tools, diversity, share of each group of tools, count of each tool, decisions, scenarios and calls per decision.
+
+    ``talks``: one row a conversation, which is a decision, with an array of the names of
+    its calls; null and empty arrays are conversations without one.
+    """
+    by = talks.select(key, F.explode(tools).alias("_tool")).where("_tool is not null").groupBy(key, "_tool").agg(F.count(F.lit(1)).alias("_c"))
     total = by.groupBy(key).agg(F.sum("_c").alias("_t"))
     p = F.col("_c") / F.col("_t")
-    share = [F.round(F.sum(F.when(F.col(tool).isin(*names), F.col("_c")).otherwise(0)) / F.first("_t"), 3).alias(f"{name}_ratio") for name, names in groups.items()]
+    share = [F.round(F.sum(F.when(F.col("_tool").isin(*names), F.col("_c")).otherwise(0)) / F.first("_t"), 3).alias(f"{name}_ratio") for name, names in groups.items()]
     used = by.join(total, key).groupBy(key).agg(
         F.first("_t").alias("calls"), F.count(F.lit(1)).alias("tools"), F.round(-F.sum(p * F.log(p + 1e-10)), 3).alias("diversity"), *share,
-        F.map_from_entries(F.collect_list(F.struct(tool, "_c"))).alias("breakdown"),
+        F.map_from_entries(F.collect_list(F.struct("_tool", "_c"))).alias("breakdown"),
     )
-    decided = calls.groupBy(key).agg(F.countDistinct(decision).alias("decisions"))
-    return used.join(decided, key).withColumn("per_decision", F.round(F.col("calls") / F.greatest("decisions", F.lit(1)), 2))
+    decided = talks.groupBy(key).agg(F.count(F.lit(1)).alias("decisions"), F.countDistinct(scenario).alias("scenarios"))
+    none = {"calls": 0, "tools": 0, "diversity": 0.0, **{f"{name}_ratio": 0.0 for name in groups}}
+    every = decided.join(used, key, "left").na.fill(none).withColumn("breakdown", F.coalesce("breakdown", F.create_map().cast("map<string,bigint>")))
+    return every.withColumn("per_decision", F.round(F.col("calls") / F.col("decisions"), 2))
 
 
 def text_diversity(docs: DataFrame, text: str, low: float = 0.5) -> DataFrame:

@@ -106,11 +106,23 @@ def transition_probability(state: Column, days: Column, age: Column, vaccination
     }
 
 
-def fuse(symbolic: Column, neural: Column, conf_s: Column, conf_n: Column, multiplier: Column, cap: Column) -> tuple[Column, Column]:
-    """(probability, confidence) of two sources weighed by confidence, harmonic mean of the confidences."""
+# Weights of the two sources without any confidence, the cap of all and those of transitions.
+UNSURE, CAP = (0.6, 0.4), 0.95
+CAPS = {"S->E": 0.10, "E->I": 0.25, "I->R": 0.35, "I->D": 0.02, "R->S": 0.03}
+
+
+def fuse(symbolic: Column, neural: Column, conf_s: Column, conf_n: Column, multiplier: Column, transition: Column | None = None) -> tuple[Column, Column]:
+    """(probability, confidence) of two sources weighed by confidence.
+
+    The confidence is the harmonic mean, or the larger where one is zero. ``transition``:
+    name of a transition whose cap holds beside that of all; other names have none.
+    """
     total = conf_s + conf_n
-    p = F.when(total > 0, (symbolic * conf_s + neural * conf_n) / total).otherwise((symbolic + neural) / 2)
-    return F.least(p * multiplier, cap), F.when(total > 0, 2 * conf_s * conf_n / total).otherwise(0.0)
+    weight = lambda c, otherwise: F.when(total > 0, c / total).otherwise(otherwise)
+    p = (weight(conf_s, UNSURE[0]) * symbolic + weight(conf_n, UNSURE[1]) * neural) * multiplier
+    caps = F.create_map(*[F.lit(x) for kv in CAPS.items() for x in kv])
+    cap = F.lit(CAP) if transition is None else F.coalesce(caps[transition], F.lit(CAP))
+    return F.least(p, F.lit(CAP), cap), F.when((conf_s > 0) & (conf_n > 0), 2 * conf_s * conf_n / total).otherwise(F.greatest(conf_s, conf_n))
 
 
 # Transmission and immunity.

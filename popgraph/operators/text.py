@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -109,9 +110,10 @@ def behaviour_pattern(text: Column) -> Column:
 
 
 def reasoning_text(text: Column) -> Column:
-    """Between ``REASONING:`` and ``ADJUSTMENT:``; the first 200 characters if that is under 20."""
-    part = F.trim(F.split_part(F.split_part(text, F.lit("REASONING:"), F.lit(2)), F.lit("ADJUSTMENT:"), F.lit(1)))
-    return F.when(F.length(part) >= 20, part).otherwise(F.substring(text, 1, 200))
+    """What follows ``REASONING:`` up to ``ADJUSTMENT:``, or without the former the first 200 characters; null unless longer than 20."""
+    marked = F.split_part(F.split_part(text, F.lit("REASONING:"), F.lit(2)), F.lit("ADJUSTMENT:"), F.lit(1))
+    said = F.when(text.contains("REASONING:"), F.regexp_replace(marked, r"^\s+|\s+$", "")).otherwise(F.substring(text, 1, 200))
+    return F.when(F.length(said) > 20, said)
 
 
 def parse_adjustment(text: Column) -> Column:
@@ -201,53 +203,128 @@ def insert_if_absent(existing: DataFrame, new: DataFrame, key: str = "id") -> Da
     return existing.unionByName(new.join(existing.select(key), key, "left_anti").dropDuplicates([key]))
 
 
-class _Sections(HTMLParser):
-    """Headings and the text blocks and lists that follow them."""
+#: What makes a container a section, and how long a section or a list has to be.
+SECTION_CLASS = re.compile("content|section|article|guideline", re.I)
+SHORTEST_SECTION, SHORTEST_LIST, FEWEST_ITEMS = 50, 100, 3
+HEADINGS = ("h1", "h2", "h3", "h4")
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_BLOCKS = frozenset("address article aside blockquote details div dl fieldset figure footer form header hr main menu nav ol p pre section table ul".split()) | frozenset(("h5", "h6", *HEADINGS))
+#: Tags whose start ends open ones of these names, and the tags that such a search does not leave.
+_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), **{h: HEADINGS for h in HEADINGS}}
+_WITHIN = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "option": ("select",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 
-    def __init__(self):
+
+class _Elements(HTMLParser):
+    """Elements of a page in the order of their starts, each with the span of its texts and of the elements inside.
+
+    Open elements are a stack. Starts that imply the end of others (a paragraph before a
+    block, an item before the next) close them; an end closes what is still open inside.
+    """
+
+    def __init__(self, html: str):
         super().__init__()
-        self.rows: list[tuple[str, str]] = []
-        self.heading, self.kind, self.items, self.text = "", None, [], []
+        self.texts: list[str] = []
+        self.elements: list[list] = []  # [tag, class or None, texts before, texts up to its end, elements up to its end]
+        self.stack: list[int] = []
+        self.data: list[str] = []
+        self.feed(html)
+        self.close()
+        self._text()
+        self._pop(0)
+
+    def _text(self) -> None:
+        said = "".join(self.data).strip()
+        self.data = []
+        if said:
+            self.texts.append(said)
+
+    def _pop(self, depth: int) -> None:
+        for at in self.stack[depth:]:
+            self.elements[at][3:] = [len(self.texts), len(self.elements)]
+        del self.stack[depth:]
+
+    def _end(self, tags: tuple[str, ...], within: tuple[str, ...] = ()) -> None:
+        """Closes the outermost open element of ``tags`` that is reached without leaving ``within``."""
+        found = None
+        for depth in range(len(self.stack) - 1, -1, -1):
+            tag = self.elements[self.stack[depth]][0]
+            if tag in within:
+                break
+            if tag in tags:
+                found = depth
+        if found is not None:
+            self._pop(found)
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("h1", "h2", "h3", "h4", "p", "li"):
-            self.kind, self.text = tag, []
-        elif tag in ("script", "style"):
-            self.kind = None
-        elif tag in ("ul", "ol"):
-            self.items = []
-
-    def handle_data(self, data):
-        if self.kind:
-            self.text.append(data)
+        self._text()
+        if tag in _BLOCKS:
+            self._end(("p",), ("table", "td", "th", "button"))
+        if tag in _ENDS:
+            self._end(_ENDS[tag], _WITHIN.get(tag, ("div", "section", "article", "ul", "ol", "table")))
+        if tag not in _VOID:
+            self.stack.append(len(self.elements))
+            self.elements.append([tag, dict(attrs).get("class", "") if any(k == "class" for k, _ in attrs) else None, len(self.texts), 0, 0])
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in _VOID:
+            self._pop(len(self.stack) - 1)
 
     def handle_endtag(self, tag):
-        said = " ".join("".join(self.text).split())
-        if tag == self.kind:
-            if tag[0] == "h":
-                self.heading = said
-            elif tag == "li":
-                self.items.append(said)
-            elif len(said) >= 50:
-                self.rows.append((self.heading, said))
-            self.kind, self.text = None, []
-        elif tag in ("ul", "ol"):
-            joined = "; ".join(self.items)
-            if len(self.items) >= 3 and len(joined) > 100:
-                self.rows.append((self.heading, joined))
-            self.items = []
+        self._text()
+        for depth in range(len(self.stack) - 1, -1, -1):
+            if self.elements[self.stack[depth]][0] == tag:
+                self._pop(depth)
+                break
+
+    def handle_data(self, data):
+        if not self.stack or self.elements[self.stack[-1]][0] not in ("script", "style", "template"):
+            self.data.append(data)
+
+    def _other(self, *_):
+        self._text()
+
+    handle_comment = handle_decl = handle_pi = unknown_decl = _other
+
+
+def page_sections(html: str) -> list[tuple[str, str | None, str]]:
+    """(section, heading, content) of a page: containers, then lists."""
+    page = _Elements(html)
+    numbered = list(enumerate(page.elements))
+    said = lambda e, between: between.join(page.texts[e[2] : e[3]])
+    found = [x for x in numbered if x[1][0] in ("section", "article", "div") and SECTION_CLASS.search(x[1][1] or "")]
+    if not found:
+        found = [x for x in numbered if x[1][0] == "div" and x[1][1] is not None]
+    out: list[tuple[str, str | None, str]] = []
+    for no, (at, e) in enumerate(found):
+        content = said(e, "\n")
+        if len(content) >= SHORTEST_SECTION:
+            heading = next((said(h, "") for h in page.elements[at + 1 : e[4]] if h[0] in HEADINGS), None)
+            out.append((f"section_{no}", heading, content))
+    for no, (at, e) in enumerate(x for x in numbered if x[1][0] in ("ul", "ol")):
+        items = [said(x, "") for x in page.elements[at + 1 : e[4]] if x[0] == "li"]
+        content = "\n".join(f"- {x}" for x in items)
+        if len(items) >= FEWEST_ITEMS and len(content) > SHORTEST_LIST:
+            out.append((f"list_{no}", "Guidelines", content))
+    return out
 
 
 def extract_sections(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(page_id, section, heading, content): paragraphs of 50 characters, lists of three items and 100 characters."""
+    """(page_id, section, heading, content) of guideline pages.
+
+    Sections are ``section``, ``article`` and ``div`` elements whose class names content, a
+    section, an article or a guideline; of a page without any, all ``div`` elements with a
+    class. They may lie in one another. The content is the whole text inside, one line for
+    each piece between tags, of 50 characters at least; the heading is the first h1 to h4
+    inside, else null. Lists of three items, nested ones counted, and over 100 characters
+    follow under "Guidelines", one "- " line an item. Text of scripts, styles and templates
+    is none. ``section`` names the kind and counts from 0 in the page, the short ones
+    included. Null and empty pages give no rows.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for page, html in zip(b["page_id"], b["html"], strict=True):
-                p = _Sections()
-                p.feed(html or "")
-                out += [(page, i, h, c) for i, (h, c) in enumerate(p.rows)]
+            out = [(page, *row) for page, html in zip(b["page_id"], b["html"], strict=True) for row in page_sections(html or "")]
             yield pd.DataFrame(out, columns=["page_id", "section", "heading", "content"])
 
-    return pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).mapInPandas(run, "page_id long, section long, heading string, content string")
+    return pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).mapInPandas(run, "page_id long, section string, heading string, content string")

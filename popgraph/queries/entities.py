@@ -176,13 +176,16 @@ def h21_transition_probabilities(s, d):
     return p.select("agent_id", "day", "state", *[F.round(t[k], 9 if k == "i_d" else 6).alias(k) for k in ("s_e", "e_i", "i_r", "i_d", "r_s")])
 
 
-@query("""SELECT o_orderkey, round(least(0.1, (sy * cs + ne * cn) / (cs + cn) * m), 6) AS fused, round(2 * cs * cn / (cs + cn), 6) AS confidence
-FROM (SELECT o_orderkey, (o_orderkey % 37) / 100.0::DOUBLE AS sy, (o_custkey % 29) / 100.0::DOUBLE AS ne, (1 + o_orderkey % 8) / 10.0::DOUBLE AS cs, (1 + o_custkey % 9) / 10.0::DOUBLE AS cn, (1 + o_orderkey % 3)::DOUBLE AS m FROM orders)""")
+@query(""", fu AS (SELECT o_orderkey, (o_orderkey % 97) / 100.0::DOUBLE AS sy, (o_custkey % 89) / 100.0::DOUBLE AS ne, (o_orderkey % 4) / 10.0::DOUBLE AS cs, (o_custkey % 5) / 10.0::DOUBLE AS cn, (1 + o_orderkey % 3)::DOUBLE AS m,
+  ['S->E', 'E->I', 'I->R', 'I->D', 'R->S', 'other'][o_orderkey % 6 + 1] AS transition FROM orders)
+SELECT o_orderkey, transition, round(least(CASE transition WHEN 'S->E' THEN 0.10 WHEN 'E->I' THEN 0.25 WHEN 'I->R' THEN 0.35 WHEN 'I->D' THEN 0.02 WHEN 'R->S' THEN 0.03 ELSE 0.95 END::DOUBLE, CASE WHEN cs = 0 AND cn = 0 THEN sy * 0.6::DOUBLE + ne * 0.4::DOUBLE ELSE sy * (cs / (cs + cn)) + ne * (cn / (cs + cn)) END * m), 6) AS fused,
+round(CASE WHEN cs > 0 AND cn > 0 THEN 2 * cs * cn / (cs + cn) ELSE greatest(cs, cn) END, 6) AS confidence FROM fu""")
 def h24_fuse_probabilities(s, d):
     o, c = read(s, d, "orders"), F.col
-    o = o.select("o_orderkey", ((c("o_orderkey") % 37) / 100.0).alias("sy"), ((c("o_custkey") % 29) / 100.0).alias("ne"), ((1 + c("o_orderkey") % 8) / 10.0).alias("cs"), ((1 + c("o_custkey") % 9) / 10.0).alias("cn"), (1 + c("o_orderkey") % 3).cast("double").alias("m"))
-    p, q = R.fuse(c("sy"), c("ne"), c("cs"), c("cn"), c("m"), F.lit(0.1))
-    return o.select("o_orderkey", F.round(p, 6).alias("fused"), F.round(q, 6).alias("confidence"))
+    name = F.element_at(F.array(*[F.lit(x) for x in (*R.CAPS, "other")]), (c("o_orderkey") % 6 + 1).cast("int"))
+    o = o.select("o_orderkey", name.alias("transition"), ((c("o_orderkey") % 97) / 100.0).alias("sy"), ((c("o_custkey") % 89) / 100.0).alias("ne"), ((c("o_orderkey") % 4) / 10.0).alias("cs"), ((c("o_custkey") % 5) / 10.0).alias("cn"), (1 + c("o_orderkey") % 3).cast("double").alias("m"))
+    p, q = R.fuse(c("sy"), c("ne"), c("cs"), c("cn"), c("m"), c("transition"))
+    return o.select("o_orderkey", "transition", F.round(p, 6).alias("fused"), F.round(q, 6).alias("confidence"))
 
 
 #: Documents with a few phrases of the rules put before them, by id.
@@ -192,6 +195,7 @@ PHRASES = [
     "REASONING: a long enough account of it ADJUSTMENT: 1.7 PROBABILITY: 12% CONFIDENCE: HIGH",
     "avoid contact, wash hands, wear a mask to prevent spread 20% of 3 cases.",
     "vaccinated, so protection holds for 9 days typical CONFIDENCE: LOW",
+    "Intro REASONING: too short ADJUSTMENT: 0.2 CONFIDENCE: ?",
     "",
     "Cases rose in March 2020 sharply. The rate is 18.3% today. Wash hands. It fell by 40 since May 2021! Circuit Breaker began on April 7, 2020. Phase 2 ended?",
 ]
@@ -240,7 +244,8 @@ def h9_behaviour_pattern(s, d):
     return said(s, d).select("doc_id", T.behaviour_pattern(F.col("t")).alias("pattern"))
 
 
-@query(_DOCS + """ SELECT doc_id, CASE WHEN length(trim(split_part(split_part(t, 'REASONING:', 2), 'ADJUSTMENT:', 1), ' ')) >= 20 THEN trim(split_part(split_part(t, 'REASONING:', 2), 'ADJUSTMENT:', 1), ' ') ELSE substr(t, 1, 200) END AS reasoning FROM tx""")
+@query(_DOCS + r""", rs AS (SELECT doc_id, CASE WHEN contains(t, 'REASONING:') THEN regexp_replace(split_part(split_part(t, 'REASONING:', 2), 'ADJUSTMENT:', 1), '^\s+|\s+$', '', 'g') ELSE substr(t, 1, 200) END AS said FROM tx)
+SELECT doc_id, CASE WHEN length(said) > 20 THEN said END AS reasoning FROM rs""")
 def h1_reasoning_text(s, d):
     return said(s, d).select("doc_id", T.reasoning_text(F.col("t")).alias("reasoning"))
 
@@ -274,19 +279,50 @@ def h14_remove_leakage(s, d):
     return said(s, d).select("doc_id", T.remove_leakage(F.col("t")).alias("clean"))
 
 
-@query()
+def _pieces(x: str) -> str:
+    """SQL: texts between the tags of ``x``, stripped, without empty ones."""
+    raw = f"regexp_split_to_array({x}, '<[^>]*>')"
+    plain = "replace(replace(replace(replace(p, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')"
+    return f"list_filter(list_transform({raw}, lambda p: regexp_replace({plain}, '^\\s+|\\s+$', '', 'g')), lambda p: p <> '')"
+
+
+#: Sections of the pages as the bindings of ``marked_pages`` make them: one container and one list a page.
+_SECTIONS = f""", bx AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN regexp_extract(html, '<article>(.*)</article>', 1, 's') ELSE regexp_extract(html, '<div class="ad">(.*?)</div>', 1, 's') END AS box,
+  regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<li>(.*?)</li>', 1) AS items FROM pages),
+tx AS (SELECT page_id, array_to_string({_pieces('box')}, chr(10)) AS content, array_to_string({_pieces("nullif(regexp_extract(box, '<h1>(.*?)</h1>', 1, 's'), '')")}, '') AS heading,
+  array_to_string(list_transform(items, lambda i: '- ' || array_to_string({_pieces('i')}, '')), chr(10)) AS listed, len(items) AS n FROM bx),
+sec AS (SELECT page_id, 'section_0' AS section, heading, content FROM tx WHERE length(content) >= {T.SHORTEST_SECTION}
+  UNION ALL SELECT page_id, 'list_0', 'Guidelines', listed FROM tx WHERE n >= {T.FEWEST_ITEMS} AND length(listed) > {T.SHORTEST_LIST})"""
+
+
+def marked_pages(s, d):
+    """The pages; the article of every second one is a guideline, the others have nothing but a classed ``div``."""
+    html = F.when(F.pmod("page_id", F.lit(2)) == 0, F.replace("html", F.lit("<article>"), F.lit('<article class="Guideline-text">'))).otherwise(F.col("html"))
+    return read(s, d, "pages").withColumn("html", html)
+
+
+@query(_SECTIONS + " SELECT page_id, section, heading, content FROM sec")
 def h12_extract_sections(s, d):
-    return T.extract_sections(read(s, d, "pages"))
+    return T.extract_sections(marked_pages(s, d))
+
+
+ADVICE = "You should wash hands, wear a mask and avoid contact to reduce the risk of spread. Of 300 cases 20% rose by 5. "
 
 
 def sections(s, d):
-    """Sections of the pages, with a phrase that makes some of them guidelines."""
-    sec = T.extract_sections(read(s, d, "pages"))
-    advice = "You should wash hands, wear a mask and avoid contact to reduce the risk of spread. Of 300 cases 20% rose by 5. "
-    return sec.withColumn("content", F.when(F.pmod("page_id", F.lit(2)) == 0, F.concat(F.lit(advice), "content")).otherwise(F.col("content")))
+    """Sections of the pages, with a phrase that makes those of articles guidelines."""
+    told = F.when((F.pmod("page_id", F.lit(2)) == 0) & F.col("section").startswith("section"), F.concat(F.lit(ADVICE), "content")).otherwise(F.col("content"))
+    return T.extract_sections(marked_pages(s, d)).withColumn("content", told)
+
+
+_SCORES = "[" + ", ".join(_SUM(w) for w in T.CATEGORIES.values()) + "]"
 
 
-@query()
+@query(_SECTIONS + f""", wh AS (SELECT page_id, section, heading, CASE WHEN page_id % 2 = 0 AND section LIKE 'section%' THEN '{ADVICE}' || content ELSE content END AS t FROM sec),
+cl AS (SELECT page_id, section, heading, {_CLEAN} AS content FROM wh WHERE {_SUM(T.GUIDELINE)} >= 3 AND {_SUM(T.BOILERPLATE)} = 0),
+sc AS (SELECT *, {_SCORES} AS s FROM (SELECT *, concat_ws(' ', heading, content) AS t FROM cl WHERE length(content) >= 50)),
+kp AS (SELECT CASE WHEN list_max(s) > 0 THEN [{", ".join(f"'{c}'" for c in T.CATEGORIES)}][list_position(s, list_max(s))] ELSE 'general_guidelines' END AS category, page_id, section, heading, content FROM sc)
+SELECT concat_ws('_', category, page_id, section) AS id, category, heading, CASE WHEN category = 'prevention' THEN 'known' ELSE content END AS content FROM kp""")
 def h16_filter_sections(s, d):
     kept = stage(T.filter_sections(sections(s, d)), "sections")
     known = kept.where("category = 'prevention'").withColumn("content", F.lit("known"))

@@ -13,7 +13,7 @@ from popgraph.operators import panel as P
 from popgraph.operators import retrieval as V
 from popgraph.operators import risk as R
 from popgraph.operators import text as T
-from popgraph.queries.base import ORACLE_SQL, U, agents, edges, query, read, states
+from popgraph.queries.base import ORACLE_SQL, U, agents, edges, members, query, read, states
 from popgraph.queries.entities import _JOB, _NBS, contacts, said
 from popgraph.queries.panels import _NEXT, _RATE, panel
 from popgraph.queries.quality import _ALIKE, _E, _EM, _FC, _T5, alike, emb, forecasts, labels, regions
@@ -151,14 +151,36 @@ def d32_scale_initial_counts(s, d):
     return X.scale_initial_counts(P.state_counts(first, ["day"]), 1000)
 
 
-def _cohort(name, where):
-    return f"SELECT '{name}' AS scenario, agent_id, row_number() OVER (ORDER BY {U.format(name, 'agent_id')}, agent_id) AS rank FROM ag WHERE {where} QUALIFY rank <= 20"
-
-
-@query(_AG + ", bh AS (SELECT household_id FROM ag GROUP BY household_id ORDER BY count(*) DESC, household_id LIMIT 3), br AS (SELECT region FROM ag GROUP BY region ORDER BY count(*) DESC, region LIMIT 1) " + " UNION ALL ".join(
-    [_cohort("imported", "is_imported"), _cohort("dormitory", "cluster LIKE '%dorm%'"), _cohort("household", "household_id IN (SELECT household_id FROM bh)"), _cohort("workplace", "region IN (SELECT region FROM br)"), _cohort("essential", "occupation IN ('healthcare_worker', 'retail_worker')")]))
+def _first(name, salt, where, most):
+    """SQL: the first rows of ``sa`` in the order of a hash, with place r and number n of all."""
+    return f"{name} AS (SELECT agent_id, household_id, work_network, row_number() OVER (ORDER BY {U.format(salt, 'agent_id')}, agent_id) AS r, count(*) OVER () AS n FROM sa WHERE {where} QUALIFY r <= {most})"
+
+
+_N = lambda where: f"(SELECT count(*) FROM sa WHERE {where})"
+_DORM, _ESSENTIAL = "cluster LIKE '%dorm%'", f"occupation IN {X.ESSENTIAL}"
+_DAYS = U.format("days", "(scenario || '-' || agent_id)")
+
+
+@query(_AG + ", sa AS (SELECT ag.*, mem.work_network FROM ag JOIN mem USING (agent_id)), " + ", ".join([
+    _first("im", "imported_cases", "is_imported", 5), _first("im0", "imported_cases-any", "true", 3), _first("dorm", "dormitory_cluster", _DORM, 27), _first("dorm0", "dormitory_cluster-any", "true", 8),
+    _first("es", "circuit_breaker", _ESSENTIAL, 4), _first("es0", "circuit_breaker-any", "true", 3), _first("co", "community-any", "true", 5)]) + f""",
+bh AS (SELECT household_id, count(*) AS n FROM sa GROUP BY household_id ORDER BY n DESC, household_id LIMIT 3),
+hs AS (SELECT agent_id, bh.n, row_number() OVER (PARTITION BY sa.household_id ORDER BY {U.format('community_clusters', 'agent_id')}, agent_id) AS r, least(2, greatest(1, bh.n // 3)) AS ill FROM sa JOIN bh USING (household_id)),
+hr AS (SELECT agent_id, CASE WHEN r <= ill THEN 'I' ELSE 'E' END AS role FROM hs WHERE r <= ill + least(2, n - ill)),
+lf AS (SELECT * FROM sa WHERE work_network IS NOT NULL AND agent_id NOT IN (SELECT agent_id FROM hr)),
+bw AS (SELECT work_network FROM lf GROUP BY work_network ORDER BY count(*) DESC, work_network LIMIT 1),
+ci AS (SELECT agent_id, household_id FROM es WHERE {_N(_ESSENTIAL)} >= 3 UNION ALL SELECT agent_id, household_id FROM es0 WHERE {_N(_ESSENTIAL)} < 3),
+ro AS (SELECT 'imported_cases' AS scenario, agent_id, CASE WHEN r <= 3 THEN 'I' ELSE 'E' END AS role FROM im WHERE n >= 3 AND (r <= 3 OR n >= 5) UNION ALL SELECT 'imported_cases', agent_id, 'I' FROM im0 WHERE {_N('is_imported')} < 3
+UNION ALL SELECT 'dormitory_cluster', agent_id, CASE WHEN r <= least(12, greatest(8, n // 20)) THEN 'I' ELSE 'E' END FROM dorm WHERE n >= 10 AND r <= least(12, greatest(8, n // 20)) + CASE WHEN n - least(12, greatest(8, n // 20)) >= 10 THEN least(15, n - least(12, greatest(8, n // 20))) ELSE 0 END
+UNION ALL SELECT 'dormitory_cluster', agent_id, 'I' FROM dorm0 WHERE {_N(_DORM)} < 10
+UNION ALL SELECT 'community_clusters', agent_id, role FROM hr
+UNION ALL SELECT 'community_clusters', agent_id, 'I' FROM (SELECT agent_id FROM lf WHERE work_network IN (SELECT work_network FROM bw) QUALIFY row_number() OVER (ORDER BY {U.format('community_clusters-work', 'agent_id')}, agent_id) <= 3)
+UNION ALL SELECT 'circuit_breaker', agent_id, 'I' FROM ci
+UNION ALL SELECT 'circuit_breaker', agent_id, 'E' FROM (SELECT agent_id FROM sa WHERE household_id IN (SELECT household_id FROM ci) AND agent_id NOT IN (SELECT agent_id FROM ci) QUALIFY row_number() OVER (PARTITION BY household_id ORDER BY {U.format('circuit_breaker-home', 'agent_id')}, agent_id) <= 2)
+UNION ALL SELECT 'community', agent_id, CASE WHEN r <= 3 THEN 'I' ELSE 'E' END FROM co WHERE r <= 3 OR n >= 5)
+SELECT scenario, agent_id, role, CAST(CASE role WHEN 'I' THEN 2 + floor(5 * {_DAYS}) ELSE 1 + floor(3 * {_DAYS}) END AS INTEGER) AS days_in_state FROM ro""")
 def d33_scenario_cohorts(s, d):
-    return X.scenario_cohorts(profiles(s, d), 20)
+    return X.scenario_cohorts(profiles(s, d).join(members(s, d).select("agent_id", "work_network"), "agent_id"))
 
 
 @query("SELECT source AS category, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM documents GROUP BY source")
@@ -193,10 +215,33 @@ def h7_continuous_features(s, d):
     return said(s, d).select("doc_id", T.continuous_features(F.col("t"), k % 90, k % 10 / 10.0, k % 7 / 10.0).alias("features"))
 
 
-@query("SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), -1) AS k, 'none' AS note FROM events")
+_JSON_TEXTS = """, jt AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'Answer: ' || coalesce(props, '') || ' - end' WHEN 1 THEN 'So {"a": {"b": ' || event_id || ', "c": [1, {"d": 2}]}, "k": 2, "note": "x } y"} there' WHEN 2 THEN 'no object in it'
+  WHEN 3 THEN 'broken {"k": 3, "note" } end' ELSE '{"k": "4", "note": null} and {more}' END AS t FROM events)"""
+
+
+def json_texts(s, d):
+    i = F.col("event_id").cast("string")
+    nested = F.concat(F.lit('So {"a": {"b": '), i, F.lit(', "c": [1, {"d": 2}]}, "k": 2, "note": "x } y"} there'))
+    kind = F.col("event_id") % 5
+    t = F.when(kind == 0, F.concat(F.lit("Answer: "), F.coalesce("props", F.lit("")), F.lit(" - end"))).when(kind == 1, nested).when(kind == 2, "no object in it").when(kind == 3, 'broken {"k": 3, "note" } end').otherwise('{"k": "4", "note": null} and {more}')
+    return read(s, d, "events").select("event_id", t.alias("t"))
+
+
+@query(_JSON_TEXTS + """, js AS (SELECT event_id, t, CASE WHEN json_valid(regexp_extract(t, '\\{.*\\}', 0, 's')) THEN regexp_extract(t, '\\{.*\\}', 0, 's') END AS j FROM jt)
+SELECT event_id, CASE WHEN contains(t, '{') AND contains(t, '}') THEN coalesce(TRY_CAST(json_extract_string(j, '$.k') AS BIGINT), -1) ELSE -2 END AS k,
+CASE WHEN contains(t, '{') AND contains(t, '}') THEN coalesce(json_extract_string(j, '$.note'), 'none') ELSE 'nothing' END AS note, CASE WHEN contains(t, '{') AND contains(t, '}') THEN coalesce(CAST(json_extract(j, '$.a') AS VARCHAR), '-') ELSE '' END AS a FROM js""")
 def h11_extract_json(s, d):
-    t = F.concat(F.lit("Answer follows: "), F.coalesce("props", F.lit("")), F.lit(" - end"))
-    return read(s, d, "events").select("event_id", *X.extract_json(t, "k long, note string", {"k": -1, "note": "none"}))
+    kinds, absent, none = {"k": "long", "note": "string", "a": "json"}, {"k": -1, "note": "none", "a": "-"}, {"k": -2, "note": "nothing", "a": ""}
+    got = json_texts(s, d).select("event_id", *X.extract_json(F.col("t"), kinds, absent, none))
+    return got.withColumn("a", F.regexp_replace("a", r"\s+", ""))
+
+
+@query("""SELECT event_id, 'event ' || u AS description, CASE WHEN u = 2 THEN NULL ELSE u * event_id END AS weight FROM events, range(1, 4) t(u) WHERE event_id % 4 > 0 AND u <= event_id % 4""")
+def h11_extract_json_rows(s, d):
+    one = lambda u: F.concat(F.lit(f'{{"description": "event {u}"'), F.lit("") if u == 2 else F.concat(F.lit(', "weight": '), (u * F.col("event_id")).cast("string")), F.lit('}, {"weight": 1}'))
+    items = F.array_join(F.slice(F.array(one(1), one(2), one(3)), F.lit(1), (F.col("event_id") % 4).cast("int")), ", ")
+    t = F.when(F.col("event_id") % 4 == 0, "no list").otherwise(F.concat(F.lit("Here: ["), items, F.lit("] ok")))
+    return X.extract_json_rows(read(s, d, "events").select("event_id", t.alias("t")), "t", "description", {"weight": "long"})
 
 
 @query("""SELECT agent_id, day, round(least((CASE WHEN age < 20 THEN 0.00002 WHEN age < 50 THEN 0.0005 WHEN age < 70 THEN 0.005 ELSE 0.07 END)::DOUBLE * (CASE WHEN days_in_state < 7 THEN 0.1 WHEN days_in_state < 14 THEN 0.3 ELSE 0.05 END)::DOUBLE
@@ -293,12 +338,12 @@ def i15_adaptive_threshold(s, d):
 _Z = ", {n}_s AS (SELECT pos, avg(x) AS m, CASE WHEN stddev_pop(x) < 1e-9 THEN 1 ELSE stddev_pop(x) END AS s FROM {n}_x GROUP BY pos), {n}_z AS (SELECT vec_id, pos, (x - m) / s AS z FROM {n}_x JOIN {n}_s USING (pos)), {n}_w AS (SELECT vec_id, pos, z / sqrt(sum(z * z) OVER (PARTITION BY vec_id)) * {w}::DOUBLE AS w FROM {n}_z)"
 
 
-@query(_EM + ", a_x AS (SELECT vec_id, pos, x FROM lv WHERE pos < 32), b_x AS (SELECT vec_id, pos, x * x AS x FROM lv WHERE pos < 16)" + _Z.format(n="a", w=0.6) + _Z.format(n="b", w=0.4) + """, fu AS (SELECT vec_id, pos, sum(w) AS w FROM (SELECT * FROM a_w UNION ALL SELECT * FROM b_w) GROUP BY ALL),
+@query(_EM + ", a_x AS (SELECT vec_id, pos, x FROM lv), b_x AS (SELECT vec_id, pos, x * x AS x FROM lv WHERE pos < 16)" + _Z.format(n="a", w=0.6) + _Z.format(n="b", w=0.4) + """, fu AS (SELECT vec_id, pos, sum(w) AS w FROM (SELECT * FROM a_w UNION ALL SELECT * FROM b_w) GROUP BY ALL),
 fn AS (SELECT vec_id, pos, w / sqrt(sum(w * w) OVER (PARTITION BY vec_id)) AS w FROM fu) SELECT vec_id, list(round(w, 5) ORDER BY pos) AS fused FROM fn GROUP BY vec_id""")
 def i14_fuse_embeddings(s, d):
     v = F.col("embedding").cast("array<double>")
     e = emb(s, d).select("vec_id", v.alias("graph"), F.transform(F.slice(v, 1, 16), lambda x: x * x).alias("motif"))
-    return M.fuse_embeddings(e, "vec_id", {"graph": 0.6, "motif": 0.4}, 32)
+    return M.fuse_embeddings(e, "vec_id", {"graph": 0.6, "motif": 0.4}, 64)
 
 
 @query(", q1 AS (" + ORACLE_SQL["i21_modularity"] + "), q2 AS (" + ORACLE_SQL["i27_motif_coherence"] + "), q3 AS (" + ORACLE_SQL["i23_silhouette"] + ") SELECT round(0.45 * (SELECT modularity FROM q1) + 0.35 * (SELECT avg(coherence) FROM q2) + 0.2 * (SELECT avg(silhouette_sq) FROM q3), 5) AS score")

@@ -104,9 +104,9 @@ def e9_attack_rate(s, d):
     return P.attack_rate(states(s, d))
 
 
-@query("SELECT day, I, sum(I) OVER (ORDER BY day) AS cumulative_I FROM hist")
+@query("SELECT day, I, sum(I) OVER (ORDER BY day) AS cumulative_I, CAST(floor(sum(I) OVER (ORDER BY day) * 0.001::DOUBLE) AS BIGINT) AS deaths FROM hist")
 def e10_cumulative(s, d):
-    return P.cumulative(P.state_counts(states(s, d), ["day"]).select("day", "I"), "I")
+    return P.derived_deaths(P.state_counts(states(s, d), ["day"]).select("day", "I"), "I")
 
 
 @query(""", w AS (SELECT agent_id, day, list(state) OVER (PARTITION BY agent_id ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS q FROM panel)
@@ -164,11 +164,14 @@ def e16_reset_accumulator(s, d):
     return P.reset_accumulator(read(s, d, "events"), "user_id", ["ts", "event_id"], "value", 150.0)
 
 
-@query(""", r AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events) SELECT user_id, event_id, value, rank FROM r WHERE rank <= 10""")
+@query(""", it AS (SELECT user_id, event_id, value, event_type <> 'signup' AS obs, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+ob AS (SELECT *, count(*) FILTER (obs) OVER (PARTITION BY user_id ORDER BY i) AS seen FROM it),
+acc AS (SELECT user_id, list_reduce(list_prepend({'s': 0.0::DOUBLE, 'i': 0::BIGINT, 'o': 0::BIGINT, 'out': []::BIGINT[]}, list({'s': value, 'i': i, 'o': seen, 'out': []::BIGINT[]} ORDER BY i)),
+  lambda a, x: {'s': CASE WHEN a.s + x.s >= 150 AND x.o >= 3 THEN 0.0 ELSE a.s + x.s END, 'i': x.i, 'o': x.o, 'out': CASE WHEN a.s + x.s >= 150 AND x.o >= 3 THEN list_append(a.out, x.i) ELSE a.out END}) AS r FROM ob GROUP BY user_id),
+fr AS (SELECT user_id, unnest(r.out) AS n FROM acc)
+SELECT fr.user_id, CAST(fr.n AS INTEGER) AS n, CAST(row_number() OVER (PARTITION BY fr.user_id, fr.n ORDER BY it.value DESC, it.i) AS INTEGER) AS rank, event_id, value FROM fr JOIN it ON it.user_id = fr.user_id AND it.i <= fr.n AND obs QUALIFY rank <= 10""")
 def e17_reflection_inputs(s, d):
-    from popgraph.operators.retrieval import top_per_group
-
-    return top_per_group(read(s, d, "events").select("user_id", "event_id", "value"), ["user_id"], [F.desc("value"), "event_id"], 10)
+    return P.reflection_inputs(read(s, d, "events"), "user_id", ["ts", "event_id"], "event_id", "value", F.col("event_type") != "signup", 150.0)
 
 
 @query(""", w AS (SELECT day AS origin, list(I) OVER (ORDER BY day ROWS BETWEEN 27 PRECEDING AND CURRENT ROW) AS lookback, list(I) OVER (ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING) AS horizon FROM hist)

@@ -136,11 +136,16 @@ def d21_aggregate_traces(s, d):
 _TOOL = "CASE event_type WHEN 'view' THEN 'check_infected_contacts' WHEN 'click' THEN 'query_knowledge' WHEN 'error' THEN 'check_symptoms' WHEN 'purchase' THEN 'query_contacts' ELSE 'check_days_infected' END"
 
 
-@query(f""", e AS (SELECT user_id, {_TOOL} AS tool, CAST(ts AS DATE) AS day FROM events), c AS (SELECT user_id, tool, count(*) AS n FROM e GROUP BY ALL), d AS (SELECT user_id, count(DISTINCT day) AS decisions FROM e GROUP BY user_id)
-SELECT user_id, sum(n)::BIGINT AS calls, count(*) AS tools, round(-sum(n / t * ln(n / t + 1e-10)), 3) AS diversity, """ + ", ".join(f"round(coalesce(sum(n) FILTER (tool IN {tuple(names)}), 0) / any_value(t), 3) AS {name}_ratio" for name, names in O.TOOL_GROUPS.items()) + """, any_value(decisions) AS decisions, round(sum(n) / any_value(decisions), 2) AS per_decision, string_agg(tool || '=' || n, ',' ORDER BY tool) AS breakdown
-FROM (SELECT *, sum(n) OVER (PARTITION BY user_id) AS t FROM c) JOIN d USING (user_id) GROUP BY user_id""")
+@query(f""", e AS (SELECT user_id, CASE WHEN event_id % 3 > 0 AND user_id % 9 > 0 THEN {_TOOL} END AS tool, CASE WHEN event_id % 6 = 1 AND user_id % 9 > 0 THEN 'query_policy' END AS other, event_type AS scenario FROM events),
+u AS (SELECT user_id, tool FROM e WHERE tool IS NOT NULL UNION ALL SELECT user_id, other FROM e WHERE other IS NOT NULL), c AS (SELECT user_id, tool, count(*) AS n FROM u GROUP BY ALL),
+g AS (SELECT user_id, sum(n)::BIGINT AS calls, count(*) AS tools, round(-sum(n / t * ln(n / t + 1e-10)), 3) AS diversity, """ + ", ".join(f"round(coalesce(sum(n) FILTER (tool IN {tuple(names)}), 0) / any_value(t), 3) AS {name}_ratio" for name, names in O.TOOL_GROUPS.items()) + """, string_agg(tool || '=' || n, ',' ORDER BY tool) AS breakdown
+FROM (SELECT *, sum(n) OVER (PARTITION BY user_id) AS t FROM c) GROUP BY user_id), d AS (SELECT user_id, count(*) AS decisions, count(DISTINCT scenario) AS scenarios FROM e GROUP BY user_id)
+SELECT user_id, decisions, scenarios, coalesce(calls, 0) AS calls, coalesce(tools, 0) AS tools, coalesce(diversity, 0.0)::DOUBLE AS diversity, """ + ", ".join(f"coalesce({name}_ratio, 0.0)::DOUBLE AS {name}_ratio" for name in O.TOOL_GROUPS) + """, coalesce(breakdown, '') AS breakdown, round(coalesce(calls, 0) / decisions, 2) AS per_decision FROM d LEFT JOIN g USING (user_id)""")
 def d22_tool_usage(s, d):
-    u = O.tool_usage(read(s, d, "events").select("user_id", F.expr(_TOOL).alias("tool"), F.to_date("ts").alias("day")), "user_id", "tool", "day")
+    """An event is a conversation with no, one or two calls; every ninth user calls nothing."""
+    asks = F.col("user_id") % 9 > 0
+    called = F.array_compact(F.array(F.when((F.col("event_id") % 3 > 0) & asks, F.expr(_TOOL)), F.when((F.col("event_id") % 6 == 1) & asks, F.lit("query_policy"))))
+    u = O.tool_usage(read(s, d, "events").select("user_id", F.col("event_type").alias("scenario"), called.alias("called")), "user_id", "scenario", "called")
     told = F.transform(F.array_sort(F.map_entries("breakdown")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
     return u.withColumn("breakdown", F.array_join(told, ","))
 

@@ -48,7 +48,7 @@ def test_phase(spark):
 
 def test_fuse_and_accumulate(spark):
     one = spark.createDataFrame([(0.10, 0.04, 0.8, 0.5)], "s double, n double, cs double, cn double")
-    p, c = risk.fuse(F.col("s"), F.col("n"), F.col("cs"), F.col("cn"), F.lit(1.0), F.lit(1.0))
+    p, c = risk.fuse(F.col("s"), F.col("n"), F.col("cs"), F.col("cn"), F.lit(1.0))
     assert tuple(one.select(F.round(p, 6), F.round(c, 6)).first()) == (0.076923, 0.615385)
     items = spark.createDataFrame([(1, i, v) for i, v in enumerate([80.0, 60.0, 20.0, 100.0, 60.0])], "k long, o int, v double")
     assert [tuple(r)[1:] for r in panel.reset_accumulator(items, "k", ["o"], "v", 150).orderBy("n").collect()] == [(3, 160.0), (5, 160.0)]

@@ -2,14 +2,15 @@
 
 import math
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from popgraph.operators import clusters, entities, evaluation, network, panel, reports, retrieval, risk, samples, text
-from popgraph.plans.ranks import exact_percentiles, global_rank, rank_in_groups
-from popgraph.streaming import daily
+from popgraph.plans.ranks import dealt_in_ranges, exact_percentiles, global_rank, rank_in_groups
+from popgraph.streaming import daily, history, stateful
 
 
 def col(spark, values, kind, f):
@@ -45,18 +46,92 @@ def test_audit_and_confidence(spark):
     assert col(spark, ["CONFIDENCE: HIGH x", "CONFIDENCE: LOW", "CONFIDENCE: ?", "none"], "string", text.parse_confidence) == [0.95, 0.6, 0.8, 0.8]
 
 
+def found(spark, *pages):
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    return [tuple(r)[1:] for r in text.extract_sections(df).orderBy("page_id", F.col("section").desc()).collect()]
+
+
 def test_sections(spark):
-    body = "x" * 60
-    html = f"<h2> Signs </h2><p>{body}</p><p>short</p><script>{body}</script><ul><li>{'a' * 40}</li><li>{'b' * 40}</li><li>{'c' * 40}</li></ul><ol><li>{body}</li></ol><h3>Next</h3><p>{body}!</p>"
-    got = [tuple(r) for r in text.extract_sections(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")).orderBy("page_id", "section").collect()]
-    assert got == [(1, 0, "Signs", body), (1, 1, "Signs", f"{'a' * 40}; {'b' * 40}; {'c' * 40}"), (1, 2, "Next", body + "!")]
+    body, more = "x" * 60, "y" * 60
+    # paragraphs without end, scripts and comments inside them, text outside paragraphs
+    assert found(spark, f'<div class="Content">{body}<p>A<p>B <b>c</b></p>d</div>') == [("section_0", None, f"{body}\nA\nB\nc\nd")]
+    assert found(spark, f'<article class="x article"><p>{body}<script>var a="<p>";</script>e<!-- n -->f') == [("section_0", None, f"{body}\ne\nf")]
+    # containers in one another, the first heading inside, a short one that counts but gives nothing
+    page = f'<section class="my-section"><div class="guidelines"><h3> On <i>tests</i> </h3>{body}</div><div class="content">z</div><h2>Late</h2></section><div class="content">{more}</div>'
+    assert sorted(found(spark, page)) == [("section_0", "Ontests", f"On\ntests\n{body}\nz\nLate"), ("section_1", "Ontests", f"On\ntests\n{body}"), ("section_3", None, more)]
+    # other classes count only where no section is
+    assert found(spark, f'<div class="">{body}</div><div>{more}</div><p class="content">{more}</p>') == [("section_0", None, body)]
+    assert found(spark, f'<div class="a">{body}</div><article class="content">s</article>') == []
+    assert found(spark, None, "", "plain " * 20) == []
+
+
+def test_sections_from_lists(spark):
+    a, b, c = "a" * 40, "b" * 40, "c" * 40
+    assert found(spark, f"<ul><li>{a}<li><p>{b}</p> {b}<li>{c}</ul>") == [("list_0", "Guidelines", f"- {a}\n- {b}{b}\n- {c}")]
+    # nested items count for both lists; short lists and two items don't
+    nested = f"<ol><li>{a}<ul><li>{b}</li><li>{c}</li></ul></li></ol>"
+    assert found(spark, nested) == [("list_0", "Guidelines", f"- {a}{b}{c}\n- {b}\n- {c}")]
+    assert found(spark, "<ul><li>a<li>b<li>c</ul>", f"<ul><li>{a * 3}<li>{b}</ul>") == []
+    assert found(spark, f"<ul><li>1<li>2<li>3</ul><ul><li>{a}<li>{b}<li>{c}</ul>")[0][0] == "list_1"
+
+
+class _Tree(HTMLParser):
+    """A whole tree, for comparison: nodes are [tag, class, children]; pages must end their lists and containers."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.root = ["", None, []]
+        self.path = [self.root]
+        self.feed(html)
+
+    def handle_starttag(self, tag, attrs):
+        node = [tag, dict(attrs).get("class"), []]
+        self.path[-1][2].append(node)
+        if tag not in ("br", "meta"):
+            self.path.append(node)
+
+    def handle_endtag(self, tag):
+        if tag in [n[0] for n in self.path]:
+            while self.path.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if self.path[-1][0] not in ("script", "style"):
+            self.path[-1][2].append(data)
+
+
+def _walk(node):
+    for x in node[2]:
+        if isinstance(x, list):
+            yield x
+            yield from _walk(x)
+
+
+def _said(node):
+    return [t for x in node[2] for t in (_said(x) if isinstance(x, list) else [x.strip()]) if t]
+
+
+def test_sections_of_all_pages_equal_a_tree(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").withColumn("html", F.replace("html", F.lit("<article>"), F.lit('<article class="content"><div class="k">')))
+    want = set()
+    for r in pages.collect():
+        nodes = list(_walk(_Tree(r.html).root))
+        for no, n in enumerate([x for x in nodes if x[0] in ("section", "article", "div") and "content" in (x[1] or "")]):
+            content = "\n".join(_said(n))
+            heads = ["".join(_said(x)) for x in _walk(n) if x[0] in ("h1", "h2", "h3", "h4")]
+            want |= {(r.page_id, f"section_{no}", (heads + [None])[0], content)} if len(content) >= 50 else set()
+        for no, n in enumerate([x for x in nodes if x[0] in ("ul", "ol")]):
+            items = ["- " + "".join(_said(x)) for x in _walk(n) if x[0] == "li"]
+            want |= {(r.page_id, f"list_{no}", "Guidelines", "\n".join(items))} if len(items) >= 3 and len("\n".join(items)) > 100 else set()
+    assert len(want) > 200 and {tuple(r) for r in text.extract_sections(pages).collect()} == want
 
 
 def test_filter_sections(spark):
     good = "You should wash hands and wear a mask to prevent spread of it among all."
-    rows = [(1, 0, "h", good + " Of 300 cases 20% fell."), (1, 1, "h", "nothing of use " * 9), (2, 0, "h", good + " cookie"), (2, 1, "h", "Should avoid risk. " + "9% of it. " * 9)]
-    kept = text.filter_sections(spark.createDataFrame(rows, "page_id long, section long, heading string, content string"))
-    assert [tuple(r) for r in kept.collect()] == [("prevention_1_0", "prevention", "h", good)]
+    rows = [(1, "0", "h", good + " Of 300 cases 20% fell."), (1, "1", None, "nothing of use " * 9), (2, "0", "h", good + " cookie"), (2, "1", "h", "Should avoid risk. " + "9% of it. " * 9), (3, "list_0", None, good)]
+    kept = text.filter_sections(spark.createDataFrame(rows, "page_id long, section string, heading string, content string"))
+    assert [tuple(r) for r in kept.collect()] == [("prevention_1_0", "prevention", "h", good), ("prevention_3_list_0", "prevention", None, good)]
+    kept = kept.where("heading is not null")
     known = spark.createDataFrame([("prevention_1_0", "x", "y", "z")], kept.schema)
     assert text.insert_if_absent(known, kept.union(kept.withColumn("id", F.lit("new")))).select("id").orderBy("id").collect() == [("new",), ("prevention_1_0",)]
 
@@ -67,8 +142,7 @@ def test_links(spark):
     assert got == {(1, 2, "household", 0.95), (2, 4, "work", 0.70), (3, 4, "contact", 0.60), (3, 5, "contact", 0.60), (1, 4, "contact", 0.60)}
 
 
-@pytest.mark.parametrize("width", [7, 1 << 16])
-def test_drawn_contacts(spark, monkeypatch, width):
+def test_drawn_contacts(spark):
     of = [(i, 0 if i < 60 else 1 if i < 75 else 2 if i < 77 else 3) for i in range(78)]
     agents = spark.createDataFrame(of, "agent_id long, g long")
     group = dict(of)
@@ -81,17 +155,61 @@ def test_drawn_contacts(spark, monkeypatch, width):
     rates = {(group[r.agent_1], r.contact_rate) for r in edges}
     assert rates <= {(0, 0.5), (1, 0.6), (2, 0.6)} and len({(r.agent_1, r.agent_2) for r in edges}) == len(edges)
     assert 25 <= sum(group[r.agent_1] == 1 for r in edges) <= 60  # 0.4 of 105 pairs
-    ranked = rank_in_groups(agents, ["g"], "agent_id", "r", "n", width).collect()
+    ranked = rank_in_groups(agents.union(spark.createDataFrame([(99, None)], agents.schema)), ["g"], "agent_id", "r", "n").collect()
     assert all(r.r == sum(j < r.agent_id for j in group if group[j] == r.g) and r.n == sum(g == r.g for g in group.values()) for r in ranked)
 
 
+def test_a_hot_group_is_ranked_in_many_tasks(spark):
+    """Ids far apart, two thirds of them in one group; small partitions are not put together."""
+    rows = spark.range(20000).select(F.xxhash64("id").alias("agent_id"), F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(-1).alias("g"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranges = dealt_in_ranges(rows, ["g", "agent_id"]).where("g = -1").groupBy("_range").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(ranges) >= 2 and max(r["count"] for r in ranges) < 8000
+    want = {i: k for k, i in enumerate(sorted(r.agent_id for r in rows.where("g = -1").collect()))}
+    got = rank_in_groups(rows, ["g"], "agent_id", "r", "n").where("g = -1").collect()
+    assert {r.agent_id: r.r for r in got} == want and {r.n for r in got} == {len(want)}
+
+
 def test_repair_isolated(spark):
     agents = spark.createDataFrame([(i,) for i in range(9)], "agent_id long")
     edges = spark.createDataFrame([(0, 1), (1, 2)], "agent_1 long, agent_2 long").withColumn("edge_type", F.lit("work")).withColumn("contact_rate", F.lit(1.0))
-    got = Counter((r.agent_1, r.agent_2, r.contact_rate) for r in network.repair_isolated(agents, edges).collect())
-    order = [0, 2, 1]  # linked entities by degree and id
-    assert got == Counter((order[(2 * r + k) % 3], i, 0.40) for r, i in enumerate(range(3, 9)) for k in (0, 1))
-    assert network.repair_isolated(agents, edges.limit(0)).count() == 0
+    repaired = lambda e, a=agents: {(r.agent_1, r.agent_2) for r in network.repair_isolated(a, e).where("contact_rate = 0.4").collect()}
+
+    def want(order, lone):
+        """The r-th of ``order``, of which the first ``lone`` are isolated, takes those at places 2r + 1 and 2r + 2."""
+        pairs = {tuple(sorted((order[r], order[(2 * r + k) % len(order)]))) for r in range(lone) for k in (1, 2)}
+        return {p for p in pairs if p[0] != p[1]}
+
+    assert repaired(edges) == want([3, 4, 5, 6, 7, 8, 0, 2, 1], 6)
+    # without any edge all are isolated; one alone stays so
+    assert repaired(edges.limit(0)) == want(list(range(9)), 9)
+    assert repaired(edges.limit(0), agents.limit(1)) == set()
+
+
+def test_contact_network_in_layers(spark):
+    """A pair has the edge of the first layer that holds it, and nobody is left alone."""
+    rows = [(i, i // 3, "dorm" if i < 12 else None, "w" if i % 2 else None, 7 if i in (40, 41, 43) else None) for i in range(48)] + [(100, 100, None, None, None), (101, 101, None, None, None)]
+    agents = spark.createDataFrame(rows, "agent_id long, home long, cluster string, work_network string, school_network int")
+    links = spark.createDataFrame([(0, 1, "contact", 0.6), (0, 4, "work", 0.7), (46, 47, "contact", 0.6), (1, 100, "contact", 0.6)], "agent_1 long, agent_2 long, edge_type string, contact_rate double")
+    net = network.build_contact_network(agents, links, "home")
+    got = {(r.agent_1, r.agent_2): (r.edge_type, r.contact_rate) for r in net.collect()}
+    assert len(got) == net.count() and all(a < b for a, b in got)
+    assert all(got[a, b] == ("household", 0.95) for a in range(48) for b in range(a + 1, 48) if a // 3 == b // 3)
+    assert got[0, 1][0] == "household" and got[0, 4] == ("work", 0.7) and got[1, 100] == ("contact", 0.6) and got[46, 47][0] == "household"
+    kinds = defaultdict(set)
+    for (a, b), (kind, rate) in got.items():
+        kinds[kind].add((a, b))
+        assert rate == {"household": 0.95, "contact": 0.6, "cluster": 0.6, "work": 0.7, "school": 0.65, "community": 0.4}[kind]
+    assert kinds["cluster"] and all(b < 12 and a // 3 != b // 3 for a, b in kinds["cluster"])
+    assert all(a % 2 and b % 2 for a, b in kinds["work"] - {(0, 4)}) and kinds["school"] == {(40, 43)} | ({(41, 43)} - kinds["work"] - kinds["household"])
+    alone = {i for i in [r[0] for r in rows] if not any(i in p for k, ps in kinds.items() if k != "community" for p in ps)}
+    assert alone == {101} and len(kinds["community"]) == 2 and all(101 in p for p in kinds["community"])
+    assert network.build_contact_network(agents.limit(0), links.limit(0), "home").count() == 0
+    bare = network.build_contact_network(agents, links, "home", repair=False)
+    assert {(r.agent_1, r.agent_2) for r in bare.collect()} == set(got) - kinds["community"]
 
 
 def test_ranks_and_percentiles(spark):
@@ -225,6 +343,10 @@ def test_fine_cluster(spark):
 EVENTS = "event_id long, user_id long, ts timestamp, event_type string, value double"
 
 
+def cast(spark, rows, shape="event_id long, user_id long, ts string, event_type string, value double"):
+    return spark.createDataFrame(rows, shape).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 @pytest.fixture
 def shuffled(spark, tmp_path):
     """Events of three entities in files that aren't in order of time, one file a batch, and a last event far behind them."""
@@ -232,18 +354,17 @@ def shuffled(spark, tmp_path):
     kinds = ["view", "click", "error", "purchase"]
     rows = [(i, int(rng.integers(0, 3)), f"2024-01-{1 + i // 5:02d} 0{i % 5}:00:00", kinds[rng.integers(0, 4)], float(rng.integers(10, 90))) for i in range(60)]
     end = (-1, -1, "2025-01-01 00:00:00", "view", 0.0)
-    cast = lambda rs: spark.createDataFrame(rs, "event_id long, user_id long, ts string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
     order = rng.permutation(60)
     path = str(tmp_path / "events")
     for k in range(0, 60, 10):
-        cast([rows[i] for i in order[k : k + 10]]).coalesce(1).write.mode("append").parquet(path)
-    source = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(path)
+        cast(spark, [rows[i] for i in order[k : k + 10]]).coalesce(1).write.mode("append").parquet(path)
+    source = stateful.session(spark).readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(path)
 
     def run(build):
         for _ in range(2):
             q = build(source).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
             q.awaitTermination()
-            cast([end]).write.mode("append").parquet(path)
+            cast(spark, [end]).write.mode("append").parquet(path)
         return spark.read.parquet(str(tmp_path / "out")).collect()
 
     return rows, run, source
@@ -251,7 +372,7 @@ def shuffled(spark, tmp_path):
 
 def test_tracker_over_unordered_batches(shuffled):
     rows, run, _ = shuffled
-    got = sorted((r.agent_id, r.event_id, r.from_state, r.to_state) for r in run(lambda e: daily.state_tracker(e, "300 days")))
+    got = sorted((r.agent_id, r.event_id, r.from_state, r.to_state) for r in run(lambda e: stateful.state_tracker(e, "300 days")))
     want, last = [], defaultdict(lambda: "S")
     for i, u, _, kind, _ in rows:
         now = panel.EVENT_STATES[kind]
@@ -263,7 +384,7 @@ def test_tracker_over_unordered_batches(shuffled):
 
 def test_accumulator_over_unordered_batches(shuffled):
     rows, run, _ = shuffled
-    got = sorted((r.agent_id, r.event_id, r.total) for r in run(lambda e: daily.accumulator(e, 150.0, "300 days")))
+    got = sorted((r.agent_id, r.event_id, r.total) for r in run(lambda e: stateful.accumulator(e, 150.0, "300 days")))
     want, total = [], Counter()
     for i, u, _, _, v in rows:
         total[u] += v
@@ -273,27 +394,112 @@ def test_accumulator_over_unordered_batches(shuffled):
     assert got == sorted(want)
 
 
+def streamed(spark, tmp_path, batches, shape, build):
+    """Output of a stream that gets ``batches`` one by one, run to its end after each."""
+    path, out, log = (str(tmp_path / x) for x in ("in", "out", "log"))
+    none = cast(spark, batches[0], shape).limit(0)
+    none.write.parquet(path)
+    source = stateful.session(spark).readStream.schema(none.schema).parquet(path)
+    for b in batches:
+        cast(spark, b, shape).coalesce(1).write.mode("append").parquet(path)
+        build(source).writeStream.format("parquet").option("path", out).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).collect()
+
+
+def test_dormant_entities_are_forgotten(spark, tmp_path):
+    """An entity without events for longer than the span starts anew; one with events in between keeps its state; what waits outlives the span."""
+    shape = "event_id long, user_id long, ts string, event_type string, value double"
+    day = lambda n, u, i, kind="error": (i, u, f"2024-{1 + n // 28:02d}-{1 + n % 28:02d} 00:00:00", kind, 60.0)
+    batches = [[day(0, 1, 1), day(0, 2, 2)], [day(8, 2, 3)], [day(16, 2, 4)], [day(24, 1, 5), day(24, 2, 6)], [day(40, 9, 7)]]
+    got = sorted((r.agent_id, r.event_id, r.from_state) for r in streamed(spark, tmp_path, batches, shape, lambda e: stateful.state_tracker(e, "1 day", "10 days")))
+    assert got == [(1, 1, "S"), (1, 5, "S"), (2, 2, "S")]
+
+
+def test_infections_count_once(spark, tmp_path):
+    """Repeated links, later sources of one infected and links that come late or out of order."""
+    shape = "source long, infected long, ts string"
+    at = lambda n: f"2024-01-{n:02d} 00:00:00"
+    batches = [[(1, 2, at(3)), (1, 2, at(3)), (5, 2, at(2))], [(5, 3, at(1)), (5, 2, at(4)), (1, 4, at(3))], [(5, 3, at(6)), (9, 9, at(30))]]
+    first = streamed(spark, tmp_path / "a", batches, shape, lambda e: stateful.infection_sources(e, "20 days"))
+    assert sorted((r.infected, r.source, r.ts.day) for r in first) == [(2, 5, 2), (3, 5, 1)] + [(4, 1, 3)]
+    again = [[(r.infected, r.source, str(r.ts)) for r in first], [(3, 5, at(1)), (7, 5, at(9))]]
+    tree = streamed(spark, tmp_path / "b", again, "infected long, source long, ts string", stateful.infection_tree)
+    assert sorted((r.source, r.infected, r.n) for r in tree) == [(1, 4, 1), (5, 2, 2), (5, 3, 1), (5, 7, 3)]
+
+
+def test_phases_over_unordered_batches(spark, tmp_path):
+    """Two populations of one size, their days in any order, from events to phases in one stream; equal to the phases of whole tables."""
+    rng = np.random.default_rng(6)
+    size, rows, want = 40, [], {}
+    for population in (1, 2):
+        active = rng.integers(0, 14, 20)
+        for day, n in enumerate(active):
+            rows += [(population, f"2024-01-{day + 1:02d} 0{k % 9}:00:00", "I" if k < n else "S") for k in range(size)]
+        h = spark.createDataFrame([(d, size - int(n), 0, int(n), 0, 0) for d, n in enumerate(active)], "day int, S long, E long, I long, R long, D long")
+        want |= {(population, r.day): (r.active, r.phase) for r in panel.epidemic_phase(h).collect()}
+    rng.shuffle(rows)
+    rows = [(int(p), str(t), str(s)) for p, t, s in rows]
+    batches = [rows[k::5] for k in range(5)] + [[(9, "2024-06-01 00:00:00", "S")], [(9, "2024-12-01 00:00:00", "S")]]
+    got = streamed(spark, tmp_path, batches, "population long, ts string, state string", lambda e: stateful.phases_of_events(e, "30 days"))
+    assert {(r.population, r.day.day - 1): (r.active, r.phase) for r in got if r.population < 9} == want
+
+
 def test_daily_counts_over_unordered_batches(shuffled):
     rows, run, _ = shuffled
     got = Counter({(str(r.day), r.event_type): r.n for r in run(lambda e: daily.daily_counts(e, "100 days"))})
     assert got == Counter((t[:10], kind) for _, _, t, kind, _ in rows)
 
 
-def test_history_is_kept_and_never_taken_for_empty(spark, shuffled, tmp_path):
+def test_history_comes_in_whole_versions(spark, shuffled, tmp_path, monkeypatch):
     rows, _, source = shuffled
     path = str(tmp_path / "history")
-    start = lambda: daily.start_history_sink(daily.daily_counts(source, "100 days"), path, str(tmp_path / "history-log"), ["day", "event_type"])
-    start().awaitTermination()
+    counts = daily.daily_counts(source, "100 days")
+    start = lambda: history.start_history_sink(counts, path, str(tmp_path / "history-log"), ["day", "event_type"]).awaitTermination()
+    read = lambda: Counter({(str(r.day), r.event_type): r.n for r in history.read_history(spark, path, counts.schema).collect()})
+    assert read() == Counter()
+    start()
     want = Counter((t[:10], kind) for _, _, t, kind, _ in rows)
-    read = lambda: Counter({(str(r.day), r.event_type): r.n for r in spark.read.parquet(path).collect()})
     assert read() == want
-    # a day's file that can't be read fails the batch that touches the day
-    for f in (tmp_path / "history").glob("day=2024-01-01/*.parquet"):
+    cast(spark, [(500, 1, "2024-01-01 00:00:00", "view", 1.0)]).write.mode("append").parquet(str(tmp_path / "events"))
+    held = set((tmp_path / "history").rglob("*.parquet"))
+
+    # the files are written, the version is not: the old history stays and the batch runs again
+    with monkeypatch.context() as m:
+        m.setattr(history, "_commit", lambda *_: 1 / 0)
+        with pytest.raises(Exception, match="division by zero"):
+            start()
+    assert read() == want and set((tmp_path / "history").rglob("*.parquet")) > held
+    start()
+    want["2024-01-01", "view"] += 1
+    assert read() == want
+
+    # the version is there, the stream has not noted its batch: it comes again and changes nothing
+    version = history._version(spark, path)
+    for f in (tmp_path / "history-log" / "commits").iterdir():
+        if f.name.strip(".").removesuffix(".crc") == str(max(version[1]["batches"].values())):
+            f.unlink()
+    start()
+    assert history._version(spark, path) == version and read() == want
+
+    # a second writer of one version fails; what no version names can go
+    with pytest.raises(RuntimeError, match="another writer"):
+        history._commit(spark, path, version[0], {})
+    assert history.vacuum(spark, path) > 0 and read() == want
+    # another stream with batches of the same numbers is taken in
+    history.merge_batch(spark.createDataFrame([("2024-01-01", "view", 7)], "d string, event_type string, n long").select(F.to_date("d").alias("day"), "event_type", "n"), path, ["day", "event_type"], "day", "other", 0)
+    want["2024-01-01", "view"] = 7
+    assert read() == want
+
+
+def test_a_part_that_can_not_be_read_fails_its_batch(spark, tmp_path):
+    row = lambda n: spark.createDataFrame([(1, "a", n)], "day int, k string, n long")
+    path = str(tmp_path / "history")
+    history.merge_batch(row(1), path, ["day", "k"], "day", "s", 0)
+    for f in (tmp_path / "history").rglob("*.parquet"):
         f.write_bytes(b"broken")
-    spark.createDataFrame([(500, 1, "view", 1.0)], "event_id long, user_id long, event_type string, value double").withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp")).select("event_id", "user_id", "ts", "event_type", "value").write.mode("append").parquet(str(tmp_path / "events"))
     with pytest.raises(Exception):
-        start().awaitTermination()
-    assert all(f.read_bytes() == b"broken" for f in (tmp_path / "history").glob("day=2024-01-01/*.parquet"))
+        history.merge_batch(row(2), path, ["day", "k"], "day", "s", 1)
+    assert history._version(spark, path)[0] == 1
 
 
 @pytest.mark.parametrize("n", [1, 4])
