@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from popgraph.operators.retrieval import cosine, top_per_group
 from popgraph.functions.draws import uniform
+from popgraph.operators.ward import ward_labels
 from popgraph.plans.stage import counted_broadcast, stage
 
 
@@ -24,6 +29,11 @@ def centroid_arrays(df: DataFrame, label: str, vec: str, id_col: str) -> DataFra
     return c.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "c"))), lambda p: p["c"]).alias("centroid"))
 
 
+def block_stats(df: DataFrame, label: str, vec: str, id_col: str) -> DataFrame:
+    """(label, block_mean, block_std) over all entries of a cluster's vectors."""
+    return long_vectors(df, id_col, vec, label).groupBy(label).agg(F.round(F.avg("x"), 6).alias("block_mean"), F.round(F.stddev_pop("x"), 6).alias("block_std"))
+
+
 def distance(a, b):
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
@@ -193,21 +203,59 @@ def with_balance(labels: DataFrame) -> DataFrame:
     return labels.crossJoin(F.broadcast(n.agg(F.round(F.min("_n") / F.max("_n"), 6).alias("balance"))))
 
 
-def fine_cluster(df: DataFrame, vec: str, id_col: str, k: int, least_balance: float = 0.2, seed: int = 42) -> DataFrame:
-    """(id, cluster_id) by bisecting k-means; by k-means where cluster sizes are too far apart, and into three where fewer than two come out."""
-    from pyspark.ml.clustering import BisectingKMeans, KMeans
+#: Micro-clusters that are linked at most; their linkage is one task's work.
+MICRO = 1024
+
+
+def _labels(df: DataFrame, vec: str, id_col: str, k: int, seed: int) -> DataFrame:
+    """(id, cluster_id) by k-means on the vectors as they are."""
+    from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     v = df.select(id_col, array_to_vector(F.col(vec).cast("array<double>")).alias("features"))
-    told = lambda model: stage(model.fit(v).transform(v).select(id_col, F.col("prediction").alias("cluster_id")), "fine")
+    return KMeans(k=k, seed=seed).fit(v).transform(v).select(id_col, F.col("prediction").alias("cluster_id"))
+
+
+def ward_cluster(df: DataFrame, vec: str, id_col: str, k: int, seed: int = 42, micro: int = MICRO) -> DataFrame:
+    """(id, cluster_id) by Ward linkage, labels dense from 0.
+
+    Up to ``micro`` rows each row is a point of its own, in the order of ids, and the
+    result is that of the plain method. A larger table is first put into ``micro`` groups
+    by k-means; their centres, weighed by size, are linked, and a row has the label of its
+    group. Null vectors and an empty table give no rows.
+    """
+    rows = df.where(F.col(vec).isNotNull()).select(id_col, F.col(vec).cast("array<double>").alias("_v"))
+    if rows.count() <= micro:
+        groups = rows.select(id_col, F.col(id_col).alias("_g"))
+    else:
+        groups = _labels(rows, "_v", id_col, micro, seed).withColumnRenamed("cluster_id", "_g")
+    groups = stage(groups, "ward-groups")
+    member = rows.join(groups, id_col)
+    size = member.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    points = stage(centroid_arrays(member, "_g", "_v", id_col).join(size, "_g"), "ward-points")  # ``micro`` rows at most
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = pd.concat(list(batches))
+        if len(held):
+            held = held.sort_values("_g")
+            held["cluster_id"] = ward_labels(np.stack(held["centroid"].to_numpy()), held["_n"].to_numpy(), k)
+        yield held[["_g", "cluster_id"]] if len(held) else pd.DataFrame({"_g": [], "cluster_id": []})
+
+    kind = groups.schema["_g"].dataType.simpleString()
+    linked = points.coalesce(1).mapInPandas(link, f"_g {kind}, cluster_id int") if points.take(1) else groups.select("_g", F.lit(0).alias("cluster_id"))
+    return groups.join(F.broadcast(stage(linked, "ward-labels")), "_g").select(id_col, "cluster_id")
+
+
+def fine_cluster(df: DataFrame, vec: str, id_col: str, k: int, least_balance: float = 0.2, seed: int = 42, micro: int = MICRO) -> DataFrame:
+    """(id, cluster_id) by Ward linkage; by k-means where cluster sizes are too far apart, and by Ward linkage into three where fewer than two come out."""
     sizes = lambda labels: [r[0] for r in labels.groupBy("cluster_id").count().select("count").collect()]  # noqa: E731  at most k rows
-    labels = told(BisectingKMeans(k=k, seed=seed))
+    labels = stage(ward_cluster(df, vec, id_col, k, seed, micro), "fine")
     n = sizes(labels)
     if n and min(n) / max(n) < least_balance:
-        labels = told(KMeans(k=k, seed=seed))
+        labels = stage(_labels(df.where(F.col(vec).isNotNull()), vec, id_col, k, seed), "fine")
         n = sizes(labels)
     if len(n) == 1:
-        labels = told(BisectingKMeans(k=3, seed=seed))
+        labels = stage(ward_cluster(df, vec, id_col, 3, seed, micro), "fine")
     return labels
 
 
@@ -246,16 +294,3 @@ def compare_clusterings(df: DataFrame, vec: str, id_col: str, k: int, links: Dat
         row = scores.crossJoin(ch_index(x, "cluster_id", vec, id_col)).select(F.lit(method).alias("method"), "clusters", "silhouette", "calinski_harabasz")
         out = row if out is None else out.unionByName(row)
     return out
-
-
-def fit_clusters(df: DataFrame, vec: str, id_col: str, k: int, threshold: float, rounds: int = 3) -> DataFrame:
-    """(id, cluster_id, k, silhouette) of the best of ``rounds`` fits with k, k + 1, ..., ending early at ``threshold``."""
-    best = None
-    for at in range(k, k + rounds):
-        labels = stage(coarse_cluster(df, vec, id_col, at), "fit-clusters")
-        score = silhouette(df.select(id_col, vec).join(labels, id_col), "cluster_id", vec, id_col).agg(F.avg("silhouette_sq")).first()[0] or 0.0
-        if best is None or score > best[0]:
-            best = (score, at, labels)
-        if score >= threshold:
-            break
-    return best[2].withColumns({"k": F.lit(best[1]), "silhouette": F.lit(best[0])})

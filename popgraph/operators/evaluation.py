@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from popgraph.functions.draws import uniform
 from popgraph.operators.risk import BETA_CONTACT, BETA_HOUSEHOLD
 
 
@@ -86,6 +87,54 @@ def apply_scaler(df: DataFrame, key: str, cols: list[str], scaler: DataFrame) ->
     return rows.join(F.broadcast(scaler), "field").select(key, "field", F.round((F.col("x") - F.col("mean")) / F.col("std"), 6).alias("z"))
 
 
+def _nested(df: DataFrame, part: str) -> bool:
+    return df.schema[part].dataType.elementType.typeName() == "array"
+
+
+def _entries(df: DataFrame, parts: list[str]) -> DataFrame:
+    """(field, pos, x) of all entries of array columns, in one pass; an array of steps gives the features of every step under their own places."""
+
+    def listed(part: str) -> Column:
+        one = lambda a: F.coalesce(F.transform(a.cast("array<double>"), lambda x, i: F.struct(F.lit(part).alias("field"), i.alias("pos"), x.alias("x"))), none)
+        none = F.array().cast("array<struct<field:string,pos:int,x:double>>")
+        return F.coalesce(F.flatten(F.transform(part, lambda step: one(step))), none) if _nested(df, part) else one(F.col(part))
+
+    return df.select(F.explode(F.concat(*[listed(p) for p in parts])).alias("_e")).select("_e.field", "_e.pos", "_e.x")
+
+
+def audit_arrays(df: DataFrame, parts: list[str], low: float, high: float) -> DataFrame:
+    """``audit_numeric`` of the entries of array columns, by field."""
+    nan = F.isnan("x")
+    return _entries(df, parts).groupBy("field").agg(F.count(F.lit(1)).alias("entries"), F.count_if(F.col("x").isNull()).alias("nulls"), F.count_if(nan).alias("nans"), F.count_if(F.abs("x") == float("inf")).alias("infs"), F.count_if(~nan & ~F.col("x").between(low, high)).alias("out_of_range"))
+
+
+def fit_array_scaler(df: DataFrame, parts: list[str], least: float = 1e-6) -> DataFrame:
+    """(field, pos, mean, std) of array columns, one row a place; of arrays of steps, a feature's values at all steps are one sample.
+
+    A constant place, and one seen once, has std 1, so it is only centred; null entries are left out.
+    """
+    std = F.stddev_samp("x")
+    return _entries(df, parts).groupBy("field", "pos").agg(F.avg("x").alias("mean"), F.when(std >= least, std).otherwise(1.0).alias("std"))
+
+
+def apply_array_scaler(df: DataFrame, parts: list[str], scaler: DataFrame) -> DataFrame:
+    """``df`` with its array columns ``parts`` scaled; a place that the scaler lacks becomes null."""
+    by = scaler.groupBy("field").agg(F.array_sort(F.collect_list(F.struct("pos", "mean", "std"))).alias("s"))
+    model = by.agg(F.map_from_entries(F.collect_list(F.struct("field", "s"))).alias("_model"))  # one row, as wide as the arrays
+    j = df.crossJoin(F.broadcast(model))
+
+    def scaled(part: str) -> Column:
+        z = lambda a: F.zip_with(a.cast("array<double>"), F.col("_model")[part], lambda x, s: (x - s["mean"]) / s["std"])
+        return F.transform(part, lambda step: z(step)) if _nested(df, part) else z(F.col(part))
+
+    return j.withColumns({p: scaled(p) for p in parts}).drop("_model")
+
+
+def seeded_split(df: DataFrame, key: str, share: float = 0.8, salt: str = "split") -> DataFrame:
+    """``df`` with ``train``: true for about ``share`` of the keys, by a hash, so that a key is always on one side."""
+    return df.withColumn("train", uniform(F.col(key), salt) < share)
+
+
 #: Mean days of infection and the reproduction number aimed at.
 INFECTIOUS_DAYS, R0_TARGET = 10.0, 2.5
 

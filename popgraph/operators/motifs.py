@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from popgraph.functions.draws import uniform
 from popgraph.operators.clusters import centroid_arrays, distance, long_vectors
 from popgraph.operators.retrieval import cosine, top_per_group
-from popgraph.plans.ranks import exact_percentiles
+from popgraph.plans.ranks import exact_percentiles, global_rank
 from popgraph.plans.stage import counted_broadcast, stage
 
 
@@ -115,11 +115,12 @@ def adaptive_threshold(df: DataFrame, id_col: str, vec: str, pairs: int = 4) ->
     return m.select(F.round(threshold, 6).alias("threshold"), F.round("median", 6).alias("median"), F.round("mad", 6).alias("mad"))
 
 
-def quality_score(modularity: DataFrame, coherence: DataFrame, silhouette: DataFrame) -> DataFrame:
-    """(score): 0.45 modularity, 0.35 mean coherence and 0.20 mean silhouette."""
+def quality_score(modularity: DataFrame, coherence: DataFrame, silhouette: DataFrame, unknown: float | None = None) -> DataFrame:
+    """(score): 0.45 modularity, 0.35 mean coherence and 0.20 mean silhouette; a part that is null counts as ``unknown``."""
     m = modularity.select(F.col("modularity").alias("_m"))
     j = m.crossJoin(coherence.agg(F.avg("coherence").alias("_c"))).crossJoin(silhouette.agg(F.avg(F.col("silhouette_sq")).alias("_s")))
-    return j.select(F.round(0.45 * F.col("_m") + 0.35 * F.col("_c") + 0.20 * F.col("_s"), 5).alias("score"))
+    part = lambda c: F.col(c) if unknown is None else F.coalesce(c, F.lit(unknown))
+    return j.select(F.round(0.45 * part("_m") + 0.35 * part("_c") + 0.20 * part("_s"), 5).alias("score"))
 
 
 def dashboard(modularity: DataFrame, coherence: DataFrame, silhouette: DataFrame, ch: DataFrame, db: DataFrame, balance: DataFrame) -> DataFrame:
@@ -183,11 +184,23 @@ def prediction_report(df: DataFrame, keys: list[str], p: str, y: str) -> DataFra
     return df.groupBy(*keys).agg(*stats, F.round(F.avg(F.when(F.col(y) > 0.001, 1.0).otherwise(0.0)), 6).alias("target_nonzero"), F.round(F.var_pop(y), 6).alias("target_variance"))
 
 
+#: Clusters whose pairs are looked at; more raise, since merging follows one order of all pairs.
+MOST_CLUSTERS = 2000
+
+
+def _few_clusters(table: DataFrame) -> DataFrame:
+    """``table``, one row a cluster, written; more than ``MOST_CLUSTERS`` rows raise."""
+    held = stage(table, "clusters")
+    if (n := held.count()) > MOST_CLUSTERS:
+        raise ValueError(f"{n} clusters: pairs of more than {MOST_CLUSTERS} are not compared")
+    return held
+
+
 def cluster_divergence(profile: DataFrame, clusters: DataFrame, key: str, label: str) -> DataFrame:
     """(a, b, divergence): Jensen-Shannon divergence (nats) of the motif shares of every pair of clusters."""
     s = profile.join(clusters.select(key, "cluster_id"), key).groupBy("cluster_id", label).agg(F.sum("share").alias("_s"))
     p = s.join(s.groupBy("cluster_id").agg(F.sum("_s").alias("_t")), "cluster_id").select("cluster_id", F.struct(F.col(label).alias("m"), (F.col("_s") / F.col("_t")).alias("p")).alias("e"))
-    m = p.groupBy("cluster_id").agg(F.map_from_entries(F.collect_list("e")).alias("_m"))
+    m = _few_clusters(p.groupBy("cluster_id").agg(F.map_from_entries(F.collect_list("e")).alias("_m")))
     a, b = m.select(F.col("cluster_id").alias("a"), F.col("_m").alias("_x")), m.select(F.col("cluster_id").alias("b"), F.col("_m").alias("_y"))
     part = lambda own, other: F.aggregate(
         F.map_entries(own), F.lit(0.0), lambda t, e: t + F.when(e["value"] > 0, e["value"] * F.log(2 * e["value"] / (e["value"] + F.coalesce(other[e["key"]], F.lit(0.0))))).otherwise(0.0)
@@ -199,19 +212,25 @@ def cluster_divergence(profile: DataFrame, clusters: DataFrame, key: str, label:
 def merge_clusters(clusters: DataFrame, divergence: DataFrame, key: str, theta: float) -> DataFrame:
     """(key, cluster_id): clusters closer than ``theta`` joined, closest first, at least two kept, labels dense from 0.
 
-    Only pairs of clusters reach the driver: at most clusters squared, not entities.
+    A pair counts while both its clusters are left; the second goes into the first. The
+    pairs of at most ``MOST_CLUSTERS`` clusters reach the driver, entities do not.
     """
-    ids = [r[0] for r in clusters.select("cluster_id").distinct().orderBy("cluster_id").collect()]
-    left, into = set(ids), {c: c for c in ids}
-    for a, b, _ in divergence.where(F.col("divergence") < theta).orderBy("divergence", "a", "b").collect():
+    ids = [r[0] for r in _few_clusters(clusters.select("cluster_id").distinct()).orderBy("cluster_id").collect()]
+    left, into = set(ids), {}
+    for a, b in divergence.where(F.col("divergence") < theta).orderBy("divergence", "a", "b").select("a", "b").collect():
         if len(left) > 2 and a in left and b in left:
             left.remove(b)
-            into = {c: a if t == b else t for c, t in into.items()}
+            into[b] = a
     dense = {c: i for i, c in enumerate(sorted(left))}
-    if not into:
-        return clusters.select(key, "cluster_id")
-    new = F.create_map(*[F.lit(x) for c, t in into.items() for x in (c, dense[t])])
-    return clusters.select(key, new[F.col("cluster_id")].alias("cluster_id"))
+
+    def last(c):
+        while c in into:
+            c = into[c]
+        return c
+
+    kind = clusters.schema["cluster_id"].dataType.simpleString()
+    table = clusters.sparkSession.createDataFrame([(c, dense[last(c)]) for c in ids], f"cluster_id {kind}, _new int")
+    return clusters.select(key, "cluster_id").join(F.broadcast(table), "cluster_id").select(key, F.col("_new").alias("cluster_id"))
 
 
 def split_flags(profile: DataFrame, clusters: DataFrame, key: str, label: str, motifs: int, theta: float, variance: float = 0.1) -> DataFrame:
@@ -240,21 +259,37 @@ def reassign(df: DataFrame, nb: DataFrame, boundary: DataFrame, label: str, vec:
     return j.groupBy(id_col).agg(F.min_by("_label", F.struct(-F.round(pull, 9), "_label")).alias(label))
 
 
-def split_clusters(df: DataFrame, flagged: DataFrame, label: str, vec: str, id_col: str, seed: int = 7) -> DataFrame:
+def split_clusters(df: DataFrame, flagged: DataFrame, label: str, vec: str, id_col: str, rounds: int = 10) -> DataFrame:
     """(id, label): each flagged cluster divided by 2-means, the second half under the next free label.
 
-    Labels (one row per cluster) reach the driver, entities do not; clusters of fewer
-    than two rows stay whole.
+    All clusters are divided at once by joins: the first centre is the row farthest from
+    the cluster's centre, the second the row farthest from that one (ties to the smaller
+    id), and up to ``rounds`` rounds move both to the means of their rows; a row as near
+    to both goes with the first. The half of the cluster's smallest id keeps the label.
+    Clusters of fewer than two rows or of equal rows stay whole.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
+    v = F.col(vec).cast("array<double>")
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    top = sizes.agg(F.max(label)).first()[0]
-    chosen = [r[0] for r in sizes.where("_n > 1").join(flagged.select(label), label, "left_semi").orderBy(label).collect()]
-    out = df.where(~F.col(label).isin(chosen)).select(id_col, label) if chosen else df.select(id_col, label)
-    for at, c in enumerate(chosen, 1):
-        v = df.where(F.col(label) == c).select(id_col, label, array_to_vector(F.col(vec).cast("array<double>")).alias("features"))
-        halves = KMeans(k=2, seed=seed).fit(v).transform(v)
-        out = out.unionByName(halves.select(id_col, F.when(F.col("prediction") == 1, top + at).otherwise(F.col(label)).alias(label)))
-    return out
+    chosen = stage(sizes.where("_n > 1").join(flagged.select(label).distinct(), label, "left_semi").select(label), "split-chosen")
+    rows = stage(df.join(chosen, label, "left_semi").select(F.col(label).alias("_l"), F.col(id_col).alias("_i"), v.alias("_v")), "split-rows")
+    farthest = lambda to: F.min_by("_v", F.struct(-F.round(distance("_v", to), 9), "_i"))
+    first = rows.join(centroid_arrays(rows, "_l", "_v", "_i"), "_l").groupBy("_l").agg(farthest("centroid").alias("_a"))
+    centres = stage(rows.join(first, "_l").groupBy("_l", "_a").agg(farthest("_a").alias("_b")), "split-centres")
+    second = distance("_v", "_b") < distance("_v", "_a")
+    for _ in range(rounds):
+        told = rows.join(centres, "_l").withColumn("_h", second).select("_l", "_h", F.posexplode("_v").alias("_p", "_x"))
+        means = told.groupBy("_l", "_h", "_p").agg(F.avg("_x").alias("_x")).groupBy("_l", "_h").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_x"))), lambda e: e["_x"]).alias("_c"))
+        means = means.groupBy("_l").agg(F.max(F.when(~F.col("_h"), F.col("_c"))).alias("_na"), F.max(F.when(F.col("_h"), F.col("_c"))).alias("_nb"))
+        na, nb = F.coalesce("_na", "_a"), F.coalesce("_nb", "_b")
+        moved = (na != F.col("_a")) | (nb != F.col("_b"))
+        centres = stage(centres.join(means, "_l").select("_l", na.alias("_a"), nb.alias("_b"), moved.alias("_moved")), "split-centres")
+        if centres.where("_moved").isEmpty():
+            break
+        centres = centres.drop("_moved")
+    halves = stage(rows.join(centres, "_l").select("_l", "_i", second.alias("_h")), "split-halves")
+    keeps = halves.groupBy("_l").agg(F.min_by("_h", "_i").alias("_keeps"))
+    top = sizes.agg(F.max(label).alias("_top"))  # one row
+    number = global_rank(chosen, [label], "_k").select(F.col(label).alias("_l"), (F.col("_k") + 1).alias("_k"))
+    moved = halves.join(keeps, "_l").where("_h <> _keeps").join(number, "_l").crossJoin(F.broadcast(top))
+    moved = moved.select(F.col("_i").alias(id_col), (F.col("_top") + F.col("_k")).cast(df.schema[label].dataType).alias("_moved"))
+    return df.select(id_col, label).join(moved, id_col, "left").select(id_col, F.coalesce("_moved", label).alias(label))

@@ -45,20 +45,65 @@ def cosine(a: str | Column, b: str | Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+#: What a cosine of unit vectors in half precision can be off by, amply.
+HALF_ERROR = 0.002
+
+
 def _buckets(tables: int, bits: int, seed: int):
+    """Of each vector its keys, one a table, and its unit vector in half precision."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = 1 << np.arange(bits, dtype=np.int64)
         planes: dict[int, np.ndarray] = {}
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                vecs = [np.asarray(v) for v in part.column(1).to_pylist()]
-                keys = []
-                for v in vecs:
+                keys, halves = [], []
+                for x in part.column(1).to_pylist():
+                    v = np.asarray(x)
+                    v = v / np.abs(v).max()  # so that no square is out of range
                     if len(v) not in planes:
                         planes[len(v)] = np.random.default_rng([seed, len(v)]).normal(size=(len(v), tables * bits))
                     keys.append(((v @ planes[len(v)] > 0).reshape(tables, bits) @ weights).tolist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.list_(pa.int64()))], ["id", "keys"])
+                    halves.append((v / np.linalg.norm(v)).astype(np.float16).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array(halves, pa.binary())], ["id", "keys", "half"])
+
+    return run
+
+
+def _meetings(least: float):
+    """Rows sorted by bucket, block and side to pairs a < b whose half-precision cosine is over ``least``.
+
+    The block (side 0) is held, the whole bucket (side 1) streams past it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, held, block = None, [], [], None
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                b = whole.slice(at, 2048)
+                places = list(zip(*(c.to_pylist() for c in b.columns[:4]), strict=True))
+                sides, own, halves = (b.column(c).to_pylist() for c in ("side", "id", "half"))
+                k = 0
+                while k < len(places):
+                    end = k
+                    while end < len(places) and places[end] == places[k] and sides[end] == sides[k]:
+                        end += 1
+                    if places[k] != now:
+                        now, ids, held, block = places[k], [], [], None
+                    vectors = [np.frombuffer(h, np.float16) for h in halves[k:end]]
+                    if sides[k] == 0:
+                        ids += own[k:end]
+                        held += vectors
+                    elif held:
+                        if block is None:
+                            block, left = np.stack(held).astype(np.float32), np.array(ids)
+                        near = np.stack(vectors).astype(np.float32) @ block.T > least
+                        right = np.array(own[k:end])
+                        y, x = np.nonzero(near & (left[None, :] < right[:, None]))
+                        if len(x):
+                            yield pa.RecordBatch.from_arrays([pa.array(left[x]), pa.array(right[y])], ["a", "b"])
+                    k = end
 
     return run
 
@@ -70,27 +115,32 @@ def similar_pairs(
 
     Rows meet in buckets of random half-spaces; their bits grow with the table, and as
     many bucketings are made as leave a pair at the threshold out with a chance of at
-    most ``miss``. Candidates are checked exactly. A bucket of more than ``block`` rows is
-    compared in blocks, in full. Null, zero and non-finite vectors take no part; rows that
-    repeat an id meet by their smallest vector; vectors of unlike length are no pairs.
+    most ``miss``. Cosines are looked at inside the buckets, on unit vectors in half
+    precision, and only pairs that may be above the threshold leave them, to be checked
+    exactly. A bucket of more than ``block`` rows is compared in blocks, in full. Null,
+    zero and non-finite vectors take no part; rows that repeat an id meet by their
+    smallest vector; vectors of unlike length are no pairs. Ids are integers.
     """
     doubles = F.col(vec).cast("array<double>")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    rows = emb.select(F.col(id_col).alias("id"), doubles.alias("x"), *flags).where("id is not null and size(x) > 0")
+    rows = emb.select(F.col(id_col).cast("long").alias("id"), doubles.alias("x"), *flags).where("id is not null and size(x) > 0")
     rows = rows.where(~F.exists("x", bad) & F.exists("x", lambda x: x != 0))
     rows = stage(rows.groupBy("id").agg(F.min(F.struct("x", *flags)).alias("r")).select("id", "r.*"), "pairs-rows")
     n = rows.count()
     bits = min(max(math.ceil(math.log2(max(n / 100, 2))), 4), 40)
     meet = (1 - math.acos(max(min(threshold, 1.0), -1.0)) / math.pi) ** bits
     tables = max(math.ceil(math.log(miss) / math.log1p(-meet)), 1) if meet < 1 else 1
-    keyed = rows.select("id", "x").mapInArrow(_buckets(tables, bits, seed), "id long, keys array<long>").select("id", F.posexplode("keys").alias("t", "key"))
-    size = keyed.groupBy("t", "key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n"), F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
-    sized = stage(keyed.join(size, ["t", "key"]), "pairs-buckets")
-    one = sized.select("t", "key", F.col("id").alias("a"), F.pmod(F.xxhash64("id"), F.col("_n")).cast("int").alias("_at"))
-    two = sized.select("t", "key", F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_at"))
-    met = one.join(two, ["t", "key", "_at"]).where("a < b").select("a", "b").distinct()
+    keyed = rows.select("id", "x").mapInArrow(_buckets(tables, bits, seed), "id long, keys array<long>, half binary").select("id", "half", F.octet_length("half").alias("wide"), F.posexplode("keys").alias("t", "key"))
+    bucket = ["t", "key", "wide"]
+    size = keyed.groupBy(*bucket).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n"), F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
+    sized = stage(keyed.join(size, bucket), "pairs-buckets")
+    own = F.pmod(F.xxhash64("id"), F.col("_n")).cast("int")
+    one = sized.select(*bucket, own.alias("at"), F.lit(0).alias("side"), "id", "half")
+    two = sized.select(*bucket, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("at"), F.lit(1).alias("side"), "id", "half")
+    dealt = one.unionByName(two).repartition(*bucket, "at").sortWithinPartitions(*bucket, "at", "side")
+    met = dealt.mapInArrow(_meetings(threshold - HALF_ERROR), "a long, b long").distinct()
     side = lambda name: rows.select(F.col("id").alias(name), F.col("x").alias(f"_{name}"), *[F.col(f).alias(f"_{f}_{name}") for f in flags])
-    pairs = met.join(side("a"), "a").join(side("b"), "b").where(F.size("_a") == F.size("_b"))
+    pairs = met.join(side("a"), "a").join(side("b"), "b")
     same = [F.coalesce(F.col(f"_{f}_a") == F.col(f"_{f}_b"), F.lit(False)).alias(f"same_{f}") for f in flags]
     found = pairs.select("a", "b", cosine("_a", "_b").alias("cosine"), *same).where(F.col("cosine") > threshold)
     return found if k is None else found.orderBy(F.desc(F.round("cosine", 9)), "a", "b").limit(k)

@@ -10,8 +10,9 @@ from popgraph.operators import features as X
 from popgraph.operators import motifs as M
 from popgraph.operators import risk as R
 from popgraph.operators import text as T
+from popgraph.operators.refinement import refine_clusters
 from popgraph.plans.stage import new_path
-from popgraph.queries.base import ORACLE_SQL, agents, neighbors, query, read
+from popgraph.queries.base import ORACLE_SQL, agents, edges, neighbors, query, read
 from popgraph.queries.entities import _DOCS, _NBS, contacts, said
 from popgraph.queries.features import _AG, _PF, h7_continuous_features, patterns, profiles
 from popgraph.queries.panels import panel
@@ -151,7 +152,16 @@ def i19_cluster_divergence(s, d):
     return M.cluster_divergence(p, tens(p), "user_id", "event_type")
 
 
-@query()
+_MERGED = """, fd AS (SELECT list_reduce(list_prepend({'a': -1::BIGINT, 'b': -1::BIGINT, 'left': (SELECT list(DISTINCT c) FROM cs), 'm': []::STRUCT(a BIGINT, b BIGINT)[]},
+  coalesce(list({'a': a, 'b': b, 'left': []::BIGINT[], 'm': []::STRUCT(a BIGINT, b BIGINT)[]} ORDER BY divergence, a, b), [])),
+  lambda t, x: CASE WHEN len(t.left) > 2 AND list_contains(t.left, x.a) AND list_contains(t.left, x.b) THEN {'a': x.a, 'b': x.b, 'left': list_filter(t.left, lambda q: q <> x.b), 'm': list_append(t.m, {'a': x.a, 'b': x.b})} ELSE t END) AS r FROM dv WHERE divergence < 0.002),
+mg AS (SELECT u.a AS a, u.b AS b FROM (SELECT unnest(r.m) AS u FROM fd)),
+rt(c, root) AS (SELECT DISTINCT c, c FROM cs UNION ALL SELECT rt.c, mg.a FROM rt JOIN mg ON rt.root = mg.b),
+fi AS (SELECT c, CAST(dense_rank() OVER (ORDER BY root) - 1 AS INTEGER) AS new FROM rt WHERE root NOT IN (SELECT b FROM mg))
+SELECT user_id, new AS cluster_id FROM (SELECT DISTINCT user_id FROM pf) JOIN fi ON user_id % 10 = c"""
+
+
+@query(_JS + ", dv AS (SELECT a, b, round(sum(CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) ELSE 0 END) / 2, 9) AS divergence FROM pq GROUP BY a, b)" + _MERGED)
 def i19_merge_clusters(s, d):
     p = patterns(s, d)
     return M.merge_clusters(tens(p), M.cluster_divergence(p, tens(p), "user_id", "event_type"), "user_id", 0.002)
@@ -165,7 +175,25 @@ def i20_split_flags(s, d):
     return M.split_flags(p, tens(p), "user_id", "event_type", 5, 0.5, 0.001)
 
 
-@query()
+def _split_sql(rounds: int = 10) -> str:
+    """2-means of the wide clusters, round by round."""
+    far = "row_number() OVER (PARTITION BY label ORDER BY round(list_distance(v, {0}), 9) DESC, vec_id) = 1"
+    steps = [
+        _EM + ", wd AS (SELECT label, avg(list_distance(v, c)) AS w, count(*) AS n FROM em JOIN ca USING (label) GROUP BY label), fl AS (SELECT label FROM wd WHERE n >= 6 AND round(w, 6) > (SELECT avg(round(w, 6)) FROM wd))",
+        "sr AS (SELECT em.label, vec_id, v, c FROM em JOIN ca USING (label) WHERE em.label IN (SELECT label FROM fl))",
+        f"sa AS (SELECT label, v AS a FROM sr QUALIFY {far.format('c')})", f"c0 AS (SELECT label, a, v AS b FROM sr JOIN sa USING (label) QUALIFY {far.format('a')})",
+    ]
+    for k in range(rounds):
+        steps.append(f"h{k} AS (SELECT label, vec_id, list_distance(v, b) < list_distance(v, a) AS h, v FROM sr JOIN c{k} USING (label))")
+        steps.append(f"m{k} AS (SELECT label, h, list(x ORDER BY pos) AS m FROM (SELECT label, h, pos, avg(x) AS x FROM (SELECT label, h, unnest(v) AS x, unnest(range(64)) AS pos FROM h{k}) GROUP BY ALL) GROUP BY label, h)")
+        steps.append(f"c{k + 1} AS (SELECT label, coalesce((SELECT m FROM m{k} WHERE m{k}.label = c{k}.label AND NOT h), a) AS a, coalesce((SELECT m FROM m{k} WHERE m{k}.label = c{k}.label AND h), b) AS b FROM c{k})")
+    steps.append(f"hz AS (SELECT label, vec_id, list_distance(v, b) < list_distance(v, a) AS h FROM sr JOIN c{rounds} USING (label))")
+    steps.append("kp AS (SELECT label, arg_min(h, vec_id) AS k FROM hz GROUP BY label), nr AS (SELECT label, row_number() OVER (ORDER BY label) AS r FROM fl)")
+    steps.append("mv AS (SELECT vec_id, (SELECT max(label) FROM em) + r AS new FROM hz JOIN kp USING (label) JOIN nr USING (label) WHERE h <> k)")
+    return ", ".join(steps) + " SELECT em.vec_id, CAST(coalesce(new, label) AS INTEGER) AS label FROM em LEFT JOIN mv ON em.vec_id = mv.vec_id"
+
+
+@query(_split_sql())
 def i20_split_clusters(s, d):
     wide = K.intra_distance(emb(s, d), *_E)
     flagged = wide.crossJoin(wide.agg(F.avg("mean_distance").alias("_all"))).where("size >= 6 and mean_distance > _all")
@@ -201,5 +229,7 @@ def i35_compare_clusterings(s, d):
 
 
 @query()
-def i36_fit_clusters(s, d):
-    return K.fit_clusters(emb(s, d), "embedding", "vec_id", 4, threshold=0.3, rounds=3)
+def i36_refine_clusters(s, d):
+    e = emb(s, d).select("vec_id", "embedding", F.transform(F.slice(F.col("embedding").cast("array<double>"), 1, 8), lambda x: F.abs(x)).alias("motif"))
+    told = refine_clusters(e, patterns(s, d).withColumnRenamed("user_id", "vec_id"), edges(s, d), "vec_id", "embedding", "motif", "event_type", 6, 5, threshold=0.6, rounds=2)
+    return told.labels.withColumns({"best_round": F.lit(told.best), "score": F.lit(told.score)})

@@ -127,10 +127,10 @@ def d16_death_factor(s, d):
     return X.death_factor(agents(s, d), panel(s, d), "cluster_id")
 
 
-@query(_EM + " SELECT label, round(avg(x), 6) AS block_mean, round(stddev_pop(x), 6) AS block_std FROM lv GROUP BY label")
+@query(_EM + """, bs AS (SELECT label, round(avg(x), 6) AS block_mean, round(stddev_pop(x), 6) AS block_std FROM lv GROUP BY label), po AS (SELECT label, list(round(c, 6) ORDER BY pos) AS pooled FROM ct GROUP BY label) SELECT label, block_mean, block_std, pooled FROM bs JOIN po USING (label)""")
 def d18_cluster_embedding(s, d):
-    x = K.long_vectors(emb(s, d), "vec_id", "embedding", "label")
-    return x.groupBy("label").agg(F.round(F.avg("x"), 6).alias("block_mean"), F.round(F.stddev_pop("x"), 6).alias("block_std"))
+    pooled = K.centroid_arrays(emb(s, d), *_E).select("label", F.transform("centroid", lambda x: F.round(x, 6)).alias("pooled"))
+    return K.block_stats(emb(s, d), *_E).join(pooled, "label")
 
 
 _LBL = _NEXT + f", lb AS (SELECT cluster_id, day, {_RATE} FROM nx WHERE n IS NOT NULL GROUP BY cluster_id, day)"

@@ -182,9 +182,7 @@ def d26_scaler(s, d):
 
 @query("SELECT agent_id, (CAST('0x' || substr(md5('split:' || CAST(agent_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE) < 0.8 AS train FROM agents")
 def d27_split(s, d):
-    from popgraph.functions.draws import uniform
-
-    return agents(s, d).select("agent_id", (uniform(F.col("agent_id"), "split") < 0.8).alias("train"))
+    return V.seeded_split(agents(s, d).select("agent_id"), "agent_id")
 
 
 @query(", h AS (SELECT avg(n) AS hs FROM (SELECT count(*) AS n FROM agents GROUP BY household_id)), w AS (SELECT 2 * count(*) / (SELECT count(*) FROM agents) AS k FROM edges WHERE edge_type <> 'household') SELECT round((hs - 1) * (1 - exp(-0.18::DOUBLE)) + 0.035::DOUBLE * k * 10, 6) AS r0 FROM h, w")

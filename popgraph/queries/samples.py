@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from popgraph.operators import archetypes as T
+from popgraph.operators import evaluation as V
 from popgraph.operators import panel as P
 from popgraph.operators import samples as S
 from popgraph.operators import scenarios as C
 from popgraph.plans.stage import stage
-from popgraph.queries.base import neighbors, query, read
+from popgraph.queries.base import ORACLE_SQL, neighbors, query, read
 from popgraph.queries.behaviour import _AXES, axes
 from popgraph.queries.features import _AG, _flag, _vec, profiles
 from popgraph.queries.panels import _NEXT, _RATE, panel
@@ -72,6 +73,28 @@ def d20_training_samples(s, d):
     return S.training_samples(profiles(s, d), written_panel(s, d), neighbors(s, d), vectors(s, d)).withColumn("temporal", F.flatten("temporal"))
 
 
+_PARTS = ["tabular", "temporal", "graph"]
+_ENTRIES = ", ds AS (" + ORACLE_SQL["d20_training_samples"] + """), en AS (SELECT cluster_id, day, 'tabular' AS field, generate_subscripts(tabular, 1) - 1 AS pos, unnest(tabular) AS x FROM ds UNION ALL SELECT cluster_id, day, 'graph', generate_subscripts(graph, 1) - 1, unnest(graph) FROM ds
+  UNION ALL SELECT cluster_id, day, 'temporal', generate_subscripts(temporal, 1) - 1, unnest(temporal) FROM ds), ep AS (SELECT *, CASE WHEN field = 'temporal' THEN pos % 10 ELSE pos END AS place FROM en),
+sl AS (SELECT field, place, avg(x) AS m, CASE WHEN stddev_samp(x) >= 1e-6 THEN stddev_samp(x) ELSE 1.0 END AS s FROM ep GROUP BY ALL)"""
+
+
+def samples(s, d):
+    return stage(S.training_samples(profiles(s, d), written_panel(s, d), neighbors(s, d), vectors(s, d)), "samples")
+
+
+@query(_ENTRIES + ", z AS (SELECT cluster_id, day, field, list(round((x - m) / s, 5) ORDER BY pos) AS v FROM ep JOIN sl USING (field, place) GROUP BY ALL) SELECT cluster_id, day, max(v) FILTER (field = 'tabular') AS tabular, max(v) FILTER (field = 'temporal') AS temporal, max(v) FILTER (field = 'graph') AS graph FROM z GROUP BY cluster_id, day")
+def d26_scale_samples(s, d):
+    rows = samples(s, d)
+    scaled = V.apply_array_scaler(rows, _PARTS, V.fit_array_scaler(rows, _PARTS)).withColumn("temporal", F.flatten("temporal"))
+    return scaled.select("cluster_id", "day", *[F.transform(c, lambda x: F.round(x, 5)).alias(c) for c in _PARTS])
+
+
+@query(_ENTRIES + " SELECT field, count(*) AS entries, count(*) FILTER (x IS NULL) AS nulls, count(*) FILTER (isnan(x)) AS nans, count(*) FILTER (isinf(x)) AS infs, count(*) FILTER (x NOT BETWEEN 0 AND 1) AS out_of_range FROM en GROUP BY field")
+def d25_audit_samples(s, d):
+    return V.audit_arrays(samples(s, d), _PARTS, 0.0, 1.0)
+
+
 #: The scenario that an event type stands for; a day of a user is a trace.
 KINDS = dict(zip(C.SCENARIOS, ("view", "click", "purchase", "error", "signup"), strict=True))
 

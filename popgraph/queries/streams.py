@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from popgraph.functions import extend
 from popgraph.operators import panel as P
 from popgraph.plans.stage import new_path
+from popgraph.operators.text import page_sections
 from popgraph.queries.base import agents, edges, query, read, states
+from popgraph.queries.entities import _SECTIONS, marked_pages
 from popgraph.queries.panels import _TR
 from popgraph.sources import sinks, tables
 from popgraph.streaming import daily, history, stateful
 
 
+def page_sections_of(html):
+    return page_sections(html or "")
+
+
 def stream(s, d, table="events"):
     schema = read(s, d, table).schema
     # a pattern, since a table is one file or a folder of files
@@ -179,8 +185,26 @@ def l1_explode_with(s, d):
     return extend.explode_with(read(s, d, "orders").select("o_orderkey"), lambda r: [(r["o_orderkey"], k) for k in range(r["o_orderkey"] % 4)], "id long, part long")
 
 
+@query(_SECTIONS + " SELECT page_id, section, heading, content FROM sec")
+def l1_sections_in_sql(s, d):
+    extend.register_rows(s, "page_sections", page_sections_of, "section string, heading string, content string")
+    return s.sql("SELECT p.page_id, t.* FROM {pages} p, LATERAL page_sections(p.html) t", pages=marked_pages(s, d))
+
+
+@query("SELECT doc_id, m[1] AS word, TRY_CAST(m[2] AS BIGINT) AS number FROM (SELECT doc_id, unnest(list_zip(regexp_extract_all(text, '([a-z]+) ([0-9]+)', 1), regexp_extract_all(text, '([a-z]+) ([0-9]+)', 2))) AS m FROM documents)")
+def l1_pattern_rows(s, d):
+    extend.register_pattern_rows(s)
+    return s.sql("SELECT d.doc_id, t.* FROM {docs} d, LATERAL pattern_rows(d.text, '([a-z]+) ([0-9]+)', 'word string, number long') t", docs=read(s, d, "documents"))
+
+
 @query("SELECT label, round(avg(sqrt(list_dot_product([x::DOUBLE FOR x IN embedding], [x::DOUBLE FOR x IN embedding]))), 6) AS metric FROM embeddings GROUP BY label")
 def l2_grouped_metric(s, d):
+    """Mean norm of the vectors of a label, from sums and counts."""
+
+    def fold(state, rows):
+        norms = np.linalg.norm(np.stack(rows["embedding"].to_numpy()).astype(float), axis=1)
+        return [(state[0] if state is not None else 0.0) + float(norms.sum()), (state[1] if state is not None else 0.0) + len(norms)]
+
     e = read(s, d, "embeddings").select("label", "embedding")
-    m = extend.grouped_metric(e, ["label"], lambda p: np.linalg.norm(np.stack(p["embedding"].to_numpy()).astype(float), axis=1).mean())
+    m = extend.aggregate_with(e, ["label"], "array<double>", fold, lambda a, b: [a[0] + b[0], a[1] + b[1]], lambda t: t[0] / t[1])
     return m.withColumn("metric", F.round("metric", 6))
