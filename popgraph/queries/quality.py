@@ -60,14 +60,15 @@ def c14_context_documents(s, d):
     return R.context_documents(asked, docs, 2, "agent_id", "doc_id")
 
 
-@query(_EM + """, ev AS (SELECT user_id AS agent_id, event_id AS node_id, value, date_trunc('second', ts) AS ts, m.v AS mv, q.v AS qv FROM (SELECT *, event_id % 300 AS mi, user_id % 300 AS qi FROM events) LEFT JOIN em m ON m.vec_id = mi LEFT JOIN em q ON q.vec_id = qi),
+@query(_EM + """, ev AS (SELECT user_id AS agent_id, event_id AS node_id, value, date_trunc('second', ts) AS ts, m.v AS mv, q.v AS qv FROM (SELECT *, event_id % (SELECT count(*) FROM embeddings) AS mi, user_id % (SELECT count(*) FROM embeddings) AS qi FROM events) LEFT JOIN em m ON m.vec_id = mi LEFT JOIN em q ON q.vec_id = qi),
 m AS (SELECT agent_id, node_id, round(pow(0.995::DOUBLE, floor(date_diff('second', ts, TIMESTAMP '2024-02-01')) / 3600) + value / 10 + coalesce(list_cosine_similarity(mv, qv), 0), 6) AS score FROM ev)
 SELECT agent_id, node_id, score, row_number() OVER (PARTITION BY agent_id ORDER BY score DESC, node_id) AS rank FROM m QUALIFY rank <= 5""")
 def c15_retrieve_memories(s, d):
     e = read(s, d, "events").select(F.col("user_id").alias("agent_id"), F.col("event_id").alias("node_id"), F.col("ts").alias("timestamp"), F.col("value").alias("importance"))
     vectors = emb(s, d).select(F.col("vec_id").alias("_i"), F.col("embedding").cast("array<double>").alias("_v"))
-    e = e.join(vectors.withColumnRenamed("_v", "embedding"), F.col("node_id") % 300 == F.col("_i"), "left").drop("_i")
-    e = e.join(vectors.withColumnRenamed("_v", "asked"), F.col("agent_id") % 300 == F.col("_i"), "left").drop("_i")
+    e = e.crossJoin(F.broadcast(vectors.agg(F.count(F.lit(1)).alias("_all"))))  # one row
+    e = e.join(vectors.withColumnRenamed("_v", "embedding"), F.col("node_id") % F.col("_all") == F.col("_i"), "left").drop("_i")
+    e = e.join(vectors.withColumnRenamed("_v", "asked"), F.col("agent_id") % F.col("_all") == F.col("_i"), "left").drop("_i", "_all")
     return R.retrieve_memories(e, F.lit("2024-02-01").cast("timestamp"), 5, F.col("asked")).select("agent_id", "node_id", "score", "rank")
 
 

@@ -132,11 +132,34 @@ def a7_write_logs(s, d):
     return s.read.schema("agent_id long, from_state string, to_state string, day int").json(f"{path}/transitions").select("agent_id", "day", "from_state", "to_state")
 
 
-@query("SELECT agent_1, agent_2, edge_type, contact_rate FROM edges")
-def a6_write_results(s, d):
+@query(_TR + " SELECT day, from_state, to_state, count(*) AS n FROM tr GROUP BY ALL")
+def a7_daily_summary(s, d):
+    path = new_path(s, "logs")
+    sinks.write_logs(P.transitions(states(s, d)), path)
+    return s.read.schema("from_state string, to_state string, n long, day int").json(f"{path}/daily").select("day", "from_state", "to_state", "n")
+
+
+def results(s, d):
     path = new_path(s, "results")
     sinks.write_results({"edges": edges(s, d), "history": P.state_counts(states(s, d), ["day"])}, path)
-    return s.read.parquet(f"{path}/edges")
+    return path
+
+
+@query("SELECT agent_1, agent_2, edge_type, contact_rate FROM edges")
+def a6_write_results(s, d):
+    return s.read.parquet(f"{results(s, d)}/edges")
+
+
+@query("SELECT day, S, E, I, R, D FROM hist")
+def a6_written_history(s, d):
+    return s.read.parquet(f"{results(s, d)}/history").select("day", "S", "E", "I", "R", "D")
+
+
+@query("SELECT agent_1, agent_2, edge_type, contact_rate FROM edges")
+def a2_read_edges(s, d):
+    path = new_path(s, "edges-json")
+    edges(s, d).write.json(path)
+    return tables.read_edges(s, path, multi_line=False)
 
 
 @query("SELECT * FROM hist")
@@ -171,13 +194,32 @@ def a1_read_cases(s, d):
     return tables.read_cases(s, path).select("case", "date", "age", "day_0")
 
 
-@query("SELECT CAST(conv_id AS VARCHAR) AS scenario_id, conv_id AS agent_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS INTEGER) AS turn, text AS response FROM conversations")
-def a3_flatten_traces(s, d):
+def nested_traces(s, d):
+    """Conversations as nested JSON, written and read with the schema of traces."""
     c = read(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text", "role"))).alias("t"))
-    talk = F.transform("t", lambda x: F.struct(x["turn"].cast("int").alias("timestep"), x["role"].alias("state"), F.lit("").alias("transition"), x["text"].alias("response"), F.array(x["role"]).alias("tools_used")))
-    one = F.struct(F.col("conv_id").alias("agent_id"), F.lit(1).alias("age"), F.lit("").alias("occupation"), talk.alias("conversations"), F.create_map(F.lit("axis"), F.lit("motif")).alias("behavioral_motifs"))
+    talk = F.transform("t", lambda x: F.struct(x["turn"].cast("int").alias("timestep"), x["role"].alias("state"), F.lit("").alias("transition"), x["text"].alias("response"), F.array(x["role"], F.lit("ask")).alias("tools_used")))
+    motifs = F.create_map(F.lit("turns"), F.size("t").cast("string"), F.lit("first"), F.col("t")[0]["role"])
+    one = F.struct(F.col("conv_id").alias("agent_id"), F.lit(1).alias("age"), F.lit("").alias("occupation"), talk.alias("conversations"), motifs.alias("behavioral_motifs"))
     nested = c.select(F.array(F.struct(F.col("conv_id").cast("string").alias("scenario_id"), F.lit("").alias("scenario_name"), F.array(one).alias("traces"))).alias("scenarios"))
-    return tables.flatten_traces(nested)[0].select("scenario_id", "agent_id", "turn", "response")
+    path = new_path(s, "traces")
+    nested.write.json(path)
+    return s.read.schema(tables.TRACES).json(path)
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS scenario_id, conv_id AS agent_id, CAST(turn AS INTEGER) AS timestep, unnest([role, 'ask']) AS tool FROM conversations")
+def a3_tool_calls(s, d):
+    return tables.flatten_traces(nested_traces(s, d))[1]
+
+
+@query(""", cv AS (SELECT conv_id, count(*) AS n, arg_min(role, (turn, text, role)) AS first FROM conversations GROUP BY conv_id)
+SELECT CAST(conv_id AS VARCHAR) AS scenario_id, conv_id AS agent_id, axis, CASE axis WHEN 'turns' THEN CAST(n AS VARCHAR) ELSE first END AS motif FROM cv, (VALUES ('turns'), ('first')) v(axis)""")
+def a3_motifs(s, d):
+    return tables.flatten_traces(nested_traces(s, d))[2]
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS scenario_id, conv_id AS agent_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS INTEGER) AS turn, text AS response FROM conversations")
+def a3_flatten_traces(s, d):
+    return tables.flatten_traces(nested_traces(s, d))[0].select("scenario_id", "agent_id", "turn", "response")
 
 
 @query("SELECT o_orderkey AS id, CAST(u AS BIGINT) AS part FROM (SELECT o_orderkey, unnest(range(o_orderkey % 4)) AS u FROM orders)")
