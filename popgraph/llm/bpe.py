@@ -2,9 +2,12 @@
 
 The vocabulary file names its own normalizer and pre-tokenizer; the family handled here
 is lower-case NFC text, words by a fixed pattern, byte-level symbols and a suffix that
-ends a word. Within a word the tree's root holds the lowest rank of any adjacent pair and
-its leftmost place; a merge changes at most three leaves, each in logarithmic time. The
-trees of many words stand side by side in one array and take each step together.
+ends a word, and a file of another family is refused. Which code points are letters and
+numbers, how they are lower-cased and which marks are reordered depends on the version of
+Unicode; the tables are taken from the tokenizers library once, on the driver, and sent
+along. Within a word the tree's root holds the lowest rank of any adjacent pair and its
+leftmost place; a merge changes at most three leaves, each in logarithmic time. The trees
+of many words stand side by side in one array and take each step together.
 """
 
 from __future__ import annotations
@@ -14,7 +17,9 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 from pathlib import Path
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,22 +32,64 @@ from popgraph.llm.common import slices
 REMEMBER = 100_000
 
 
-def _ranges(category: str, end: int) -> str:
-    """Body of a character class of the code points below ``end`` in this general category."""
-    out, start = [], None
-    for c in range(end + 1):
-        inside = c < end and unicodedata.category(chr(c))[0] == category
-        if inside and start is None:
-            start = c
-        elif not inside and start is not None:
-            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return "".join(out)
-
-
-def _pattern(end: int) -> re.Pattern:
-    """The contractions and classes of the vocabulary's split pattern, for code points below ``end``."""
-    letters, numbers = _ranges("L", end), _ranges("N", end)
+# Normalizer and pre-tokenizer of the family, as its files state them.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+FAMILY = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "decoder": None,
+}
+PLAIN_MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+
+class Unicode(NamedTuple):
+    """Tables of one version of Unicode: runs of letters and numbers, lower case where Python has another, marks that are not reordered."""
+
+    letters: tuple[tuple[int, int], ...]
+    numbers: tuple[tuple[int, int], ...]
+    lower: dict[int, str]
+    fixed_marks: str
+
+
+@cache
+def library_unicode() -> Unicode:
+    """The tables of the tokenizers library, by asking it about every code point."""
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    points = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF]
+    text = "".join(points)
+
+    def runs(kind: str) -> tuple[tuple[int, int], ...]:
+        """What is left of all code points when those outside the class are removed."""
+        left = pre_tokenizers.Split(Regex(f"[^{kind}]+"), "removed").pre_tokenize_str(text)
+        out: list[tuple[int, int]] = []
+        for _, (a, b) in left:
+            for c in map(ord, text[a:b]):
+                if out and out[-1][1] == c - 1:
+                    out[-1] = (out[-1][0], c)
+                else:
+                    out.append((c, c))
+        return tuple(out)
+
+    lower, nfc = normalizers.Lowercase().normalize_str, normalizers.NFC().normalize_str
+    other = {ord(c): lower(c) for c in points if lower(c) != c.lower()}
+    # a mark that the library takes for a plain character stays where it is among others
+    known = lambda x: nfc(x) == unicodedata.normalize("NFC", x)
+    probes = "\u0334\u3099\u0327\u0315"
+    marks = [c for c in points if unicodedata.combining(c) and not all(known("a" + m + c) and known("a" + c + m) for m in probes)]
+    return Unicode(runs(r"\p{L}"), runs(r"\p{N}"), other, "".join(marks))
+
+
+def _pattern(tables: Unicode, end: int) -> re.Pattern:
+    """The split pattern for code points below ``end``."""
+    body = lambda runs: "".join(f"\\U{a:08x}-\\U{min(b, end - 1):08x}" for a, b in runs if a < end)
+    letters, numbers = body(tables.letters), body(tables.numbers)
     space = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+")
 
@@ -57,12 +104,20 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in own else chr(next(other)) for b in range(256)]
 
 
+def check_family(spec: dict) -> None:
+    """Raises if a vocabulary file is of another family."""
+    wrong = [k for k, v in FAMILY.items() if spec.get(k) != v] + [f"model {k}" for k, v in PLAIN_MODEL.items() if spec["model"].get(k, v) != v]
+    if wrong:
+        raise ValueError(f"this vocabulary differs in {', '.join(wrong)}")
+
+
 class Codec:
     """Vocabulary, merges and caches; made once in each Python worker."""
 
-    def __init__(self, spec: bytes):
+    def __init__(self, spec: bytes, tables: Unicode):
         t = json.loads(spec)
         model = t["model"]
+        check_family(t)
         vocab: dict[str, int] = model["vocab"]
         suffix = model.get("end_of_word_suffix") or ""
         self.special = {x["content"]: x["id"] for x in t["added_tokens"]}
@@ -79,7 +134,9 @@ class Codec:
         self.last = np.array([vocab[s + suffix] for s in symbols], np.int64)
         self.split = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         # the smallest class that holds a text is the fastest to search
-        self.patterns = [(end, _pattern(end)) for end in (0x250, 0x10000, sys.maxunicode + 1)]
+        self.patterns = [(end, _pattern(tables, end)) for end in (0x250, 0x10000, sys.maxunicode + 1)]
+        self.lower = tables.lower
+        self.marks = re.compile(f"([{tables.fixed_marks}])") if tables.fixed_marks else None
         self.known: dict[str, bytes] = {}
 
     def merge(self, words: list[str]) -> None:
@@ -160,13 +217,25 @@ class Codec:
             elif part.isascii():
                 out.append((False, _ASCII.findall(part.lower())))
             else:
-                part = unicodedata.normalize("NFC", part)
-                # one code point at a time: a final capital sigma is a plain small one
-                part = (part.replace("\u03a3", "\u03c3") if "\u03a3" in part else part).lower()
+                part = self._normal(part)
                 pattern = next(p for end, p in self.patterns if end > sys.maxunicode or ord(max(part)) < end)
                 out.append((False, pattern.findall(part)))
         return out
 
+    def _normal(self, text: str) -> str:
+        """NFC and lower case, as the library has them."""
+        rare = ord(max(text)) > 0x2FF  # no mark and no other lower case below
+        if rare and self.marks and self.marks.search(text):
+            text = "".join(unicodedata.normalize("NFC", x) for x in self.marks.split(text))
+        else:
+            text = unicodedata.normalize("NFC", text)
+        if rare:
+            # one code point at a time: a final capital sigma is a plain small one
+            text = text.replace("\u03a3", "\u03c3")
+            if not self.lower.keys().isdisjoint(map(ord, set(text))):
+                return "".join(self.lower.get(ord(c)) or c.lower() for c in text)
+        return text.lower()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         parts = [self._words(t) for t in texts]
@@ -190,20 +259,21 @@ _CODECS: dict[int, Codec] = {}
 def _codec(spec) -> Codec:
     if spec.id not in _CODECS:
         _CODECS.clear()
-        _CODECS[spec.id] = Codec(spec.value)
+        _CODECS[spec.id] = Codec(*spec.value)
     return _CODECS[spec.id]
 
 
 class _Spec:
-    """The vocabulary file, read by the driver and sent once to each executor."""
+    """The vocabulary file and the tables of Unicode, read by the driver and sent once to each executor."""
 
     def __init__(self, df: DataFrame, path: str):
         data = Path(path).read_bytes()
+        check_family(json.loads(data))
         self.id = hash(data)
-        self.shared = df.sparkSession.sparkContext.broadcast(data)
+        self.shared = df.sparkSession.sparkContext.broadcast((data, library_unicode()))
 
     @property
-    def value(self) -> bytes:
+    def value(self) -> tuple[bytes, Unicode]:
         return self.shared.value
 
 
@@ -230,8 +300,9 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     """(id, ids binary[, decoded string]), one row per row of ``docs``.
 
     ``ids`` are little-endian unsigned 32-bit integers; null text encodes as empty.
-    Strings of special tokens in a text become their ids. Repeated rows are rows of
-    their own; columns but the id and the text are not looked at.
+    Strings of special tokens in a text become their ids. Repeated rows and rows with a
+    null id are rows of their own; an empty table gives an empty result; columns but the
+    id and the text are not looked at. A vocabulary of another family raises.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("row"), F.col(text_col).cast("string").alias("text"))

@@ -1,7 +1,9 @@
 """Corpus operators against brute force on small tables with odd rows."""
 
 import hashlib
+import json
 import re
+import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -219,7 +221,7 @@ def test_bpe(docs, empty):
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
-    codec = bpe.Codec(open(path, "rb").read())
+    codec = bpe.Codec(open(path, "rb").read(), bpe.library_unicode())
     odd = ["Σας ΟΔΟΣ İ ǅ ﬁ ½ Ⅷ é", "a<|endoftext|>b <|startoftext|>X", "it's they'll I'D", "日本語 12345 x\x00y\x1c", "a" * 999, "नमस्ते 🙂👩‍👩‍👧"]
     for x in odd + [r[1] or "" for r in rows()]:
         e = t.encode(x, add_special_tokens=False)
@@ -232,6 +234,30 @@ def test_bpe(docs, empty):
     assert bpe.encode(empty, path).count() == 0
 
 
+def test_bpe_of_every_code_point(spark, tmp_path):
+    """Alone, in a row with others, and marks beside marks, as the library encodes them; other families are refused."""
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary()
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    t.no_padding()
+    codec = bpe.Codec(open(path, "rb").read(), bpe.library_unicode())
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    texts = ["a" + " ".join(points[k : k + 64]) + "Z" for k in range(0, len(points), 64)]
+    rng = np.random.default_rng(8)
+    odd = [c for c in points if unicodedata.combining(c)] + list(bpe.library_unicode().fixed_marks) + [chr(c) for c in bpe.library_unicode().lower] + list("aZé\u1100\u1161\u11a8ΣΣ ς'sIİ")
+    for few in (np.array(odd), np.array(points)):
+        texts += ["".join(few[k]) for k in rng.integers(0, len(few), (2000, 12))]
+    for e, ids, x in zip(t.encode_batch(texts, add_special_tokens=False), codec.encode(texts), texts, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == e.ids, ascii(x)
+    other = json.loads(open(path).read())
+    other["normalizer"] = None
+    (tmp_path / "other.json").write_text(json.dumps(other))
+    with pytest.raises(ValueError, match="normalizer"):
+        bpe.encode(spark.createDataFrame([(1, "a")], "doc_id int, text string"), str(tmp_path / "other.json"))
+
+
 def test_language(spark, docs, empty):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language.fit(d)
