@@ -10,7 +10,7 @@ from popgraph.functions.draws import uniform
 from popgraph.operators.clusters import centroid_arrays, distance, long_vectors
 from popgraph.operators.retrieval import cosine, top_per_group
 from popgraph.plans.ranks import exact_percentiles, global_rank
-from popgraph.plans.stage import counted_broadcast, stage
+from popgraph.plans.stage import counted_broadcast, release, stage
 
 
 def pattern_profile(df: DataFrame, key: str, label: str) -> DataFrame:
@@ -282,10 +282,11 @@ def split_clusters(df: DataFrame, flagged: DataFrame, label: str, vec: str, id_c
         means = means.groupBy("_l").agg(F.max(F.when(~F.col("_h"), F.col("_c"))).alias("_na"), F.max(F.when(F.col("_h"), F.col("_c"))).alias("_nb"))
         na, nb = F.coalesce("_na", "_a"), F.coalesce("_nb", "_b")
         moved = (na != F.col("_a")) | (nb != F.col("_b"))
-        centres = stage(centres.join(means, "_l").select("_l", na.alias("_a"), nb.alias("_b"), moved.alias("_moved")), "split-centres")
+        last, centres = centres, stage(centres.join(means, "_l").select("_l", na.alias("_a"), nb.alias("_b"), moved.alias("_moved")), "split-centres")
+        release(last)
         if centres.where("_moved").isEmpty():
             break
-        centres = centres.drop("_moved")
+    centres = centres.select("_l", "_a", "_b")
     halves = stage(rows.join(centres, "_l").select("_l", "_i", second.alias("_h")), "split-halves")
     keeps = halves.groupBy("_l").agg(F.min_by("_h", "_i").alias("_keeps"))
     top = sizes.agg(F.max(label).alias("_top"))  # one row

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popgraph.plans.stage import stage
+from popgraph.plans.stage import release, stage
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
@@ -24,12 +24,16 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         up = parent.select(F.col("u").alias("x"), F.col("m").alias("mx"))
         large = e.join(up, F.col("v") == F.col("x"), "left").select("u", F.coalesce("mx", "v").alias("v")).distinct()
         large = stage(large, "cc-large")
+        release(e, parent)
         parent = stage(large.groupBy("u").agg(F.min("v").alias("m")), "cc-parent")
         roots = parent.select(F.col("u").alias("x"))
         if large.count() == parent.count() and large.join(roots, F.col("v") == F.col("x"), "left_semi").isEmpty():
             leaves = parent.select(F.col("u").alias("node"), F.col("m").alias("component"))
             own = parent.select(F.col("m").alias("node"), F.col("m").alias("component")).distinct()
-            return stage(leaves.unionByName(own), "cc")
+            found = stage(leaves.unionByName(own), "cc")
+            release(large, parent)
+            return found
         down = large.join(parent, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = stage(down.union(parent.select("u", F.col("m").alias("v"))).distinct(), "cc-edges")
+        release(large, parent)
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")

@@ -42,11 +42,20 @@ def passing(spark: SparkSession, path: str) -> str:
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` to the shared folder and return the table read back; it lasts as long as the driver."""
+    """Write ``df`` to the shared folder and return the table read back; it lasts as long as the driver, unless it is released."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     passing(df.sparkSession, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    held = df.sparkSession.read.schema(df.schema).parquet(path)
+    held._stage_path = path
+    return held
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing will read again: loops keep only the tables of their last round."""
+    for t in tables:
+        where = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._stage_path)
+        where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def counted_broadcast(df: DataFrame, max_rows: int = 100_000, label: str = "small") -> DataFrame:
