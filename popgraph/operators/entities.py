@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from popgraph.functions.draws import categorical, normal, uniform
+from popgraph.plans.ranks import global_rank
 
 #: Occupations from 25 to 64 with their weights, and comorbidity weights by age.
 OCCUPATIONS = ["healthcare_worker", "teacher", "office_worker", "retail_worker", "service_worker", "manual_worker", "professional", "unemployed"]
@@ -84,10 +86,15 @@ def state_code(state: Column) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for kv in zip("SEIRD", range(5), strict=True) for x in kv])[F.upper(F.trim(state))], F.lit(0))
 
 
-def select_chronological(cases: DataFrame, n: int, keys: tuple = ("date", "case")) -> DataFrame:
-    """The first ``n`` cases with dense ids from 0; only n rows are ranked."""
-    from pyspark.sql import Window as W
+#: Rows that one task ranks; more are ranked in ranges.
+ONE_TASK = 10_000
+
 
+def select_chronological(cases: DataFrame, n: int, keys: tuple = ("date", "case")) -> DataFrame:
+    """The first ``n`` cases with dense ids from 0."""
+    if n > ONE_TASK:
+        ranked = global_rank(cases, list(keys), "agent_id")
+        return ranked.where(F.col("agent_id") < n).withColumn("agent_id", F.col("agent_id").cast("int"))
     first = cases.orderBy(*keys).limit(n)
     return first.withColumn("agent_id", F.row_number().over(W.orderBy(*keys)) - 1)
 

@@ -90,3 +90,11 @@ def test_large_households_keep_their_edges(spark):
     got = [(r.agent_1, r.agent_2) for r in network.household_edges(spark.createDataFrame(homes, "agent_id long, household_id long")).collect()]
     want = [(a, b) for a, h in homes for b, k in homes if h is not None and h == k and a < b]
     assert sorted(got) == sorted(want)
+
+
+def test_first_cases_in_one_task_and_in_ranges(spark, monkeypatch):
+    cases = spark.createDataFrame([(k, f"2020-01-{1 + k % 9:02d}") for k in range(60)], "`case` long, date string")
+    few = [tuple(r) for r in entities.select_chronological(cases, 25).orderBy("agent_id").collect()]
+    assert [i for *_, i in few] == list(range(25)) and few == [(*r, i) for i, r in enumerate(sorted((tuple(c) for c in cases.collect()), key=lambda c: c[::-1])[:25])]
+    monkeypatch.setattr(entities, "ONE_TASK", 5)
+    assert [tuple(r) for r in entities.select_chronological(cases, 25).orderBy("agent_id").select("case", "date", "agent_id").collect()] == few
