@@ -64,7 +64,7 @@ class InOrder(StatefulProcessor):
             new += list(zip(micros.tolist(), plain["id"].tolist(), plain["kind"].tolist(), plain["number"].tolist(), strict=True))
         if new:
             self.waiting.appendList(new)
-            self.handle.registerTimer(min(new)[0] // 1000 + 1)
+            self.handle.registerTimer(min(r[0] for r in new) // 1000 + 1)
             *values, seen, forget = self.values.get() if self.values.exists() else (*self.start, 0, 0)
             seen = max(seen, max(r[0] for r in new) // 1000)
             if not forget:
