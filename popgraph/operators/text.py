@@ -318,8 +318,9 @@ def extract_sections(pages: DataFrame, id_col: str = "page_id", html_col: str =
     each piece between tags, of 50 characters at least; the heading is the first h1 to h4
     inside, else null. Lists of three items, nested ones counted, and over 100 characters
     follow under "Guidelines", one "- " line an item. Text of scripts, styles and templates
-    is none. ``section`` names the kind and counts from 0 in the page, the short ones
-    included. Null and empty pages give no rows.
+    is none; character references are read as HTML does, old names without their semicolon
+    too. ``section`` names the kind and counts from 0 in the page, the short ones included.
+    Null and empty pages give no rows.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -282,7 +282,9 @@ def h14_remove_leakage(s, d):
 def _pieces(x: str) -> str:
     """SQL: texts between the tags of ``x``, stripped, without empty ones."""
     raw = f"regexp_split_to_array({x}, '<[^>]*>')"
-    plain = "replace(replace(replace(replace(p, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')"
+    plain = "p"
+    for name, said in (("lt", "'<'"), ("gt", "'>'"), ("quot", "chr(34)"), ("amp", "'&'")):  # those the articles hold; a cut text may end before the semicolon, which HTML lets be left out
+        plain = f"regexp_replace({plain}, '&(?:{name}|{name.upper()});?', {said}, 'g')"
     return f"list_filter(list_transform({raw}, lambda p: regexp_replace({plain}, '^\\s+|\\s+$', '', 'g')), lambda p: p <> '')"
 
 

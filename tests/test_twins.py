@@ -37,6 +37,12 @@ def both(spark, tables, name):
     return sorted(tuple(r) for r in registry.queries()[name](spark, d).select(*want.columns).collect()), sorted(want.fetchall())
 
 
+@pytest.mark.parametrize("name", ["h12_extract_sections", "l1_sections_in_sql", "h16_filter_sections"])
+def test_references_without_semicolon(spark, tables, name):
+    got, want = both(spark, tables, name)
+    assert got == want and {"cut &&", "cut &am", 'cut "', "a &lt b"} == {r[2] for r in got}
+
+
 def test_no_negative_zero(spark, tables):
     for rows in both(spark, tables, "i14_fuse_embeddings"):
         entries = [x for r in rows for x in r[1]]
