@@ -156,6 +156,15 @@ def categorize(text: Column) -> Column:
     return F.when(F.array_max(scores) > 0, F.element_at(names, F.array_position(scores, F.array_max(scores)).cast("int"))).otherwise("general_guidelines")
 
 
+#: What words are made of: letters and numbers of any language, so that the end of "région" is no "on".
+WORD = r"[\p{L}\p{N}_]"
+
+
+def _spelled(pattern: str) -> str:
+    """``pattern`` with word characters and bounds spelled out: what the classes of Java hold depends on its version."""
+    return re.sub(r"\\b(?=\||$)", lambda _: f"(?!{WORD})", pattern.replace(r"\w", WORD)).replace(r"\b", f"(?<!{WORD})")
+
+
 def _without(leak: str):
     sentence = f"(?i)(?:^|(?<=[.!?]))[^.!?]*{leak}[^.!?]*[.!?]"
     return lambda x: F.when(x.rlike("(?i)" + leak), F.regexp_replace(x, sentence, "")).otherwise(x)
@@ -167,13 +176,14 @@ def remove_leakage(text: Column) -> Column:
     A sentence runs from its start or the last terminator to the next one, and a
     terminator inside a pattern (18.3 %) does not end it. What follows the last
     terminator stays. The search starts at sentence starts only and is skipped where the
-    bare pattern does not occur, so it takes time in proportion to the text.
+    bare pattern does not occur, so it takes time in proportion to the text. Words are
+    made of letters of any language.
     """
-    clean = text
-    for leak in LEAKS:
+    clean, leaks = text, [_spelled(x) for x in LEAKS]
+    for leak in leaks:
         clean = F.get(F.transform(F.array(clean), _without(leak)), F.lit(0))  # names the text, so that a step mentions it once
-    clean = F.when(text.rlike("(?i)" + "|".join(LEAKS)), clean).otherwise(text)
-    clean = F.regexp_replace(clean, TEMPORAL, "")
+    clean = F.when(text.rlike("(?i)" + "|".join(leaks)), clean).otherwise(text)
+    clean = F.regexp_replace(clean, _spelled(TEMPORAL), "")
     clean = F.regexp_replace(F.regexp_replace(clean, r"\n\s*\n\s*\n+", "\n\n"), "  +", " ")
     return F.regexp_replace(clean, r"^\s+|\s+$", "")
 

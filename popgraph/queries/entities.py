@@ -267,10 +267,14 @@ def h15_categorize(s, d):
     return said(s, d).select("doc_id", T.categorize(F.col("t")).alias("category"))
 
 
-_CLEAN = "t"
-for _leak in T.LEAKS:
+#: DuckDB's word bounds know ASCII only: other letters and numbers stand between underscores while they are looked for.
+_FOREIGN = r"[^\x00-\x7F\P{L}]|[^\x00-\x7F\P{N}]"
+_CLEAN = rf"regexp_replace(t, '({_FOREIGN})', '_\1_', 'g')"
+for _leak in [x.replace(r"\w", T.WORD) for x in T.LEAKS]:
     _CLEAN = f"regexp_replace({_CLEAN}, '[^.!?]*{_leak}[^.!?]*[.!?]', '', 'gi')"
-_CLEAN = f"regexp_replace({_CLEAN}, '{T.TEMPORAL}', '', 'g')"
+_TEMPORAL = T.TEMPORAL.replace(r"\w", T.WORD)
+_CLEAN = f"regexp_replace({_CLEAN}, '{_TEMPORAL}', '', 'g')"
+_CLEAN = rf"regexp_replace({_CLEAN}, '_({_FOREIGN})_', '\1', 'g')"
 _CLEAN = rf"regexp_replace(regexp_replace(regexp_replace({_CLEAN}, '\n\s*\n\s*\n+', chr(10) || chr(10), 'g'), '  +', ' ', 'g'), '^\s+|\s+$', '', 'g')"
 
 

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from popgraph import registry
+from popgraph.operators import text
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,6 +44,13 @@ def test_references_without_semicolon(spark, tables, name):
     assert got == want and {"cut &&", "cut &am", 'cut "', "a &lt b"} == {r[2] for r in got}
 
 
+def test_words_of_other_letters(spark, tables):
+    got, want = both(spark, tables, "h14_remove_leakage")
+    assert got == want
+    assert "lèon sur 59" in got[0][1] and "part" not in got[1][1] and "chaud" in got[2][1] and "été" not in got[2][1] and "5é" in got[4][1]
+    assert spark.range(1).select(text.remove_leakage(text.F.lit("Un lèon sur 59. On été 12 vu. Oui"))).first()[0] == "Un lèon sur 59. Oui"
+
+
 def test_no_negative_zero(spark, tables):
     for rows in both(spark, tables, "i14_fuse_embeddings"):
         entries = [x for r in rows for x in r[1]]
