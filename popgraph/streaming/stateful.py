@@ -1,13 +1,15 @@
 """Stateful streams: trackers that follow events of a key in the order of event time, over micro-batches too.
 
-Events wait in a list state, one entry an event, until the watermark has passed them; an
-event-time timer wakes the key then. A key that has had no event for ``expire`` is
+Events wait in a list state, ``PACK`` of them an entry since each entry is a message of its
+own to the state store, until the watermark has passed them; an event-time timer wakes the
+key then. A key that has had no event for ``expire`` is
 forgotten by a timer as well. These operators need the RocksDB state store; ``session``
 gives a session that has it, in which the stream is to be built.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,7 +22,18 @@ from popgraph.operators.panel import EVENT_STATES, phase_of
 EXPIRE = "365 days"
 #: State of a key beside its own values: the latest event and when the key is to be forgotten, in milliseconds.
 _CLOCK = "seen long, forget long"
-_WAITING = "ts long, id long, kind string, number double"
+_WAITING = "pack binary"
+PACK = 4096
+
+
+def _packed(rows: list[tuple]) -> list[tuple]:
+    """Entries of the list state that hold ``rows``."""
+    return [(pickle.dumps(rows[k : k + PACK]),) for k in range(0, len(rows), PACK)]
+
+
+def _plain(values: pd.Series) -> list:
+    """Python values, None for nulls."""
+    return [None if v is None or v != v else v for v in values.tolist()] if values.hasnans else values.tolist()
 
 
 def session(spark: SparkSession) -> SparkSession:
@@ -59,13 +72,12 @@ class InOrder(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = []
         for f in rows:
-            micros = f["ts"].astype("datetime64[us]").astype("int64")
-            plain = f[["id", "kind", "number"]].astype(object).where(f[["id", "kind", "number"]].notna(), None)
-            new += list(zip(micros.tolist(), plain["id"].tolist(), plain["kind"].tolist(), plain["number"].tolist(), strict=True))
+            micros = f["ts"].to_numpy().astype("datetime64[us]").astype("int64")
+            new += list(zip(micros.tolist(), *(_plain(f[c]) for c in ("id", "kind", "number")), strict=True))
         if new:
-            self.waiting.appendList(new)
+            self.waiting.appendList(_packed(new))
             self.handle.registerTimer(min(r[0] for r in new) // 1000 + 1)
-            *values, seen, forget = self.values.get() if self.values.exists() else (*self.start, 0, 0)
+            *values, seen, forget = self.values.get() or (*self.start, 0, 0)
             seen = max(seen, max(r[0] for r in new) // 1000)
             if not forget:
                 forget = seen + self.expire_ms
@@ -75,20 +87,21 @@ class InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        if not self.values.exists():
+        held = self.values.get()
+        if held is None:
             return iter([])
-        rows = sorted(self.waiting.get(), key=lambda r: (r[0], r[1] is not None, r[1]))
+        rows = sorted((r for (pack,) in self.waiting.get() for r in pickle.loads(pack)), key=lambda r: (r[0], r[1] is not None, r[1]))
         due = [r for r in rows if r[0] < now * 1000]
-        *values, seen, forget = self.values.get()
+        *values, seen, forget = held
         out = []
         for r in due:
-            values, said = self.step(tuple(values), tuple(r))
+            values, said = self.step(tuple(values), r)
             if said is not None:
                 out.append((key[0], *said))
         if due:
-            rest = [tuple(r) for r in rows[len(due) :]]
+            rest = rows[len(due) :]
             if rest:
-                self.waiting.put(rest)
+                self.waiting.put(_packed(rest))
                 self.handle.registerTimer(max(rest[0][0] // 1000 + 1, now + 1))
             else:
                 self.waiting.clear()

@@ -522,3 +522,12 @@ def test_top_documents_against_all_pairs(spark, n):
         want += [(q, i, s, r) for r, (i, s) in enumerate(sorted(score.items(), key=lambda x: (-x[1], x[0]))[:n], 1)]
     got = retrieval.top_k_documents(spark.createDataFrame(asked, "q int, text string"), spark.createDataFrame(docs, "d int, text string"), n, "q", "d")
     assert sorted((r["query"], r.doc, round(r.score, 5), r["rank"]) for r in got.collect()) == sorted((q, i, round(s, 5), r) for q, i, s, r in want)
+
+
+def test_waiting_events_are_packed(monkeypatch):
+    """Waiting events take an entry of the list state for each pack, not for each event."""
+    monkeypatch.setattr(stateful, "PACK", 3)
+    rows = [(k, None if k == 2 else k, "view", None) for k in range(7)]
+    packs = stateful._packed(rows)
+    assert len(packs) == 3 and [r for (p,) in packs for r in stateful.pickle.loads(p)] == rows
+    assert stateful._plain(stateful.pd.Series([1.0, None])) == [1.0, None] and stateful._plain(stateful.pd.Series(["a", None], dtype=object)) == ["a", None]
