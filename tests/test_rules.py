@@ -531,3 +531,15 @@ def test_waiting_events_are_packed(monkeypatch):
     packs = stateful._packed(rows)
     assert len(packs) == 3 and [r for (p,) in packs for r in stateful.pickle.loads(p)] == rows
     assert stateful._plain(stateful.pd.Series([1.0, None])) == [1.0, None] and stateful._plain(stateful.pd.Series(["a", None], dtype=object)) == ["a", None]
+
+
+def test_bucket_of_one_block_is_sent_once():
+    """Rows that are held and compared at once give each near pair once, also over several batches."""
+    import numpy as np
+    import pyarrow as pa
+
+    vectors = {5: [1.0, 0.0], 2: [1.0, 0.1], 9: [0.0, 1.0], 1: [1.0, 0.0]}
+    batch = lambda ids: pa.RecordBatch.from_pydict({"t": [0] * len(ids), "key": [7] * len(ids), "wide": [4] * len(ids), "at": [0] * len(ids), "side": [2] * len(ids), "id": ids, "half": [np.array(vectors[i], np.float16).tobytes() for i in ids]})
+    for parts in ([[5, 2, 9, 1]], [[5, 2], [9, 1]], [[5], [2], [9], [1]]):
+        got = [tuple(r.values()) for b in retrieval._meetings(0.9)(iter([batch(p) for p in parts])) for r in b.to_pylist()]
+        assert sorted(got) == [(1, 2), (1, 5), (2, 5)]
