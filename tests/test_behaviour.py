@@ -261,3 +261,13 @@ def test_scenarios_begin_with_roles(spark):
     assert [len(few[s]) for s in features.SCENARIOS[:2]] == [3, 8] and all(r == "I" for s in features.SCENARIOS[:2] for r, _ in few[s].values())
     assert sum(r == "I" for r, _ in few["circuit_breaker"].values()) == 3
     assert all(not g for g in drawn(rows[:0]).values()) and len(drawn(rows[:1])["community"]) == 1
+
+
+def test_axes_take_one_search(spark):
+    """All labels of a text come from one call of one Python function, and null is the empty text."""
+    df = spark.createDataFrame([(1, "worried at work, will check"), (2, None)], "id long, l string")
+    told = df.select("id", *[c.alias(a) for a, c in A.keyword_axes(F.col("l")).items()])
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1 and plan[plan.index("ArrowEvalPython [") :].split("]")[0].count("told(") == 1
+    rows = [tuple(r)[1:] for r in told.orderBy("id").collect()]
+    assert rows == [A.axis_labels("worried at work, will check"), A.axis_labels("")] and rows[0][-1] == "risk_averse" and rows[1][-1] == "risk_neutral"
