@@ -271,3 +271,30 @@ def test_axes_take_one_search(spark):
     assert plan.count("ArrowEvalPython [") == 1 and plan[plan.index("ArrowEvalPython [") :].split("]")[0].count("told(") == 1
     rows = [tuple(r)[1:] for r in told.orderBy("id").collect()]
     assert rows == [A.axis_labels("worried at work, will check"), A.axis_labels("")] and rows[0][-1] == "risk_averse" and rows[1][-1] == "risk_neutral"
+
+
+def test_fused_vectors_stay_whole(spark):
+    rows = [(1, [1.0, 2.0, None], [1.0]), (1, [0.5, 2.0], None), (2, None, [3.0, 4.0]), (3, [], None), (4, None, None), (None, [1.0], [2.0]), (5, [1.0, 2.0, 3.0, 4.0], []), (6, [2.0, 2.0, 1.0, 9.0], [0.0, 1.0]), (7, [None, None], None)]
+    df = spark.createDataFrame(rows, "id int, graph array<double>, motif array<double>")
+    told = M.fuse_embeddings(df, "id", {"graph": 0.6, "motif": 0.4}, 5)
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode") == 2 and "Join Inner, (" not in plan  # entries are not joined back to their rows
+    got = {r.id: r.fused for r in told.collect()}
+    assert set(got) == {1, 2, 5, 6, 7} and all(len(v) == 5 for v in got.values()) and got[7] == [0.0] * 5
+    graph, motif = [[1.0, 0.5, 1.0, 1.0, 2.0], [2.0, 2.0, 2.0, 2.0], [3.0, 1.0], [4.0, 9.0]], [[1.0, 3.0, 0.0, 2.0], [4.0, 1.0]]
+    scaled = lambda v, dims: [(x - np.mean(d)) / (np.std(d) if np.std(d) > 1e-9 else 1.0) for x, d in zip(v, dims, strict=False)]
+    unit = lambda v: np.array(v) / max(np.linalg.norm(v), 1e-12)
+    six = 0.6 * unit(scaled([2.0, 2.0, 1.0, 9.0], graph))
+    six[:2] += 0.4 * unit(scaled([0.0, 1.0], motif))
+    np.testing.assert_allclose(got[6][:4], unit(six), atol=1e-5)
+    one = np.array(scaled([1.0, 2.0], graph)), np.array(scaled([0.5, 2.0], graph)), np.array(scaled([1.0], motif))  # rows of one id are added up
+    both = 0.6 * (one[0] + one[1]) / np.linalg.norm(np.concatenate(one[:2]))
+    both[:1] += 0.4 * unit(one[2])
+    np.testing.assert_allclose(got[1][:2], unit(both), atol=1e-5)
+
+
+def test_kmeans_is_dealt_to_tasks(spark):
+    df = spark.range(20000).coalesce(1)
+    dealt = K._spread(df, "id", 1024)
+    assert dealt.rdd.getNumPartitions() == 5 and dealt.count() == 20000
+    assert K._spread(df, "id", 8).rdd.getNumPartitions() == 1
