@@ -1,6 +1,7 @@
 """Fixed rules worked by hand, and operators against plain Python."""
 
 import math
+import re
 from collections import Counter, defaultdict
 from html.parser import HTMLParser
 
@@ -524,6 +525,21 @@ def test_top_documents_against_all_pairs(spark, n):
     assert sorted((r["query"], r.doc, round(r.score, 5), r["rank"]) for r in got.collect()) == sorted((q, i, round(s, 5), r) for q, i, s, r in want)
 
 
+def test_top_documents_are_dealt_by_document(spark, monkeypatch):
+    """Tasks are as many as the counted pairs need, and no pair is taken apart into the terms of its query."""
+    monkeypatch.setattr(retrieval, "TASK_ROWS", 40)
+    docs = spark.createDataFrame([(i, "alpha beta" if i % 2 else f"alpha word{'abcdefghij'[i % 10]}") for i in range(100)], "d int, text string")
+    asked = spark.createDataFrame([(0, "alpha beta"), (1, "wordc alpha"), (2, "none")], "q int, text string")
+    told = retrieval.top_k_documents(asked, docs, 2, "q", "d")
+    assert [(r["query"], r.doc, r["rank"]) for r in told.orderBy("query", "rank").collect()] == [(0, 1, 1), (0, 3, 2), (1, 2, 1), (1, 12, 2)]
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [doc" in plan and "(doc" in plan
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and not any("doc" in line and "term" in line for line in joins)
+    parts = max(int(x) for x in re.findall(r"RepartitionByExpression \[doc#\d+\w*\], (\d+)", plan))
+    assert parts > 3
+
+
 def test_waiting_events_are_packed(monkeypatch):
     """Waiting events take an entry of the list state for each pack, not for each event."""
     monkeypatch.setattr(stateful, "PACK", 3)
