@@ -122,6 +122,16 @@ def test_archetypes_of_few_and_none(spark):
     assert [x.count() for x in T.archetypes(one.limit(0), "e")] == [0, 0]
 
 
+def test_power_iteration_drops_foreign_links_early(spark, monkeypatch):
+    """Links of entities without a vector are gone before links are told apart."""
+    plans = []
+    monkeypatch.setattr(K, "stage", lambda t, label: plans.append(t._jdf.queryExecution().optimizedPlan().toString()) or t.limit(0))
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(4)], "id long, v array<double>")
+    links = spark.createDataFrame([(0, 1), (1, 0), (2, 3), (2, 99)], "src long, dst long")
+    assert K.power_iteration(df, links, "v", "id", 2).count() == 0
+    assert len(plans) == 1 and plans[0].count("LeftSemi") == 2 and plans[0].rindex("LeftSemi") > plans[0].index("Aggregate [")
+
+
 def test_power_iteration_parts_two_groups(spark):
     df = spark.createDataFrame([(i, [float(i // 4) * 9, i % 4 * 0.1]) for i in range(8)] + [(8, [0.0, 0.0])], "id int, v array<double>")
     links = spark.createDataFrame([(a, b) for g in (0, 4) for a in range(g, g + 4) for b in range(g, g + 4)] + [(3, 4)], "src int, dst int")
