@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from popgraph.functions.rounding import round6
+
 STATES = ("S", "E", "I", "R", "D")
 #: The five transitions of a forecast.
 TRANSITIONS = (("S", "E"), ("E", "I"), ("I", "R"), ("I", "D"), ("R", "S"))
@@ -151,7 +153,7 @@ def phase_multipliers(phases: DataFrame) -> DataFrame:
 def transition_rates(panel: DataFrame, keys: list[str]) -> DataFrame:
     """Share of entities in a state that take each transition to the next day, per key."""
     p = panel.withColumn("_next", F.lead("state").over(by_agent())).where("_next is not null")
-    rate = lambda a, b: F.coalesce(F.round(F.count_if((F.col("state") == a) & (F.col("_next") == b)) / F.nullif(F.count_if(F.col("state") == a), F.lit(0)), 6), F.lit(0.0))
+    rate = lambda a, b: F.coalesce(round6(F.count_if((F.col("state") == a) & (F.col("_next") == b)) / F.nullif(F.count_if(F.col("state") == a), F.lit(0))), F.lit(0.0))
     return p.groupBy(*keys).agg(*[rate(a, b).alias(f"{a}_{b}".lower()) for a, b in TRANSITIONS])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from popgraph.functions.rounding import round6
 from popgraph.operators.clusters import long_vectors
 from popgraph.operators.features import dormitory_flags, flag
 from popgraph.operators.panel import STATES, by_agent, transition_rates
@@ -110,7 +111,7 @@ def _tabular(panel: DataFrame, people: DataFrame, neighbors: DataFrame, embeddin
         active / n, *[F.least(F.coalesce(f"days_{s}", F.lit(0.0)) / float(k), F.lit(1.0)) for s, k in LONG_STAY.items()], F.coalesce(c("exposure") / 10, F.lit(0.0)), trend, c("left") / n, c("day") / 200.0, F.lit(0.0),
         c("household"), c("young_old"), c("compliance_std"), c("spread") / n,
     )
-    return j.select(cluster, "day", F.transform(f, lambda x: F.round(x.cast("double"), 6)).alias("features"))
+    return j.select(cluster, "day", F.transform(f, lambda x: round6(x.cast("double"))).alias("features"))
 
 
 def stringency(day: Column) -> Column:
@@ -136,7 +137,7 @@ def _sequence(panel: DataFrame, people: DataFrame, cluster: str, days: int = 7)
     g = p.groupBy(cluster, "day").agg(*[F.avg(flag(_is(s))).alias(s) for s in STATES], new("S", "E").alias("new_e"), new("E", "I").alias("new_i"))
     g = g.join(dormitory_flags(people, cluster), cluster)
     one = F.array("S", "E", "I", "R", "D", "new_e", "new_i", F.col("E") + F.col("I"), F.when(F.col("is_dormitory"), 0.75).otherwise(0.4), stringency(F.col("day")))
-    seq = F.collect_list(F.transform(one, lambda x: F.round(x, 6))).over(W.partitionBy(cluster).orderBy("day").rowsBetween(-days, 0))
+    seq = F.collect_list(F.transform(one, round6)).over(W.partitionBy(cluster).orderBy("day").rowsBetween(-days, 0))
     empty = F.array_repeat(F.array_repeat(F.lit(0.0), 10), days + 1 - F.size("_s"))
     return g.select(cluster, "day", seq.alias("_s")).select(cluster, "day", F.concat(empty, "_s").alias("sequence"))
 
@@ -144,7 +145,7 @@ def _sequence(panel: DataFrame, people: DataFrame, cluster: str, days: int = 7)
 def pooled_embedding(agents: DataFrame, embeddings: DataFrame, cluster: str = "cluster_id") -> DataFrame:
     """(cluster, embedding): mean of each dimension over the entities of a cluster."""
     x = long_vectors(embeddings.join(agents.select("agent_id", cluster), "agent_id"), "agent_id", "embedding", cluster)
-    m = x.groupBy(cluster, "pos").agg(F.round(F.avg("x"), 6).alias("m"))
+    m = x.groupBy(cluster, "pos").agg(round6(F.avg("x")).alias("m"))
     return m.groupBy(cluster).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda e: e["m"]).alias("embedding"))
 
 
